@@ -47,12 +47,43 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casemill.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+), x AS (SELECT doc_id, unnest(s) AS s FROM g),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM g),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * common >= 75 * (na.n + nb.n - common)
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casemill.llm.media import media_columns
+
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_packing, op2_warc, op4_mixing]
+    found = [op1_packing, op2_warc, op3_minhash, op4_mixing, op5_media]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     from casemill.llm.mixing import MIX_SQL
 
-    return {"op2_warc": WARC_SQL, "op4_mixing": MIX_SQL}
+    return {"op2_warc": WARC_SQL, "op3_minhash": NEAR_SQL, "op4_mixing": MIX_SQL}

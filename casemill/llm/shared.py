@@ -61,3 +61,31 @@ def put_whole(fs, path: str, write) -> None:
 def drop(fs, path: str) -> None:
     with suppress(FileNotFoundError, OSError):
         fs.delete_file(path)
+
+
+def groups(batches, keys: int):
+    """Tables of equal values in the first `keys` (integer) columns, from batches sorted by them; one group is held at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for c in cols:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        first = tuple(c[0] for c in cols)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
+            held = []
+        held.append(batch.slice(cuts[-2], cuts[-1] - cuts[-2]))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)
