@@ -78,8 +78,14 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casemill.llm.repeats import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_packing, op2_warc, op3_minhash, op4_mixing, op5_media]
+    found = [op1_packing, op2_warc, op3_minhash, op4_mixing, op5_media, op6_repeats]
     return {f.__name__: f for f in found}
 
 
