@@ -16,12 +16,13 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TIERS = (256, 512, 1024, 2048)
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 WINDOW_TOKENS = 1 << 22
 WINDOW_DOCS = 8192
 GROUP_SEQUENCES = 32
@@ -92,7 +93,7 @@ class WordTokenizer:
     """Ids of texts as little-endian 32-bit bytes, remembered by word.
 
     Only for tokenizers whose pre-tokenizer never crosses a space or a line feed and drops them; then a text's ids are those of
-    its pieces between them, one after the other.
+    its pieces between them, one after the other.  Word ends must be marked by "</w>"; where they are not, words are encoded one by one.
     """
 
     _made: dict[str, "WordTokenizer"] = {}
@@ -101,6 +102,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.ids: dict[str, bytes] = {"": b""}
 
     @classmethod
@@ -110,20 +114,49 @@ class WordTokenizer:
         return cls._made[text]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.ids))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            found = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+        self._learn(list(set().union(*split).difference(self.ids)))
         get = self.ids.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         if len(self.ids) > CACHE_WORDS:
             self.ids = {"": b""}
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        """Adds the ids of new words.
+
+        Nearly all are Latin letters with full stops or commas behind.  Such letters are one pre-token whatever stands around
+        them, so they are encoded lower-cased, many in one call, and told apart by the tokens that end a word.
+        """
+        plain, lows, tails, alone = [], [], [], set()  # plain lists of strings: the cyclic collector has nothing to walk
+        for word in words:
+            core = word.rstrip(".,")
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+                low = core.lower()
+                if len(low) == len(core):
+                    plain.append(word)
+                    lows.append(low)
+                    tails.append(word[len(core) :])
+                    continue
+            alone.add(word)
+        cores, alone = list(set(lows).difference(self.ids)), alone.union(tails).difference(self.ids)
+        for at in range(0, len(cores), 1024):
+            some = cores[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):
+                alone.update(some)
+                continue
+            data = ids.tobytes()
+            self.ids.update(zip(some, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        alone = list(alone)
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+        get = self.ids.__getitem__
+        self.ids.update(zip(plain, map(bytes.__add__, map(get, lows), map(get, tails)), strict=True))
+
 
 def pack_documents(
     docs: DataFrame,
@@ -147,7 +180,6 @@ def pack_documents(
     end = int(end_id).to_bytes(4, "little")
 
     def emit(window: list[tuple[int | None, bytes]], base: int, group: int):
-        import numpy as np
         import pyarrow as pa
 
         sequences = plan_window([len(ids) >> 2 for _, ids in window], tiers)
