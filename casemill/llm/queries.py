@@ -84,8 +84,14 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casemill.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    found = [op1_packing, op2_warc, op3_minhash, op4_mixing, op5_media, op6_repeats]
+    found = [op1_packing, op2_warc, op3_minhash, op4_mixing, op5_media, op6_repeats, op7_nearest]
     return {f.__name__: f for f in found}
 
 
