@@ -6,7 +6,6 @@ from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,12 +89,33 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casemill.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casemill.llm.toxicity import learn, score_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, learn(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casemill.llm.langid import learn, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, learn(docs))
+
+
 def queries() -> dict:
-    found = [op1_packing, op2_warc, op3_minhash, op4_mixing, op5_media, op6_repeats, op7_nearest]
+    found = [op1_packing, op2_warc, op3_minhash, op4_mixing, op5_media, op6_repeats, op7_nearest, op8_licenses, op9_toxicity, op10_langid]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    from casemill.llm.licenses import license_sql
     from casemill.llm.mixing import MIX_SQL
 
-    return {"op2_warc": WARC_SQL, "op3_minhash": NEAR_SQL, "op4_mixing": MIX_SQL}
+    return {"op2_warc": WARC_SQL, "op3_minhash": NEAR_SQL, "op4_mixing": MIX_SQL, "op8_licenses": license_sql()}
