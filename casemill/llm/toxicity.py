@@ -1,11 +1,12 @@
 """Toxic passages by maximum-scoring segment search over token log-odds.
 
-Learning counts, over families of near copies, the texts of either label that hold a token: a word, or the first four letters of
-a longer one.  Log-odds get a Dirichlet prior; a token scores by them if its share of toxic texts could not be chance (of all
+Learning counts, over families of near copies, the texts of either label that hold a token: a word, or the first letters of a
+longer one.  Log-odds get a Dirichlet prior; a token scores by them if its share of toxic texts could not be chance (of all
 tokens seen so often, at most one is expected to pass) and they are large; all other tokens share one small negative score.
 A text is scanned once, left to right, for all its maximal scoring segments (no prefix or suffix of one can be cut with gain,
 none can be joined with another with gain).  Their scores follow an extreme-value law over clean text; its scale makes the mean
-of exp(scale * score) one, and a text's score is the chance that no such set of segments is found in clean text of its length.
+of exp(scale * score) one, and the evidence of a text is how unlikely such a set of segments is in clean text of its length.
+Evidence becomes a probability by a logistic curve that is fitted to the labelled sample.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from casemill.llm.shared import written
 
 #: Labelled rows that are learned from, at most; those of least hash.
 SAMPLE = 30_000
-PREFIX = 4
+#: Letters of the prefixes that are tokens beside whole words; a word goes by its longest listed form.
+PREFIXES = (6, 5, 4)
 PRIOR = 0.5
 LEAST_LOG_ODDS = 2.0
 TOXIC_AT = 0.7
@@ -66,6 +68,7 @@ class Model:
     def __init__(self, log_odds: dict[str, float], rate: float, other: float):
         self.log_odds, self.other = log_odds, other
         self.scale, self.k = 1.0, 0.1
+        self.slope, self.at_none = 1.0, -3.0  # of the logistic curve
         if log_odds:
             # clean text: a listed token with probability `rate`, spread evenly over the list
             gain = lambda x: rate * sum(math.exp(x * s) for s in log_odds.values()) / len(log_odds) + (1 - rate) * math.exp(x * other) - 1
@@ -85,7 +88,8 @@ class Model:
             return list(map(cache.__getitem__, tokens))
         except KeyError:
             for w in set(tokens).difference(cache):
-                cache[w] = self.log_odds.get(w, self.log_odds.get(f"{w[:PREFIX]}*", self.other))
+                forms = (w, *(f"{w[:n]}*" for n in PREFIXES))
+                cache[w] = next((self.log_odds[f] for f in forms if f in self.log_odds), self.other)
             out = list(map(cache.__getitem__, tokens))
             if len(cache) > CACHE_WORDS:
                 cache.clear()
@@ -98,20 +102,33 @@ class Model:
             return []
         return [(a, b, s, self.k * len(scores) * math.exp(-self.scale * s)) for a, b, s in segments(scores)]
 
-    def score(self, text: str | None) -> float:
-        """1 less the least chance, over r, that clean text of this length has r segments that together score as the r best do."""
+    def evidence(self, text: str | None) -> float:
+        """-log of the least chance, over r, that clean text of this length has r segments that together score as the r best do."""
         excess = sorted((-math.log(max(e, 1e-300)) for *_, e in self.passages(text)), reverse=True)
-        best, total = 1.0, 0.0
-        for r, x in enumerate(excess, 1):
+        best, total = 0.0, 0.0
+        for r, x in enumerate(excess[:64], 1):
             total += x
             if total <= 0:
                 break
             # one segment: Gumbel tail; r segments: the sum statistic's tail
-            chance = -math.expm1(-math.exp(-total)) if r == 1 else math.exp(min(0.0, -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r)))
-            best = min(best, chance)
-            if r == 64:
-                break
-        return 1.0 - best if excess else 0.0
+            log_chance = math.log(-math.expm1(-math.exp(-total))) if r == 1 and total < 30 else -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r)
+            best = max(best, -log_chance)
+        return best
+
+    def score(self, text: str | None) -> float:
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.at_none + self.slope * self.evidence(text)))))
+
+    def calibrate(self, evidence: list[float], toxic: list[int], rounds: int = 30) -> None:
+        """Fits the logistic curve by Newton steps with a slight pull to the default; evidence counts up to 20."""
+        import numpy as np
+
+        x = np.stack([np.ones(len(evidence)), np.minimum(evidence, 20.0)], 1)
+        y, pull = np.array(toxic, float), np.array([self.at_none, self.slope])
+        w = pull.copy()
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-x @ w))
+            w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (p - y) + (w - pull))
+        self.at_none, self.slope = float(w[0]), max(1e-3, float(w[1]))
 
 
 def _token_sets(docs: DataFrame) -> DataFrame:
@@ -131,7 +148,7 @@ def _token_sets(docs: DataFrame) -> DataFrame:
                 tokens = []
                 for t in texts:
                     found = set(words(t))
-                    tokens.append(list(found | {f"{w[:PREFIX]}*" for w in found if len(w) > PREFIX}))
+                    tokens.append(list(found | {f"{w[:n]}*" for w in found for n in PREFIXES if len(w) > n}))
                 yield pa.RecordBatch.from_arrays([some.column(1), pa.array(family, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], ["toxic", "family", "tokens"])
 
     return docs.select("text", "toxic").mapInArrow(run, "toxic int, family long, tokens array<string>")
@@ -146,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: fl
     if not chosen:
         return Model({}, 0.0, -0.1)
     few = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "id long, toxic int")
-    texts = docs.join(F.broadcast(few), docs.doc_id == few.id).select("text", "toxic")
+    texts = written(docs.join(F.broadcast(few), docs.doc_id == few.id).select(F.col("text").cast("string"), "toxic"), "labelled")
     sets = written(_token_sets(texts), "tokens")
     # one text of a family and label counts: near copies are no evidence of their own
     one = written(sets.groupBy("family", "toxic").agg(F.min("tokens").alias("tokens")), "families")
@@ -168,34 +185,40 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: fl
     total = one.groupBy("toxic").agg(F.sum(F.size("tokens")).alias("n")).collect()
     n = {r["toxic"]: max(1, r["n"] or 1) for r in total}
     rate = (clean + prior) / n[0]
-    return Model(log_odds, rate, min(-1e-3, math.log1p(-min(0.5, (toxic + prior) / n[1])) - math.log1p(-rate)))
+    model = Model(log_odds, rate, min(-1e-3, math.log1p(-min(0.5, (toxic + prior) / n[1])) - math.log1p(-rate)))
+
+    def weigh(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["evidence", "toxic"])
+
+    found = texts.mapInArrow(weigh, "evidence double, toxic int").toArrow()  # bounded by `sample`
+    model.calibrate(found.column(0).to_pylist(), found.column(1).to_pylist())
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, *, toxic_at: float = TOXIC_AT, spans: bool = False, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, and with spans the significant passages (first token, end, score, expected).
 
-    score is 0 for a text of no words, null, or without a toxic token.  Only the text is an input.  Repeated rows score alike; other
+    A text of no words, null, or without a toxic token has the least score.  Only the text is an input.  Repeated rows score alike; other
     columns are ignored unless named in keep; an empty table gives no rows; a null doc_id is not held out.
     """
     keep = keep or []
     schema = "score double" + (", passages array<struct<first:int,end:int,score:double,expected:double>>" if spans else "")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in keep if c not in ("doc_id", "text")])
-    odds, rate_other, scale, k = model.log_odds, model.other, model.scale, model.k
-
     def run(batches):
         import pyarrow as pa
 
-        own = Model({}, 0.0, rate_other)
-        own.log_odds, own.scale, own.k = odds, scale, k
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 texts = some.column(1).to_pylist()
                 columns, names = [*(c for i, c in enumerate(some.columns) if i != 1 or "text" in keep)], [n for i, n in enumerate(some.schema.names) if i != 1 or "text" in keep]
-                columns.append(pa.array([own.score(t) for t in texts], pa.float64()))
+                columns.append(pa.array([model.score(t) for t in texts], pa.float64()))
                 names.append("score")
                 if spans:
-                    found = [[dict(zip(("first", "end", "score", "expected"), p, strict=True)) for p in own.passages(t) if p[3] < 1] for t in texts]
+                    found = [[dict(zip(("first", "end", "score", "expected"), p, strict=True)) for p in model.passages(t) if p[3] < 1] for t in texts]
                     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
                     columns.append(pa.array(found, kind))
                     names.append("passages")
