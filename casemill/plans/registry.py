@@ -1,11 +1,313 @@
-"""Queries of the engine's own operators by name, with the SQL each is held against."""
+"""Queries of the engine's own operators by name, with the SQL each is held against.
+
+The driver's texts are invented words, so that domain lexicons rarely match them; queries take a lexicon of syllables that do occur, and
+tests hold the domain lexicons against literal rows.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casemill.functions import lexicons, records
+from casemill.functions import text as T
+from casemill.operators import chunking, graph, intake, predict, retrieval, stats, store
+from casemill.session import table
+from casemill.streaming import windows
+
+ASKED = ((1, "the of tion", "LON"), (2, "la de le que", "CHI"), (3, "und der die", "MAN"))
+SYLLABLES = {"north": ("tion", "ing"), "south": ("eau", "eux"), "east": ("sch", "heit"), "west": ("ción", "ado")}
+PROOF = {"letter": ("the", "les"), "photo": ("was", "des"), "receipt": ("los", "die")}
+FIRST, SECOND = ("thwh", "eauch", "ungö"), ("erstth", "ouch", "heitß")
+YEAR = 2024
+AREAS = ("LON", "CHI", "MAN", "BIR", "CAM")
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(ASKED), "query_id int, query string, query_region string")
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """documents with an invented year and region each."""
+    areas = F.array(*[F.lit(a) for a in AREAS])
+    return table(spark, d, "documents").withColumns({"year": (2005 + F.col("doc_id") % 20).cast("int"), "region": F.element_at(areas, (F.col("doc_id") % 5 + 1).cast("int"))})
+
+
+def query_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors 1 to 3 as those of the three queries."""
+    return table(spark, d, "embeddings").filter("vec_id between 1 and 3").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    """orders as case files, by rules on the key."""
+    k, start = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    kinds = F.array(*[F.lit(x) for x in ("receipts", "deposit_certificate", "correspondence")])
+    names = F.array(*[F.lit(x) for x in ("cleaning", "damage", "deposit_protection", "garden")])
+    issue, other = F.element_at(names, (k % 4 + 1).cast("int")), F.element_at(names, (k % 3 + 1).cast("int"))
+    claim = F.struct(F.when(k % 2 == 0, "tenant").otherwise("landlord").alias("party"), F.lit("1").alias("id"), other.alias("issue"), F.col("o_totalprice").alias("amount"),
+                     F.concat(F.lit("claim on "), other).alias("description"), F.when(k % 2 == 0, F.array(F.lit("e1"))).otherwise(F.array().cast("array<string>")).alias("evidence_ids"))
+    return table(spark, d, "orders").select(
+        k.alias("case_id"), F.when(k % 2 == 0, "tenant").otherwise("landlord").alias("user_role"), F.concat(F.lit("T"), "o_custkey").alias("tenant_name"),
+        F.when(k % 3 != 0, F.concat(F.lit("L"), "o_custkey")).alias("landlord_name"), F.lit(None).cast("string").alias("agent_name"),
+        F.when(k % 5 != 0, F.concat(F.lit("addr "), "o_custkey")).alias("address"), start.alias("start_date"), F.date_add(start, ((k % 4 - 1) * 180).cast("int")).alias("end_date"),
+        F.when(k % 7 != 0, F.col("o_totalprice")).alias("deposit_amount"), (k % 2 == 1).alias("deposit_protected"), F.date_add(start, (k % 60).cast("int")).alias("protection_date"),
+        F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(issue)).alias("issues"),
+        F.array(F.struct(F.lit("e1").alias("id"), F.element_at(kinds, (k % 3 + 1).cast("int")).alias("type"), F.lit("x").alias("description"))).alias("evidence"),
+        F.array(claim).alias("claims"), F.array().cast("array<struct<type:string,date:date,description:string>>").alias("events"),
+    )
+
+
+CASES_SQL = """
+c AS (SELECT o_orderkey AS k, o_custkey, o_totalprice, o_orderdate::DATE AS s, o_orderdate::DATE + CAST((o_orderkey % 4 - 1) * 180 AS INTEGER) AS e, o_orderdate::DATE + CAST(o_orderkey % 60 AS INTEGER) AS p,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE ['cleaning','damage','deposit_protection','garden'][o_orderkey % 4 + 1] END AS issue,
+  ['cleaning','damage','deposit_protection','garden'][o_orderkey % 3 + 1] AS other, ['receipts','deposit_certificate','correspondence'][o_orderkey % 3 + 1] AS kind FROM orders),
+r AS (SELECT *, issue IS NOT NULL AND (kind = 'correspondence' OR (kind = 'receipts' AND issue IN ('cleaning','damage')) OR (kind = 'deposit_certificate' AND issue = 'deposit_protection')) AS covered FROM c)
+"""
+
+
+def _replaced(sql: str, pairs, regex: bool) -> str:
+    for old, new in pairs:
+        sql = f"regexp_replace({sql}, {q(old)}, {q(new)}, 'g')" if regex else f"replace({sql}, {q(old)}, {q(new)})"
+    return sql
+
+
+def _ws(sql: str) -> str:
+    return _replaced(sql, T.WHITESPACE, True)
+
+
+ENC_SQL = _replaced("coalesce(text, '')", T.ENCODING, False)
+NOISE_SQL = lambda x: _replaced(x, [(p, " ") for p in T.NOISE], True)
+PII_SQL = lambda x: _replaced(x, [(p, m) for _, p, m in T.PII], True)
+STRIP_SQL = lambda x: f"regexp_replace({x}, {q(f'^{T.SPACE}+|{T.SPACE}+$')}, '', 'g')"
+CLEAN_SQL = STRIP_SQL(PII_SQL(_ws(NOISE_SQL(ENC_SQL))))
+TOKENS_SQL = f"list_filter(regexp_split_to_array(regexp_replace(lower(text), {q(T.NOT_TOKEN)}, ' ', 'g'), '\\s+'), lambda w: (len(w) >= 2 OR w IN ('s', 'a')) AND (NOT regexp_matches(w, '^[0-9]+$') OR len(w) = 4))"
+ASKED_SQL = "asked(query_id, query, query_region) AS (VALUES " + ", ".join(f"({i}, {q(t)}, {q(r)})" for i, t, r in ASKED) + ")"
+POSTS_SQL = f"""t AS (SELECT doc_id AS id, {TOKENS_SQL} AS w FROM documents), x AS (SELECT id, len(w) AS len, unnest(w) AS term FROM t),
+posts AS (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM x GROUP BY id, term),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+raw AS (SELECT term, count(*) AS df, ln(any_value(st.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posts, st GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+BM25_SQL = f"""{ASKED_SQL}, {POSTS_SQL}, qt AS (SELECT query_id, unnest({TOKENS_SQL.replace('lower(text)', 'lower(query)')}) AS term FROM asked),
+sc AS (SELECT query_id, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM qt JOIN posts USING (term) JOIN idf USING (term), st GROUP BY query_id, id),
+kw AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM sc WHERE score > 0 QUALIFY rank <= 40)"""
+COS_SQL = """qv AS (SELECT vec_id::INTEGER AS query_id, embedding AS q FROM embeddings WHERE vec_id BETWEEN 1 AND 3),
+cs AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, qv WHERE {where}),
+sem AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM cs QUALIFY rank <= 40)"""
+FUSE_SQL = """f AS (SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.id, k.id) AS id, coalesce(s.score, 0) AS semantic_score, coalesce(s.rank, 999) AS semantic_rank,
+  coalesce(k.score, 0) AS bm25_score, coalesce(k.rank, 999) AS bm25_rank FROM sem s FULL JOIN kw k ON s.query_id = k.query_id AND s.id = k.id),
+fu AS (SELECT *, round(0.7 / (60 + semantic_rank) + 0.3 / (60 + bm25_rank), 9) AS fused FROM f),
+fr AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, semantic_rank, bm25_rank, id))::INTEGER AS fused_rank FROM fu QUALIFY fused_rank <= 20)"""
+
+
+def _cat_sql(column: str, lexicon: dict) -> str:
+    parts = ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower({column}), {q(w)})' for w in words)} THEN {q(name)} END" for name, words in sorted(lexicon.items()))
+    return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
+
+
+JACC_SQL = lambda a, b: f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) WHEN len({a}) = 0 AND len({b}) = 0 THEN 0.5 ELSE 0.3 END"
+AGE_SQL = lambda y: f"CASE WHEN {YEAR} - {y} <= 0 THEN 1.0 WHEN {YEAR} - {y} <= 2 THEN 0.9 WHEN {YEAR} - {y} <= 5 THEN 0.7 ELSE greatest(0.3, 1.0 - 0.05 * ({YEAR} - {y})) END"
+RERANK_SQL = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, 2005 + doc_id % 20 AS year, ['LON','CHI','MAN','BIR','CAM'][doc_id % 5 + 1] AS region FROM documents),
+g AS (SELECT fr.*, year, region, query_region, {_cat_sql('query', SYLLABLES)} AS qi, {_cat_sql('text', SYLLABLES)} AS di, {_cat_sql('query', PROOF)} AS qe, {_cat_sql('text', PROOF)} AS de
+  FROM fr JOIN d ON d.doc_id = fr.id JOIN asked USING (query_id)),
+h AS (SELECT *, round(0.4 * ({JACC_SQL('qi', 'di')}) + 0.2 * ({AGE_SQL('year')}) + 0.1 * (CASE WHEN region = query_region THEN 1.0 ELSE 0.5 END)
+  + 0.2 * ({JACC_SQL('qe', 'de')}) + 0.1 * least(1.0, fused * 10), 6) AS rerank_score FROM g),
+rr AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank, id))::INTEGER AS rerank_rank FROM h QUALIFY rerank_rank <= 10)"""
+
+
+def _bm25(spark, d):
+    return retrieval.bm25(table(spark, d, "documents"), asked(spark), 40)
+
+
+def _semantic(spark, d, filters=None):
+    return retrieval.cosine_top(table(spark, d, "embeddings"), query_vectors(spark, d), 40, filters=filters)
+
+
+def _fused(spark, d):
+    return retrieval.fuse(_semantic(spark, d), _bm25(spark, d), 20)
+
+
+def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """Three queries in one plan: cosine and BM25 branches, fusion, text and metadata, re-ranking."""
+    docs = corpus(spark, d).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "year", "region")
+    rows = _fused(spark, d).join(docs, "id").join(F.broadcast(asked(spark)), "query_id")  # the stated queries
+    return retrieval.rerank(rows, 10, as_of_year=YEAR, issues=SYLLABLES, evidence=PROOF).select("query_id", "id", "rerank_score", "rerank_rank", "fused")
+
+
+def hybrid_confidence(spark, d):
+    docs = corpus(spark, d).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "year", "region")
+    rows = _fused(spark, d).join(docs, "id").join(F.broadcast(asked(spark)), "query_id")
+    return retrieval.confidence(retrieval.rerank(rows, 10, as_of_year=YEAR, issues=SYLLABLES, evidence=PROOF), asked(spark))
+
+
+CONF_SQL = """pc AS (SELECT query_id, count(*) AS n, max_by(semantic_score, -rerank_rank) AS top, max(CASE WHEN rerank_rank <= 3 THEN fused END) - min(CASE WHEN rerank_rank <= 3 THEN fused END) AS spread,
+  count(*) FILTER (semantic_score >= 0.4) AS good FROM rr GROUP BY query_id),
+cf AS (SELECT asked.query_id, coalesce(n, 0) AS n_results, top, good, n, CASE WHEN n IS NULL THEN 0.0 ELSE round(((CASE WHEN top >= 0.7 THEN 1.0 WHEN top >= 0.5 THEN 0.7 WHEN top >= 0.3 THEN 0.4 ELSE 0.2 END)
+  + (CASE WHEN n < 3 THEN 0.5 WHEN spread < 0.1 THEN 0.8 WHEN spread < 0.2 THEN 0.6 ELSE 0.4 END)
+  + (CASE WHEN good >= 4 THEN 1.0 WHEN good >= 2 THEN 0.7 WHEN good >= 1 THEN 0.4 ELSE 0.1 END)) / 3, 6) END::DOUBLE AS confidence FROM asked LEFT JOIN pc USING (query_id))
+SELECT query_id, n_results, confidence, confidence < 0.5 AS is_uncertain, CASE WHEN confidence < 0.5 THEN CASE WHEN n IS NULL THEN 'No results found' WHEN top < 0.3 THEN 'No sufficiently similar cases found'
+  WHEN good < 2 THEN 'Too few good matches' ELSE 'Low confidence in the matches' END END AS reason FROM cf"""
+
+
+def precision_at_k(spark, d):
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    own = labels.select(F.col("id").cast("int").alias("query_id"), F.col("label").alias("own"))
+    rows = _semantic(spark, d).join(labels, "id").join(own, "query_id")
+    return retrieval.precision(rows, F.col("label") == F.col("own"), 10)
+
+
+def rrf_where_both(spark, d):
+    """A filter on both branches: labels of the vectors, even documents of the texts."""
+    docs = table(spark, d, "documents").filter("doc_id % 2 = 0")
+    return retrieval.fuse(_semantic(spark, d, {"label": {"$lte": 4}}), retrieval.bm25(docs, asked(spark), 40), 20).select("query_id", "id", "fused", "fused_rank")
+
+
+def pages_text(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(records.html_text(F.col("html"))).alias("text_md5"), F.length(records.html_text(F.col("html"))).alias("n"))
+
+
+PAGE_TEXT_SQL = """regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"""
+for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    PAGE_TEXT_SQL = f"replace({PAGE_TEXT_SQL}, '{_e}', '{_c}')"
+PAGE_TEXT_SQL = f"trim(regexp_replace({PAGE_TEXT_SQL}, '\\s+', ' ', 'g'))"
+
+
+def upsert_orders(spark, d):
+    """An order's lines as versions of one record: ship date keeps its first value, the rest its last."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("seq"), F.col("l_shipdate").alias("first_seen"), F.col("l_returnflag").alias("status"), F.col("l_quantity").alias("quantity"))
+    return store.upsert(rows, "k", "seq", ["first_seen"])
+
+
+def dispute_rows(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("dispute_id"), F.when(k % 3 != 0, k * 2).alias("tenant_session_id"), F.when(k % 5 != 0, k * 2 + 1).alias("landlord_session_id"), F.col("o_orderstatus").alias("s"))
+    sessions = table(spark, d, "orders").select(F.explode(F.array(F.struct((k * 2).alias("session_id"), (k % 2 == 0).alias("is_complete")), F.struct((k * 2 + 1).alias("session_id"), (k % 4 < 3).alias("is_complete")))).alias("x")).select("x.*")
+    return rows, sessions
+
+
+def stage_fold(spark, d):
+    """Conversations with fields known by turn: a field is known from the turn whose number it has."""
+    rows = table(spark, d, "conversations").filter("role = 'user'")
+    fields = F.array(*[F.lit(x) for x in ("address", "start_date", "deposit_amount", "deposit_protected", "issues")])
+    return intake.stage_fold(rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text", F.slice(fields, 1, F.least(F.lit(5), F.col("turn").cast("int") + 1)).alias("fields")))
+
+
+def merged_events(spark, d):
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(k % 3 == 0, k).alias("score"), F.when(k % 5 == 0, F.col("event_type")).alias("kind"), F.array("event_type").alias("issues"), F.when(k % 50 == 0, F.col("event_id").cast("string")).alias("narrative"))
+    return intake.merge_extractions(rows, ["score", "kind"]).select("session_id", "score", "kind", F.array_join("issues", ",").alias("issues"), "narrative")
+
+
+def parsed_answers(spark, d):
+    """Answers made of events: a fenced JSON, a plain one, one with a wrong shape, and broken text in turn."""
+    k = F.col("event_id")
+    body = F.concat(F.lit('{"overall_outcome": "'), F.when(k % 2 == 0, "tenant_win").otherwise("split"), F.lit('", "confidence": 0.'), (k % 9 + 1).cast("string"), F.lit(', "settlement_range": [1.5, '), (k % 100).cast("string"), F.lit(".0]}"))
+    text = F.when(k % 4 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(k % 4 == 1, body).when(k % 4 == 2, '{"confidence": 0.25}').otherwise("sorry, {no")
+    rows = table(spark, d, "events").select("event_id", text.alias("answer"))
+    return predict.parse(rows).select("event_id", "outcome", "confidence", "low", "high", "is_fallback")
+
+
+def references(spark, d):
+    ref = F.concat(F.element_at(F.array(*[F.lit(a) for a in AREAS]), (F.col("p_partkey") % 5 + 1).cast("int")), F.lit("_00"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "_HMF").otherwise(""), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".html"))
+    r = records.clean_reference(ref)
+    return table(spark, d, "part").select("p_partkey", records.reference_region(r).alias("region"), records.reference_type(r).alias("type"), lexicons.code_name(records.reference_region(r), lexicons.REGIONS).alias("region_name"), lexicons.code_name(F.coalesce(records.reference_type(r), F.lit("ZZZ")), lexicons.CASE_TYPES).alias("type_name"))
+
+
+def _plain(name, build):
+    return lambda spark, d: build(table(spark, d, name))
+
+
+_CODES = lambda table_, col: f"CASE {' '.join(f'WHEN {col} = {q(k)} THEN {q(v)}' for k, v in table_.items())} ELSE 'Unknown (' || {col} || ')' END"
+
+QUERIES: dict[str, tuple] = {
+    "fix_encoding": (_plain("documents", lambda t: t.select("doc_id", F.md5(T.fix_encoding(F.coalesce("text", F.lit("")))).alias("m"))), f"SELECT doc_id, md5({ENC_SQL}) AS m FROM documents"),
+    "remove_noise": (_plain("documents", lambda t: t.select("doc_id", F.md5(T.remove_noise(F.col("text"))).alias("m"))), f"SELECT doc_id, md5({NOISE_SQL('text')}) AS m FROM documents"),
+    "normalise_whitespace": (_plain("documents", lambda t: t.select("doc_id", F.md5(T.normalise_whitespace(F.col("text"))).alias("m"))), f"SELECT doc_id, md5({_ws('text')}) AS m FROM documents"),
+    "clean_documents": (_plain("documents", lambda t: t.select("doc_id", F.md5(T.clean(F.col("text"))).alias("m"), F.length(T.clean(F.col("text"))).alias("n"))), f"SELECT doc_id, md5({CLEAN_SQL}) AS m, length({CLEAN_SQL})::INTEGER AS n FROM documents"),
+    "pii_counts": (_plain("documents", lambda t: t.groupBy("lang").agg(*[F.sum(c).alias(k) for k, c in T.pii_counts(F.coalesce("text", F.lit(""))).items()])),
+        "SELECT lang, " + ", ".join(f"sum(len(regexp_extract_all({_replaced('coalesce(text, {0})'.format(chr(39) * 2), [(p, m) for _, p, m in T.PII[:i]], True)}, {q(T.PII[i][1])})))::BIGINT AS {T.PII[i][0]}" for i in range(4)) + " FROM documents GROUP BY lang"),
+    "pii_detect": (_plain("documents", lambda t: t.select("doc_id", F.explode(T.detect_pii(F.col("text"))).alias("p")).select("doc_id", "p.kind", "p.text")),
+        " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {q(p)})) AS text FROM documents" for k, p, _ in T.PII)),
+    "citations": (_plain("documents", lambda t: t.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(T.CITATION), F.lit(0))).alias("n"))), f"SELECT doc_id, len(regexp_extract_all(text, {q(T.CITATION)}))::INTEGER AS n FROM documents"),
+    "bm25_tokens": (_plain("documents", lambda t: t.select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("m"))), f"SELECT doc_id, len({TOKENS_SQL})::INTEGER AS n, md5(array_to_string({TOKENS_SQL}, ' ')) AS m FROM documents"),
+    "bm25_postings": (_plain("documents", lambda t: retrieval.postings(t).groupBy("id").agg(F.count("*").alias("terms"), F.max("tf").alias("top_tf"))), f"WITH {POSTS_SQL} SELECT id, count(*) AS terms, max(tf) AS top_tf FROM posts GROUP BY id"),
+    "bm25_idf": (_plain("documents", lambda t: retrieval.inverse_frequencies(retrieval.postings(t), retrieval.index_stats(t)).select("term", "df", F.round("idf", 6).alias("idf"))), f"WITH {POSTS_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf"),
+    "bm25_index_stats": (_plain("documents", lambda t: retrieval.index_stats(t).withColumn("avg_tokens", F.round("avg_tokens", 4))), f"WITH {POSTS_SQL} SELECT n AS n_docs, round(avgdl, 4) AS avg_tokens, (SELECT sum(len(w))::BIGINT FROM t) AS total_tokens FROM st"),
+    "bm25_topk": (_bm25, f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM kw"),
+    "cosine_topk": (_semantic, f"WITH {COS_SQL.format(where='true')} SELECT query_id, id, score, rank FROM sem"),
+    "cosine_topk_filtered": (lambda s, d: _semantic(s, d, {"label": {"$gte": 5}}), f"WITH {COS_SQL.format(where='label >= 5')} SELECT query_id, id, score, rank FROM sem"),
+    "rrf_fusion": (_fused, f"WITH {BM25_SQL}, {COS_SQL.format(where='true')}, {FUSE_SQL} SELECT query_id, id, semantic_score, semantic_rank, bm25_score, bm25_rank, fused, fused_rank FROM fr"),
+    "rrf_where_both": (rrf_where_both, f"WITH {BM25_SQL.replace('FROM documents)', 'FROM documents WHERE doc_id % 2 = 0)')}, {COS_SQL.format(where='label <= 4')}, {FUSE_SQL} SELECT query_id, id, fused, fused_rank FROM fr"),
+    "hybrid_retrieve": (hybrid_retrieve, f"WITH {BM25_SQL}, {COS_SQL.format(where='true')}, {FUSE_SQL}, {RERANK_SQL} SELECT query_id, id, rerank_score, rerank_rank, fused FROM rr"),
+    "hybrid_confidence": (hybrid_confidence, f"WITH {BM25_SQL}, {COS_SQL.format(where='true')}, {FUSE_SQL}, {RERANK_SQL}, {CONF_SQL}"),
+    "precision_at_k": (precision_at_k, f"WITH {COS_SQL.format(where='true')} SELECT query_id, round(avg((e.label = o.label)::INTEGER), 6) AS precision FROM sem JOIN embeddings e ON e.vec_id = sem.id JOIN embeddings o ON o.vec_id = query_id WHERE rank <= 10 GROUP BY query_id"),
+    "macro_precision": (lambda s, d: precision_at_k(s, d).agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg((F.col("precision") >= 0.2).cast("int")), 6).alias("pass_rate")),
+        f"WITH {COS_SQL.format(where='true')}, p AS (SELECT query_id, round(avg((e.label = o.label)::INTEGER), 6) AS p FROM sem JOIN embeddings e ON e.vec_id = sem.id JOIN embeddings o ON o.vec_id = query_id WHERE rank <= 10 GROUP BY query_id) SELECT round(avg(p), 6) AS precision, round(avg((p >= 0.2)::INTEGER), 6) AS pass_rate FROM p"),
+    "lexicon_categories": (_plain("documents", lambda t: t.select("doc_id", F.array_join(lexicons.categories(F.col("text"), SYLLABLES), ",").alias("found"))), f"SELECT doc_id, array_to_string({_cat_sql('text', SYLLABLES)}, ',') AS found FROM documents"),
+    "keyword_hits": (_plain("documents", lambda t: t.select("doc_id", F.array_join(lexicons.keyword_hits(F.col("text"), FIRST + SECOND), ",").alias("hits"), lexicons.tier(F.col("text"), FIRST, SECOND).alias("tier"))),
+        f"SELECT doc_id, array_to_string(list_sort(list_filter([{', '.join(f'CASE WHEN contains(lower(text), {q(w)}) THEN {q(w)} END' for w in FIRST + SECOND)}], lambda x: x IS NOT NULL)), ',') AS hits, CASE WHEN {' OR '.join(f'contains(lower(text), {q(w)})' for w in FIRST)} THEN 'deposit' WHEN {' OR '.join(f'contains(lower(text), {q(w)})' for w in SECOND)} THEN 'adjacent' ELSE 'other' END AS tier FROM documents"),
+    "temporal_decay": (_plain("orders", lambda t: t.select("o_orderkey", F.round(lexicons.temporal_factor(F.year("o_orderdate"), 2000), 6).alias("factor"))), f"SELECT o_orderkey, round(({AGE_SQL('year(o_orderdate)').replace(str(YEAR), '2000')})::DOUBLE, 6) AS factor FROM orders"),
+    "sentence_split": (_plain("documents", lambda t: t.select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"), F.md5(F.array_join(T.sentences(F.col("text")), "|")).alias("m"))),
+        f"SELECT doc_id, len(s)::INTEGER AS n, md5(array_to_string(s, '|')) AS m FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '{T.SENTENCE_CUT}', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {STRIP_SQL('x')}), lambda x: x <> '') AS s FROM documents)"),
+    "token_windows": (_plain("documents", lambda t: chunking.token_windows(t, 200, 40).select("id", "window", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("m"))),
+        "WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT id, w, unnest(range(0, len(w), 160)) AS pos FROM w) SELECT id, (pos // 160)::INTEGER AS \"window\", len(w[pos + 1:pos + 200])::INTEGER AS n, md5(array_to_string(w[pos + 1:pos + 200], ' ')) AS m FROM s"),
+    "chunk_documents": (_plain("documents", lambda t: chunking.chunks(t, 200, 40).select("chunk_id", "id", "chunk_index", "section", "token_count")), None),
+    "section_islands": (_plain("pages", lambda t: chunking.sections(t.withColumn("text", F.concat(F.lit("lost\nBACKGROUND\n"), F.col("url"), F.lit("\n1. Facts\nfact "), F.col("page_id").cast("string"), F.lit("\nDecision\n \nDECISION\nlast"))), "page_id")),
+        "SELECT page_id AS id, unnest(['background', 'facts', 'decision']) AS section, unnest([1, 2, 4]) AS ord, unnest([url, 'fact ' || page_id, 'last']) AS body FROM pages"),
+    "html_title": (_plain("pages", lambda t: t.select("page_id", records.html_title(F.col("html")).alias("title"))), "SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<meta\\s+name=\"DC\\.title\"\\s+content=\"([^\"]*)\"', 1), ''), nullif(regexp_replace(trim(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')), '\\s*\\[?\\d{4}\\]?\\s*UK\\w+\\s*\\S+$', ''), ''), trim(nullif(regexp_extract(html, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1), ''))) AS title FROM pages"),
+    "html_links": (_plain("pages", lambda t: t.select("page_id", F.posexplode(records.html_links(F.col("html"))).alias("pos", "href"))), "SELECT page_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS l FROM pages)"),
+    "html_text": (pages_text, f"SELECT page_id, md5({PAGE_TEXT_SQL}) AS text_md5, length({PAGE_TEXT_SQL})::INTEGER AS n FROM pages"),
+    "html_date": (_plain("pages", lambda t: t.select("page_id", records.near_date(F.col("html")).alias("near"))), "SELECT page_id, coalesce(nullif(regexp_extract(html, '(\\d{1,2}\\s+\\w+\\s+\\d{4})', 1), ''), nullif(regexp_extract(html, '(\\d{1,2}/\\d{1,2}/\\d{4})', 1), ''), nullif(regexp_extract(html, '(\\d{4}-\\d{2}-\\d{2})', 1), '')) AS near FROM pages"),
+    "url_year": (_plain("pages", lambda t: t.select("page_id", records.year_from_path(F.col("url"), YEAR).alias("year"), records.category_from_path(F.col("url")).alias("category"))), f"SELECT page_id, coalesce(try_cast(nullif(regexp_extract(url, '(20[0-2][0-9])', 1), '') AS INTEGER), {YEAR}) AS year, CASE WHEN contains(lower(url), 'deposit') THEN 'deposit' WHEN contains(lower(url), 'adjacent') THEN 'adjacent' ELSE 'other' END AS category FROM pages"),
+    "reference_parts": (references, f"WITH r AS (SELECT p_partkey, ['LON','CHI','MAN','BIR','CAM'][p_partkey % 5 + 1] AS region, CASE WHEN p_partkey % 3 = 0 THEN 'HMF' END AS type FROM part) SELECT p_partkey, region, type, {_CODES(lexicons.REGIONS, 'region')} AS region_name, {_CODES(lexicons.CASE_TYPES, 'coalesce(type, {0}ZZZ{0})'.format(chr(39)))} AS type_name FROM r"),
+    "collection_stats": (lambda s, d: stats.rollup(corpus(s, d), "lang", "region", "year"), "WITH d AS (SELECT lang, ['LON','CHI','MAN','BIR','CAM'][doc_id % 5 + 1] AS region, (2005 + doc_id % 20)::VARCHAR AS year FROM documents), u AS (UNPIVOT d ON lang, region, year INTO NAME dimension VALUE value) SELECT dimension, value, count(*) AS n FROM u WHERE value <> '' GROUP BY ALL"),
+    "share_by_status": (_plain("orders", lambda t: stats.share(t, "o_orderstatus")), "SELECT o_orderstatus, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2)::DOUBLE AS pct, repeat('#', floor(count(*) * 100.0 / sum(count(*)) OVER () / 3)::INTEGER) AS bar FROM orders GROUP BY o_orderstatus"),
+    "top10_types": (_plain("part", lambda t: stats.most_common(t, "p_type")), "SELECT p_type, count(*) AS n FROM part WHERE p_type IS NOT NULL GROUP BY p_type ORDER BY n DESC, p_type LIMIT 10"),
+    "status_rates": (_plain("orders", lambda t: t.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done")).withColumn("rate", stats.rate(F.col("done"), F.col("total")))),
+        "SELECT year(o_orderdate)::INTEGER AS year, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, round(count(*) FILTER (o_orderstatus = 'F') * 100.0 / count(*), 2)::DOUBLE AS rate FROM orders GROUP BY ALL"),
+    "master_index": (_plain("part", lambda t: t.groupBy("p_brand").agg(F.md5(F.array_join(F.array_sort(F.collect_set("p_name")), ",")).alias("m"))), "SELECT p_brand, md5(array_to_string(list_sort(list(DISTINCT p_name)), ',')) AS m FROM part GROUP BY p_brand"),
+    "skip_existing": (lambda s, d: store.unseen(table(s, d, "documents").select("doc_id", "n_chars"), table(s, d, "labels"), "doc_id"), "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
+    "index_difference": (lambda s, d: store.difference(table(s, d, "documents"), table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id"), "SELECT doc_id, 'left_only' AS side FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'right_only' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)"),
+    "upsert_latest": (upsert_orders, "WITH l AS (SELECT l_orderkey AS k, l_shipdate, l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_shipdate, l_returnflag, l_quantity) AS up, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey DESC, l_shipdate DESC, l_returnflag DESC, l_quantity DESC) AS down FROM lineitem) SELECT k, max(l_shipdate) FILTER (up = 1) AS first_seen, max(l_returnflag) FILTER (down = 1) AS status, max(l_quantity) FILTER (down = 1) AS quantity FROM l GROUP BY k"),
+    "pending_cases": (_plain("orders", lambda t: t.filter(~F.col("o_orderstatus").isin("F")).select(F.year("o_orderdate").alias("year"), "o_orderkey").orderBy(F.desc("year"), "o_orderkey")), "SELECT year(o_orderdate)::INTEGER AS year, o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F') ORDER BY 1 DESC, 2"),
+    "first_wins": (lambda s, d: store.first_wins(table(s, d, "labels").select(F.col("doc_id").alias("k"), F.col("quality").alias("v")), table(s, d, "embeddings").select(F.col("vec_id").alias("k"), F.col("label").alias("v")), key="k"),
+        "WITH u AS (SELECT doc_id AS k, quality AS v, 0 AS p FROM labels UNION ALL SELECT vec_id, label, 1 FROM embeddings) SELECT k, v FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY p, v) = 1"),
+    "quarantine": (lambda s, d: store.quarantine(table(s, d, "documents").select("doc_id", "n_chars", "lang"), {"long_enough": F.col("n_chars") >= 200, "known_language": F.col("lang").isin("en", "fr")})[1].select("doc_id", F.array_join("failed_rules", ",").alias("rules")),
+        "SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 200 THEN 'long_enough' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'known_language' END) AS rules FROM documents WHERE n_chars < 200 OR lang NOT IN ('en', 'fr')"),
+    "graph_nodes": (lambda s, d: graph.nodes(cases(s, d)).groupBy("case_id", "node_type").agg(F.count("*").alias("n")),
+        f"WITH {CASES_SQL} SELECT * FROM (SELECT k AS case_id, unnest(['party', 'property', 'lease', 'evidence', 'issue', 'claimed_amount', 'event']) AS node_type, unnest([2, (k % 5 <> 0)::BIGINT, 1, 1, (issue IS NOT NULL)::BIGINT, 1, 3]) AS n FROM c) WHERE n > 0"),
+    "graph_edges": (lambda s, d: graph.edges(cases(s, d)).groupBy("case_id", "edge_type").agg(F.count("*").alias("n")),
+        f"WITH {CASES_SQL} SELECT * FROM (SELECT k AS case_id, unnest(['PARTY_OWNS', 'PARTY_RENTS', 'LEASE_FOR', 'PARTY_CLAIMS', 'CLAIM_RELATES_TO', 'EVIDENCE_RELATES_TO', 'EVIDENCE_SUPPORTS', 'EVENT_BEFORE']) AS edge_type, unnest([(k % 5 <> 0)::BIGINT, (k % 5 <> 0)::BIGINT, (k % 5 <> 0)::BIGINT, 1, coalesce(issue = other, false)::BIGINT, covered::BIGINT, (k % 2 = 0)::BIGINT, 2]) AS n FROM r) WHERE n > 0"),
+    "event_order": (lambda s, d: graph.edges(cases(s, d)).filter("edge_type = 'EVENT_BEFORE'").select("case_id", "src", "dst"),
+        f"WITH {CASES_SQL}, e AS (SELECT k, unnest(['event_tenancy_start', 'event_tenancy_end', 'event_deposit_protected']) AS id, unnest([s, e, p]) AS day FROM c) SELECT * FROM (SELECT k AS case_id, id AS src, lead(id) OVER (PARTITION BY k ORDER BY day, id) AS dst FROM e) WHERE dst IS NOT NULL"),
+    "validation_rules": (lambda s, d: graph.validate(cases(s, d)).select("case_id", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"), "is_consistent"),
+        f"WITH {CASES_SQL} SELECT k AS case_id, CASE WHEN e < s THEN 'Tenancy ends before it starts' ELSE '' END AS errors, concat_ws('; ', CASE WHEN p - s > 30 THEN 'Deposit protected ' || (p - s) || ' days after start' END, CASE WHEN coalesce(issue = 'deposit_protection', false) AND k % 2 = 1 AND p - s <= 30 THEN 'Protection is disputed but was in time' END, CASE WHEN issue IS NOT NULL AND NOT covered THEN 'Issues without evidence: ' || issue END, CASE WHEN k % 2 = 1 AND NOT coalesce(issue = other, false) THEN 'Claims without support' END, CASE WHEN issue IS NULL THEN 'No issues' END) AS warnings, NOT (e < s) AS is_consistent FROM r"),
+    "readiness": (lambda s, d: intake.readiness(cases(s, d)).withColumn("missing", F.array_join("missing", ",")),
+        f"WITH {CASES_SQL}, m AS (SELECT k, concat_ws(',', CASE WHEN k % 5 = 0 THEN 'property address' END, CASE WHEN k % 7 = 0 THEN 'deposit amount' END, CASE WHEN issue IS NULL THEN 'dispute issues' END) AS missing, (k % 5 = 0)::INTEGER + (k % 7 = 0)::INTEGER + (issue IS NULL)::INTEGER AS n FROM c) SELECT k AS case_id, missing, n = 0 AS is_ready, round(1 - n / 5.0, 2)::DOUBLE AS completeness, CASE WHEN n = 0 THEN 'Review case and generate prediction' ELSE 'Complete required info: ' || replace(missing, ',', ', ') END AS next_action FROM m"),
+    "dispute_status": (lambda s, d: intake.dispute_status(*dispute_rows(s, d)), "SELECT o_orderkey AS dispute_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN 'waiting_for_tenant' WHEN o_orderkey % 3 = 0 THEN 'waiting_for_tenant' WHEN o_orderkey % 5 = 0 THEN 'waiting_for_landlord' WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 < 3 THEN 'both_complete' ELSE 'in_progress' END AS status FROM orders"),
+    "invites": (lambda s, d: dispute_rows(s, d)[0].select("dispute_id", intake.invite_code(F.col("dispute_id")).alias("code"), intake.open_role().alias("role")), "SELECT o_orderkey AS dispute_id, upper(substring(sha256(o_orderkey::VARCHAR), 1, 8)) AS code, CASE WHEN o_orderkey % 3 = 0 THEN 'tenant' WHEN o_orderkey % 5 = 0 THEN 'landlord' ELSE 'both_joined' END AS role FROM orders"),
+    "stage_fold": (stage_fold, None),
+    "merge_extractions": (merged_events, "WITH e AS (SELECT user_id, event_id, event_type, (props->>'$.k')::INTEGER AS k FROM events) SELECT user_id AS session_id, max_by(CASE WHEN k % 3 = 0 THEN k END, event_id) FILTER (k % 3 = 0) AS score, max_by(event_type, event_id) FILTER (k % 5 = 0) AS kind, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS issues, coalesce(string_agg(event_id::VARCHAR, chr(10) ORDER BY event_id) FILTER (k % 50 = 0), '') AS narrative FROM e GROUP BY user_id"),
+    "parse_predictions": (parsed_answers, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tenant_favored' WHEN 1 THEN 'split' ELSE 'uncertain' END AS outcome, CASE event_id % 4 WHEN 2 THEN 0.25 WHEN 3 THEN 0.3 ELSE (event_id % 9 + 1) / 10.0 END::DOUBLE AS confidence, CASE WHEN event_id % 4 < 2 THEN 1.5 END::DOUBLE AS low, CASE WHEN event_id % 4 < 2 THEN event_id % 100 END::DOUBLE AS high, event_id % 4 = 3 AS is_fallback FROM events"),
+    "abstain_gate": (lambda s, d: hybrid_confidence(s, d).select("query_id", retrieval.abstain(F.col("confidence"), F.col("is_uncertain"), F.col("n_results")).alias("gate")), f"WITH {BM25_SQL}, {COS_SQL.format(where='true')}, {FUSE_SQL}, {RERANK_SQL}, fin AS (WITH {CONF_SQL}) SELECT query_id, CASE WHEN is_uncertain THEN 'abstain_confidence' WHEN n_results < 3 THEN 'abstain_cases' ELSE 'proceed' END AS gate FROM fin"),
+    "context_blocks": (lambda s, d: predict.context(_bm25(s, d).filter("rank <= 3").join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id"), size=100),
+        f"WITH {BM25_SQL} SELECT query_id, string_agg('[' || rank || '] ' || id || ': ' || substring(text, 1, 100) || '...', chr(10) || chr(10) ORDER BY rank) AS context FROM kw JOIN documents ON doc_id = id WHERE rank <= 3 GROUP BY query_id"),
+    "formatters": (_plain("labels", lambda t: t.select("doc_id", T.confidence_band(F.col("doc_id") % 10 / 10).alias("band"), T.percentage(F.col("doc_id") % 200 / 200).alias("pct"), T.issue_title(F.concat(F.lit("fair_wear_"), F.col("quality").cast("string"))).alias("title"), T.outcome_label(F.when(F.col("toxic") == 1, "split").otherwise("tenant_win")).alias("outcome"))),
+        "SELECT doc_id, CASE WHEN doc_id % 10 >= 8 THEN 'High' WHEN doc_id % 10 >= 6 THEN 'Medium' WHEN doc_id % 10 >= 4 THEN 'Low' ELSE 'Very Low' END AS band, floor(doc_id % 200 / 200.0 * 100 + 0.5)::INTEGER || '%' AS pct, 'Fair Wear ' || quality AS title, CASE WHEN toxic = 1 THEN 'Likely Split Decision' ELSE 'Tenant Likely to Win' END AS outcome FROM labels"),
+    "evidence_types": (_plain("pages", lambda t: t.select("page_id", lexicons.evidence_type(F.concat_ws(" ", "url", records.html_title(F.col("html")))).alias("kind"))), None),
+    "event_tumbling": (_plain("events", windows.tumbling), "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
+    "event_sliding": (_plain("events", windows.sliding), "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 minute, ts), time_bucket(INTERVAL 30 minute, ts) - INTERVAL 30 minute]) AS start FROM events) GROUP BY start"),
+    "event_sessions": (_plain("events", windows.sessions), "WITH m AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 minute, true)::INTEGER AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 minute AS \"end\", count(*) AS n FROM g GROUP BY user_id, g"),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: build for name, (build, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
