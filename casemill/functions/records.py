@@ -93,7 +93,7 @@ def parse_date(text: Column) -> Column:
 
 def fenced_json(text: Column) -> Column:
     """The JSON of an answer: in a ```json fence, in a plain fence, or the text itself."""
-    return F.trim(F.coalesce(_found(text, r"(?s)```json\s*(.*?)```"), _found(text, r"(?s)```\s*(.*?)```"), text))
+    return F.regexp_replace(F.coalesce(_found(text, r"(?s)```json\s*(.*?)```"), _found(text, r"(?s)```\s*(.*?)```"), text), r"^\s+|\s+$", "")
 
 
 def unwrap(json: Column, field: str) -> Column:
