@@ -252,4 +252,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
     folder = scratch(spark, "media")
     write_archives(docs, folder)
     rows = describe(read_media(spark, folder))
-    return rows.filter(F.when(F.col("error").isNull(), True).otherwise(F.raise_error("error").cast("boolean"))).drop("error")
+    return rows.filter(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.col("error")).cast("boolean"))).drop("error")
