@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import groups, written
+from casemill.llm.shared import groups, hash_sample, written
 
 SAMPLE = 16_384
 CENTROIDS = 16
@@ -133,7 +133,7 @@ def nearest(
     twins = Window.partitionBy("v").orderBy("id")
     index = written(rows.withColumn("r", F.row_number().over(twins)).filter(F.col("r") <= k + 1).drop("r"), "index")
     queries = rows.filter(F.col("id") % every == 0)
-    some = index.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
+    some = hash_sample(index, "id", sample).select("v").toPandas()["v"]
     if not len(some):
         return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     book, eta = fit(np.stack(some.to_list()).astype(float))

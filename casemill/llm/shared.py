@@ -42,6 +42,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, those of least key hash.
+
+    A share of the hash range that holds about twice as many is cut out first, so that no task meets the best of every partition.
+    """
+    from pyspark.sql import functions as F
+
+    n = rows.count()
+    if n > 4 * most:
+        rows = rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * 2 * most / n))
+    return rows.orderBy(F.xxhash64(key), key).limit(most)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI."""
     from pyarrow import fs
@@ -89,3 +102,28 @@ def groups(batches, keys: int):
         last = tuple(c[-1] for c in cols)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def blocks(batches, size: int):
+    """Tables of whole runs of equal values in the first (integer) column, from batches sorted by it, cut once they pass `size` bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    held_bytes = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes < size:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield table.slice(0, cut)
+        rest = table.slice(cut).combine_chunks()
+        held, held_bytes = rest.to_batches(), rest.nbytes
+    if held:
+        yield pa.Table.from_batches(held)

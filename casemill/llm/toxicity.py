@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import written
+from casemill.llm.shared import hash_sample, written
 
 #: Labelled rows that are learned from, at most; those of least hash.
 SAMPLE = 30_000
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: fl
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     usable = usable.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # bounded by `sample`
+    chosen = hash_sample(usable, "doc_id", sample).collect()  # bounded by `sample`
     if not chosen:
         return Model({}, 0.0, -0.1)
     few = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "id long, toxic int")
