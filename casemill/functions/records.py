@@ -103,3 +103,23 @@ def unwrap(json: Column, field: str) -> Column:
 
 def unwrap_confidence(json: Column, field: str) -> Column:
     return F.coalesce(F.get_json_object(json, f"$.{field}.confidence").cast("double"), F.when(F.get_json_object(json, f"$.{field}").isNotNull(), 1.0))
+
+
+def year_list(spec: Column) -> Column:
+    """The years of `2020-2025`, `2020,2022` or a mix with blanks, distinct and latest first."""
+    parts = F.filter(F.split(spec, r"[,\s]+"), lambda p: p.rlike(r"^\d{4}(-\d{4})?$"))
+    spans = F.transform(parts, lambda p: F.sequence(F.substring(p, 1, 4).cast("int"), F.right(p, F.lit(4)).cast("int")))
+    return F.sort_array(F.array_distinct(F.flatten(spans)), asc=False)
+
+
+def index_url(base: Column, path: Column, year: Column) -> Column:
+    return F.concat(base, path, year.cast("string"), F.lit("/"))
+
+
+def case_url(base: Column, path: Column, year: Column, ref: Column, kind: str = "html") -> Column:
+    return F.concat(index_url(base, path, year), ref, F.lit(f".{kind}"))
+
+
+def download_status(has_html: Column, has_pdf: Column, dry_run: Column) -> Column:
+    """complete with both files, html_downloaded or pdf_downloaded with one, failed with none; pending in a dry run."""
+    return F.when(dry_run, "pending").when(has_html & has_pdf, "complete").when(has_html, "html_downloaded").when(has_pdf, "pdf_downloaded").otherwise("failed")

@@ -92,3 +92,33 @@ def dispute_status(disputes: DataFrame, sessions: DataFrame) -> DataFrame:
     per = joined.groupBy("dispute_id").agg(F.count("session_id").alias("n"), F.bool_and(F.coalesce("is_complete", F.lit(False))).alias("done"), F.max(F.when(F.col("session_id").isNull(), F.col("side"))).alias("absent"))
     status = F.when(F.col("n") < 2, F.concat(F.lit("waiting_for_"), F.col("absent"))).when(F.col("done"), "both_complete").otherwise("in_progress")
     return per.select("dispute_id", status.alias("status"))
+
+
+def case_summary() -> Column:
+    """Lines of what is known of a case row."""
+    from casemill.operators.predict import lines
+
+    return lines(role=F.col("user_role"), property=F.col("address"), tenancy_start=F.col("start_date"), deposit=F.col("deposit_amount"), protected=F.col("deposit_protected"), issues=F.when(F.size("issues") > 0, F.array_join("issues", ", ")))
+
+
+def create_disputes(requests: DataFrame, taken: DataFrame) -> DataFrame:
+    """(dispute_id, code, tenant_session_id, landlord_session_id, status) of requests (dispute_id, session_id, role); codes in use (code) are refused."""
+    rows = requests.withColumn("code", invite_code(F.col("dispute_id"))).join(taken.select("code").distinct(), "code", "left_anti")
+    slot = lambda role: F.when(F.col("role") == role, F.col("session_id"))
+    status = F.when(F.col("role") == "tenant", "waiting_for_landlord").otherwise("waiting_for_tenant")
+    return rows.select("dispute_id", "code", slot("tenant").alias("tenant_session_id"), slot("landlord").alias("landlord_session_id"), status.alias("status"))
+
+
+def join_disputes(disputes: DataFrame, requests: DataFrame) -> DataFrame:
+    """disputes after requests (code, session_id, role): a free slot is filled, a taken one is left; codes are compared upper-case and trimmed."""
+    asked = requests.select(F.upper(F.trim("code")).alias("c"), F.col("session_id").alias("_s"), F.col("role").alias("_r"))
+    rows = disputes.join(asked, disputes.code == asked.c, "left")
+    fill = lambda role: F.coalesce(F.col(f"{role}_session_id"), F.when(F.col("_r") == role, F.col("_s")))
+    return rows.select("dispute_id", "code", fill("tenant").alias("tenant_session_id"), fill("landlord").alias("landlord_session_id"))
+
+
+def sync_disputes(disputes: DataFrame, cases: DataFrame, shared: tuple[str, ...] = ("property_address", "deposit_amount")) -> DataFrame:
+    """disputes with shared fields that are still null taken from cases (dispute_id and the fields, a row a dispute)."""
+    new = cases.select(F.col("dispute_id").alias("_d"), *[F.col(c).alias(f"_{c}") for c in shared])
+    rows = disputes.join(new, disputes.dispute_id == new["_d"], "left")
+    return rows.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in shared else F.col(c) for c in disputes.columns])

@@ -55,3 +55,12 @@ def quarantine(rows: DataFrame, rules: dict) -> tuple[DataFrame, DataFrame]:
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
     marked = rows.withColumn("failed_rules", failed)
     return marked.filter(F.size("failed_rules") == 0).drop("failed_rules"), marked.filter(F.size("failed_rules") > 0)
+
+
+def save_json(rows: DataFrame, path: str, key: str) -> None:
+    """One folder a key, replaced whole; other keys' folders stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
+
+
+def load_json(spark, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import lexicons, records
 from casemill.functions import text as T
-from casemill.operators import chunking, graph, intake, predict, retrieval, stats, store
+from casemill.operators import chunking, embed, graph, intake, predict, retrieval, stats, store
 from casemill.session import table
 from casemill.streaming import windows
 
@@ -299,6 +299,17 @@ QUERIES: dict[str, tuple] = {
     "formatters": (_plain("labels", lambda t: t.select("doc_id", T.confidence_band(F.col("doc_id") % 10 / 10).alias("band"), T.percentage(F.col("doc_id") % 200 / 200).alias("pct"), T.issue_title(F.concat(F.lit("fair_wear_"), F.col("quality").cast("string"))).alias("title"), T.outcome_label(F.when(F.col("toxic") == 1, "split").otherwise("tenant_win")).alias("outcome"))),
         "SELECT doc_id, CASE WHEN doc_id % 10 >= 8 THEN 'High' WHEN doc_id % 10 >= 6 THEN 'Medium' WHEN doc_id % 10 >= 4 THEN 'Low' ELSE 'Very Low' END AS band, floor(doc_id % 200 / 200.0 * 100 + 0.5)::INTEGER || '%' AS pct, 'Fair Wear ' || quality AS title, CASE WHEN toxic = 1 THEN 'Likely Split Decision' ELSE 'Tenant Likely to Win' END AS outcome FROM labels"),
     "evidence_types": (_plain("pages", lambda t: t.select("page_id", lexicons.evidence_type(F.concat_ws(" ", "url", records.html_title(F.col("html")))).alias("kind"))), None),
+    "embed_documents": (_plain("documents", lambda t: embed.embed(t, embed.HashedWords(16), "doc_id", "text").select("id", F.round(retrieval.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))), "SELECT doc_id AS id, CASE WHEN len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents"),
+    "embedding_cost": (_plain("documents", lambda t: t.groupBy("lang").agg(F.sum(T.token_count(F.col("text"))).alias("tokens")).select("lang", "tokens", embed.model_cost(F.col("tokens"), F.lit("text-embedding-3-large")).alias("cost"))),
+        "SELECT lang, sum(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')))::BIGINT AS tokens, round(sum(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'))) / 1e6 * 0.13, 8) AS cost FROM documents GROUP BY lang"),
+    "case_summaries": (lambda s, d: cases(s, d).select("case_id", F.regexp_replace(intake.case_summary(), "Deposit: [^\n]*\n", "").alias("summary")),
+        f"WITH {CASES_SQL} SELECT k AS case_id, concat_ws(chr(10), 'Role: ' || CASE WHEN k % 2 = 0 THEN 'tenant' ELSE 'landlord' END, CASE WHEN k % 5 <> 0 THEN 'Property: addr ' || o_custkey END, 'Tenancy start: ' || s, 'Protected: ' || (k % 2 = 1)::VARCHAR, CASE WHEN issue IS NOT NULL THEN 'Issues: ' || issue END) AS summary FROM c"),
+    "join_disputes": (lambda s, d: intake.join_disputes(dispute_rows(s, d)[0].withColumn("code", intake.invite_code(F.col("dispute_id"))), table(s, d, "orders").filter("o_orderkey % 2 = 0").select(F.concat(F.lit(" "), F.lower(intake.invite_code(F.col("o_orderkey")))).alias("code"), (F.col("o_orderkey") + 7).alias("session_id"), F.lit("tenant").alias("role"))).select("dispute_id", "tenant_session_id", "landlord_session_id"),
+        "SELECT o_orderkey AS dispute_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 2 WHEN o_orderkey % 2 = 0 THEN o_orderkey + 7 END AS tenant_session_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 2 + 1 END AS landlord_session_id FROM orders"),
+    "download_status": (_plain("lineitem", lambda t: t.groupBy(records.download_status(F.col("l_partkey") % 2 == 0, F.col("l_partkey") % 3 == 0, F.col("l_partkey") % 7 == 0).alias("status")).agg(F.count("*").alias("n"))),
+        "SELECT CASE WHEN l_partkey % 7 = 0 THEN 'pending' WHEN l_partkey % 6 = 0 THEN 'complete' WHEN l_partkey % 2 = 0 THEN 'html_downloaded' WHEN l_partkey % 3 = 0 THEN 'pdf_downloaded' ELSE 'failed' END AS status, count(*) AS n FROM lineitem GROUP BY 1"),
+    "year_lists": (_plain("part", lambda t: t.select("p_partkey", F.array_join(records.year_list(F.concat((2010 + F.col("p_size") % 5).cast("string"), F.lit("-2016, 2020 2010"))), ",").alias("years"))),
+        "SELECT p_partkey, array_to_string(list_reverse_sort(list_distinct(list_concat(range(2010 + p_size % 5, 2017), [2020, 2010]))), ',') AS years FROM part"),
     "event_tumbling": (_plain("events", windows.tumbling), "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "event_sliding": (_plain("events", windows.sliding), "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 minute, ts), time_bucket(INTERVAL 30 minute, ts) - INTERVAL 30 minute]) AS start FROM events) GROUP BY start"),
     "event_sessions": (_plain("events", windows.sessions), "WITH m AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 minute, true)::INTEGER AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 minute AS \"end\", count(*) AS n FROM g GROUP BY user_id, g"),
