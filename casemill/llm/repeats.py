@@ -7,7 +7,8 @@ same one.  Only places where that can be so come to the suffix order:
    a function of its content, so equal windows lie in runs of one key, wherever they are.
 2. Runs of equal content are settled at once: all but the first are repeats.  Blocks of a task settle their own first, so a
    passage that a third of all documents share reaches the shuffle once a block, not once a document.
-3. What is left of a key with several different contents (the ends of copies, where texts part) goes to one block: the
+3. What is left of a key with several different contents (the ends of copies, where texts part) goes to one block.  Each is cut to
+   what it can share with another, equal ones are settled, and of the rest the
    Burrows-Wheeler transform and the common prefixes of these short strings are built column by column, and wherever `width`
    bytes are shared all but the first window are repeats.  A key with very many contents is split by window instead; equal windows
    still meet.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm import bcr
-from casemill.llm.shared import filesystem, groups, put_whole, scratch, written
+from casemill.llm.shared import blocks, filesystem, groups, put_whole, scratch, written
 from casemill.llm.shingles import mix
 
 WIDTH, GRAM = 100, 20
@@ -39,6 +40,7 @@ ORDER_SYMBOLS = 1 << 20
 #: Different contents of one key beyond which the key is split by window.
 HOT_CONTENTS = 2048
 LAST = np.int64((1 << 63) - 1)
+COUNT = 0xFFFF
 _BITS = 21
 _bases: list[np.ndarray] = []
 
@@ -56,7 +58,10 @@ def _powers() -> list[np.ndarray]:
 
 
 def runs(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, key, content) of all runs of texts of at most 2 * SPAN bytes in all; texts of under width bytes have none."""
+    """(text, start, windows, key, content) of all runs of texts of at most 2 * SPAN bytes in all; texts of under width bytes have none.
+
+    windows also carries where in the run its key begins, 16 bits up.
+    """
     power, inverse, value = _powers()
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -86,7 +91,7 @@ def runs(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.n
     count = np.diff(np.append(head, len(inside)))
     content = mix(((total[start + count + width - 1] - total[start]) * inverse[start]) ^ count.astype(np.uint64))
     of = text[start]
-    return of, start - (ends - sizes)[of], count, hashes[least[start]].view(np.int64), content.view(np.int64)
+    return of, start - (ends - sizes)[of], count | (least[start] - start) << 16, hashes[least[start]].view(np.int64), content.view(np.int64)
 
 
 def _text_runs(texts: list[bytes], width: int, gram: int):
@@ -145,7 +150,7 @@ def scan_runs(docs: DataFrame, folder: str, width: int, gram: int) -> DataFrame:
             of, start, n, key, content = map(np.concatenate, zip(*found, strict=True))
             doc = np.array([LAST if i is None else i for i in ids], np.int64)[of]
             late = _settle(doc, start, key, content)
-            settled.append(np.stack([of[late] + base, start[late], n[late]], 1))
+            settled.append(np.stack([of[late] + base, start[late], n[late] & COUNT], 1))
             keep = ~late
             at = (of + base)[keep] | (part << 32)
             made = [key[keep], content[keep], doc[keep], start[keep], n[keep], at]
@@ -202,7 +207,7 @@ def _match(batches):
         s0 = np.where(lead < 0, last[3] if last else 0, start[lead])
         late = ~new & ((doc > d0) | (start > s0))
         if late.any():
-            yield rows(0, key[late], doc[late], start[late], n[late], at[late])
+            yield rows(0, key[late], doc[late], start[late], n[late] & COUNT, at[late])
         of = np.cumsum(new_key) - (0 if same else 1)
         several = np.zeros(of[-1] + 1, bool)
         several[of[new & ~new_key]] = True
@@ -242,7 +247,7 @@ def _read_part(fs, root: str, part: int):
 
 
 def _with_strings(found: DataFrame, folder: str, tasks: int, width: int, hot: int) -> DataFrame:
-    """key, doc, start, n, at, bytes of the runs that are left; hot keys come window by window, under the window's own hash."""
+    """key, doc, start, anchor (where the key is in the bytes), at, bytes of the runs that are left; hot keys come window by window, under the window's own hash."""
     left = found.filter("kind = 1").drop("kind")
     busy = left.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("hot")).repartition("hot", "key")
     left = left.join(busy, "key", "left").select(F.shiftright("at", 32).alias("part"), "at", "start", "key", "doc", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
@@ -252,7 +257,7 @@ def _with_strings(found: DataFrame, folder: str, tasks: int, width: int, hot: in
         import pyarrow as pa
 
         fs, root = filesystem(folder)
-        names = ["key", "doc", "start", "n", "at", "bytes"]
+        names = ["key", "doc", "start", "anchor", "at", "bytes"]
         for t in groups(batches, 1):
             at, start, key, doc, n, is_hot = (t.column(k).to_numpy() for k in range(1, 7))
             row = at & 0xFFFFFFFF
@@ -264,21 +269,57 @@ def _with_strings(found: DataFrame, folder: str, tasks: int, width: int, hot: in
                     if row[i] != was:
                         was = row[i]
                         text = (texts[int(was - first)].as_py() or "").encode()
-                    s = int(start[i])
+                    s, count = int(start[i]), int(n[i]) & COUNT
                     if not is_hot[i]:
-                        out.append((key[i], doc[i], s, n[i], at[i], text[s : s + int(n[i]) + width - 1]))
+                        out.append((key[i], doc[i], s, n[i] >> 16, at[i], text[s : s + count + width - 1]))
                     else:
-                        for w in range(s, s + int(n[i])):
+                        for w in range(s, s + count):
                             data = text[w : w + width]
-                            out.append((int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True), doc[i], w, 1, at[i], data))
+                            out.append((int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True), doc[i], w, 0, at[i], data))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names)
 
-    return left.mapInArrow(run, "key long, doc long, start long, n long, at long, bytes binary")
+    return left.mapInArrow(run, "key long, doc long, start long, anchor long, at long, bytes binary")
+
+
+def _shared(key: np.ndarray, context: list[bytes]) -> np.ndarray:
+    """How far each context agrees at most with another one of its key: with a neighbour in order."""
+    sizes = np.array([len(c) for c in context])
+    width = max(1, int(sizes.max(initial=0)))
+    padded = np.array(context, f"S{width}")
+    o = np.lexsort((padded, key))
+    table = padded[o].view(np.uint8).reshape(-1, width)
+    equal = table[1:] == table[:-1]
+    size = np.minimum(sizes[o][1:], sizes[o][:-1])
+    common = np.where(equal.all(1), width, equal.argmin(1))
+    common = np.where(key[o][1:] == key[o][:-1], np.minimum(common, size), 0)
+    best = np.zeros(len(key), np.int64)
+    best[:-1] = common
+    best[1:] = np.maximum(best[1:], common)
+    out = np.empty_like(best)
+    out[o] = best
+    return out
+
+
+def _trim(key: np.ndarray, anchor: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the part of each string that can be in a shared window.
+
+    Windows of one key hold it at one place, so a shared window reaches no further to either side than the string agrees with
+    another one of its key.  A zero byte could be taken for padding; strings of a block that has one stay whole.
+    """
+    sizes = np.array([len(s) for s in strings])
+    if any(b"\0" in s for s in strings):
+        return np.zeros_like(sizes), sizes
+    left = _shared(key, [s[:a][::-1] for s, a in zip(strings, anchor.tolist(), strict=True)])
+    right = _shared(key, [s[a:] for s, a in zip(strings, anchor.tolist(), strict=True)])
+    return anchor - left, anchor + right
 
 
 def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFrame:
-    """at, start, n: repeats among strings of one key, by blocks of whole keys."""
+    """at, start, n: repeats among strings of one key, by blocks of whole keys.
+
+    Strings are cut to what can be shared, equal ones are settled, and the keys that still have several go to the suffix order.
+    """
 
     def run(batches):
         import uuid
@@ -288,29 +329,53 @@ def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFra
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
 
-        def order(tables):
-            t = pa.concat_tables(tables)
-            doc, start, at = (t.column(k).to_numpy() for k in (1, 2, 4))
-            files = bcr.Files(fs, f"{root}/{uuid.uuid4().hex}")
-            s, offset = bcr.repeated(t.column(5).to_pylist(), doc, start, width, files)
-            where, at = start[s] + offset, at[s]
+        def marks(at, where):
             o = np.lexsort((where, at))
             where, at = where[o], at[o]
-            if not len(o):
-                return
             new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (where[1:] > where[:-1] + 1))))
             last = np.append(new[1:], len(o)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(where[new]), pa.array(where[last] - where[new] + 1)], ["at", "start", "n"])
-
-        held, size = [], 0
-        for t in groups(batches, 1):
-            held.append(t)
-            size += t.column(5).nbytes
-            if size >= ORDER_SYMBOLS:
-                yield from order(held)
-                held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(where[new]), pa.array(where[last] - where[new] + 1)], ["at", "start", "n"])
+
+        held: list = []
+        symbols = 0
+
+        def order():
+            doc, start, at = (np.array([r[k] for r in held]) for k in (0, 1, 2))
+            s, offset = bcr.repeated([r[3] for r in held], doc, start, width, bcr.Files(fs, f"{root}/{uuid.uuid4().hex}"))
+            if len(s):
+                yield marks(at[s], start[s] + offset)
+
+        for t in blocks(batches, 4 * ORDER_SYMBOLS):
+            key, doc, start, anchor, at = (t.column(k).to_numpy() for k in range(5))
+            texts = t.column(5).to_pylist()
+            begin, end = _trim(key, anchor, texts, width)
+            first: dict = {}
+            late = []
+            for i in np.flatnonzero(end - begin >= width).tolist():
+                where = (doc[i], start[i] + begin[i])
+                data = texts[i][begin[i] : end[i]]
+                group = first.setdefault(key[i], {})
+                lead = group.setdefault(data, [])
+                if not lead or where == (lead[0][0], lead[0][1]):
+                    lead.append((*where, at[i], data))
+                elif where < (lead[0][0], lead[0][1]):
+                    late.extend((a, s, len(data)) for _, s, a, _ in lead)
+                    group[data] = [(*where, at[i], data)]
+                else:
+                    late.append((at[i], where[1], len(data)))
+            if late:
+                a, s, n = map(np.array, zip(*late, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(n - width + 1)], ["at", "start", "n"])
+            for group in first.values():
+                if len(group) > 1:
+                    for lead in group.values():
+                        held.extend(lead)
+                        symbols += sum(len(r[3]) for r in lead)
+                if symbols >= ORDER_SYMBOLS:
+                    yield from order()
+                    held, symbols = [], 0
         if held:
-            yield from order(held)
+            yield from order()
 
     return strings.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, "at long, start long, n long")
 
