@@ -12,11 +12,12 @@ import os
 import shutil
 import tempfile
 import uuid
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,7 +32,29 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """The URI of a new folder in the shared place; it is made by the first write."""
-    return f"{shared_root(spark)}/casemill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/casemill/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def cleared():
+    """Removes, at its end, the scratch folders made inside it; gives a function that writes a frame to a folder that stays."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        _made[-1].pop()
+        return out
+
+    _made.append([])
+    try:
+        yield keep
+    finally:
+        for path in _made.pop():
+            fs, place = filesystem(path)
+            with suppress(FileNotFoundError, OSError):
+                fs.delete_dir(place)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

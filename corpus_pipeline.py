@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.llm import minhash, mixing, packing, queries, repeats, toxicity
-from casemill.llm.shared import written
+from casemill.llm.shared import cleared, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -17,13 +17,15 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
-    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with cleared():
+        model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _documents(toxicity.score_documents(docs, model, keep=list(COLUMNS)).filter("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the least doc_id; of rows that repeat it, one."""
-    kept = minhash.near_duplicates(docs).filter("kept or doc_id is null").select(F.col("doc_id").alias("kept_id"))
+    with cleared() as keep:
+        kept = keep(minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")), "kept")
     first = docs.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").take(1) else docs
     # a null id links with nothing, so such rows all stay
     return _documents(first.filter("doc_id is not null").join(kept.distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.filter("doc_id is null")))
@@ -31,7 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeated strings cover; every document stays, its text may become empty."""
-    cut = written(repeats.remove_repeats(docs, with_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text", "n_removed"), "cut").filter("cut_id is not null")
+    with cleared() as keep:
+        cut = keep(repeats.remove_repeats(docs, with_text=True).filter("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("cut_id"), "kept_text", "n_removed"), "cut")
     rows = docs.join(cut.dropDuplicates(["cut_id"]), F.col("doc_id") == F.col("cut_id"), "left")
     changed = F.col("n_removed").isNotNull()
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
