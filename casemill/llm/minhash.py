@@ -8,8 +8,8 @@ bin with a probability of their similarity, and the count of agreements is conce
 Texts of one shingle set are one class from the start.  Class sketches are cut into bands; classes that agree in a whole band
 share a bucket.  Links are confirmed on full shingle sets.  Pairs of a bucket are not listed: in two rounds every member is
 held against one member of its bucket (first in a few bands, then in all, where the bucket still has several components), and
-only what is then still apart in a shared bucket is compared sketch with sketch, in blocks of bounded size, and confirmed
-where the sketches allow the similarity at all.  At a similarity of 0.75 a pair shares no band with a probability of 5e-6, and
+only what is then still apart in a shared bucket is compared sketch with sketch, in blocks of bounded size.  Classes that the
+sketches leave in doubt are gathered into clusters, again cut into blocks, and confirmed there; blocks yield spanning forests.  At a similarity of 0.75 a pair shares no band with a probability of 5e-6, and
 has a sketch below the bound with one under 1e-6.
 """
 
@@ -146,45 +146,102 @@ def hub_pairs(members: DataFrame, seed: int) -> DataFrame:
     return found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def apart_pairs(members: DataFrame, classes: DataFrame, *, block: int = BLOCK, estimate: float = ESTIMATE) -> DataFrame:
-    """(a, b), a < b: members of one bucket that are in different components though their sketches allow a link.
+def forest(n: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, label) for the nodes that the pairs touch: label is the least node that they connect it to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[p], label[q])
+        new = label.copy()
+        np.minimum.at(new, p, low)
+        np.minimum.at(new, q, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    touched = np.unique(np.concatenate((p, q)))
+    return touched, label[touched]
 
-    A bucket is cut into blocks and two blocks at most meet in a task; a pair is looked at in the first band that it shares.
-    """
-    sizes = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    sizes = sizes.select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("cuts")).repartition("cuts", "key")
-    rows = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
+
+def _blocked(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """rows with the blocks i <= j in which each meets the other rows of its key, and its own block; a key has as many blocks as its size asks for."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    sizes = sizes.select(*keys, F.ceil(F.col("n") / block).cast("int").alias("cuts")).repartition("cuts", *keys[-1:])
+    rows = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
-    rows = rows.join(classes.select("node", "sketch"), "node").select("band", "key", "i", "j", "own", "node", "comp", "sketch")
-    rows = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    return rows.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
+
+
+def _candidates(node, comp, own, crossing: bool, sketch, estimate: float, band: int | None = None):
+    """Index pairs of different components whose sketches share a band (the given one first) and allow a link; in slabs of rows."""
+    n = len(node)
+    for at in range(0, n, 64):
+        x = slice(at, min(n, at + 64))
+        apart = (comp[x, None] != comp[None, :]) & (node[x, None] < node[None, :])
+        if crossing:
+            apart &= own[x, None] != own[None, :]
+        p, q = np.nonzero(apart)
+        p += at
+        for s in range(0, len(p), 65536):
+            u, v = p[s : s + 65536], q[s : s + 65536]
+            equal = sketch[u] == sketch[v]
+            keep = equal.any(1) if band is None else equal.argmax(1) == band
+            u, v = u[keep], v[keep]
+            keep = (sketch[u].view(np.uint16) == sketch[v].view(np.uint16)).mean(1) >= estimate
+            if keep.any():
+                yield u[keep], v[keep]
+
+
+def apart_clusters(members: DataFrame, classes: DataFrame, *, block: int = BLOCK, estimate: float = ESTIMATE) -> DataFrame:
+    """(a, b) edges that connect all members of different components that share a bucket and whose sketches allow a link.
+
+    A bucket is cut into blocks and two blocks at most meet in a task; a pair is looked at in the first band that it shares.  A
+    block yields a spanning forest of its pairs, at most an edge a member, never the pairs.
+    """
+    rows = _blocked(members, ["band", "key"], block).join(classes.select("node", "sketch"), "node")
+    rows = rows.select("band", "key", "i", "j", "own", "node", "comp", "sketch").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
 
     def run(batches):
         import pyarrow as pa
 
         for t in groups(batches, 4):
-            n = t.num_rows
-            if n < 2:
+            if t.num_rows < 2:
                 continue
-            band, i, j = t.column(0)[0].as_py(), t.column(2)[0].as_py(), t.column(3)[0].as_py()
             own, node, comp = (t.column(k).to_numpy() for k in (4, 5, 6))
-            sketch = t.column(7).combine_chunks().flatten().to_numpy().reshape(n, -1)
-            for at in range(0, n, 64):
-                x = slice(at, min(n, at + 64))
-                apart = (comp[x, None] != comp[None, :]) & (node[x, None] < node[None, :])
-                if i != j:
-                    apart &= own[x, None] != own[None, :]
-                if not apart.any():
-                    continue
-                p, q = np.nonzero(apart)
-                p += at
-                for s in range(0, len(p), 65536):
-                    u, v = p[s : s + 65536], q[s : s + 65536]
-                    first = (sketch[u] == sketch[v]).argmax(1) == band
-                    u, v = u[first], v[first]
-                    same = (sketch[u].view(np.uint16) == sketch[v].view(np.uint16)).mean(1) >= estimate
-                    if same.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(node[u[same]]), pa.array(node[v[same]])], ["a", "b"])
+            sketch = t.column(7).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            crossing = t.column(2)[0].as_py() != t.column(3)[0].as_py()
+            pairs = list(_candidates(node, comp, own, crossing, sketch, estimate, t.column(0)[0].as_py()))
+            if pairs:
+                u, label = forest(len(node), *map(np.concatenate, zip(*pairs, strict=True)))
+                u, label = node[u[u != label]], node[label[u != label]]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(label)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def cluster_links(clusters: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, *, block: int = 512, estimate: float = ESTIMATE) -> DataFrame:
+    """(a, b) confirmed links between different components of a cluster (node, comp, cluster); a block yields a spanning forest of its links."""
+    rows = _blocked(clusters, ["cluster"], block).join(classes.select("node", "sketch"), "node").join(sets, "node")
+    rows = rows.select("cluster", "i", "j", "own", "node", "comp", "sketch", "hashes").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for t in groups(batches, 3):
+            if t.num_rows < 2:
+                continue
+            own, node, comp = (t.column(k).to_numpy() for k in (3, 4, 5))
+            sketch = t.column(6).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            hashes = [np.frombuffer(x, np.uint64) for x in t.column(7).to_pylist()]
+            crossing = t.column(1)[0].as_py() != t.column(2)[0].as_py()
+            now, found = comp.copy(), []
+            for u, v in _candidates(node, comp, own, crossing, sketch, estimate):
+                for x, y in zip(u.tolist(), v.tolist(), strict=True):
+                    if now[x] != now[y] and linked(hashes[x], hashes[y], percent):
+                        found.append((node[x], node[y]))
+                        now[now == now[y]] = now[x]
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -212,7 +269,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, first
     labels = relabel(labels, edges)
     edges = written(confirm(hub_pairs(placed(), 2), sets, percent), "links")
     labels = relabel(labels, edges)
-    edges = written(confirm(apart_pairs(placed(), classes), sets, percent), "links")
+    near = components(apart_clusters(placed(), classes)).withColumnRenamed("comp", "cluster")
+    edges = written(cluster_links(labels.join(near, "node"), classes, sets, percent), "links")
     labels = relabel(labels, edges)
 
     of_class = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp")).repartition("comp")
