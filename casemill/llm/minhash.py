@@ -7,7 +7,7 @@ bin with a probability of their similarity, and the count of agreements is conce
 
 Texts of one shingle set are one class from the start.  Class sketches are cut into bands; classes that agree in a whole band
 share a bucket.  Links are confirmed on full shingle sets.  Pairs of a bucket are not listed: in two rounds every member is
-held against one member of its bucket (first in a few bands, then in all, where the bucket still has several components), and
+held against one member of its bucket (in a few bands, then in others where the bucket still has several components), and
 only what is then still apart in a shared bucket is compared sketch with sketch, in blocks of bounded size.  Classes that the
 sketches leave in doubt are gathered into clusters, again cut into blocks, and confirmed there; blocks yield spanning forests.  At a similarity of 0.75 a pair shares no band with a probability of 5e-6, and
 has a sketch below the bound with one under 1e-6.
@@ -206,6 +206,7 @@ def apart_clusters(members: DataFrame, classes: DataFrame, *, block: int = BLOCK
         for t in groups(batches, 4):
             if t.num_rows < 2:
                 continue
+            t = t.sort_by("node")  # labels are least nodes: buckets of one group then mostly name the same few
             own, node, comp = (t.column(k).to_numpy() for k in (4, 5, 6))
             sketch = t.column(7).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
             crossing = t.column(2)[0].as_py() != t.column(3)[0].as_py()
@@ -246,7 +247,7 @@ def cluster_links(clusters: DataFrame, classes: DataFrame, sets: DataFrame, perc
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, first_bands: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, first_bands: int = 4, second_bands: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     component_id is the least doc_id that links reach; kept marks it.  A text of no words, or null, has an empty set and its own
@@ -267,7 +268,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, first
     placed = lambda: members.join(labels, "node")
     edges = written(confirm(hub_pairs(placed().filter(F.col("band") < first_bands), 1), sets, percent), "links")
     labels = relabel(labels, edges)
-    edges = written(confirm(hub_pairs(placed(), 2), sets, percent), "links")
+    edges = written(confirm(hub_pairs(placed().filter(F.col("band").between(first_bands, second_bands - 1)), 2), sets, percent), "links")
     labels = relabel(labels, edges)
     near = components(apart_clusters(placed(), classes)).withColumnRenamed("comp", "cluster")
     edges = written(cluster_links(labels.join(near, "node"), classes, sets, percent), "links")
