@@ -71,6 +71,17 @@ def test_segments():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
 
 
+@pytest.mark.parametrize("n", [30, 3000, 30_000])
+def test_calibration_holds_at_every_size(n):
+    rng = np.random.default_rng(n)
+    toxic = (np.arange(n) % 10 == 0).astype(int)
+    evidence = np.where(toxic, rng.uniform(4, 60, n) * (rng.random(n) > 0.05), rng.uniform(0, 3, n) * (rng.random(n) < 0.03))
+    model = toxicity.Model({}, 0.0, -0.1)
+    model.calibrate(evidence.tolist(), toxic.tolist())
+    score = 1 / (1 + np.exp(-(model.at_none + model.slope * np.minimum(evidence, 60))))
+    assert np.isfinite(score).all() and (score[toxic == 0] < 0.7).all() and (score[toxic == 1] >= 0.7).mean() > 0.8
+
+
 def test_toxicity_is_learned(spark, docs_of, odd, none):
     rng = random.Random(5)
     rows, labels = [], []
