@@ -7,8 +7,10 @@ subspace at a time with the others held, and each centroid solves a two-by-two s
 sample; every vector is coded.
 
 A query's table has its inner product with every centroid; a scan adds a candidate's sixteen-entry look-ups, two at a time.  Queries
-and candidates meet in blocks of bounded size, each block reranks the best `rerank` of a query exactly in double precision, and a
-query's best over all blocks are kept.
+and candidates meet in blocks of bounded size.  Each block reranks the best `rerank` of a query exactly in double precision; the k-th
+of them is a floor, and every other candidate whose quantised score plus the bound on its quantisation error (norm of its residual
+times norm of the query) reaches the floor is compared exactly too, so a crowd of near copies is reranked whole and no true
+neighbour is lost.  A query's best over all blocks are kept.
 """
 
 from __future__ import annotations
@@ -87,6 +89,12 @@ def fit(x: np.ndarray, *, threshold: float = THRESHOLD, rounds: int = 8, seed: i
     return book, eta
 
 
+def residual(x: np.ndarray, code: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """(n,) what a scan's score can be off by, per unit of the query's norm: the residual's norm, and the rounding of float32 sums."""
+    norm = np.linalg.norm(_parts(x) - book[np.arange(len(book)), code], axis=(1, 2))
+    return norm + (len(book) + 8) * 2.0**-23 * (np.linalg.norm(x, axis=1) + norm)
+
+
 def pack(code: np.ndarray) -> np.ndarray:
     """Two four-bit codes a byte; an odd number of subspaces gets a zero code."""
     code = np.concatenate((code, np.zeros((len(code), code.shape[1] % 2), np.uint8)), 1)
@@ -109,6 +117,29 @@ def scan(table: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return out
 
 
+def best_of_block(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, packed: np.ndarray, slack: np.ndarray, book: np.ndarray, k: int, rerank: int):
+    """For each query the exact k best of the candidates (x, ids) without its own id: (ids, scores) in order, by score and id."""
+    rough = scan(tables(q, book), packed)
+    first = np.argpartition(-rough, rerank, axis=1)[:, :rerank] if len(x) > rerank else np.tile(np.arange(len(x)), (len(q), 1))
+    score = np.einsum("qd,qrd->qr", q, x[first])
+    score[ids[first] == own[:, None]] = -np.inf
+    floor = -np.partition(-score, k - 1, axis=1)[:, k - 1] if score.shape[1] >= k else np.full(len(q), -np.inf)
+    norm = np.linalg.norm(q, axis=1)
+    near = ~(rough + norm[:, None] * slack < floor[:, None]) | ~np.isfinite(rough)
+    some = np.flatnonzero(near.any(0))
+    # the product's sums may be rounded in another order than a pair's own, so it only narrows what is scored pair by pair
+    with np.errstate(all="ignore"):
+        lost = 4 * x.shape[1] * 2.0**-52 * norm[:, None] * np.linalg.norm(x[some], axis=1)
+        reach = near[:, some] & ~(q @ x[some].T + lost < floor[:, None])
+    for i in range(len(q)):
+        mine = some[reach[i]]
+        mine = mine[ids[mine] != own[i]]
+        exact = np.einsum("qd,qrd->qr", q[i : i + 1], x[mine][None])[0]
+        order = np.lexsort((ids[mine], -exact))[:k]
+        order = order[np.isfinite(exact[order])]
+        yield ids[mine[order]], exact[order]
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the vectors that take part: not null or zero, all components finite, of the commonest length."""
     v = F.col(vector_col).cast("array<double>")
@@ -123,11 +154,12 @@ def nearest(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, sample: int = SAMPLE, rerank: int = RERANK,
     index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates found for each id divisible by `every`, among all rows but its own.
+    """query_id, rank, vec_id, score: the k best candidates for each id divisible by `every`, among all rows but its own.
 
     score is the inner product of the original vectors in double precision; ties go to the smaller vec_id.  Rows that cannot take
     part (usable()) are left out; an empty table gives no rows; other columns are ignored.  Of equal vectors the k + 1 least ids
-    are indexed, as no other can be among a query's k best.  sample bounds the rows that the codebook is fitted on.
+    are indexed, as no other can be among a query's k best.  sample bounds the rows that the codebook is fitted on; it and rerank, the
+    candidates a query and block that set its floor, change the work but not the result.
     """
     rows = usable(vectors, id_col, vector_col)
     twins = Window.partitionBy("v").orderBy("id")
@@ -147,14 +179,15 @@ def nearest(
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
-                codes = pack(encode(x, book, eta))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "code"])
+                codes = encode(x, book, eta)
+                packed = pa.array([c.tobytes() for c in pack(codes)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, pa.array(residual(x, codes, book))], ["id", "v", "code", "slack"])
 
-    coded = index.mapInArrow(code, "id long, v array<double>, code binary")
+    coded = index.mapInArrow(code, "id long, v array<double>, code binary, slack double")
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = coded.select(place(blocks).alias("block"), all_of(chunks).alias("chunk"), F.lit(0).alias("kind"), "id", "v", "code")
-    right = queries.select(all_of(blocks).alias("block"), place(chunks).alias("chunk"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("code"))
+    left = coded.select(place(blocks).alias("block"), all_of(chunks).alias("chunk"), F.lit(0).alias("kind"), "id", "v", "code", "slack")
+    right = queries.select(all_of(blocks).alias("block"), place(chunks).alias("chunk"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("slack"))
     met = left.unionByName(right).repartition(min(20_000, blocks * chunks), "block", "chunk").sortWithinPartitions("block", "chunk", "kind", "id")
 
     def search(batches):
@@ -167,16 +200,12 @@ def nearest(
             if not n or n == len(ids):
                 continue
             packed = np.frombuffer(b"".join(t.column(5).slice(0, n).to_pylist()), np.uint8).reshape(n, -1)
+            slack = t.column(6).slice(0, n).to_numpy()
             for at in range(n, len(ids), 64):
-                q, own = x[at : at + 64], ids[at : at + 64]
-                rough = scan(tables(q, book), packed)
-                best = np.argpartition(-rough, rerank, axis=1)[:, :rerank] if n > rerank else np.tile(np.arange(n), (len(q), 1))
-                score = np.einsum("qd,qrd->qr", q, x[best])
-                score[ids[best] == own[:, None]] = -np.inf
-                order = np.lexsort((ids[best], -score))[:, :k]
-                found, score = np.take_along_axis(ids[best], order, 1), np.take_along_axis(score, order, 1)
-                ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(own[:, None], ok.shape)[ok]), pa.array(found[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
+                own = ids[at : at + 64]
+                found = list(best_of_block(x[at : at + 64], own, x[:n], ids[:n], packed, slack, book, k, rerank))
+                of = np.repeat(own, [len(f) for f, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([f for f, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "vec_id", "score"])
 
     hits = met.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

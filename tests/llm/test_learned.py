@@ -29,6 +29,20 @@ def test_neighbours(spark):
     assert twins == list(range(50, 60))
 
 
+def test_neighbours_in_a_crowd(spark):
+    """A third of the rows are near copies of one vector, many more than are reranked first."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    x[::3] = x[0] + 0.01 * rng.normal(size=(1000, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.nearest(frame, k=20).toPandas()
+    assert out.query_id.nunique() == 150
+    for q, g in out.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert g.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(len(x)), -s))[:20].tolist()
+
+
 def test_few_neighbours(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [-1.0, 0.5])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in ann.nearest(frame).orderBy("rank").collect()] == [(1, 5.0), (2, 0.0)]
