@@ -3,7 +3,8 @@
 A text with a licence cue is cut into sentences, each is normalised (lower case, runs of other than letters and digits become a
 space) and mapped to the identifier of a known licence sentence, or to `unknown` where it speaks of licences in no known way.
 The identifiers in order are then matched against ordered licence rules, the most specific first; what a rule matches is
-consumed, so a shorter rule cannot claim it again.  All of it is expressions on one row: no join, no shuffle.
+consumed, so a shorter rule cannot claim it again.  An SPDX tag gives an identifier for each licence of its expression.  All of it is
+expressions on one row: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Cues, the wording of public licences, and the order of the rules.
-CUE = r"(?i)licen[cs]e|copyright|all rights reserved|spdx|permission|redistribut|warrant|free software|public domain|creative commons"
+# The cue only saves work, so whatever a sentence pattern matches has to pass it, by whatever its words are parted.
+CUE = (
+    r"(?i)licen[cs]e|copyright|all[^a-z0-9]+rights[^a-z0-9]+reserved|spdx|permission|redistribut|warrant|free[^a-z0-9]+software"
+    r"|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|cc0|cc[^a-z0-9]+by|endorse"
+)
+# The cue of the SQL, which stays as it was: it misses CC0, CC BY and wrapped wording, and the SQL has no rules for SPDX tags.
+SQL_CUE = r"(?i)licen[cs]e|copyright|all rights reserved|spdx|permission|redistribut|warrant|free software|public domain|creative commons"
 SENTENCES = (
     ("cc_by_nc_4", r"(licensed|released|available|distributed) under (the )?(cc by nc 4 0|creative commons attribution non ?commercial 4 0)"),
     ("cc_by_sa_4", r"(licensed|released|available|distributed) under (the )?(cc by sa 4 0|creative commons attribution share ?alike 4 0)"),
@@ -63,6 +70,26 @@ RULES = (
     ("CC0-1.0", ",cc_0,"),
     ("Proprietary", ",all_rights,"),
 )
+# What an SPDX tag's expression may name: the identifier, the licence among the rules, the names in lower case.
+SPDX_TAG = r"spdx[^a-z0-9]+licen[cs]e[^a-z0-9]+identifier[^a-z0-9]+([a-z0-9.+-]+(?:[ \t)]+(?:or|and|with)[ \t(]+[a-z0-9.+-]+)*)"
+SPDX = (
+    ("spdx_bsd_3", "BSD-3-Clause", r"bsd-3-clause"),
+    ("spdx_bsd_2", "BSD-2-Clause", r"bsd-2-clause"),
+    ("spdx_mit", "MIT", r"mit"),
+    ("spdx_apache_2", "Apache-2.0", r"apache-2\.0"),
+    ("spdx_agpl_3", "AGPL-3.0", r"agpl-3\.0(-only|-or-later|\+)?"),
+    ("spdx_lgpl", "LGPL", r"lgpl-(2\.0|2\.1|3\.0)(-only|-or-later|\+)?"),
+    ("spdx_gpl_3_plus", "GPL-3.0-or-later", r"gpl-3\.0(-or-later|\+)"),
+    ("spdx_gpl_2_plus", "GPL-2.0-or-later", r"gpl-2\.0(-or-later|\+)"),
+    ("spdx_gpl_3", "GPL-3.0", r"gpl-3\.0(-only)?"),
+    ("spdx_gpl_2", "GPL-2.0", r"gpl-2\.0(-only)?"),
+    ("spdx_gpl", "GPL", r"gpl-1\.0(-only|-or-later|\+)?"),
+    ("spdx_mpl_2", "MPL-2.0", r"mpl-2\.0(-no-copyleft-exception)?"),
+    ("spdx_cc_by_nc_4", "CC-BY-NC-4.0", r"cc-by-nc-4\.0"),
+    ("spdx_cc_by_sa_4", "CC-BY-SA-4.0", r"cc-by-sa-4\.0"),
+    ("spdx_cc_by_4", "CC-BY-4.0", r"cc-by-4\.0"),
+    ("spdx_cc_0", "CC0-1.0", r"cc0-1\.0"),
+)
 
 
 def sentence_id(sentence: Column) -> Column:
@@ -74,22 +101,45 @@ def sentence_id(sentence: Column) -> Column:
     return out
 
 
+def spdx_ids(sentence: Column) -> Column:
+    """The identifiers of the licences that a sentence's SPDX tags name, `spdx_tag` for one that is not among the rules."""
+    tags = F.regexp_extract_all(F.lower(sentence), F.lit(SPDX_TAG), F.lit(1))
+
+    def of(name: Column) -> Column:
+        out = F.lit("spdx_tag")
+        for ident, _, pattern in reversed(SPDX):
+            out = F.when(name.rlike(f"^{pattern}$"), ident).otherwise(out)
+        return out
+
+    # exceptions are no licences, and a full stop may follow a name
+    names = F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(F.regexp_replace(t, r"[ \t)](or|and|with[ \t(]+\S+)(?=[ \t(]|$)", " "), F.lit(r"[a-z0-9][a-z0-9.+-]*"), F.lit(0))))
+    return F.transform(names, lambda n: of(F.regexp_replace(n, r"[.-]+$", "")))
+
+
+def sentence_ids(sentence: Column) -> Column:
+    """The identifiers of a sentence: its own, if any, then those of its SPDX tags."""
+    own = F.array_compact(F.array(sentence_id(sentence)))
+    tagged = spdx_ids(sentence)
+    return F.when(sentence.rlike("(?i)spdx") & (F.size(tagged) > 0), F.concat(F.filter(own, lambda x: x != "spdx_tag"), tagged)).otherwise(own)
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, sentence_ids (in order, by commas), n_sentences (recognised), n_unknown, licenses (in the rules' order, by +, or NONE).
+    """doc_id, sentence_ids (in order, by commas), n_sentences (recognised; of SPDX tags, each licence they name), n_unknown, licenses (in the rules' order, by +, or NONE).
 
     A text without licence wording, empty or null has no identifiers and licence NONE; one whose wording no rule matches has
     UNKNOWN.  Repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
     """
     text = F.col("text").cast("string")
     cued = F.filter(F.split(F.regexp_replace(text, r"([.!?;])\s+|\n\s*\n", "$1\u0001"), "\u0001"), lambda s: s.rlike(CUE))
-    ids = F.when(text.rlike(CUE), F.filter(F.transform(cued, sentence_id), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    ids = F.when(text.rlike(CUE), F.flatten(F.transform(cued, sentence_ids))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ids.alias("ids"))
     rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"))
     # copyright lines may stand between the sentences of one licence
     left, found = F.concat(F.lit(","), F.regexp_replace("sentence_ids", "(^|,)copyright(?=,|$)", ""), F.lit(",")), []
     left = F.regexp_replace(left, ",+", ",")
+    tagged = {name: F.concat(F.lit(","), "sentence_ids", F.lit(",")).contains(f",{ident},") for ident, name, _ in SPDX}
     for name, pattern in RULES:
-        found.append(F.when(left.rlike(pattern), name))
+        found.append(F.when(left.rlike(pattern) | tagged.get(name, F.lit(False)), name))
         left = F.regexp_replace(left, pattern, ",")
     known = F.array_join(F.array_compact(F.array(*found)), "+")
     n_unknown = F.regexp_count(F.concat(F.lit(","), F.regexp_replace("sentence_ids", ",", ",,"), F.lit(",")), F.lit(",unknown,")).cast("long")
@@ -98,7 +148,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def license_sql() -> str:
-    """The same in DuckDB SQL, from the same fixed values."""
+    """The same in DuckDB SQL, from the same sentences and rules, but by the narrower cue and without the licences of SPDX tags."""
     case = " ".join(f"WHEN regexp_matches(norm, '{p}') THEN '{n}'" for n, p in SENTENCES)
     steps, names = ["l0 AS (SELECT *, regexp_replace(',' || array_to_string(list_filter(ids, lambda x: x <> 'copyright'), ',') || ',', ',+', ',', 'g') AS rest0 FROM i)"], []
     for k, (name, pattern) in enumerate(RULES):
@@ -108,7 +158,7 @@ def license_sql() -> str:
 WITH s AS (
   SELECT doc_id, row_number() OVER () AS r, string_split(regexp_replace(coalesce(text, ''), '([.!?;])\\s+|\\n\\s*\\n', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents
 ), u AS (SELECT r, generate_subscripts(parts, 1) AS pos, unnest(parts) AS sentence FROM s),
-n AS (SELECT r, pos, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS norm FROM u WHERE regexp_matches(sentence, '{CUE}')),
+n AS (SELECT r, pos, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS norm FROM u WHERE regexp_matches(sentence, '{SQL_CUE}')),
 c AS (SELECT r, pos, CASE {case} END AS id FROM n),
 g AS (SELECT r, list(id ORDER BY pos) AS ids FROM c WHERE id IS NOT NULL GROUP BY r),
 i AS (SELECT s.doc_id, coalesce(g.ids, []) AS ids FROM s LEFT JOIN g USING (r)),

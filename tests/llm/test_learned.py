@@ -63,6 +63,41 @@ def test_licences(docs_of, text, want):
     assert licenses.scan_licenses(docs_of([(1, text, "s", "en")])).first()["licenses"] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Released under CC BY 4.0.", "CC-BY-4.0"), ("Available under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Distributed under the CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("This dataset is CC0.", "CC0-1.0"),
+        ("It is dedicated to the public\ndomain.", "CC0-1.0"), ("Available under Creative\nCommons Attribution 4.0.", "CC-BY-4.0"), ("# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0+.", "MIT+Apache-2.0+GPL-2.0-or-later"), ("spdx-license-identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0"),
+        ("SPDX-License-Identifier: (BSD-3-Clause AND (LGPL-2.1 OR MPL-2.0))", "BSD-3-Clause+LGPL+MPL-2.0"), ("// SPDX-License-Identifier: CC0-1.0\n// SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0+CC0-1.0"),
+        ("SPDX-License-Identifier: Nobody-1.0", "UNKNOWN"), ("Copyright 2020 X\nSPDX-License-Identifier: Apache-2.0\nThe mit is no licence here", "Apache-2.0"),
+    ],
+)
+def test_licences_by_every_cue(docs_of, text, want):
+    assert licenses.scan_licenses(docs_of([(1, text, "s", "en")])).first()["licenses"] == want
+
+
+WORDINGS = {
+    "cc_by_nc_4": "Available under CC BY-NC 4.0", "cc_by_sa_4": "Released under the CC-BY-SA 4.0", "cc_by_4": "Distributed under CC BY 4.0", "cc_0": "Under CC0", "apache_2_ref": "Released under the Apache License, Version 2.0",
+    "apache_2_comply": "You may not use this file except in compliance with the License", "apache_2_copy": "You may obtain a copy of the License at",
+    "apache_2_warranty": "Software distributed under the License is distributed on an AS IS basis", "agpl_3": "GNU Affero General Public License", "lgpl_ref": "GNU Lesser General Public License",
+    "gpl_3_plus": "GNU General Public License, either version 3 or any later version", "gpl_2_plus": "GNU General Public License, version 2 or any later version", "gpl_3_ref": "GNU General Public License v3",
+    "gpl_2_ref": "GNU General Public License v2", "gpl_ref": "GNU General Public License", "mit_ref": "Released under the MIT License", "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "mit_notice": "The above copyright notice and this permission notice shall be included in all copies", "mit_warranty": "The software is provided as is, without warranty of any kind",
+    "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd_source": "Redistributions of source code must retain the above copyright notice",
+    "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice", "bsd_endorse": "Neither the name of X may be used to endorse or promote products", "mpl_2": "Mozilla Public License v2.0",
+    "spdx_tag": "SPDX License Identifier", "all_rights": "All rights reserved", "copyright": "Copyright X", "unknown": "Free software",
+}
+
+
+@pytest.mark.parametrize("between", [" ", "\n", " \t* "])
+def test_every_sentence_passes_the_cue(docs_of, between):
+    assert list(WORDINGS) == [name for name, _ in licenses.SENTENCES]
+    rows = [(i, between.join(w.split()), "s", "en") for i, w in enumerate(WORDINGS.values())]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan_licenses(docs_of(rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == list(WORDINGS)
+
+
 def test_licences_odd_rows(odd, none):
     assert licenses.scan_licenses(odd).count() == 10 and licenses.scan_licenses(none).collect() == []
 
