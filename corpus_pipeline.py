@@ -15,6 +15,14 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), "text", "lang", "source", F.col("n_chars").cast("long"))
 
 
+def _numbered(docs: DataFrame, keep) -> DataFrame:
+    """docs with `row`, one number a row in the order of doc_id, null ids last: doc_id itself where no id is null or repeated."""
+    if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").take(1):
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    order = F.asc_nulls_last("doc_id"), F.xxhash64("text", "source", "lang", "n_chars")
+    return keep(docs.orderBy(*order).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
     with cleared():
@@ -23,19 +31,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least doc_id; of rows that repeat it, one."""
+    """One row of each group of near-duplicates, that of the least doc_id, whatever ids are null or repeated; texts of no words all stay."""
     with cleared() as keep:
-        kept = keep(minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")), "kept")
-    first = docs.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").take(1) else docs
-    # a null id links with nothing, so such rows all stay
-    return _documents(first.filter("doc_id is not null").join(kept.distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.filter("doc_id is null")))
+        rows = _numbered(docs, keep)
+        kept = keep(minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("kept_row")), "kept")
+    return _documents(rows.join(kept, F.col("row") == F.col("kept_row"), "left_semi"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeated strings cover; every document stays, its text may become empty."""
+    """Texts without the bytes that repeated strings cover; every row stays, its text may become empty."""
     with cleared() as keep:
-        cut = keep(repeats.remove_repeats(docs, with_text=True).filter("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("cut_id"), "kept_text", "n_removed"), "cut")
-    rows = docs.join(cut.dropDuplicates(["cut_id"]), F.col("doc_id") == F.col("cut_id"), "left")
+        rows = _numbered(docs, keep)
+        cut = repeats.remove_repeats(rows.select(F.col("row").alias("doc_id"), "text"), with_text=True).filter("n_removed > 0")
+        cut = keep(cut.select(F.col("doc_id").alias("cut_row"), "kept_text", "n_removed"), "cut")
+    rows = rows.join(cut, F.col("row") == F.col("cut_row"), "left")
     changed = F.col("n_removed").isNotNull()
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     return _documents(rows.withColumn("text", text).withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))))
