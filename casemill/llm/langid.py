@@ -43,7 +43,8 @@ def counts(texts: list[str | None]) -> np.ndarray:
         data = _CLASS[np.frombuffer(b"".join(b for _, b in batch), np.uint8)]
         of = np.repeat(np.array([k for k, _ in batch]), [len(b) for _, b in batch])
         keep = np.ones(len(data), bool)
-        keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20)
+        # runs of spaces become one, but a text's first space stays beside the last one of the text before
+        keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20) | (of[1:] != of[:-1])
         data, of = data[keep].astype(np.uint32), of[keep]
         code = (data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20)
         same = of[2:] == of[:-2]

@@ -171,6 +171,13 @@ def test_language(docs_of, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.learn(none)).collect()} == {"und"}
 
 
+def test_a_text_counts_alike_in_any_place():
+    texts = ["the  cat", "é", "", " a", None, "the cat", "b" * 200, "a"] * 40
+    alone = np.concatenate([langid.counts([t]) for t in texts])
+    assert (langid.counts(texts) == alone).all() and (alone[1::8].sum(1) > 0).all() and (alone[7::8].sum(1) == 1).all()
+    assert (langid.counts(texts[::-1])[::-1] == alone).all()
+
+
 def compare_mix(frame, rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
