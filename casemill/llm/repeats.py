@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings over a whole corpus, decided by a suffix order.
+"""Removal of repeated byte strings over a whole corpus, by equal runs of windows, and a suffix order of what they leave undecided.
 
 A byte is removed when a `width`-byte string that covers it also starts earlier: in a document of smaller id, or earlier in the
 same one.  Only places where that can be so come to the suffix order:
