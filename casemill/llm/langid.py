@@ -1,9 +1,9 @@
 """Language by nearest centroid: TF-IDF vectors of letter trigrams against several centroids a language, by cosine.
 
 A text is lower-cased, everything but letters becomes a space, and its byte trigrams are counted in hashed dimensions.  The
-document frequencies are counted over all documents.  A bounded number of labelled texts a language is clustered on the sphere;
-a text gets the language of its nearest centroid, and is flagged as rejected where the cosine is far below what the training
-texts of that language reach.
+document frequencies are counted over all documents that may be learned from: those that have a language and are not held out.  A
+bounded number of them a language is clustered on the sphere; a text gets the language of its nearest centroid, and is flagged as
+rejected where the cosine is far below what the training texts of that language reach.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.llm.shared import mapped, slices
 from casemill.llm.toxicity import held_out
 
 DIMS = 4096
@@ -91,47 +92,62 @@ def document_frequency(docs: DataFrame) -> np.ndarray:
 
         total, n = np.zeros(DIMS, np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                c = counts(batch.column(0).slice(at, 128).to_pylist())
+            for some in slices(batch, 0, rows=128, size=SPAN):
+                c = counts(some.column(0).to_pylist())
                 total += (c > 0).sum(0)
                 n += len(c)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(np.append(total, n))], ["dim", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    rows = mapped(docs.select(F.col("text").cast("string")), run, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIMS + 1, np.int64)
     for r in rows:
         out[r["dim"]] = r["n"]
     return out
 
 
+def learnable(docs: DataFrame) -> DataFrame:
+    """(id, text, lang) of the rows that may be learned from: with an id and a language, and not held out."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
+
+
+def training_ids(known: DataFrame, per_language: int, sample: int) -> list[int]:
+    """Ids of at most per_language rows a language and sample in all: those of least hash, languages taken in turn."""
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(sample).collect()  # bounded: no later language could be chosen
+    if not sizes:
+        return []
+    share = known.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * per_language / r["n"])) for r in sizes], "lang string, share double")
+    # a share of the hash range that holds about four times as many rows as are wanted comes to the shuffle, not a language
+    few = known.select("id", "lang").join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    few = few.withColumn("h", F.xxhash64("id")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
+    return [r["id"] for r in few.orderBy("r", "lang").limit(sample).select("id").distinct().collect()]  # bounded by `sample`
+
+
 def learn(docs: DataFrame, *, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, centroids: int = CENTROIDS) -> dict:
-    """The model: idf, unit centroids, the language of each, and the least cosine of each language that is not rejected."""
-    df = document_frequency(docs)
+    """The model: idf, unit centroids, the language of each, and the least cosine of each language that is not rejected.
+
+    Only learnable() rows are used; centroids are fitted to at most per_language texts a language and sample in all.
+    """
+    known = learnable(docs)
+    df = document_frequency(known)
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1).astype(np.float32)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and doc_id is not null")
-    known = known.filter(~held_out(F.col("doc_id")))
-    # a share of the hash range that holds about four times as many texts of the language: no task meets the best of every partition
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).repartition("n")
-    known = known.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("n") < F.lit(float(4 * per_language * (1 << 30))))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    few = known.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
-    chosen = few.orderBy("r", "lang").limit(sample).select(F.col("doc_id").alias("id")).distinct().collect()  # bounded by `sample`
+    chosen = training_ids(known, per_language, sample)
     empty = {"idf": idf, "centroids": np.zeros((0, DIMS), np.float32), "langs": [], "least": []}
     if not chosen:
         return empty
-    ids = docs.sparkSession.createDataFrame([(r["id"],) for r in chosen], "id long")
-    texts = docs.filter(F.col("lang").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
+    texts = known.join(F.broadcast(ids), "id").select("text", "lang")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
+            for some in slices(batch, 0, rows=128, size=SPAN):
                 c = np.sqrt(counts(some.column(0).to_pylist())).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in c], pa.binary()), some.column(1)], ["v", "lang"])
 
-    found = texts.mapInArrow(run, "v binary, lang string").toArrow()
+    found = mapped(texts, run, "v binary, lang string").toArrow()
     if not found.num_rows:
         return empty
     root = np.frombuffer(b"".join(found.column(0).to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
@@ -163,8 +179,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
+            for some in slices(batch, rows=128, size=SPAN):
                 texts = some.column(1).to_pylist()
                 lettered = np.array([bool(langs) and has_letter(t) for t in texts])
                 if langs:
@@ -177,5 +192,5 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 rejected = [n == UNDETERMINED or s < least[n] for n, s in zip(names, score.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(names), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
