@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import groups, hash_sample, written
+from casemill.llm.shared import groups, hash_sample, mapped, written
 
 SAMPLE = 16_384
 CENTROIDS = 16
@@ -140,14 +140,16 @@ def best_of_block(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray
         yield ids[mine[order]], exact[order]
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part: not null or zero, all components finite, of the commonest length."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, dims: int | None = None) -> DataFrame:
+    """(id, v) of the vectors that take part: not null or zero, all components finite, of `dims` components (None: as many as most have)."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = written(rows.filter(finite), "vectors")
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("v") == (dims["d"] if dims else 0))
+    if dims is None:
+        most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        dims = most["d"] if most else 0
+    return rows.filter(F.size("v") == dims)
 
 
 def nearest(
@@ -183,7 +185,7 @@ def nearest(
                 packed = pa.array([c.tobytes() for c in pack(codes)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, pa.array(residual(x, codes, book))], ["id", "v", "code", "slack"])
 
-    coded = index.mapInArrow(code, "id long, v array<double>, code binary, slack double")
+    coded = mapped(index, code, "id long, v array<double>, code binary, slack double")
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = coded.select(place(blocks).alias("block"), all_of(chunks).alias("chunk"), F.lit(0).alias("kind"), "id", "v", "code", "slack")
@@ -207,6 +209,6 @@ def nearest(
                 of = np.repeat(own, [len(f) for f, _ in found])
                 yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([f for f, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "vec_id", "score"])
 
-    hits = met.mapInArrow(search, "query_id long, vec_id long, score double")
+    hits = mapped(met, search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
