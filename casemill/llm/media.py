@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from casemill.llm.shared import filesystem, put_whole, scratch, written
+from casemill.llm.shared import filesystem, mapped, put_whole, scratch, written
 
 WIDTH = 64
 LEVEL = 1
@@ -101,7 +101,7 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
         put_whole(fs, name + ".idx", lambda out: out.write(bytes(index)))
         yield pa.RecordBatch.from_pydict({"archive": [name], "members": [len(index) // ENTRY_BYTES]})
 
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "archive string, members long"), "media-manifest")
+    return written(mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "archive string, members long"), "media-manifest")
 
 
 class ByteRange(InputPartition):
@@ -239,7 +239,7 @@ def describe(members: DataFrame) -> DataFrame:
                 rows.append({k: row.get(k) for k in names})
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return members.mapInArrow(run, schema)
+    return mapped(members, run, schema)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

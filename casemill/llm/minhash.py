@@ -9,8 +9,10 @@ Texts of one shingle set are one class from the start.  Class sketches are cut i
 share a bucket.  Links are confirmed on full shingle sets.  Pairs of a bucket are not listed: in two rounds every member is
 held against one member of its bucket (in a few bands, then in others where the bucket still has several components), and
 only what is then still apart in a shared bucket is compared sketch with sketch, in blocks of bounded size.  Classes that the
-sketches leave in doubt are gathered into clusters, again cut into blocks, and confirmed there; blocks yield spanning forests.  At a similarity of 0.75 a pair shares no band with a probability of 5e-6, and
-has a sketch below the bound with one under 1e-6.
+sketches leave in doubt are gathered into clusters, again cut into blocks, and confirmed there; blocks yield spanning forests.  At a
+similarity of 0.75 a pair shares no band with a probability of 5e-6, and has a sketch below the bound with one under 1e-6; most
+such pairs are linked through others.  With exact=True no link depends on chance: buckets are then the shingles of each set's
+prefix, of which linked sets must share one, and all pairs of different components in a bucket's blocks are compared.
 """
 
 from __future__ import annotations
@@ -21,15 +23,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import groups, written
+from casemill.llm.shared import groups, mapped, slices, written
 from casemill.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Members of a bucket that are compared in one block.
 BLOCK = 1024
+#: Shingles of a set that count as one set where sets meet in blocks.
+UNIT = 1024
 #: Sketches that agree in fewer bins than this share are not confirmed: 5 standard deviations below 0.75.
 ESTIMATE = 0.55
+#: Bytes of text whose shingles are in memory at a time; they take some twenty times as much.
+SLICE_BYTES = 1 << 20
 
 
 def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
@@ -57,8 +63,7 @@ def sketch_documents(docs: DataFrame, *, width: int = 5) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in slices(batch, size=SLICE_BYTES):
                 sets = shingle_sets([(t or "").encode() for t in some.column(1).to_pylist()], width)
                 full = [s for s in sets if len(s)]
                 bands = iter(sketches(full).view(np.int64) if full else ())
@@ -68,7 +73,7 @@ def sketch_documents(docs: DataFrame, *, width: int = 5) -> DataFrame:
                     ["doc_id", "n_shingles", "set_key", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
 def shingle_rows(docs: DataFrame, *, width: int = 5) -> DataFrame:
@@ -78,12 +83,27 @@ def shingle_rows(docs: DataFrame, *, width: int = 5) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in slices(batch, size=SLICE_BYTES):
                 sets = shingle_sets([(t or "").encode() for t in some.column(1).to_pylist()], width)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, hashes binary")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "node long, hashes binary")
+
+
+def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, key): the least shingles of each set (node, hashes), so many that two sets of enough similarity share one of them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            found = [x[: len(x) - -(-percent * len(x) // 100) + 1] for x in found]
+            if found:
+                node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(found))], ["node", "key"])
+
+    return mapped(sets.select("node", "hashes"), run, "node long, key long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
@@ -108,7 +128,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
-    return rows.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return mapped(rows.select("a", "b", "of_a", "of_b"), run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,17 +182,17 @@ def forest(n: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return touched, label[touched]
 
 
-def _blocked(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """rows with the blocks i <= j in which each meets the other rows of its key, and its own block; a key has as many blocks as its size asks for."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+def _blocked(rows: DataFrame, keys: list[str], block: int, weight=None) -> DataFrame:
+    """rows with the blocks i <= j in which each meets the other rows of its key, and its own block; a key has as many blocks as its weight asks for."""
+    sizes = rows.groupBy(*keys).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     sizes = sizes.select(*keys, F.ceil(F.col("n") / block).cast("int").alias("cuts")).repartition("cuts", *keys[-1:])
     rows = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     return rows.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
 
 
-def _candidates(node, comp, own, crossing: bool, sketch, estimate: float, band: int | None = None):
-    """Index pairs of different components whose sketches share a band (the given one first) and allow a link; in slabs of rows."""
+def _candidates(node, comp, own, crossing: bool, sketch, estimate: float | None, band: int | None = None):
+    """Index pairs of different components whose sketches share a band (the given one first) and allow a link (estimate None: all); in slabs of rows."""
     n = len(node)
     for at in range(0, n, 64):
         x = slice(at, min(n, at + 64))
@@ -183,6 +203,9 @@ def _candidates(node, comp, own, crossing: bool, sketch, estimate: float, band:
         p += at
         for s in range(0, len(p), 65536):
             u, v = p[s : s + 65536], q[s : s + 65536]
+            if estimate is None:
+                yield u, v
+                continue
             equal = sketch[u] == sketch[v]
             keep = equal.any(1) if band is None else equal.argmax(1) == band
             u, v = u[keep], v[keep]
@@ -216,13 +239,17 @@ def apart_clusters(members: DataFrame, classes: DataFrame, *, block: int = BLOCK
                 u, label = node[u[u != label]], node[label[u != label]]
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(label)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return mapped(rows, run, "a long, b long")
 
 
-def cluster_links(clusters: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, *, block: int = 512, estimate: float = ESTIMATE) -> DataFrame:
-    """(a, b) confirmed links between different components of a cluster (node, comp, cluster); a block yields a spanning forest of its links."""
-    rows = _blocked(clusters, ["cluster"], block).join(classes.select("node", "sketch"), "node").join(sets, "node")
-    rows = rows.select("cluster", "i", "j", "own", "node", "comp", "sketch", "hashes").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+def cluster_links(clusters: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, *, block: int = 512, estimate: float | None = ESTIMATE) -> DataFrame:
+    """(a, b) confirmed links between different components of a cluster (node, comp, cluster); a block yields a spanning forest of its links.
+
+    A set of many shingles counts for more than one, so that a block's sets stay near block * UNIT * 8 bytes.
+    """
+    rows = clusters.join(classes.select("node", "sketch", F.greatest(F.lit(1), F.ceil(F.col("n_shingles") / UNIT)).alias("w")), "node")
+    cut = _blocked(rows, ["cluster"], block, F.col("w")).join(classes.select("node", "sketch"), "node").join(sets, "node")
+    rows = cut.select("cluster", "i", "j", "own", "node", "comp", "sketch", "hashes").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
     def run(batches):
         import pyarrow as pa
@@ -244,20 +271,25 @@ def cluster_links(clusters: DataFrame, classes: DataFrame, sets: DataFrame, perc
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return mapped(rows, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, first_bands: int = 4, second_bands: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, first_bands: int = 4, second_bands: int = 12, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     component_id is the least doc_id that links reach; kept marks it.  A text of no words, or null, has an empty set and its own
     doc_id.  Rows with one doc_id are one document to the links, which hold for the row of its set that has the least key.  Other
-    columns are ignored; an empty table gives no rows; a null doc_id links with nothing and stays null.
+    columns are ignored; an empty table gives no rows; a null doc_id links with nothing and stays null.  exact finds candidates by
+    shared shingles instead of sketches: no link can be missed, at a cost of a row for a quarter of all shingles.
     """
     sketched = written(sketch_documents(docs, width=width), "sketches")
     full = sketched.filter("set_key is not null and doc_id is not null")
-    classes = written(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
-    bands = classes.select("node", F.posexplode("sketch").alias("band", "key"))
+    classes = written(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "classes")
+    if exact:
+        every = written(shingle_rows(docs.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width=width), "sets")
+        bands = written(prefix_rows(every, percent), "prefixes").select("node", F.lit(0).alias("band"), "key")
+    else:
+        bands = classes.select("node", F.posexplode("sketch").alias("band", "key"))
     shared = bands.groupBy("band", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("band", "key").repartition("key")
     members = written(bands.join(shared, ["band", "key"]), "members")
     nodes = written(members.select("node").distinct(), "nodes")
@@ -268,11 +300,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, first
     placed = lambda: members.join(labels, "node")
     edges = written(confirm(hub_pairs(placed().filter(F.col("band") < first_bands), 1), sets, percent), "links")
     labels = relabel(labels, edges)
-    edges = written(confirm(hub_pairs(placed().filter(F.col("band").between(first_bands, second_bands - 1)), 2), sets, percent), "links")
-    labels = relabel(labels, edges)
-    near = components(apart_clusters(placed(), classes)).withColumnRenamed("comp", "cluster")
-    edges = written(cluster_links(labels.join(near, "node"), classes, sets, percent), "links")
-    labels = relabel(labels, edges)
+    if exact:
+        apart = placed().select("node", "comp", F.col("key").alias("cluster"))
+        edges = cluster_links(apart, classes, sets, percent, estimate=None)
+    else:
+        edges = written(confirm(hub_pairs(placed().filter(F.col("band").between(first_bands, second_bands - 1)), 2), sets, percent), "links")
+        labels = relabel(labels, edges)
+        near = components(apart_clusters(placed(), classes)).withColumnRenamed("comp", "cluster")
+        edges = cluster_links(labels.join(near, "node"), classes, sets, percent)
+    labels = relabel(labels, written(edges, "links"))
 
     of_class = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp")).repartition("comp")
     out = sketched.drop("sketch").join(of_class, "set_key", "left")

@@ -20,9 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.llm.shared import mapped, slices
+
 TIERS = (256, 512, 1024, 2048)
-#: Words whose ids a Python worker remembers; beyond that it starts anew.
+#: Words whose ids a task remembers, some 170 bytes each; beyond that it starts anew.
 CACHE_WORDS = 600_000
+#: Bytes of text that are lists of words at a time.
+SLICE_BYTES = 1 << 20
 WINDOW_TOKENS = 1 << 22
 WINDOW_DOCS = 8192
 GROUP_SEQUENCES = 32
@@ -119,9 +123,12 @@ class WordTokenizer:
         get = self.ids.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         if len(self.ids) > CACHE_WORDS:
-            self.ids = {"": b""}
+            self.forget()
         return out
 
+    def forget(self) -> None:
+        self.ids = {"": b""}
+
     def _learn(self, words: list[str]) -> None:
         """Adds the ids of new words.
 
@@ -207,8 +214,7 @@ def pack_documents(
         base = TaskContext.get().partitionId() << 40
         done, group, window, tokens = 0, 0, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
+            for some in slices(batch, rows=128, size=SLICE_BYTES):
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 for doc_id, ids in zip(some.column(0).to_pylist(), tokenize(texts), strict=True):
                     window.append((doc_id, ids + end))
@@ -218,5 +224,6 @@ def pack_documents(
                     done, group, window, tokens = done + made, group + made // GROUP_SEQUENCES + 1, [], 0
         if window:
             yield from emit(window, base + done, base + group)
+        tokenize.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm import bcr
-from casemill.llm.shared import blocks, filesystem, groups, put_whole, scratch, written
+from casemill.llm.shared import blocks, filesystem, groups, mapped, put_whole, scratch, written
 from casemill.llm.shingles import mix
 
 WIDTH, GRAM = 100, 20
@@ -181,7 +181,7 @@ def scan_runs(docs: DataFrame, folder: str, width: int, gram: int) -> DataFrame:
         put_whole(fs, f"{root}/part-{part:08d}.npy", lambda s: np.save(s, np.concatenate([*settled, np.zeros((0, 3), np.int64)])))
         yield from out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, ", ".join(f"{c} long" for c in columns))
 
 
 def _match(batches):
@@ -279,7 +279,7 @@ def _with_strings(found: DataFrame, folder: str, tasks: int, width: int, hot: in
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names)
 
-    return left.mapInArrow(run, "key long, doc long, start long, anchor long, at long, bytes binary")
+    return mapped(left, run, "key long, doc long, start long, anchor long, at long, bytes binary")
 
 
 def _shared(key: np.ndarray, context: list[bytes]) -> np.ndarray:
@@ -377,7 +377,7 @@ def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFra
         if held:
             yield from order()
 
-    return strings.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, "at long, start long, n long")
+    return mapped(strings.repartition(tasks, "key").sortWithinPartitions("key"), run, "at long, start long, n long")
 
 
 def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot: int = HOT_CONTENTS, with_text: bool = False) -> DataFrame:
@@ -393,7 +393,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     texts, orders = f"{folder}/texts", f"{folder}/orders"
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs_ = scan_runs(docs, texts, width, gram).repartition("key").sortWithinPartitions("key", "content", "doc", "start")
-    found = written(runs_.mapInArrow(_match, "kind int, key long, doc long, start long, n long, at long"), "matches")
+    found = written(mapped(runs_, _match, "kind int, key long, doc long, start long, n long, at long"), "matches")
     late = _ordered(_with_strings(found, texts, tasks, width, hot), orders, tasks, width)
     parts = _parts(texts)
     every = spark.range(0).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("at"), F.col("id").alias("start"), F.col("id").alias("n"))
@@ -436,4 +436,4 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
                 kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
 
-    return marks.mapInArrow(run, schema)
+    return mapped(marks, run, schema)

@@ -1,7 +1,7 @@
 """Files that every executor and the driver can reach, and small helpers for Python stages.
 
-All scratch lies below the folder that the cluster names in spark.checkpoint.dir.  Only where that setting is absent (tests,
-one machine) a folder of our own takes its place.  Files are written under a temporary name and renamed, so a task that is
+All scratch lies below the folder that the cluster names in spark.checkpoint.dir.  Only where that setting is absent and the
+master is one process (tests, one machine) a folder of our own takes its place; on a cluster its absence is an error.  Files are written under a temporary name and renamed, so a task that is
 run again replaces a file whole.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,9 @@ from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 _own: list[str] = []
 _made: list[list[str]] = []
 
@@ -24,6 +28,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="casemill-shared-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -78,6 +84,54 @@ def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(key), key).limit(most)
 
 
+def slices(batch, column: int = 1, *, rows: int = 512, size: int = 4 << 20):
+    """Parts of an Arrow batch of at most `rows` rows and `size` bytes of text in a column; a row that is larger stands alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < n:
+        before = int(ends[at - 1]) if at else 0
+        end = min(at + rows, n, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def release() -> None:
+    """Gives memory that a task's arrays held back to the system: a worker process serves many tasks, and idle ones keep theirs otherwise."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), with batches of bounded bytes and memory given back at the end of each task.
+
+    Spark cuts batches by rows, and by bytes only at 64 MB, which rows of long texts do reach; so the session's
+    spark.sql.execution.arrow.maxBytesPerBatch is lowered to BATCH_BYTES where it is larger or absent.
+    """
+    conf = df.sparkSession.conf
+    now = int(re.sub(r"\D*$", "", conf.get(BATCH_SETTING, None) or "0"))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI."""
     from pyarrow import fs

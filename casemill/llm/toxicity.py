@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import hash_sample, written
+from casemill.llm.shared import hash_sample, mapped, slices, written
 
 #: Labelled rows that are learned from, at most; those of least hash.
 SAMPLE = 30_000
@@ -26,8 +26,10 @@ PREFIXES = (6, 5, 4)
 PRIOR = 0.5
 LEAST_LOG_ODDS = 2.0
 TOXIC_AT = 0.7
-#: Words whose scores a Python worker remembers.
-CACHE_WORDS = 500_000
+#: Words whose scores a task remembers; some 100 bytes each.
+CACHE_WORDS = 200_000
+#: Bytes of text that are lists of words at a time.
+SLICE_BYTES = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -106,7 +108,7 @@ class Model:
         """-log of the least chance, over r, that clean text of this length has r segments that together score as the r best do."""
         excess = sorted((-math.log(max(e, 1e-300)) for *_, e in self.passages(text)), reverse=True)
         best, total = 0.0, 0.0
-        for r, x in enumerate(excess[:64], 1):
+        for r, x in enumerate(excess, 1):
             total += x
             if total <= 0:
                 break
@@ -151,8 +153,7 @@ def _token_sets(docs: DataFrame) -> DataFrame:
         from casemill.llm.shingles import shingle_sets
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch, 0, rows=256, size=SLICE_BYTES):
                 texts = some.column(0).to_pylist()
                 sets = shingle_sets([(t or "").encode() for t in texts])
                 family = [int(s[0]) - (1 << 63) if len(s) else 0 for s in sets]
@@ -162,7 +163,7 @@ def _token_sets(docs: DataFrame) -> DataFrame:
                     tokens.append(list(found | {f"{w[:n]}*" for w in found for n in PREFIXES if len(w) > n}))
                 yield pa.RecordBatch.from_arrays([some.column(1), pa.array(family, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], ["toxic", "family", "tokens"])
 
-    return docs.select("text", "toxic").mapInArrow(run, "toxic int, family long, tokens array<string>")
+    return mapped(docs.select("text", "toxic"), run, "toxic int, family long, tokens array<string>")
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: float = LEAST_LOG_ODDS, prior: float = PRIOR) -> Model:
@@ -174,7 +175,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: fl
     if not chosen:
         return Model({}, 0.0, -0.1)
     few = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "id long, toxic int")
-    texts = written(docs.join(F.broadcast(few), docs.doc_id == few.id).select(F.col("text").cast("string"), "toxic"), "labelled")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = written(rows.join(F.broadcast(few), "id").select("text", "toxic"), "labelled")  # few: bounded by `sample`
     sets = written(_token_sets(texts), "tokens")
     # one text of a family and label counts: near copies are no evidence of their own
     one = written(sets.groupBy("family", "toxic").agg(F.min("tokens").alias("tokens")), "families")
@@ -204,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: fl
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["evidence", "toxic"])
 
-    found = texts.mapInArrow(weigh, "evidence double, toxic int").toArrow()  # bounded by `sample`
+    found = mapped(texts, weigh, "evidence double, toxic int").toArrow()  # bounded by `sample`
     model.calibrate(found.column(0).to_pylist(), found.column(1).to_pylist())
     return model
 
@@ -222,8 +224,7 @@ def score_documents(docs: DataFrame, model: Model, *, toxic_at: float = TOXIC_AT
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in slices(batch, size=SLICE_BYTES):
                 texts = some.column(1).to_pylist()
                 columns, names = [*(c for i, c in enumerate(some.columns) if i != 1 or "text" in keep)], [n for i, n in enumerate(some.schema.names) if i != 1 or "text" in keep]
                 columns.append(pa.array([model.score(t) for t in texts], pa.float64()))
@@ -237,5 +238,5 @@ def score_documents(docs: DataFrame, model: Model, *, toxic_at: float = TOXIC_AT
 
     kept = [f for i, f in enumerate(base.schema.fields) if i != 1 or "text" in keep]
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    out = base.mapInArrow(run, f"{given}, {schema}")
+    out = mapped(base, run, f"{given}, {schema}")
     return out.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False))).withColumn("predicted", (F.col("score") >= toxic_at).cast("int"))

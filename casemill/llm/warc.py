@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import drop, filesystem, put_whole, scratch, written
+from casemill.llm.shared import drop, filesystem, mapped, put_whole, scratch, written
 
 MIN_REVISIT_BYTES = 1000
 #: Uncompressed bytes after which a writer starts its next archive.
@@ -84,7 +84,7 @@ def write_monolithic(records: DataFrame, folder: str, *, archive_bytes: int = AR
             yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": [count], "bytes": [fs.get_file_info(f"{root}/{name}").size]})
             k += 1
 
-    return written(records.mapInArrow(run, "archive string, records long, bytes long"), "warc-manifest")
+    return written(mapped(records, run, "archive string, records long, bytes long"), "warc-manifest")
 
 
 def inflate(read: Callable[[int], bytes]) -> Iterator[bytes]:
@@ -190,7 +190,7 @@ def normalise(spark: SparkSession, archives: DataFrame, folder: str, *, range_by
                         first, size = k + 1, 0
 
     n = max(1, archives.count())
-    return written(archives.select("archive").repartition(min(n, 10_000), "archive").mapInArrow(run, "archive string, first long, last long, bytes long"), "warc-ranges")
+    return written(mapped(archives.select("archive").repartition(min(n, 10_000), "archive"), run, "archive string, first long, last long, bytes long"), "warc-ranges")
 
 
 def _parse(member: bytes) -> dict:
@@ -237,7 +237,7 @@ def read_members(ranges: DataFrame, *, with_payload: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(rows, kinds)
 
     n = max(1, ranges.count())
-    return ranges.select("archive", "first", "last").repartition(min(n, 100_000)).mapInArrow(run, schema)
+    return mapped(ranges.select("archive", "first", "last").repartition(min(n, 100_000)), run, schema)
 
 
 def archive_pages(pages: DataFrame, *, min_bytes: int = MIN_REVISIT_BYTES, with_payload: bool = False) -> DataFrame:

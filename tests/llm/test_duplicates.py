@@ -47,8 +47,10 @@ def test_near_duplicates(docs_of):
     rows += [(500, None), (501, ""), (502, "a b"), (503, "A  b"), (504, " \t")]
     rng.shuffle(rows)
     want, sets = brute_components(rows)
-    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs_of([(i, t, "s", "en") for i, t in rows])).collect()}
+    frame = docs_of([(i, t, "s", "en") for i, t in rows])
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(frame).collect()}
     assert {i: r["component_id"] for i, r in got.items()} == want
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, exact=True).collect()} == want
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (i == want[i]) for i, r in got.items())
 
 
