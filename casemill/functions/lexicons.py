@@ -54,6 +54,14 @@ EVIDENCE_WORDS = (
     ("receipt", "receipts"), ("invoice", "invoices"), ("email", "correspondence"), ("message", "correspondence"), ("letter", "correspondence"),
     ("contract", "tenancy_agreement"), ("agreement", "tenancy_agreement"), ("certificate", "deposit_certificate"),
 )
+# Of an evidence file: words, words that refine the kind, the kind.
+EVIDENCE_RULES = (
+    (("inventory", "check-in", "checkin"), ((("out", "checkout", "check-out", "end"), "inventory_checkout"),), "inventory_checkin"),
+    (("photo", "picture", "image"), ((("before", "start", "move in", "movein"), "photos_before"),), "photos_after"),
+    (("receipt", "paid"), (), "receipts"), (("invoice", "bill", "quote"), (), "invoices"), (("email", "letter", "message", "correspondence"), (), "correspondence"),
+    (("tenancy", "agreement", "contract", "lease"), (), "tenancy_agreement"), (("deposit", "certificate", "protection"), (), "deposit_certificate"),
+)
+EVIDENCE_OTHER = "other"
 EVIDENCE_ISSUES = {
     "inventory_checkin": ("cleaning", "damage", "fair_wear_and_tear"), "inventory_checkout": ("cleaning", "damage", "fair_wear_and_tear"),
     "photos_before": ("cleaning", "damage", "decoration"), "photos_after": ("cleaning", "damage", "decoration"), "receipts": ("cleaning", "damage"),
@@ -84,6 +92,11 @@ def tier(text: Column, first: tuple[str, ...] = DEPOSIT_KEYWORDS, second: tuple[
     return F.when(hit(first), names[0]).when(hit(second), names[1]).otherwise(names[2])
 
 
+def category_flags(category: Column, first_hits: Column, second_hits: Column) -> dict[str, Column]:
+    """is_deposit_case, is_adjacent_case and all keywords, the first tier's before the second's."""
+    return {"is_deposit_case": category == "deposit", "is_adjacent_case": category == "adjacent", "all_keywords": F.concat(first_hits, second_hits)}
+
+
 def first_match(text: Column, words: tuple[tuple[str, str], ...]) -> Column:
     """The value of the first word, in the given order, that the text contains; null if none."""
     out = F.lit(None).cast("string")
@@ -99,16 +112,16 @@ def code_name(code: Column, names: dict[str, str]) -> Column:
 
 
 def evidence_type(text: Column) -> Column:
-    """The kind of an evidence file from its path, description and text, by ordered rules on substrings."""
+    """The kind of an evidence file from its path, description and text: the first rule of which a word occurs, and its first refinement."""
     low = F.lower(text)
-    any_of = lambda *words: F.greatest(*[F.contains(low, F.lit(w)) for w in words])
-    inventory = F.when(any_of("out", "checkout", "check-out", "end"), "inventory_checkout").otherwise("inventory_checkin")
-    photo = F.when(any_of("before", "start", "move in", "movein"), "photos_before").otherwise("photos_after")
-    out = F.when(any_of("inventory", "check-in", "checkin"), inventory).when(any_of("photo", "picture", "image"), photo)
-    out = out.when(any_of("receipt", "paid"), "receipts").when(any_of("invoice", "bill", "quote"), "invoices")
-    out = out.when(any_of("email", "letter", "message", "correspondence"), "correspondence")
-    out = out.when(any_of("tenancy", "agreement", "contract", "lease"), "tenancy_agreement")
-    return out.when(any_of("deposit", "certificate", "protection"), "deposit_certificate").otherwise("other")
+    any_of = lambda words: F.greatest(F.lit(False), *[F.contains(low, F.lit(w)) for w in words])
+    out = F.lit(EVIDENCE_OTHER)
+    for words, refined, kind in reversed(EVIDENCE_RULES):
+        value = F.lit(kind)
+        for inner, other in refined:
+            value = F.when(any_of(inner), other).otherwise(value)
+        out = F.when(any_of(words), value).otherwise(out)
+    return out
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -6,6 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Patterns of page fields, in the order in which they are tried.
+META_TITLE, META_DATE, META_ID = (rf'(?is)<meta\s+name="DC\.{name}"\s+content="([^"]*)"' for name in ("title", "date", "identifier"))
+TITLE, TITLE_CITATION, HEADING = r"(?is)<title[^>]*>(.*?)</title>", r"\s*\[?\d{4}\]?\s*UK\w+\s*\S+$", r"(?is)<h[12][^>]*>(.*?)</h[12]>"
+VERSUS, PAIR = r"(?i)^(.+?)\s+(?:vs?\.?|vs\.?)\s+(.+)", r"(?i)^(.+?)\s+(?:and|&)\s+(.+)"
+NEAR_DATES = (r"(\d{1,2}\s+\w+\s+\d{4})", r"(\d{1,2}/\d{1,2}/\d{4})", r"(\d{4}-\d{2}-\d{2})")
+DECISION_DATES = (
+    (r"(?i)(?:dated?|decided?)\s*:?\s*(\d{1,2}\s+\w+\s+\d{4})", "d MMMM yyyy"), (r"(?i)(?:dated?|decided?)\s*:?\s*(\d{1,2}/\d{1,2}/\d{4})", "d/M/yyyy"),
+    (r"(?i)decision\s+date\s*:?\s*(\d{1,2}\s+\w+\s+\d{4})", "d MMMM yyyy"),
+)
+JUDGES = (r"(?:Judge|Tribunal Judge|Deputy Judge)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", r"(?:Before|Presided by):\s*(?:Judge\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)")
+CASE_REFERENCE, IN_PARENTHESES = r"^[A-Z]{2,4}_", r"\(([^)]+)\)"
+# Ours: where an entry of a list page begins (the element around a link), and its link.
+ENTRY, ANCHOR = r"(?i)<(?:li|p|td|div|dd|dt)\b", r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+
+
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
@@ -42,9 +57,8 @@ def category_from_path(path: Column) -> Column:
 
 
 def html_title(html: Column) -> Column:
-    meta = _found(html, r'(?is)<meta\s+name="DC\.title"\s+content="([^"]*)"')
-    title = F.regexp_replace(F.trim(_found(html, r"(?is)<title[^>]*>(.*?)</title>")), r"\s*\[?\d{4}\]?\s*UK\w+\s*\S+$", "")
-    return F.coalesce(meta, F.nullif(title, F.lit("")), F.trim(_found(html, r"(?is)<h[12][^>]*>(.*?)</h[12]>")))
+    title = F.regexp_replace(F.trim(_found(html, TITLE)), TITLE_CITATION, "")
+    return F.coalesce(_found(html, META_TITLE), F.nullif(title, F.lit("")), F.trim(_found(html, HEADING)))
 
 
 def html_text(html: Column) -> Column:
@@ -62,28 +76,70 @@ def html_links(html: Column) -> Column:
 
 def parties(title: Column) -> Column:
     """`A v B` from "v", "v." or "vs"; else `A & B` from "and" or "&"; null if neither."""
-    versus, pair = r"(?i)^(.+?)\s+(?:vs?\.?|vs\.?)\s+(.+)", r"(?i)^(.+?)\s+(?:and|&)\s+(.+)"
     join = lambda p, mid: F.concat(F.trim(F.regexp_extract(title, p, 1)), F.lit(mid), F.trim(F.regexp_extract(title, p, 2)))
-    return F.when(title.rlike(versus), join(versus, " v ")).when(title.rlike(pair), join(pair, " & "))
+    return F.when(title.rlike(VERSUS), join(VERSUS, " v ")).when(title.rlike(PAIR), join(PAIR, " & "))
 
 
 def near_date(text: Column) -> Column:
     """The first date as written, trying each form in order."""
-    return F.coalesce(_found(text, r"(\d{1,2}\s+\w+\s+\d{4})"), _found(text, r"(\d{1,2}/\d{1,2}/\d{4})"), _found(text, r"(\d{4}-\d{2}-\d{2})"))
+    return F.coalesce(*[_found(text, p) for p in NEAR_DATES])
 
 
-def decision_date(text: Column) -> Column:
-    words = _found(text, r"(?i)(?:dated?|decided?)\s*:?\s*(\d{1,2}\s+\w+\s+\d{4})")
-    digits = _found(text, r"(?i)(?:dated?|decided?)\s*:?\s*(\d{1,2}/\d{1,2}/\d{4})")
-    label = _found(text, r"(?i)decision\s+date\s*:?\s*(\d{1,2}\s+\w+\s+\d{4})")
-    return F.coalesce(F.try_to_date(words, "d MMMM yyyy"), F.try_to_date(digits, "d/M/yyyy"), F.try_to_date(label, "d MMMM yyyy"))
+def decision_date(text: Column, html: Column | None = None) -> Column:
+    """The date that the page's head gives in ISO form, else the first labelled one of the text that is a date."""
+    meta = [F.try_to_date(_found(html, META_DATE), "yyyy-MM-dd")] if html is not None else []
+    return F.coalesce(*meta, *[F.try_to_date(_found(text, p), form) for p, form in DECISION_DATES])
 
 
 def judge(text: Column) -> Column:
-    return F.coalesce(
-        _found(text, r"(?:Judge|Tribunal Judge|Deputy Judge)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"),
-        _found(text, r"(?:Before|Presided by):\s*(?:Judge\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"),
-    )
+    return F.coalesce(*[_found(text, p) for p in JUDGES])
+
+
+def neutral_citation(html: Column, text: Column, ref: Column, year: Column) -> Column:
+    """The head's identifier, else the citation of this year and reference as the text writes it, else one made of both."""
+    made = F.concat(F.lit("["), year.cast("string"), F.lit("] UKFTT "), ref)
+    quoted = F.regexp_replace(ref, r"([^A-Za-z0-9_])", r"\\$1")
+    written = F.regexp_substr(text, F.concat(F.lit(r"(?i)\["), year.cast("string"), F.lit(r"\]\s*UKFTT\s+"), quoted))
+    return F.coalesce(_found(html, META_ID), written, made)
+
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """href as seen from the page at base: whole, from the site's root, or beside the page."""
+    site, beside = F.regexp_extract(base, r"^([a-z]+://[^/]+)", 1), F.regexp_extract(base, r"^(.*/)", 1)
+    return F.when(href.rlike(r"^[a-z]+:"), href).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(beside, href))
+
+
+def pdf_link(html: Column, base: Column) -> Column:
+    """The first link to a .pdf, as an absolute URL; null where there is none."""
+    return absolute_url(base, F.try_element_at(F.filter(html_links(html), lambda h: h.endswith(".pdf")), F.lit(1)))
+
+
+def index_entries(html: Column, year: Column) -> Column:
+    """array<struct<case_reference, href, title, near_date, category_text>> of a year's list page, in order.
+
+    A link counts if it ends in .html, an absolute path has the year in it, and its file is named like a reference.  The title is the link's
+    text, or the first 200 characters of its element's where that has three or fewer; date and category come from the element's text.
+    """
+    def of_link(href: Column, inside: Column, around: Column) -> Column:
+        ref, said = F.replace(F.try_element_at(F.split(href, "/"), F.lit(-1)), F.lit(".html"), F.lit("")), html_text(inside)
+        counts = href.endswith(".html") & (~href.startswith("/") | href.contains(F.concat(F.lit("/"), year.cast("string"), F.lit("/")))) & ref.rlike(CASE_REFERENCE)
+        title = F.when(F.length(said) > 3, said).otherwise(F.nullif(F.substring(around, 1, 200), F.lit("")))
+        return F.when(counts, F.struct(ref.alias("case_reference"), href.alias("href"), title.alias("title"), near_date(around).alias("near_date"), _found(around, IN_PARENTHESES).alias("category_text")))
+
+    def of_element(part: Column) -> Column:
+        around = html_text(F.concat(F.lit("<"), part))
+        return F.zip_with(F.regexp_extract_all(part, F.lit(ANCHOR), F.lit(1)), F.regexp_extract_all(part, F.lit(ANCHOR), F.lit(2)), lambda href, inside: of_link(href, inside, around))
+
+    return F.array_compact(F.flatten(F.transform(F.split(html, ENTRY), of_element)))
+
+
+def index_row(*, base: Column, path: Column, year: Column) -> list[Column]:
+    """Of a case row (case_reference, title, decision_date, case_type_name): the six light columns of an index entry."""
+    ref = F.col("case_reference")
+    return [
+        ref, F.col("title"), F.date_format("decision_date", "yyyy-MM-dd").alias("decision_date"), F.col("case_type_name").alias("category_text"),
+        case_url(base, path, year, ref).alias("html_url"), case_url(base, path, year, ref, "pdf").alias("pdf_url"),
+    ]
 
 
 def parse_date(text: Column) -> Column:

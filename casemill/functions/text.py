@@ -30,10 +30,21 @@ NOT_TOKEN = r"[^\p{L}\p{N}_\s-]"
 SENTENCE_CUT = r"([.!?])\s+([A-Z])"
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def fix_encoding(text: Column) -> Column:
-    for old, new in ENCODING:
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return text
+    """The replacements in their order; a text without any of their first letters is left as it is."""
+
+    def replaced(t: Column) -> Column:
+        for old, new in ENCODING:
+            t = F.replace(t, F.lit(old), F.lit(new))
+        return t
+
+    odd = F.translate(text, "".join(sorted({old[0] for old, _ in ENCODING})), "")
+    return F.when(F.length(odd) == F.length(text), text).otherwise(replaced(text))
 
 
 def remove_noise(text: Column, *, preserve_paragraphs: bool = False) -> Column:
@@ -66,10 +77,17 @@ def pii_counts(text: Column) -> dict[str, Column]:
 
 
 def detect_pii(text: Column) -> Column:
-    """array<struct<kind, text>> over the raw text, by kind and then position; kinds may overlap."""
+    """array<struct<kind, text, start, end>> over the raw text, by kind and then position; kinds may overlap.  Offsets count characters from 0."""
 
     def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+        found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+        size = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + F.length(x))
+
+        def one(x: Column, k: Column) -> Column:
+            start = size(F.slice(between, 1, k + 1)) + size(F.slice(found, 1, k))
+            return F.struct(F.lit(kind).alias("kind"), x.alias("text"), start.alias("start"), (start + F.length(x)).alias("end"))
+
+        return F.transform(found, one)
 
     return F.concat(*[of(kind, pattern) for kind, pattern, _ in PII])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import text as T
@@ -17,26 +17,46 @@ HEADINGS = {
 CHUNK_TOKENS, OVERLAP_TOKENS = 500, 50
 
 
-def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, section, ord, body): text between headings, in section order; of a repeated section the last with a body; else all as unknown.
+def section_list(text: Column) -> Column:
+    """array<struct<section, ord, body>> of a text: what stands between headings, in section order; of a repeated section the last with a
+    body; else all as unknown (ord 0).  A blank or null text has none.  Row-local: nothing is shuffled."""
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.split(whole, "\n")
 
-    Lines carry the heading above them (an island each), so a document's lines alone meet in a task.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("whole"))
-    lines = rows.select("id", F.posexplode(F.split("whole", "\n")).alias("pos", "line"))
-    kind = F.lit(None).cast("string")
-    for name, (plain, numbered) in reversed(HEADINGS.items()):
-        kind = F.when(F.col("line").rlike(rf"(?i)^\s*(?:{plain})\s*$|^\s*\d+\.\s*(?:{numbered})\s*$"), name).otherwise(kind)
-    upto = Window.partitionBy("id").orderBy("pos")
-    lines = lines.withColumn("head", kind).withColumn("island", F.count("head").over(upto)).withColumn("section", F.last("head", True).over(upto))
-    bodies = lines.filter("head is null and section is not null").groupBy("id", "section", "island").agg(
-        T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("body")
-    )
-    last = bodies.filter("body <> ''").groupBy("id", "section").agg(F.max_by("body", "island").alias("body"))
-    names = list(HEADINGS)
-    found = last.withColumn("ord", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("section")).cast("int"))
-    rest = rows.join(last.select("id").distinct(), "id", "left_anti").select("id", F.lit("unknown").alias("section"), T.strip(F.col("whole")).alias("body"), F.lit(0).alias("ord"))
-    return found.select("id", "section", "ord", "body").unionByName(rest.filter("body <> ''").select("id", "section", "ord", "body"))
+    def kind(line: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, (plain, numbered) in reversed(HEADINGS.items()):
+            out = F.when(line.rlike(rf"(?i)^\s*(?:{plain})\s*$|^\s*\d+\.\s*(?:{numbered})\s*$"), name).otherwise(out)
+        return out
+
+    marked = F.filter(F.transform(lines, lambda x, i: F.struct(kind(x).alias("section"), i.alias("at"))), lambda x: x["section"].isNotNull())
+
+    def bodies(heads: Column) -> Column:
+        def body(x: Column, k: Column) -> Column:
+            until = F.coalesce(F.get(heads, k + 1)["at"], F.size(lines))
+            return F.struct(x["section"].alias("section"), T.strip(F.array_join(F.slice(lines, x["at"] + 2, until - x["at"] - 1), "\n")).alias("body"))
+
+        return F.filter(F.transform(heads, body), lambda x: x["body"] != "")
+
+    def last(found: Column) -> Column:
+        def of(name: str, place: int) -> Column:
+            own = F.try_element_at(F.filter(found, lambda x: x["section"] == name), F.lit(-1))
+            return F.when(own.isNotNull(), F.struct(F.lit(name).alias("section"), F.lit(place).alias("ord"), own["body"].alias("body")))
+
+        return F.array_compact(F.array(*[of(name, k + 1) for k, name in enumerate(HEADINGS)]))
+
+    everything = F.struct(F.lit("unknown").alias("section"), F.lit(0).alias("ord"), T.strip(whole).alias("body"))
+    rest = F.filter(F.array(everything), lambda x: x["body"] != "")
+    # most texts have no heading at all: one search of the text tells
+    any_heading = "|".join(f"(?:\\d+\\.\\s*)?(?:{plain}|{numbered})" for plain, numbered in HEADINGS.values())
+    found = F.get(F.transform(F.array(F.get(F.transform(F.array(marked), bodies), F.lit(0))), last), F.lit(0))
+    found = F.when(whole.rlike(rf"(?im)^\s*(?:{any_heading})\s*$"), found).otherwise(F.slice(F.array(everything), 1, 0))
+    return F.get(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(rest)), F.lit(0))
+
+
+def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, section, ord, body): a row for each section of section_list()."""
+    return docs.select(F.col(id_col).alias("id"), F.explode(section_list(F.col(text_col))).alias("s")).select("id", "s.section", "s.ord", "s.body")
 
 
 def token_windows(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,27 +100,36 @@ def pack_sentences(counts: list[int], size: int, overlap: int) -> list[list[int]
 
 
 def chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk_id, id, chunk_index, section, text, token_count): sections in order, sentences packed by tokens, ids numbered over the document."""
-    rows = sections(docs, id_col, text_col).withColumn("sents", T.sentences(F.col("body"))).withColumn("counts", F.transform("sents", lambda s: T.token_count(s)))
+    """(chunk_id, id, chunk_index, section, text, token_count): sections in order, sentences packed by tokens, ids numbered over the document.
+
+    A document is one row, so nothing is shuffled: sentences and their tokens are counted in the row, and one Arrow pass packs them.
+    """
+    parted = docs.select(F.col(id_col).alias("id"), section_list(F.col(text_col)).alias("parts"))
+    parted = parted.select("id", "parts.section", F.transform("parts.body", T.sentences).alias("sents"))
+    parted = parted.select("id", "section", F.transform("sents", lambda s: F.array_join(s, "\u0001")).alias("sents"), F.transform("sents", lambda s: F.transform(s, T.token_count)).alias("counts"))
 
     def fold(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                pos = 0
-                for part in pack_sentences(r["counts"], size, overlap):
-                    words = r["sents"][part[0]].split() if len(part) == 1 and r["counts"][part[0]] > size else None
-                    texts = [" ".join(words[a : a + size]) for a in range(0, len(words), size - overlap)] if words else [" ".join(r["sents"][k] for k in part)]
-                    for t in texts:
-                        out.append({"id": r["id"], "ord": r["ord"], "pos": pos, "section": r["section"], "text": t})
-                        pos += 1
-            kinds = pa.schema([("id", batch.schema.field("id").type), ("ord", pa.int32()), ("pos", pa.int32()), ("section", pa.string()), ("text", pa.string())])
-            yield pa.RecordBatch.from_pylist(out, kinds)
-
-    kind = rows.schema["id"].dataType.simpleString()
-    packed = rows.select("id", "ord", "section", "sents", "counts").mapInArrow(fold, f"id {kind}, ord int, pos int, section string, text string")
-    order = Window.partitionBy("id").orderBy("ord", "pos")
-    packed = packed.withColumn("chunk_index", F.row_number().over(order) - 1)
-    return packed.select(F.concat_ws("_", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "id", "chunk_index", "section", "text", T.token_count(F.col("text")).alias("token_count"))
+            for doc, names, bodies, counted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                index = 0
+                for name, body, counts in zip(names, bodies, counted, strict=True):
+                    sents = body.split("\x01")
+                    for part in pack_sentences(counts, size, overlap):
+                        if len(part) == 1 and counts[part[0]] > size:
+                            words = sents[part[0]].split()
+                            made = [(" ".join(words[a : a + size]), None) for a in range(0, len(words), size - overlap)]
+                        else:
+                            made = [(" ".join(sents[k] for k in part), sum(counts[k] for k in part))]
+                        for text, n in made:
+                            out.append((doc, index, name, text, n))
+                            index += 1
+            kinds = (batch.schema.field("id").type, pa.int32(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds, strict=True)], ["id", "chunk_index", "section", "text", "n"])
+
+    kind = parted.schema["id"].dataType.simpleString()
+    packed = parted.select("id", "section", "sents", "counts").mapInArrow(fold, f"id {kind}, chunk_index int, section string, text string, n int")
+    count = F.coalesce("n", T.token_count(F.col("text")))  # tokens never span the space between sentences; windows of words are counted anew
+    return packed.select(F.concat_ws("_", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "id", "chunk_index", "section", "text", count.alias("token_count"))

@@ -25,21 +25,23 @@ class HashedWords:
         self.dims = dims
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        import zlib
+        import hashlib
 
         import numpy as np
 
         out = np.zeros((len(texts), self.dims))
+        place = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dims for w in {w for t in texts for w in (t or "").lower().split()}}
         for row, text in zip(out, texts, strict=True):
-            for word in (text or "").lower().split():
-                h = zlib.crc32(word.encode())
-                row[h % self.dims] += 1
+            np.add.at(row, [place[w] for w in (text or "").lower().split()], 1)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
 
 def embed(rows: DataFrame, provider: Embedder, id_col: str, text_col: str, batch: int = 50) -> DataFrame:
-    """(id, embedding): texts in batches of the provider's size; Spark retries a failed task."""
+    """(id, embedding): texts in batches of the provider's size, in their order; Spark retries a failed task.
+
+    A provider that gives another number of vectors than it got texts is an error.
+    """
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -48,7 +50,10 @@ def embed(rows: DataFrame, provider: Embedder, id_col: str, text_col: str, batch
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 some = b.slice(at, batch)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(provider.embed(some.column(1).to_pylist()), pa.list_(pa.float64()))], ["id", "embedding"])
+                vectors = provider.embed(some.column(1).to_pylist())
+                if len(vectors) != some.num_rows:
+                    raise ValueError(f"{some.num_rows} texts gave {len(vectors)} vectors")
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(vectors, pa.list_(pa.float64()))], ["id", "embedding"])
 
     return rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, embedding array<double>")
 

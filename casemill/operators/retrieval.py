@@ -1,7 +1,7 @@
 """Hybrid retrieval: postings and BM25, exact cosine, reciprocal-rank fusion, feature re-ranking, confidence.
 
-Every operator takes a frame of queries and answers all of them in one lazy plan.  Query frames are stated sets; the side that grows
-with the corpus is never broadcast.
+Every operator takes a frame of queries and answers all of them at once.  Query frames are stated sets; the side that grows with the
+corpus is never broadcast, and queries only up to a stated number.
 """
 
 from __future__ import annotations
@@ -13,38 +13,36 @@ from casemill.functions import lexicons, text
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, SEMANTIC_WEIGHT, KEYWORD_WEIGHT, MISSING_RANK = 60, 0.7, 0.3, 999
+#: Queries of a cosine search that are broadcast together.
+QUERY_BLOCK = 1024
 FACTORS = {"issue": 0.4, "temporal": 0.2, "region": 0.1, "evidence": 0.2, "fused": 0.1}
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf, len): one row a document and term; the term count is combined before the shuffle."""
-    rows = docs.select(F.col(id_col).alias("id"), text.tokens(F.col(text_col)).alias("t"))
-    rows = rows.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    # the tokens are evaluated once, in the generator
+    counted = F.get(F.transform(F.array(text.tokens(F.col(text_col))), lambda t: F.transform(t, lambda w: F.struct(w.alias("term"), F.size(t).alias("len")))), 0)
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(counted).alias("w")).select("id", "w.term", "w.len")
     return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def index_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_docs, avg_tokens, total_tokens."""
+def index_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ref_col: str | None = None) -> DataFrame:
+    """n_docs, avg_tokens, total_tokens and, with ref_col, unique_refs."""
     n = F.size(text.tokens(F.col(text_col)))
-    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(n), F.lit(0.0)).alias("avg_tokens"), F.coalesce(F.sum(n), F.lit(0)).alias("total_tokens"))
+    refs = [F.count_distinct(ref_col).alias("unique_refs")] if ref_col else []
+    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(n), F.lit(0.0)).alias("avg_tokens"), F.coalesce(F.sum(n), F.lit(0)).alias("total_tokens"), *refs)
 
 
-def inverse_frequencies(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf): negative ones become EPSILON times the mean over the vocabulary, negatives included."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(stats.select("n_docs"))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats: one row
-    mean = raw.agg((F.lit(EPSILON) * F.avg("raw")).alias("low"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))  # one row
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, score, rank) of the k best documents a query (query_id, query); repeated query terms count; ties by id; scores above 0.
 
+    Builds an index for this search alone; keep a KeywordIndex where there is more than one.
+    """
+    from casemill.operators.index import KeywordIndex
+    from casemill.sources.scratch import folder
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score, rank) of the k best documents a query (query_id, query); repeated query terms count; ties by id; scores above 0."""
-    posts, stats = postings(docs, id_col, text_col), index_stats(docs, id_col, text_col)
-    asked = queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("asked"))
-    hits = posts.join(asked, "term").join(inverse_frequencies(posts, stats), "term").join(F.broadcast(stats.select("avg_tokens")))  # one row
-    part = F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_tokens")))
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
-    return top(scored, k)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return KeywordIndex(docs.sparkSession, folder(docs.sparkSession, "keywords"), lite=True, id_type=kind).build(docs, id_col=id_col, text_col=text_col).search(queries, k)
 
 
 def top(scored: DataFrame, k: int, by: str = "score", tie: str = "id") -> DataFrame:
@@ -80,9 +78,19 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, *, filters: dict
     rows = vectors.filter(where(filters)) if filters else vectors
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.sqrt(dot(F.col(vector_col), F.col(vector_col))).alias("n"))
     asked = queries.select("query_id", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("m"))
-    # a stated set of queries against all rows
     score = F.when(F.col("n") * F.col("m") == 0, 0.0).otherwise(dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("m")))
-    return top(rows.join(F.broadcast(asked)).select("query_id", "id", F.round(score, 6).alias("score")), k)
+    few = asked.limit(QUERY_BLOCK + 1).count()
+    if few <= QUERY_BLOCK:
+        met = rows.crossJoin(F.broadcast(asked))  # a stated set of at most QUERY_BLOCK queries against all rows
+    else:
+        # more queries are cut into blocks of that size, and each block meets every row in a task of its own slice of them
+        blocks = -(-asked.count() // QUERY_BLOCK)
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        slices = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        rows = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("block", every(blocks))
+        met = rows.join(asked.withColumn("slice", every(slices)), ["block", "slice"])
+    return top(met.select("query_id", "id", F.round(score, 6).alias("score")), k)
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
@@ -122,23 +130,39 @@ def rerank(results: DataFrame, k: int, *, as_of_year: int, issues: dict, evidenc
     return rows.withColumn("rerank_rank", F.row_number().over(order)).filter(F.col("rerank_rank") <= k)
 
 
-def confidence(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """One row a query of the stated frame: confidence, is_uncertain, reason, n_results; queries without results stay, with 0."""
+# Why a confidence is low.
+NOT_BUILT, NO_CANDIDATES, NO_RESULTS = "Index not built. Run ingest first.", "No matching cases found in the database.", "No matching cases found."
+NOVEL = "No sufficiently similar cases found. Your situation may be novel or the query needs refinement."
+FEW, LOW = "Few relevant cases found. Results should be interpreted with caution.", "Low confidence in results. Consider consulting a legal professional."
+
+
+def enrich(fused: DataFrame, texts: DataFrame) -> DataFrame:
+    """fused rows with text and metadata (id, text, case_reference, section, year, region) from the store; what it lacks has its default."""
+    rows = fused.join(texts, "id", "left")
+    defaults = {"text": "", "case_reference": "", "section": "unknown", "year": 0, "region": ""}
+    return rows.fillna({c: v for c, v in defaults.items() if c in rows.columns})
+
+
+def confidence(results: DataFrame, queries: DataFrame, candidates: DataFrame | None = None, *, built: bool = True) -> DataFrame:
+    """One row a query of the stated frame: confidence, is_uncertain, reason, n_results; queries without results stay, with 0.
+
+    The reason of such a query tells an index that is not built from no candidates (query_id; None: not known) and no results.
+    """
     best3 = F.when(F.col("rerank_rank") <= 3, F.col("fused"))
     per = results.groupBy("query_id").agg(
         F.count("*").alias("n_results"), F.max_by("semantic_score", -F.col("rerank_rank")).alias("top"), (F.max(best3) - F.min(best3)).alias("spread"),
         F.count_if(F.col("semantic_score") >= 0.4).alias("good"),
     )
     rows = queries.select("query_id").join(per, "query_id", "left")
+    found = candidates.select("query_id").distinct().withColumn("found", F.lit(True)) if candidates is not None else queries.select("query_id").distinct().withColumn("found", F.lit(True))
+    rows = rows.join(found, "query_id", "left")
     a = F.when(F.col("top") >= 0.7, 1.0).when(F.col("top") >= 0.5, 0.7).when(F.col("top") >= 0.3, 0.4).otherwise(0.2)
     b = F.when(F.col("n_results") < 3, 0.5).when(F.col("spread") < 0.1, 0.8).when(F.col("spread") < 0.2, 0.6).otherwise(0.4)
     c = F.when(F.col("good") >= 4, 1.0).when(F.col("good") >= 2, 0.7).when(F.col("good") >= 1, 0.4).otherwise(0.1)
     rows = rows.withColumn("confidence", F.when(F.col("n_results").isNull(), 0.0).otherwise(F.round((a + b + c) / 3, 6)))
-    why = F.when(F.col("n_results").isNull(), "No results found").when(F.col("top") < 0.3, "No sufficiently similar cases found").when(F.col("good") < 2, "Too few good matches")
-    return rows.select(
-        "query_id", F.coalesce("n_results", F.lit(0)).alias("n_results"), "confidence", (F.col("confidence") < 0.5).alias("is_uncertain"),
-        F.when(F.col("confidence") < 0.5, F.coalesce(why, F.lit("Low confidence in the matches"))).alias("reason"),
-    )
+    nothing = F.lit(NOT_BUILT) if not built else F.when(F.col("found").isNull(), NO_CANDIDATES).otherwise(NO_RESULTS)
+    why = F.when(F.col("n_results").isNull(), nothing).when(F.col("top") < 0.3, NOVEL).when(F.col("good") < 2, FEW).otherwise(LOW)
+    return rows.select("query_id", F.coalesce("n_results", F.lit(0)).alias("n_results"), "confidence", (F.col("confidence") < 0.5).alias("is_uncertain"), F.when(F.col("confidence") < 0.5, why).alias("reason"))
 
 
 def abstain(conf: Column, uncertain: Column, n: Column, *, least: float = 0.5, fewest: int = 3) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,44 @@ def rollup(rows: DataFrame, *keys: str) -> DataFrame:
 
 def most_common(rows: DataFrame, key: str, k: int = 10) -> DataFrame:
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)
+
+
+def collection(chunks: DataFrame, ref: str = "case_reference", case_type: str = "case_type", k: int = 10) -> DataFrame:
+    """One row: chunks, cases, avg_chunks (2 places, 0 for none), years and regions (sorted, blank ones left out), top_types (the k commonest).
+
+    Years, regions and types are names, few at any size; the cases are counted distinct.
+    """
+    named = lambda c: F.array_sort(F.collect_set(F.when(F.col(c).cast("string") != "", F.col(c))))
+    whole = chunks.agg(F.count("*").alias("chunks"), F.count_distinct(ref).alias("cases"), named("year").alias("years"), named("region").alias("regions"))
+    types = chunks.filter(F.col(case_type) != "").groupBy(case_type).agg(F.count("*").alias("n")).orderBy(F.desc("n"), case_type).limit(k)
+    top = types.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(case_type).alias("t")))), lambda x: x["t"]).alias("top_types"))
+    rows = whole.crossJoin(top)  # one row each
+    return rows.withColumn("avg_chunks", F.round(F.coalesce(F.try_divide(F.col("chunks").cast("double"), F.col("cases")), F.lit(0.0)), 2))
+
+
+def running_mean(log: DataFrame, value: str, order: str) -> DataFrame:
+    """The log of queries with the mean of a value up to each; a log is read by one task only after the sums of its days."""
+    days = log.groupBy(F.to_date(order).alias("_day")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_day", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    inside = Window.partitionBy("_day").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.withColumn("_day", F.to_date(order)).join(days, "_day")
+    mean = (F.col("_s0") + F.sum(value).over(inside)) / (F.col("_n0") + F.count(value).over(inside))
+    return rows.withColumn("running_mean", mean).drop("_day", "_s0", "_n0")
+
+
+def usage(log: DataFrame, *metrics: str, key: str = "component") -> DataFrame:
+    """(component, calls, failed, and the sum of each metric) of a log of calls; a new log starts the counts anew."""
+    return log.groupBy(key).agg(F.count("*").alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failed"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in metrics])
+
+
+def mean_confidence(scores: Column) -> Column:
+    """The mean of a map's values, 0 where it is empty or null."""
+    values = F.coalesce(F.map_values(scores), F.array().cast("array<double>"))
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)).otherwise(0.0)
+
+
+def ingestion(status: DataFrame) -> DataFrame:
+    """One row: total, processed, skipped, failed, chunks, of rows (status, chunks)."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return status.agg(F.count("*").alias("total"), of("processed"), of("skipped"), of("failed"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,8 +13,10 @@ def upsert(rows: DataFrame, key: str, seq: str, keep_first: list[str]) -> DataFr
     return rows.groupBy(key).agg(*[(F.min_by if c in keep_first else F.max_by)(c, order).alias(c) for c in others])
 
 
-def update(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """rows with the non-null values of changes (unique by key) in place of their own."""
+def update(rows: DataFrame, changes: DataFrame, key: str, *, stamp: tuple[str, Column] | None = None) -> DataFrame:
+    """rows with the non-null values of changes (unique by key) in place of their own; stamp (column, time) is set where the new status is complete."""
+    if stamp:
+        changes = changes.withColumn(stamp[0], F.when(F.col("status") == "complete", stamp[1]))
     new = changes.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in changes.columns if c != key])
     joined = rows.join(new, rows[key] == new["_k"], "left")
     return joined.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in changes.columns and c != key else F.col(c) for c in rows.columns])
@@ -29,6 +31,16 @@ def delete(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return unseen(rows, keys, key)
 
 
+def delete_cascading(keys: DataFrame, key: str, **tables: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the rows of the keys; all of them have the key column (a case with its session, a dispute with its indexes, evidence with its metadata)."""
+    return {name: delete(rows, keys, key) for name, rows in tables.items()}
+
+
+def deleted(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, deleted): whether there was anything to delete."""
+    return keys.select(key).distinct().join(rows.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left").select(key, F.col("_k").isNotNull().alias("deleted"))
+
+
 def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, side): keys of only one of both."""
     left, right = a.select(key).distinct(), b.select(key).distinct()
@@ -50,6 +62,15 @@ def export(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def export_ordered(rows: DataFrame, exported_at: Column, *, year: str = "year", key: str = "case_reference") -> tuple[DataFrame, DataFrame]:
+    """(envelope, lines): one row with exported_at and total, and a JSON line a row, latest year first and then by key.
+
+    The lines are a sorted table, not one value: an export of any size is written by all tasks.
+    """
+    lines = rows.orderBy(F.desc_nulls_last(year), key).select(F.to_json(F.struct(*rows.columns)).alias("json"))
+    return rows.agg(F.count("*").alias("total")).select(exported_at.alias("exported_at"), "total"), lines
+
+
 def quarantine(rows: DataFrame, rules: dict) -> tuple[DataFrame, DataFrame]:
     """(good, bad): bad has the names of the failed rules (name: condition that must hold; null fails)."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from casemill.functions import lexicons, records
 from casemill.functions import text as T
 from casemill.operators import chunking, embed, graph, intake, predict, retrieval, stats, store
-from casemill.session import table
+from casemill.operators.index import KeywordIndex
+from casemill.session import dealt, table
+from casemill.sources.scratch import folder
 from casemill.streaming import windows
 
 ASKED = ((1, "the of tion", "LON"), (2, "la de le que", "CHI"), (3, "und der die", "MAN"))
@@ -34,7 +36,7 @@ def asked(spark: SparkSession) -> DataFrame:
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """documents with an invented year and region each."""
     areas = F.array(*[F.lit(a) for a in AREAS])
-    return table(spark, d, "documents").withColumns({"year": (2005 + F.col("doc_id") % 20).cast("int"), "region": F.element_at(areas, (F.col("doc_id") % 5 + 1).cast("int"))})
+    return dealt(table(spark, d, "documents")).withColumns({"year": (2005 + F.col("doc_id") % 20).cast("int"), "region": F.element_at(areas, (F.col("doc_id") % 5 + 1).cast("int"))})
 
 
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -57,16 +59,19 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 7 != 0, F.col("o_totalprice")).alias("deposit_amount"), (k % 2 == 1).alias("deposit_protected"), F.date_add(start, (k % 60).cast("int")).alias("protection_date"),
         F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(issue)).alias("issues"),
         F.array(F.struct(F.lit("e1").alias("id"), F.element_at(kinds, (k % 3 + 1).cast("int")).alias("type"), F.lit("x").alias("description"))).alias("evidence"),
-        F.array(claim).alias("claims"), F.array().cast("array<struct<type:string,date:date,description:string>>").alias("events"),
+        F.array(claim).alias("claims"), F.array(F.struct(F.lit("inspection").alias("type"), F.date_add(start, (k % 10 - 5).cast("int")).alias("date"), F.lit("x").alias("description"))).alias("events"),
     )
 
 
 CASES_SQL = """
-c AS (SELECT o_orderkey AS k, o_custkey, o_totalprice, o_orderdate::DATE AS s, o_orderdate::DATE + CAST((o_orderkey % 4 - 1) * 180 AS INTEGER) AS e, o_orderdate::DATE + CAST(o_orderkey % 60 AS INTEGER) AS p,
+c AS (SELECT o_orderkey AS k, o_custkey, o_totalprice, o_orderdate::DATE AS s, o_orderdate::DATE + CAST((o_orderkey % 4 - 1) * 180 AS INTEGER) AS e, o_orderdate::DATE + CAST(o_orderkey % 60 AS INTEGER) AS p, o_orderdate::DATE + CAST(o_orderkey % 10 - 5 AS INTEGER) AS v,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE ['cleaning','damage','deposit_protection','garden'][o_orderkey % 4 + 1] END AS issue,
   ['cleaning','damage','deposit_protection','garden'][o_orderkey % 3 + 1] AS other, ['receipts','deposit_certificate','correspondence'][o_orderkey % 3 + 1] AS kind FROM orders),
-r AS (SELECT *, issue IS NOT NULL AND (kind = 'correspondence' OR (kind = 'receipts' AND issue IN ('cleaning','damage')) OR (kind = 'deposit_certificate' AND issue = 'deposit_protection')) AS covered FROM c)
+r AS (SELECT *, issue IS NOT NULL AND (kind = 'correspondence' OR (kind = 'receipts' AND issue IN ('cleaning','damage')) OR (kind = 'deposit_certificate' AND issue = 'deposit_protection')) AS covered,
+  CASE WHEN k % 2 = 0 THEN 'tenant' ELSE 'landlord' END AS me, CASE WHEN k % 2 = 0 THEN 'landlord' ELSE 'tenant' END AS you, 'T' || o_custkey AS tenant, CASE WHEN k % 3 <> 0 THEN 'L' || o_custkey END AS landlord FROM c)
 """
+EVENTS_SQL = """es AS (SELECT k, unnest(['event_tenancy_start', 'event_tenancy_end', 'event_deposit_protected', 'event_0']) AS id, unnest([s, e, p, v]) AS day, unnest([0, 1, 2, 3]) AS o FROM c),
+ev AS (SELECT k AS case_id, id AS src, lead(id) OVER (PARTITION BY k ORDER BY day, o) AS dst FROM es)"""
 
 
 def _replaced(sql: str, pairs, regex: bool) -> str:
@@ -86,13 +91,16 @@ STRIP_SQL = lambda x: f"regexp_replace({x}, {q(f'^{T.SPACE}+|{T.SPACE}+$')}, '',
 CLEAN_SQL = STRIP_SQL(PII_SQL(_ws(NOISE_SQL(ENC_SQL))))
 TOKENS_SQL = f"list_filter(regexp_split_to_array(regexp_replace(lower(text), {q(T.NOT_TOKEN)}, ' ', 'g'), '\\s+'), lambda w: (len(w) >= 2 OR w IN ('s', 'a')) AND (NOT regexp_matches(w, '^[0-9]+$') OR len(w) = 4))"
 ASKED_SQL = "asked(query_id, query, query_region) AS (VALUES " + ", ".join(f"({i}, {q(t)}, {q(r)})" for i, t, r in ASKED) + ")"
-POSTS_SQL = f"""t AS (SELECT doc_id AS id, {TOKENS_SQL} AS w FROM documents), x AS (SELECT id, len(w) AS len, unnest(w) AS term FROM t),
-posts AS (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM x GROUP BY id, term),
-st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
-raw AS (SELECT term, count(*) AS df, ln(any_value(st.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posts, st GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
-BM25_SQL = f"""{ASKED_SQL}, {POSTS_SQL}, qt AS (SELECT query_id, unnest({TOKENS_SQL.replace('lower(text)', 'lower(query)')}) AS term FROM asked),
-sc AS (SELECT query_id, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM qt JOIN posts USING (term) JOIN idf USING (term), st GROUP BY query_id, id),
+POSTS_SQL = f"""t AS MATERIALIZED (SELECT doc_id AS id, {TOKENS_SQL} AS w FROM documents), x AS (SELECT id, len(w) AS len, unnest(w) AS term FROM t),
+posts AS MATERIALIZED (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM x GROUP BY id, term),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM posts GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs CROSS JOIN st),
+low AS MATERIALIZED (SELECT 0.25 * avg(raw) AS low FROM raw),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN low ELSE raw END AS idf FROM raw CROSS JOIN low)"""
+BM25_SQL = f"""{ASKED_SQL}, {POSTS_SQL}, qt AS MATERIALIZED (SELECT query_id, unnest({TOKENS_SQL.replace('lower(text)', 'lower(query)')}) AS term FROM asked),
+hit AS MATERIALIZED (SELECT query_id, id, idf, tf, len FROM qt JOIN posts USING (term) JOIN idf USING (term)),
+sc AS (SELECT query_id, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM hit CROSS JOIN st GROUP BY query_id, id),
 kw AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM sc WHERE score > 0 QUALIFY rank <= 40)"""
 COS_SQL = """qv AS (SELECT vec_id::INTEGER AS query_id, embedding AS q FROM embeddings WHERE vec_id BETWEEN 1 AND 3),
 cs AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, qv WHERE {where}),
@@ -111,15 +119,33 @@ def _cat_sql(column: str, lexicon: dict) -> str:
 JACC_SQL = lambda a, b: f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) WHEN len({a}) = 0 AND len({b}) = 0 THEN 0.5 ELSE 0.3 END"
 AGE_SQL = lambda y: f"CASE WHEN {YEAR} - {y} <= 0 THEN 1.0 WHEN {YEAR} - {y} <= 2 THEN 0.9 WHEN {YEAR} - {y} <= 5 THEN 0.7 ELSE greatest(0.3, 1.0 - 0.05 * ({YEAR} - {y})) END"
 RERANK_SQL = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, 2005 + doc_id % 20 AS year, ['LON','CHI','MAN','BIR','CAM'][doc_id % 5 + 1] AS region FROM documents),
-g AS (SELECT fr.*, year, region, query_region, {_cat_sql('query', SYLLABLES)} AS qi, {_cat_sql('text', SYLLABLES)} AS di, {_cat_sql('query', PROOF)} AS qe, {_cat_sql('text', PROOF)} AS de
-  FROM fr JOIN d ON d.doc_id = fr.id JOIN asked USING (query_id)),
-h AS (SELECT *, round(0.4 * ({JACC_SQL('qi', 'di')}) + 0.2 * ({AGE_SQL('year')}) + 0.1 * (CASE WHEN region = query_region THEN 1.0 ELSE 0.5 END)
-  + 0.2 * ({JACC_SQL('qe', 'de')}) + 0.1 * least(1.0, fused * 10), 6) AS rerank_score FROM g),
-rr AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank, id))::INTEGER AS rerank_rank FROM h QUALIFY rerank_rank <= 10)"""
+g AS (SELECT fr.*, coalesce(d.year, 0) AS year, coalesce(d.region, '') AS region, query_region, {_cat_sql('query', SYLLABLES)} AS qi, {_cat_sql("coalesce(text, '')", SYLLABLES)} AS di, {_cat_sql('query', PROOF)} AS qe, {_cat_sql("coalesce(text, '')", PROOF)} AS de
+  FROM fr LEFT JOIN d ON d.doc_id = fr.id JOIN asked USING (query_id)),
+fa AS (SELECT *, ({JACC_SQL('qi', 'di')})::DOUBLE AS issue, ({AGE_SQL('year')})::DOUBLE AS temporal, (CASE WHEN region = query_region THEN 1.0 ELSE 0.5 END)::DOUBLE AS region_match, ({JACC_SQL('qe', 'de')})::DOUBLE AS evidence FROM g),
+h AS (SELECT *, round(0.4 * issue + 0.2 * temporal + 0.1 * region_match + 0.2 * evidence + 0.1 * least(1.0, fused * 10), 6) AS rerank_score,
+  concat_ws('; ', CASE WHEN len(list_intersect(qi, di)) > 0 THEN 'Matches issues: ' || array_to_string(list_sort(list_intersect(qi, di)), ', ') END,
+    CASE WHEN temporal >= 0.9 THEN 'Recent case (' || year || ')' WHEN temporal >= 0.7 THEN 'Relatively recent (' || year || ')' END, CASE WHEN region_match >= 0.9 AND region <> '' THEN 'Same region (' || region || ')' END,
+    CASE WHEN semantic_score >= 0.7 THEN 'Strong semantic similarity' WHEN semantic_score >= 0.5 THEN 'Good semantic match' END, CASE WHEN bm25_score > 0 AND bm25_rank <= 5 THEN 'Strong keyword match' END) AS said FROM fa),
+rr AS (SELECT *, CASE WHEN said = '' THEN 'General relevance' ELSE said END AS explanation, (row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank, id))::INTEGER AS rerank_rank FROM h QUALIFY rerank_rank <= 10)"""
+
+_indexes: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def built(spark: SparkSession, d: str) -> KeywordIndex:
+    """The keyword index of a folder's documents, in a new folder."""
+    return KeywordIndex(spark, folder(spark, "keywords")).build(dealt(table(spark, d, "documents")), ref_col="source")
+
+
+def index_of(spark: SparkSession, d: str) -> KeywordIndex:
+    """The keyword index of a folder's documents, built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = built(spark, d)
+    return _indexes[key]
 
 
 def _bm25(spark, d):
-    return retrieval.bm25(table(spark, d, "documents"), asked(spark), 40)
+    return index_of(spark, d).search(asked(spark), 40)
 
 
 def _semantic(spark, d, filters=None):
@@ -130,17 +156,20 @@ def _fused(spark, d):
     return retrieval.fuse(_semantic(spark, d), _bm25(spark, d), 20)
 
 
-def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    """Three queries in one plan: cosine and BM25 branches, fusion, text and metadata, re-ranking."""
+def _reranked(spark, d):
     docs = corpus(spark, d).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "year", "region")
-    rows = _fused(spark, d).join(docs, "id").join(F.broadcast(asked(spark)), "query_id")  # the stated queries
-    return retrieval.rerank(rows, 10, as_of_year=YEAR, issues=SYLLABLES, evidence=PROOF).select("query_id", "id", "rerank_score", "rerank_rank", "fused")
+    rows = retrieval.enrich(_fused(spark, d), docs).join(asked(spark), "query_id")
+    return retrieval.rerank(rows, 10, as_of_year=YEAR, issues=SYLLABLES, evidence=PROOF)
+
+
+def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """Three queries at once: cosine and BM25 branches, fusion, text and metadata, re-ranking."""
+    factors = [F.round(F.col(c).cast("double"), 6).alias(c) for c in ("issue", "temporal", "region_match", "evidence")]
+    return _reranked(spark, d).select("query_id", "id", "rerank_score", "rerank_rank", "fused", "semantic_score", "bm25_score", *factors, "explanation")
 
 
 def hybrid_confidence(spark, d):
-    docs = corpus(spark, d).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "year", "region")
-    rows = _fused(spark, d).join(docs, "id").join(F.broadcast(asked(spark)), "query_id")
-    return retrieval.confidence(retrieval.rerank(rows, 10, as_of_year=YEAR, issues=SYLLABLES, evidence=PROOF), asked(spark))
+    return retrieval.confidence(_reranked(spark, d), asked(spark))
 
 
 CONF_SQL = """pc AS (SELECT query_id, count(*) AS n, max_by(semantic_score, -rerank_rank) AS top, max(CASE WHEN rerank_rank <= 3 THEN fused END) - min(CASE WHEN rerank_rank <= 3 THEN fused END) AS spread,
@@ -148,8 +177,8 @@ CONF_SQL = """pc AS (SELECT query_id, count(*) AS n, max_by(semantic_score, -rer
 cf AS (SELECT asked.query_id, coalesce(n, 0) AS n_results, top, good, n, CASE WHEN n IS NULL THEN 0.0 ELSE round(((CASE WHEN top >= 0.7 THEN 1.0 WHEN top >= 0.5 THEN 0.7 WHEN top >= 0.3 THEN 0.4 ELSE 0.2 END)
   + (CASE WHEN n < 3 THEN 0.5 WHEN spread < 0.1 THEN 0.8 WHEN spread < 0.2 THEN 0.6 ELSE 0.4 END)
   + (CASE WHEN good >= 4 THEN 1.0 WHEN good >= 2 THEN 0.7 WHEN good >= 1 THEN 0.4 ELSE 0.1 END)) / 3, 6) END::DOUBLE AS confidence FROM asked LEFT JOIN pc USING (query_id))
-SELECT query_id, n_results, confidence, confidence < 0.5 AS is_uncertain, CASE WHEN confidence < 0.5 THEN CASE WHEN n IS NULL THEN 'No results found' WHEN top < 0.3 THEN 'No sufficiently similar cases found'
-  WHEN good < 2 THEN 'Too few good matches' ELSE 'Low confidence in the matches' END END AS reason FROM cf"""
+SELECT query_id, n_results, confidence, confidence < 0.5 AS is_uncertain, CASE WHEN confidence < 0.5 THEN CASE WHEN n IS NULL THEN 'No matching cases found.' WHEN top < 0.3 THEN 'No sufficiently similar cases found. Your situation may be novel or the query needs refinement.'
+  WHEN good < 2 THEN 'Few relevant cases found. Results should be interpreted with caution.' ELSE 'Low confidence in results. Consider consulting a legal professional.' END END AS reason FROM cf"""
 
 
 def precision_at_k(spark, d):
@@ -160,9 +189,9 @@ def precision_at_k(spark, d):
 
 
 def rrf_where_both(spark, d):
-    """A filter on both branches: labels of the vectors, even documents of the texts."""
-    docs = table(spark, d, "documents").filter("doc_id % 2 = 0")
-    return retrieval.fuse(_semantic(spark, d, {"label": {"$lte": 4}}), retrieval.bm25(docs, asked(spark), 40), 20).select("query_id", "id", "fused", "fused_rank")
+    """A filter on both branches: labels of the vectors, the language of the texts; the keyword statistics stay those of all."""
+    within = table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"))
+    return retrieval.fuse(_semantic(spark, d, {"label": {"$lte": 4}}), index_of(spark, d).search(asked(spark), 40, within=within), 20).select("query_id", "id", "fused", "fused_rank")
 
 
 def pages_text(spark, d):
@@ -192,7 +221,7 @@ def stage_fold(spark, d):
     """Conversations with fields known by turn: a field is known from the turn whose number it has."""
     rows = table(spark, d, "conversations").filter("role = 'user'")
     fields = F.array(*[F.lit(x) for x in ("address", "start_date", "deposit_amount", "deposit_protected", "issues")])
-    return intake.stage_fold(rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text", F.slice(fields, 1, F.least(F.lit(5), F.col("turn").cast("int") + 1)).alias("fields")))
+    return intake.stage_fold(rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text", F.slice(fields, 1, F.least(F.lit(5), F.col("turn").cast("int") + 1)).alias("fields"), F.when(F.length(F.coalesce("text", F.lit(""))) % 2 == 0, "tenant").alias("role")))
 
 
 def merged_events(spark, d):
@@ -205,8 +234,8 @@ def merged_events(spark, d):
 def parsed_answers(spark, d):
     """Answers made of events: a fenced JSON, a plain one, one with a wrong shape, and broken text in turn."""
     k = F.col("event_id")
-    body = F.concat(F.lit('{"overall_outcome": "'), F.when(k % 2 == 0, "tenant_win").otherwise("split"), F.lit('", "confidence": 0.'), (k % 9 + 1).cast("string"), F.lit(', "settlement_range": [1.5, '), (k % 100).cast("string"), F.lit(".0]}"))
-    text = F.when(k % 4 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(k % 4 == 1, body).when(k % 4 == 2, '{"confidence": 0.25}').otherwise("sorry, {no")
+    body = F.concat(F.lit('{"overall_outcome": "'), F.when(k % 2 == 0, "tenant_win").otherwise("split"), F.lit('", "overall_confidence": 0.'), (k % 9 + 1).cast("string"), F.lit(', "predicted_settlement_range": [1.5, '), (k % 100).cast("string"), F.lit(".0]}"))
+    text = F.when(k % 4 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(k % 4 == 1, body).when(k % 4 == 2, '{"overall_confidence": 0.25}').otherwise("sorry, {no")
     rows = table(spark, d, "events").select("event_id", text.alias("answer"))
     return predict.parse(rows).select("event_id", "outcome", "confidence", "low", "high", "is_fallback")
 
@@ -218,31 +247,87 @@ def references(spark, d):
 
 
 def _plain(name, build):
-    return lambda spark, d: build(table(spark, d, name))
+    return lambda spark, d: build(dealt(table(spark, d, name)))
 
 
 _CODES = lambda table_, col: f"CASE {' '.join(f'WHEN {col} = {q(k)} THEN {q(v)}' for k, v in table_.items())} ELSE 'Unknown (' || {col} || ')' END"
 
+LINES = ("BACKGROUND", "some text", "1. Facts", " a fact ", "Decision", "", "the reasons", "REASONS", "2. order", "more. And more", "THE TRIBUNAL'S REASONS", "last words")
+TITLE_SQL = "coalesce(nullif(regexp_extract(html, '(?is)<meta\\s+name=\"DC\\.title\"\\s+content=\"([^\"]*)\"', 1), ''), nullif(regexp_replace(trim(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')), '\\s*\\[?\\d{4}\\]?\\s*UK\\w+\\s*\\S+$', ''), ''), trim(nullif(regexp_extract(html, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1), '')))"
+_TOK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
+
+def sections_sql(source: str) -> str:
+    """Tables up to sec(id, section, ord, body) over a query of (id, whole)."""
+    head = " ".join(f"WHEN regexp_matches(line, {q(rf'(?i)^\s*(?:{plain})\s*$|^\s*\d+\.\s*(?:{numbered})\s*$')}) THEN {q(name)}" for name, (plain, numbered) in chunking.HEADINGS.items())
+    names = ", ".join(q(n) for n in chunking.HEADINGS)
+    return f"""d0 AS MATERIALIZED ({source}), ls AS (SELECT id, generate_subscripts(p, 1) AS pos, unnest(p) AS line FROM (SELECT id, string_split(whole, chr(10)) AS p FROM d0)),
+hd AS (SELECT *, CASE {head} END AS head FROM ls), gr AS (SELECT *, count(head) OVER w AS island, last_value(head IGNORE NULLS) OVER w AS section FROM hd WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+bd AS (SELECT id, section, island, {STRIP_SQL('string_agg(line, chr(10) ORDER BY pos)')} AS body FROM gr WHERE head IS NULL AND section IS NOT NULL GROUP BY id, section, island),
+s1 AS MATERIALIZED (SELECT id, section, body FROM bd WHERE body <> '' QUALIFY row_number() OVER (PARTITION BY id, section ORDER BY island DESC) = 1),
+sec AS MATERIALIZED (SELECT id, section, list_position([{names}], section)::INTEGER AS ord, body FROM s1
+  UNION ALL SELECT id, 'unknown', 0, {STRIP_SQL('whole')} FROM d0 WHERE id NOT IN (SELECT id FROM s1) AND {STRIP_SQL('whole')} <> '')"""
+
+
+def chunks_sql(source: str, size: int, overlap: int) -> str:
+    """Chunks by a recursion over each section's sentences: st is where the open chunk begins, [ea, eb) a chunk that a step closes."""
+    held, n = "coalesce(list_sum(c.n[st + 1:k]), 0)", "c.n[k + 1]"
+    grows = f"({n} <= {size} AND {held} + {n} > {size} AND k > st)"
+    tail = f"coalesce(list_min(list_filter(range(st, k), lambda j: list_sum(c.n[j + 1:k]) <= {overlap})), k)"
+    return f"""WITH RECURSIVE {sections_sql(source)}, sn AS (SELECT id, ord, section, list_filter(list_transform(string_split(regexp_replace(body, '{T.SENTENCE_CUT}', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {STRIP_SQL('x')}), lambda x: x <> '') AS s FROM sec),
+c AS MATERIALIZED (SELECT *, list_transform(s, lambda x: len(regexp_extract_all(x, '{_TOK}'))) AS n FROM sn),
+r(id, ord, k, st, ea, eb) AS (SELECT id, ord, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM c UNION ALL
+  SELECT r.id, r.ord, k + 1, CASE WHEN {n} > {size} THEN k + 1 WHEN {grows} THEN {tail} ELSE st END, CASE WHEN ({n} > {size} AND k > st) OR {grows} THEN st END, CASE WHEN ({n} > {size} AND k > st) OR {grows} THEN k END
+  FROM r JOIN c ON r.id = c.id AND r.ord = c.ord WHERE k < len(c.n)),
+em AS (SELECT id, ord, k AS step, 0 AS kind, ea AS a, eb AS b FROM r WHERE ea IS NOT NULL UNION ALL SELECT r.id, r.ord, k + 1, 2, st, k FROM r JOIN c ON r.id = c.id AND r.ord = c.ord WHERE k = len(c.n) AND st < k),
+tx AS (SELECT em.id, em.ord, section, step, kind, 0 AS w, array_to_string(s[a + 1:b], ' ') AS text FROM em JOIN c ON em.id = c.id AND em.ord = c.ord),
+ov AS (SELECT id, ord, section, unnest(list_filter(range(0, len(n)), lambda k: n[k + 1] > {size})) AS k, s FROM c), ow AS (SELECT id, ord, section, k, regexp_split_to_array(s[k + 1], '{T.SPACE}+') AS ws FROM ov),
+wn AS (SELECT *, unnest(range(0, len(ws), {size - overlap})) AS w FROM ow),
+al AS (SELECT * FROM tx UNION ALL SELECT id, ord, section, k + 1, 1, w, array_to_string(ws[w + 1:w + {size}], ' ') FROM wn),
+nu AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY ord, step, kind, w) - 1)::INTEGER AS chunk_index FROM al)
+SELECT id || '_' || chunk_index AS chunk_id, id, chunk_index, section, len(regexp_extract_all(text, '{_TOK}'))::INTEGER AS token_count, md5(text) AS m FROM nu"""
+
+
+def _rules_sql(text: str) -> str:
+    any_of = lambda words: "(" + " OR ".join(f"contains({text}, {q(w)})" for w in words) + ")"
+    inner = lambda refined, kind: "CASE " + " ".join(f"WHEN {any_of(w)} THEN {q(o)}" for w, o in refined) + f" ELSE {q(kind)} END" if refined else q(kind)
+    return "CASE " + " ".join(f"WHEN {any_of(words)} THEN {inner(refined, kind)}" for words, refined, kind in lexicons.EVIDENCE_RULES) + f" ELSE {q(lexicons.EVIDENCE_OTHER)} END"
+
+
+STAGE_SQL = f"""WITH RECURSIVE m AS MATERIALIZED (SELECT conv_id, turn, coalesce(text, '') AS text, least(5, turn + 1) AS n, len(coalesce(text, '')) % 2 = 0 AS says, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'user'),
+r(conv_id, rn, turn, known, ready, stage, tries) AS (SELECT DISTINCT conv_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, false, 'greeting', 0 FROM m UNION ALL
+  SELECT conv_id, rn, turn, known, ready, CASE WHEN s0 IN ('basic_details', 'tenancy_details', 'deposit_details', 'issue_identification') THEN CASE WHEN met OR tries + 1 >= 3 THEN nxt ELSE s0 END WHEN s0 IN ('evidence_collection', 'claim_amounts', 'narrative') THEN nxt WHEN said THEN 'complete' ELSE s0 END,
+    CASE WHEN s0 IN ('basic_details', 'tenancy_details', 'deposit_details', 'issue_identification') THEN CASE WHEN met OR tries + 1 >= 3 THEN 0 ELSE tries + 1 END WHEN s0 IN ('evidence_collection', 'claim_amounts', 'narrative') OR said THEN 0 ELSE tries END
+  FROM (SELECT *, known >= CASE s0 WHEN 'basic_details' THEN 1 WHEN 'tenancy_details' THEN 2 WHEN 'deposit_details' THEN 4 ELSE 5 END AS met, [{', '.join(q(x) for x in intake.STAGES)}][list_position([{', '.join(q(x) for x in intake.STAGES)}], s0) + 1] AS nxt,
+      s0 = 'confirmation' AND ({' OR '.join(f'contains(lower(text), {q(w)})' for w in intake.CONFIRM)}) AS said FROM (
+    SELECT r.conv_id, m.rn, m.turn, greatest(known, n) AS known, ready OR says AS ready, CASE WHEN stage = 'greeting' AND (ready OR says) THEN 'basic_details' ELSE stage END AS s0, tries, m.text FROM r JOIN m ON m.conv_id = r.conv_id AND m.rn = r.rn + 1)))
+SELECT conv_id AS session_id, turn AS seq, stage, tries FROM r WHERE rn > 0"""
+
 QUERIES: dict[str, tuple] = {
     "fix_encoding": (_plain("documents", lambda t: t.select("doc_id", F.md5(T.fix_encoding(F.coalesce("text", F.lit("")))).alias("m"))), f"SELECT doc_id, md5({ENC_SQL}) AS m FROM documents"),
     "remove_noise": (_plain("documents", lambda t: t.select("doc_id", F.md5(T.remove_noise(F.col("text"))).alias("m"))), f"SELECT doc_id, md5({NOISE_SQL('text')}) AS m FROM documents"),
     "normalise_whitespace": (_plain("documents", lambda t: t.select("doc_id", F.md5(T.normalise_whitespace(F.col("text"))).alias("m"))), f"SELECT doc_id, md5({_ws('text')}) AS m FROM documents"),
-    "clean_documents": (_plain("documents", lambda t: t.select("doc_id", F.md5(T.clean(F.col("text"))).alias("m"), F.length(T.clean(F.col("text"))).alias("n"))), f"SELECT doc_id, md5({CLEAN_SQL}) AS m, length({CLEAN_SQL})::INTEGER AS n FROM documents"),
+    "clean_documents": (_plain("documents", lambda t: t.select("doc_id", T.clean(F.col("text")).alias("c")).select("doc_id", F.md5("c").alias("m"), F.length("c").alias("n"))), f"SELECT doc_id, md5({CLEAN_SQL}) AS m, length({CLEAN_SQL})::INTEGER AS n FROM documents"),
     "pii_counts": (_plain("documents", lambda t: t.groupBy("lang").agg(*[F.sum(c).alias(k) for k, c in T.pii_counts(F.coalesce("text", F.lit(""))).items()])),
         "SELECT lang, " + ", ".join(f"sum(len(regexp_extract_all({_replaced('coalesce(text, {0})'.format(chr(39) * 2), [(p, m) for _, p, m in T.PII[:i]], True)}, {q(T.PII[i][1])})))::BIGINT AS {T.PII[i][0]}" for i in range(4)) + " FROM documents GROUP BY lang"),
-    "pii_detect": (_plain("documents", lambda t: t.select("doc_id", F.explode(T.detect_pii(F.col("text"))).alias("p")).select("doc_id", "p.kind", "p.text")),
-        " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {q(p)})) AS text FROM documents" for k, p, _ in T.PII)),
+    "pii_detect": (_plain("documents", lambda t: t.select("doc_id", F.explode(T.detect_pii(F.col("text"))).alias("p")).select("doc_id", "p.*")),
+        "WITH k AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(text, {q(p)}) AS f, list_transform(regexp_split_to_array(text, {q(p)}), lambda x: len(x)) AS b FROM documents" for k, p, _ in T.PII)
+        + "), p AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM k), s AS (SELECT doc_id, kind, f[i] AS text, (list_sum(b[1:i]) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: len(x))), 0))::INTEGER AS start FROM p) SELECT doc_id, kind, text, start, start + len(text)::INTEGER AS \"end\" FROM s"),
     "citations": (_plain("documents", lambda t: t.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(T.CITATION), F.lit(0))).alias("n"))), f"SELECT doc_id, len(regexp_extract_all(text, {q(T.CITATION)}))::INTEGER AS n FROM documents"),
     "bm25_tokens": (_plain("documents", lambda t: t.select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("m"))), f"SELECT doc_id, len({TOKENS_SQL})::INTEGER AS n, md5(array_to_string({TOKENS_SQL}, ' ')) AS m FROM documents"),
-    "bm25_postings": (_plain("documents", lambda t: retrieval.postings(t).groupBy("id").agg(F.count("*").alias("terms"), F.max("tf").alias("top_tf"))), f"WITH {POSTS_SQL} SELECT id, count(*) AS terms, max(tf) AS top_tf FROM posts GROUP BY id"),
-    "bm25_idf": (_plain("documents", lambda t: retrieval.inverse_frequencies(retrieval.postings(t), retrieval.index_stats(t)).select("term", "df", F.round("idf", 6).alias("idf"))), f"WITH {POSTS_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf"),
+    "bm25_postings": (_plain("documents", lambda t: retrieval.postings(t)), f"WITH {POSTS_SQL} SELECT id, term, tf, len::INTEGER AS len FROM posts"),
+    "bm25_index_build": (lambda s, d: built(s, d).stats().select("n_docs", "unique_refs", "total_tokens", F.round("avg_tokens", 4).alias("avg_tokens"), "vocabulary", F.round("low", 6).alias("low")),
+        f"WITH {POSTS_SQL} SELECT n AS n_docs, (SELECT count(DISTINCT source) FROM documents) AS unique_refs, (SELECT sum(tf)::BIGINT FROM posts) AS total_tokens, round(avgdl, 4) AS avg_tokens, (SELECT count(*) FROM dfs) AS vocabulary, round(low, 6) AS low FROM st CROSS JOIN low"),
+    "bm25_lite": (lambda s, d: KeywordIndex(s, folder(s, "lite"), lite=True, buckets=4, slices=3).build(dealt(table(s, d, "documents"))).search(asked(s), 40), f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM kw"),
+    "bm25_get": (lambda s, d: index_of(s, d).get(table(s, d, "labels").select(F.col("doc_id").alias("id"))).select("id", "ref", F.md5("text").alias("m")), "SELECT doc_id AS id, source AS ref, md5(coalesce(text, '')) AS m FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"),
+    "bm25_idf": (lambda s, d: index_of(s, d).idf().select("term", "df", F.round("idf", 6).alias("idf")), f"WITH {POSTS_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf"),
     "bm25_index_stats": (_plain("documents", lambda t: retrieval.index_stats(t).withColumn("avg_tokens", F.round("avg_tokens", 4))), f"WITH {POSTS_SQL} SELECT n AS n_docs, round(avgdl, 4) AS avg_tokens, (SELECT sum(len(w))::BIGINT FROM t) AS total_tokens FROM st"),
     "bm25_topk": (_bm25, f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM kw"),
     "cosine_topk": (_semantic, f"WITH {COS_SQL.format(where='true')} SELECT query_id, id, score, rank FROM sem"),
     "cosine_topk_filtered": (lambda s, d: _semantic(s, d, {"label": {"$gte": 5}}), f"WITH {COS_SQL.format(where='label >= 5')} SELECT query_id, id, score, rank FROM sem"),
     "rrf_fusion": (_fused, f"WITH {BM25_SQL}, {COS_SQL.format(where='true')}, {FUSE_SQL} SELECT query_id, id, semantic_score, semantic_rank, bm25_score, bm25_rank, fused, fused_rank FROM fr"),
-    "rrf_where_both": (rrf_where_both, f"WITH {BM25_SQL.replace('FROM documents)', 'FROM documents WHERE doc_id % 2 = 0)')}, {COS_SQL.format(where='label <= 4')}, {FUSE_SQL} SELECT query_id, id, fused, fused_rank FROM fr"),
-    "hybrid_retrieve": (hybrid_retrieve, f"WITH {BM25_SQL}, {COS_SQL.format(where='true')}, {FUSE_SQL}, {RERANK_SQL} SELECT query_id, id, rerank_score, rerank_rank, fused FROM rr"),
+    "rrf_where_both": (rrf_where_both, f"WITH {BM25_SQL.replace('WHERE score > 0', 'WHERE score > 0 AND id IN (SELECT doc_id FROM documents WHERE lang = {0}en{0})'.format(chr(39)))}, {COS_SQL.format(where='label <= 4')}, {FUSE_SQL} SELECT query_id, id, fused, fused_rank FROM fr"),
+    "hybrid_retrieve": (hybrid_retrieve, f"WITH {BM25_SQL}, {COS_SQL.format(where='true')}, {FUSE_SQL}, {RERANK_SQL} SELECT query_id, id, rerank_score, rerank_rank, fused, semantic_score, bm25_score, round(issue, 6) AS issue, round(temporal, 6) AS temporal, round(region_match, 6) AS region_match, round(evidence, 6) AS evidence, explanation FROM rr"),
     "hybrid_confidence": (hybrid_confidence, f"WITH {BM25_SQL}, {COS_SQL.format(where='true')}, {FUSE_SQL}, {RERANK_SQL}, {CONF_SQL}"),
     "precision_at_k": (precision_at_k, f"WITH {COS_SQL.format(where='true')} SELECT query_id, round(avg((e.label = o.label)::INTEGER), 6) AS precision FROM sem JOIN embeddings e ON e.vec_id = sem.id JOIN embeddings o ON o.vec_id = query_id WHERE rank <= 10 GROUP BY query_id"),
     "macro_precision": (lambda s, d: precision_at_k(s, d).agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg((F.col("precision") >= 0.2).cast("int")), 6).alias("pass_rate")),
@@ -253,12 +338,13 @@ QUERIES: dict[str, tuple] = {
     "temporal_decay": (_plain("orders", lambda t: t.select("o_orderkey", F.round(lexicons.temporal_factor(F.year("o_orderdate"), 2000), 6).alias("factor"))), f"SELECT o_orderkey, round(({AGE_SQL('year(o_orderdate)').replace(str(YEAR), '2000')})::DOUBLE, 6) AS factor FROM orders"),
     "sentence_split": (_plain("documents", lambda t: t.select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"), F.md5(F.array_join(T.sentences(F.col("text")), "|")).alias("m"))),
         f"SELECT doc_id, len(s)::INTEGER AS n, md5(array_to_string(s, '|')) AS m FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '{T.SENTENCE_CUT}', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {STRIP_SQL('x')}), lambda x: x <> '') AS s FROM documents)"),
-    "token_windows": (_plain("documents", lambda t: chunking.token_windows(t, 200, 40).select("id", "window", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("m"))),
-        "WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT id, w, unnest(range(0, len(w), 160)) AS pos FROM w) SELECT id, (pos // 160)::INTEGER AS \"window\", len(w[pos + 1:pos + 200])::INTEGER AS n, md5(array_to_string(w[pos + 1:pos + 200], ' ')) AS m FROM s"),
-    "chunk_documents": (_plain("documents", lambda t: chunking.chunks(t, 200, 40).select("chunk_id", "id", "chunk_index", "section", "token_count")), None),
-    "section_islands": (_plain("pages", lambda t: chunking.sections(t.withColumn("text", F.concat(F.lit("lost\nBACKGROUND\n"), F.col("url"), F.lit("\n1. Facts\nfact "), F.col("page_id").cast("string"), F.lit("\nDecision\n \nDECISION\nlast"))), "page_id")),
-        "SELECT page_id AS id, unnest(['background', 'facts', 'decision']) AS section, unnest([1, 2, 4]) AS ord, unnest([url, 'fact ' || page_id, 'last']) AS body FROM pages"),
-    "html_title": (_plain("pages", lambda t: t.select("page_id", records.html_title(F.col("html")).alias("title"))), "SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<meta\\s+name=\"DC\\.title\"\\s+content=\"([^\"]*)\"', 1), ''), nullif(regexp_replace(trim(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')), '\\s*\\[?\\d{4}\\]?\\s*UK\\w+\\s*\\S+$', ''), ''), trim(nullif(regexp_extract(html, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1), ''))) AS title FROM pages"),
+    "token_windows": (_plain("documents", lambda t: chunking.token_windows(t).select("id", "window", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("m"))),
+        "WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT id, w, unnest(range(0, len(w), 450)) AS pos FROM w) SELECT id, (pos // 450)::INTEGER AS \"window\", len(w[pos + 1:pos + 500])::INTEGER AS n, md5(array_to_string(w[pos + 1:pos + 500], ' ')) AS m FROM s"),
+    "chunk_documents": (_plain("documents", lambda t: chunking.chunks(t).select("chunk_id", "id", "chunk_index", "section", "token_count", F.md5("text").alias("m"))), chunks_sql("SELECT doc_id AS id, coalesce(text, '') AS whole FROM documents", 500, 50)),
+    "chunk_small": (_plain("documents", lambda t: chunking.chunks(t, 40, 12).select("chunk_id", "token_count", F.md5("text").alias("m"))), f"SELECT chunk_id, token_count, m FROM ({chunks_sql('SELECT doc_id AS id, coalesce(text, {0}{0}) AS whole FROM documents'.format(chr(39)), 40, 12)})"),
+    "section_islands": (_plain("pages", lambda t: chunking.sections(t.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(0), F.col("page_id").cast("int") % 17), lambda i: F.element_at(F.array(*[F.lit(x) for x in LINES]), ((F.col("page_id") * 7 + i * i + i * F.col("page_id")) % len(LINES) + 1).cast("int"))), "\n")), "page_id")),
+        f"WITH {sections_sql('SELECT page_id AS id, array_to_string(list_transform(range(0, page_id % 17 + 1), lambda i: [' + ', '.join(q(x) for x in LINES) + f'][(page_id * 7 + i * i + i * page_id) % {len(LINES)} + 1]), chr(10)) AS whole FROM pages')} SELECT id, section, ord, body FROM sec"),
+    "html_title": (_plain("pages", lambda t: t.select("page_id", records.html_title(F.col("html")).alias("title"))), f"SELECT page_id, {TITLE_SQL} AS title FROM pages"),
     "html_links": (_plain("pages", lambda t: t.select("page_id", F.posexplode(records.html_links(F.col("html"))).alias("pos", "href"))), "SELECT page_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS l FROM pages)"),
     "html_text": (pages_text, f"SELECT page_id, md5({PAGE_TEXT_SQL}) AS text_md5, length({PAGE_TEXT_SQL})::INTEGER AS n FROM pages"),
     "html_date": (_plain("pages", lambda t: t.select("page_id", records.near_date(F.col("html")).alias("near"))), "SELECT page_id, coalesce(nullif(regexp_extract(html, '(\\d{1,2}\\s+\\w+\\s+\\d{4})', 1), ''), nullif(regexp_extract(html, '(\\d{1,2}/\\d{1,2}/\\d{4})', 1), ''), nullif(regexp_extract(html, '(\\d{4}-\\d{2}-\\d{2})', 1), '')) AS near FROM pages"),
@@ -278,32 +364,49 @@ QUERIES: dict[str, tuple] = {
         "WITH u AS (SELECT doc_id AS k, quality AS v, 0 AS p FROM labels UNION ALL SELECT vec_id, label, 1 FROM embeddings) SELECT k, v FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY p, v) = 1"),
     "quarantine": (lambda s, d: store.quarantine(table(s, d, "documents").select("doc_id", "n_chars", "lang"), {"long_enough": F.col("n_chars") >= 200, "known_language": F.col("lang").isin("en", "fr")})[1].select("doc_id", F.array_join("failed_rules", ",").alias("rules")),
         "SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 200 THEN 'long_enough' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'known_language' END) AS rules FROM documents WHERE n_chars < 200 OR lang NOT IN ('en', 'fr')"),
-    "graph_nodes": (lambda s, d: graph.nodes(cases(s, d)).groupBy("case_id", "node_type").agg(F.count("*").alias("n")),
-        f"WITH {CASES_SQL} SELECT * FROM (SELECT k AS case_id, unnest(['party', 'property', 'lease', 'evidence', 'issue', 'claimed_amount', 'event']) AS node_type, unnest([2, (k % 5 <> 0)::BIGINT, 1, 1, (issue IS NOT NULL)::BIGINT, 1, 3]) AS n FROM c) WHERE n > 0"),
-    "graph_edges": (lambda s, d: graph.edges(cases(s, d)).groupBy("case_id", "edge_type").agg(F.count("*").alias("n")),
-        f"WITH {CASES_SQL} SELECT * FROM (SELECT k AS case_id, unnest(['PARTY_OWNS', 'PARTY_RENTS', 'LEASE_FOR', 'PARTY_CLAIMS', 'CLAIM_RELATES_TO', 'EVIDENCE_RELATES_TO', 'EVIDENCE_SUPPORTS', 'EVENT_BEFORE']) AS edge_type, unnest([(k % 5 <> 0)::BIGINT, (k % 5 <> 0)::BIGINT, (k % 5 <> 0)::BIGINT, 1, coalesce(issue = other, false)::BIGINT, covered::BIGINT, (k % 2 = 0)::BIGINT, 2]) AS n FROM r) WHERE n > 0"),
-    "event_order": (lambda s, d: graph.edges(cases(s, d)).filter("edge_type = 'EVENT_BEFORE'").select("case_id", "src", "dst"),
-        f"WITH {CASES_SQL}, e AS (SELECT k, unnest(['event_tenancy_start', 'event_tenancy_end', 'event_deposit_protected']) AS id, unnest([s, e, p]) AS day FROM c) SELECT * FROM (SELECT k AS case_id, id AS src, lead(id) OVER (PARTITION BY k ORDER BY day, id) AS dst FROM e) WHERE dst IS NOT NULL"),
+    "graph_nodes": (lambda s, d: graph.nodes(cases(s, d)), f"""WITH {CASES_SQL}, n AS (SELECT k AS case_id, unnest([
+  {{'i': 'party_' || me, 't': 'party', 'l': coalesce(CASE me WHEN 'tenant' THEN tenant ELSE landlord END, 'user'), 'd': NULL::DATE}}, {{'i': 'party_' || you, 't': 'party', 'l': coalesce(CASE me WHEN 'tenant' THEN landlord ELSE tenant END, 'inferred'), 'd': NULL}},
+  {{'i': CASE WHEN k % 5 <> 0 THEN 'property' END, 't': 'property', 'l': 'addr ' || o_custkey, 'd': NULL}}, {{'i': 'lease', 't': 'lease', 'l': 'lease', 'd': s}}, {{'i': 'event_tenancy_start', 't': 'event', 'l': 'tenancy_start', 'd': s}},
+  {{'i': 'event_tenancy_end', 't': 'event', 'l': 'tenancy_end', 'd': e}}, {{'i': 'event_deposit_protected', 't': 'event', 'l': 'deposit_protected', 'd': p}}, {{'i': 'event_0', 't': 'event', 'l': 'inspection', 'd': v}},
+  {{'i': 'evidence_e1', 't': 'evidence', 'l': kind, 'd': NULL}}, {{'i': 'issue_' || issue, 't': 'issue', 'l': CASE WHEN issue = other THEN 'claim on ' || other ELSE CASE issue {' '.join(f"WHEN {q(i)} THEN {q(t)}" for i, t in graph.ISSUE_TEXT.items())} END END, 'd': NULL}},
+  {{'i': 'claim_' || me || '_1', 't': 'claimed_amount', 'l': 'claim on ' || other, 'd': NULL}}]) AS x FROM r) SELECT case_id, x.i AS node_id, x.t AS node_type, x.l AS label, x.d AS date FROM n WHERE x.i IS NOT NULL"""),
+    "graph_edges": (lambda s, d: graph.edges(cases(s, d)), f"""WITH {CASES_SQL}, {EVENTS_SQL}, n AS (SELECT k AS case_id, unnest([
+  {{'a': CASE WHEN k % 5 <> 0 THEN 'party_landlord' END, 'b': 'property', 't': 'PARTY_OWNS', 'c': 1.0::DOUBLE}}, {{'a': CASE WHEN k % 5 <> 0 THEN 'party_tenant' END, 'b': 'property', 't': 'PARTY_RENTS', 'c': 1.0}},
+  {{'a': CASE WHEN k % 5 <> 0 THEN 'lease' END, 'b': 'property', 't': 'LEASE_FOR', 'c': 1.0}}, {{'a': 'party_' || me, 'b': 'claim_' || me || '_1', 't': 'PARTY_CLAIMS', 'c': 1.0}},
+  {{'a': CASE WHEN issue = other THEN 'claim_' || me || '_1' END, 'b': 'issue_' || other, 't': 'CLAIM_RELATES_TO', 'c': 1.0}}, {{'a': CASE WHEN covered THEN 'evidence_e1' END, 'b': 'issue_' || issue, 't': 'EVIDENCE_RELATES_TO', 'c': 0.7}},
+  {{'a': CASE WHEN k % 2 = 0 THEN 'evidence_e1' END, 'b': 'claim_' || me || '_1', 't': 'EVIDENCE_SUPPORTS', 'c': 1.0}}]) AS x FROM r)
+  SELECT case_id, x.a AS src, x.b AS dst, x.t AS edge_type, x.c AS confidence FROM n WHERE x.a IS NOT NULL UNION ALL SELECT case_id, src, dst, 'EVENT_BEFORE', 1.0 FROM ev WHERE dst IS NOT NULL"""),
+    "event_order": (lambda s, d: graph.edges(cases(s, d)).filter("edge_type = 'EVENT_BEFORE'").select("case_id", "src", "dst"), f"WITH {CASES_SQL}, {EVENTS_SQL} SELECT case_id, src, dst FROM ev WHERE dst IS NOT NULL"),
+    "graph_summary": (lambda s, d: graph.summary(graph.nodes(cases(s, d)), graph.edges(cases(s, d)), graph.validate(cases(s, d))),
+        f"""WITH {CASES_SQL} SELECT k AS case_id, 9 + (k % 5 <> 0)::BIGINT + (issue IS NOT NULL)::BIGINT AS n_nodes, 4 + 3 * (k % 5 <> 0)::BIGINT + coalesce(issue = other, false)::BIGINT + covered::BIGINT + (k % 2 = 0)::BIGINT AS n_edges, NOT (e < s) AS is_consistent,
+  (p - s > 30)::INTEGER + (k % 10 < 5)::INTEGER + (coalesce(issue = 'deposit_protection', false) AND k % 2 = 1 AND p - s <= 30)::INTEGER + (issue IS NOT NULL AND NOT covered)::INTEGER + (k % 2 = 1 AND NOT coalesce(issue = other, false))::INTEGER + (issue IS NULL)::INTEGER AS n_warnings FROM r"""),
+    "graph_neighbours": (lambda s, d: graph.neighbours(graph.edges(cases(s, d)), cases(s, d).select("case_id", F.lit("property").alias("node_id"))),
+        f"WITH {CASES_SQL} SELECT k AS case_id, 'property' AS node_id, unnest(['party_landlord', 'party_tenant', 'lease']) AS other, unnest(['PARTY_OWNS', 'PARTY_RENTS', 'LEASE_FOR']) AS edge_type FROM c WHERE k % 5 <> 0"),
+    "required_nodes": (lambda s, d: graph.required_nodes(graph.nodes(cases(s, d))).select("case_id", F.array_join("warnings", "; ").alias("warnings")), f"WITH {CASES_SQL} SELECT k AS case_id, CASE WHEN issue IS NULL THEN 'No issues' ELSE '' END AS warnings FROM c"),
+    "check_dates": (lambda s, d: graph.check_dates(cases(s, d)).select("case_id", F.array_join("findings", "; ").alias("findings")),
+        f"WITH {CASES_SQL} SELECT k AS case_id, concat_ws('; ', CASE WHEN e < s THEN 'End date before start date' END, CASE WHEN v < s THEN 'Event inspection before start date' END, CASE WHEN v > e THEN 'Event inspection after end date' END) AS findings FROM c"),
     "validation_rules": (lambda s, d: graph.validate(cases(s, d)).select("case_id", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"), "is_consistent"),
-        f"WITH {CASES_SQL} SELECT k AS case_id, CASE WHEN e < s THEN 'Tenancy ends before it starts' ELSE '' END AS errors, concat_ws('; ', CASE WHEN p - s > 30 THEN 'Deposit protected ' || (p - s) || ' days after start' END, CASE WHEN coalesce(issue = 'deposit_protection', false) AND k % 2 = 1 AND p - s <= 30 THEN 'Protection is disputed but was in time' END, CASE WHEN issue IS NOT NULL AND NOT covered THEN 'Issues without evidence: ' || issue END, CASE WHEN k % 2 = 1 AND NOT coalesce(issue = other, false) THEN 'Claims without support' END, CASE WHEN issue IS NULL THEN 'No issues' END) AS warnings, NOT (e < s) AS is_consistent FROM r"),
-    "readiness": (lambda s, d: intake.readiness(cases(s, d)).withColumn("missing", F.array_join("missing", ",")),
-        f"WITH {CASES_SQL}, m AS (SELECT k, concat_ws(',', CASE WHEN k % 5 = 0 THEN 'property address' END, CASE WHEN k % 7 = 0 THEN 'deposit amount' END, CASE WHEN issue IS NULL THEN 'dispute issues' END) AS missing, (k % 5 = 0)::INTEGER + (k % 7 = 0)::INTEGER + (issue IS NULL)::INTEGER AS n FROM c) SELECT k AS case_id, missing, n = 0 AS is_ready, round(1 - n / 5.0, 2)::DOUBLE AS completeness, CASE WHEN n = 0 THEN 'Review case and generate prediction' ELSE 'Complete required info: ' || replace(missing, ',', ', ') END AS next_action FROM m"),
+        f"WITH {CASES_SQL} SELECT k AS case_id, CASE WHEN e < s THEN 'Tenancy ends before it starts' ELSE '' END AS errors, concat_ws('; ', CASE WHEN p - s > 30 THEN 'Deposit protected ' || (p - s) || ' days after start' END, CASE WHEN v < s THEN 'Before tenancy start: inspection' END, CASE WHEN coalesce(issue = 'deposit_protection', false) AND k % 2 = 1 AND p - s <= 30 THEN 'Protection is disputed but was in time' END, CASE WHEN issue IS NOT NULL AND NOT covered THEN 'Issues without evidence: ' || issue END, CASE WHEN k % 2 = 1 AND NOT coalesce(issue = other, false) THEN 'Claims without support' END, CASE WHEN issue IS NULL THEN 'No issues' END) AS warnings, NOT (e < s) AS is_consistent FROM r"),
+    "readiness": (lambda s, d: intake.readiness(cases(s, d)).withColumn("missing", F.array_join("missing", ",")).withColumn("actions", F.array_join("actions", "|")),
+        f"WITH {CASES_SQL}, m AS (SELECT k, concat_ws(',', CASE WHEN k % 5 = 0 THEN 'property address' END, CASE WHEN k % 7 = 0 THEN 'deposit amount' END, CASE WHEN issue IS NULL THEN 'dispute issues' END) AS missing, (k % 5 = 0)::INTEGER + (k % 7 = 0)::INTEGER + (issue IS NULL)::INTEGER AS n FROM c) SELECT k AS case_id, missing, n = 0 AS is_ready, round(1 - n / 5.0, 2)::DOUBLE AS completeness, CASE WHEN n = 0 THEN 'Generate prediction|Upload additional evidence' ELSE 'Complete required info: ' || replace(missing, ',', ', ') END AS actions FROM m"),
     "dispute_status": (lambda s, d: intake.dispute_status(*dispute_rows(s, d)), "SELECT o_orderkey AS dispute_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN 'waiting_for_tenant' WHEN o_orderkey % 3 = 0 THEN 'waiting_for_tenant' WHEN o_orderkey % 5 = 0 THEN 'waiting_for_landlord' WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 < 3 THEN 'both_complete' ELSE 'in_progress' END AS status FROM orders"),
     "invites": (lambda s, d: dispute_rows(s, d)[0].select("dispute_id", intake.invite_code(F.col("dispute_id")).alias("code"), intake.open_role().alias("role")), "SELECT o_orderkey AS dispute_id, upper(substring(sha256(o_orderkey::VARCHAR), 1, 8)) AS code, CASE WHEN o_orderkey % 3 = 0 THEN 'tenant' WHEN o_orderkey % 5 = 0 THEN 'landlord' ELSE 'both_joined' END AS role FROM orders"),
-    "stage_fold": (stage_fold, None),
+    "stage_fold": (stage_fold, STAGE_SQL),
     "merge_extractions": (merged_events, "WITH e AS (SELECT user_id, event_id, event_type, (props->>'$.k')::INTEGER AS k FROM events) SELECT user_id AS session_id, max_by(CASE WHEN k % 3 = 0 THEN k END, event_id) FILTER (k % 3 = 0) AS score, max_by(event_type, event_id) FILTER (k % 5 = 0) AS kind, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS issues, coalesce(string_agg(event_id::VARCHAR, chr(10) ORDER BY event_id) FILTER (k % 50 = 0), '') AS narrative FROM e GROUP BY user_id"),
     "parse_predictions": (parsed_answers, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tenant_favored' WHEN 1 THEN 'split' ELSE 'uncertain' END AS outcome, CASE event_id % 4 WHEN 2 THEN 0.25 WHEN 3 THEN 0.3 ELSE (event_id % 9 + 1) / 10.0 END::DOUBLE AS confidence, CASE WHEN event_id % 4 < 2 THEN 1.5 END::DOUBLE AS low, CASE WHEN event_id % 4 < 2 THEN event_id % 100 END::DOUBLE AS high, event_id % 4 = 3 AS is_fallback FROM events"),
     "abstain_gate": (lambda s, d: hybrid_confidence(s, d).select("query_id", retrieval.abstain(F.col("confidence"), F.col("is_uncertain"), F.col("n_results")).alias("gate")), f"WITH {BM25_SQL}, {COS_SQL.format(where='true')}, {FUSE_SQL}, {RERANK_SQL}, fin AS (WITH {CONF_SQL}) SELECT query_id, CASE WHEN is_uncertain THEN 'abstain_confidence' WHEN n_results < 3 THEN 'abstain_cases' ELSE 'proceed' END AS gate FROM fin"),
-    "context_blocks": (lambda s, d: predict.context(_bm25(s, d).filter("rank <= 3").join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id"), size=100),
-        f"WITH {BM25_SQL} SELECT query_id, string_agg('[' || rank || '] ' || id || ': ' || substring(text, 1, 100) || '...', chr(10) || chr(10) ORDER BY rank) AS context FROM kw JOIN documents ON doc_id = id WHERE rank <= 3 GROUP BY query_id"),
+    "context_blocks": (lambda s, d: predict.context(_bm25(s, d).filter("rank <= 3").join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")),
+        f"WITH {BM25_SQL} SELECT query_id, string_agg('[' || rank || '] ' || id || ': ' || substring(text, 1, 1500) || '...', chr(10) || chr(10) ORDER BY rank) AS context FROM kw JOIN documents ON doc_id = id WHERE rank <= 3 GROUP BY query_id"),
     "formatters": (_plain("labels", lambda t: t.select("doc_id", T.confidence_band(F.col("doc_id") % 10 / 10).alias("band"), T.percentage(F.col("doc_id") % 200 / 200).alias("pct"), T.issue_title(F.concat(F.lit("fair_wear_"), F.col("quality").cast("string"))).alias("title"), T.outcome_label(F.when(F.col("toxic") == 1, "split").otherwise("tenant_win")).alias("outcome"))),
         "SELECT doc_id, CASE WHEN doc_id % 10 >= 8 THEN 'High' WHEN doc_id % 10 >= 6 THEN 'Medium' WHEN doc_id % 10 >= 4 THEN 'Low' ELSE 'Very Low' END AS band, floor(doc_id % 200 / 200.0 * 100 + 0.5)::INTEGER || '%' AS pct, 'Fair Wear ' || quality AS title, CASE WHEN toxic = 1 THEN 'Likely Split Decision' ELSE 'Tenant Likely to Win' END AS outcome FROM labels"),
-    "evidence_types": (_plain("pages", lambda t: t.select("page_id", lexicons.evidence_type(F.concat_ws(" ", "url", records.html_title(F.col("html")))).alias("kind"))), None),
-    "embed_documents": (_plain("documents", lambda t: embed.embed(t, embed.HashedWords(16), "doc_id", "text").select("id", F.round(retrieval.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))), "SELECT doc_id AS id, CASE WHEN len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents"),
+    "evidence_types": (_plain("pages", lambda t: t.select("page_id", lexicons.evidence_type(F.concat_ws(" ", "url", records.html_title(F.col("html")))).alias("kind"))), f"SELECT page_id, {_rules_sql('t')} AS kind FROM (SELECT page_id, lower(concat_ws(' ', url, {TITLE_SQL})) AS t FROM pages)"),
+    "embed_documents": (_plain("documents", lambda t: embed.embed(t, embed.HashedWords(16), "doc_id", "text").select("id", F.posexplode("embedding").alias("dim", "x")).filter("x <> 0").select("id", "dim", F.round("x", 6).alias("x"))),
+        f"""WITH w AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), {q(T.SPACE + '+')}), lambda x: x <> '')) AS w FROM documents), h AS (SELECT id, (('0x' || substr(md5(w), 1, 8))::UBIGINT % 16)::INTEGER AS dim FROM w),
+  n AS (SELECT id, dim, count(*) AS n FROM h GROUP BY id, dim) SELECT id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS x FROM n"""),
     "embedding_cost": (_plain("documents", lambda t: t.groupBy("lang").agg(F.sum(T.token_count(F.col("text"))).alias("tokens")).select("lang", "tokens", embed.model_cost(F.col("tokens"), F.lit("text-embedding-3-large")).alias("cost"))),
         "SELECT lang, sum(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')))::BIGINT AS tokens, round(sum(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'))) / 1e6 * 0.13, 8) AS cost FROM documents GROUP BY lang"),
-    "case_summaries": (lambda s, d: cases(s, d).select("case_id", F.regexp_replace(intake.case_summary(), "Deposit: [^\n]*\n", "").alias("summary")),
-        f"WITH {CASES_SQL} SELECT k AS case_id, concat_ws(chr(10), 'Role: ' || CASE WHEN k % 2 = 0 THEN 'tenant' ELSE 'landlord' END, CASE WHEN k % 5 <> 0 THEN 'Property: addr ' || o_custkey END, 'Tenancy start: ' || s, 'Protected: ' || (k % 2 = 1)::VARCHAR, CASE WHEN issue IS NOT NULL THEN 'Issues: ' || issue END) AS summary FROM c"),
+    "case_summaries": (lambda s, d: cases(s, d).select("case_id", intake.case_summary().alias("summary")),
+        f"WITH {CASES_SQL} SELECT k AS case_id, concat_ws(chr(10), 'Role: ' || CASE WHEN k % 2 = 0 THEN 'tenant' ELSE 'landlord' END, CASE WHEN k % 5 <> 0 THEN 'Property: addr ' || o_custkey END, 'Tenancy start: ' || s, CASE WHEN k % 7 <> 0 THEN 'Deposit: ' || o_totalprice END, 'Protected: ' || (k % 2 = 1)::VARCHAR, CASE WHEN issue IS NOT NULL THEN 'Issues: ' || issue END) AS summary FROM c"),
     "join_disputes": (lambda s, d: intake.join_disputes(dispute_rows(s, d)[0].withColumn("code", intake.invite_code(F.col("dispute_id"))), table(s, d, "orders").filter("o_orderkey % 2 = 0").select(F.concat(F.lit(" "), F.lower(intake.invite_code(F.col("o_orderkey")))).alias("code"), (F.col("o_orderkey") + 7).alias("session_id"), F.lit("tenant").alias("role"))).select("dispute_id", "tenant_session_id", "landlord_session_id"),
         "SELECT o_orderkey AS dispute_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 2 WHEN o_orderkey % 2 = 0 THEN o_orderkey + 7 END AS tenant_session_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 2 + 1 END AS landlord_session_id FROM orders"),
     "download_status": (_plain("lineitem", lambda t: t.groupBy(records.download_status(F.col("l_partkey") % 2 == 0, F.col("l_partkey") % 3 == 0, F.col("l_partkey") % 7 == 0).alias("status")).agg(F.count("*").alias("n"))),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,6 +27,20 @@ def local_session(cpus: int = 8, app: str = "casemill", memory: str = "8g") -> S
     )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+#: Bytes a core of a table beyond which its scan is taken to have splits enough.
+DEALT_BYTES = 16 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table dealt evenly to all cores: a file of one row group is one task otherwise, however much work its rows are.
+
+    A table of more than DEALT_BYTES a core stays as its scan splits it, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if 0 < size < DEALT_BYTES * cores else df

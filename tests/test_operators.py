@@ -101,9 +101,12 @@ def test_stages():
 
 
 def test_predictions(spark):
-    answers = ['```json\n{"overall_outcome": "landlord_win", "confidence": 0.7, "settlement_range": [1, 2], "reasoning_steps": [{"step": 1, "citations": [{"case_reference": "a"}]}]}\n```', "oops", '{"overall_outcome": "odd", "settlement_range": [1]}']
+    answers = ['```json\n{"overall_outcome": "landlord_win", "overall_confidence": 0.7, "predicted_settlement_range": [1, 2], "reasoning_trace": [{"citations": [{"case_reference": "a"}]}], "issue_predictions": [{"issue_type": "cleaning", "supporting_cases": [{"case_reference": "b", "year": 2019}]}]}\n```', "oops", '{"overall_outcome": "odd", "predicted_settlement_range": [1]}']
     rows = predict.parse(spark.createDataFrame([(a,) for a in answers], "answer string")).collect()
-    assert [(r["outcome"], r["confidence"], r["is_fallback"], r["low"], r["n_citations"]) for r in rows] == [("landlord_favored", 0.7, False, 1.0, 1), ("uncertain", 0.3, True, None, 0), ("uncertain", 0.5, False, None, 0)]
+    assert [(r["outcome"], r["confidence"], r["is_fallback"], r["low"], r["n_citations"]) for r in rows] == [("landlord_favored", 0.7, False, 1.0, 2), ("uncertain", 0.3, True, None, 0), ("uncertain", 0.5, False, None, 0)]
+    step, raw, issue = rows[0]["steps"][0], rows[1]["steps"][0], rows[0]["issues"][0]
+    assert (step["step"], step["confidence"], step["citations"][0]["year"], issue["outcome"], issue["citations"][0]["year"]) == (1, 0.7, 2022, "uncertain", 2019)
+    assert (raw["content"], raw["confidence"], raw["title"]) == ("oops", 0.3, "Raw Analysis")
     out = predict.generate(spark.createDataFrame([("p",)], "prompt string"), predict.Canned("x")).first()
     assert out["answer"] == "x"
 

@@ -27,7 +27,8 @@ def test_disputes(spark):
     rows = {r["dispute_id"]: r for r in made.collect()}
     assert (rows[1]["tenant_session_id"], rows[1]["status"], rows[2]["landlord_session_id"]) == (10, "waiting_for_landlord", 20)
     again = intake.create_disputes(asked, made.filter("dispute_id = 1"))
-    assert [r["dispute_id"] for r in again.collect()] == [2]
+    codes = {r["dispute_id"]: r["code"] for r in again.collect()}  # a code in use is replaced, no request is lost
+    assert codes[2] == rows[2]["code"] and codes[1] not in (rows[1]["code"], None) and len(codes[1]) == 8
     join = made.select(F.lower("code").alias("code"), F.lit(99).alias("session_id"), F.lit("tenant").alias("role"))
     joined = {r["dispute_id"]: (r["tenant_session_id"], r["landlord_session_id"]) for r in intake.join_disputes(made.drop("status"), join).collect()}
     assert joined == {1: (10, None), 2: (99, 20)}
