@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from casemill.llm.shared import filesystem, mapped, put_whole, scratch, written
+from casemill.llm.shared import filesystem, mapped, put_whole, scratch, slices, written
 
 WIDTH = 64
 LEVEL = 1
+#: Bytes of a range, at least; ranges grow with the archives so that there are no more than MAX_RANGES to plan.
 RANGE_BYTES = 8 << 20
+MAX_RANGES = 50_000
 BATCH_BYTES = 8 << 20
 TRIES = 4
 #: offset, length, whether there is an id, id
@@ -88,8 +90,7 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
         def fill(out):
             at = 0
             for batch in batches:
-                for b in range(0, batch.num_rows, 256):
-                    some = batch.slice(b, 256)
+                for some in slices(batch, rows=256):
                     for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                         data = (text or "").encode()
                         media = encode_png(padded(data), len(data))
@@ -118,7 +119,8 @@ class MediaReader(DataSourceReader):
 
         fs, root = filesystem(self.folder)
         files = [f for f in fs.get_file_info(FileSelector(root, allow_not_found=True)) if f.path.endswith(".media")]
-        found = [ByteRange(f.path, at, min(at + self.range_bytes, f.size)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.range_bytes)]
+        step = max(self.range_bytes, -(-sum(f.size for f in files) // MAX_RANGES))
+        found = [ByteRange(f.path, at, min(at + step, f.size)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, step)]
         return found or [ByteRange("", 0, 0)]
 
     def read(self, partition):
@@ -226,7 +228,7 @@ def describe(members: DataFrame) -> DataFrame:
 
         names = [x.split()[0] for x in schema.split(", ")]
         kinds = pa.schema([(x, pa.string() if x.endswith("256") or x in ("feature", "error") else pa.int64()) for x in names])
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 2, rows=256)):
             rows = []
             for r in batch.to_pylist():
                 row = {"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "error": r["error"]}

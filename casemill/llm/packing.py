@@ -13,7 +13,7 @@ longest document).  A task that runs again rewrites all of its own sequences, so
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -177,12 +177,12 @@ def pack_documents(
 ) -> DataFrame:
     """Packs every document (doc_id, text) and returns one row per piece.
 
-    Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the sequence's length), step_group, and
-    with_ids adds ids array<int>.  tokenizer_json is the tokenizer's file as a string; it travels with the task.  Null or empty
+    Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, tier (the shortest that holds the
+    sequence), step_group, and with_ids adds ids array<int>.  tokenizer_json is the tokenizer's file as a string; it travels with the task.  Null or empty
     text is the end id alone; a null doc_id is kept; repeated rows are packed one by one; an empty table gives no rows; other
     columns of docs are ignored.
     """
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier int, step_group long"
     schema += ", ids array<int>" if with_ids else ""
     end = int(end_id).to_bytes(4, "little")
 
@@ -192,15 +192,16 @@ def pack_documents(
         sequences = plan_window([len(ids) >> 2 for _, ids in window], tiers)
         rows = []
         for k, (row, step) in enumerate(zip(sequences, balance(sequences), strict=True)):
-            at, tier = 0, sum(n for _, _, n in row)
+            at, total = 0, sum(n for _, _, n in row)
+            tier = tiers[bisect_left(tiers, total)]
             for doc, start, n in row:
                 doc_id, ids = window[doc]
                 part = memoryview(ids)[4 * start : 4 * (start + n)]
-                rows.append((doc_id, start, n, zlib.crc32(part), len(ids) >> 2, base + k, at, tier, group + step))
+                rows.append((doc_id, start, n, zlib.crc32(part), len(ids) >> 2, base + k, at, total, tier, group + step))
                 if with_ids:
                     rows[-1] += (np.frombuffer(part, "<u4").astype("i4"),)
                 at += n
-        kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
+        kinds = [pa.int64()] * 8 + [pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
         names = [part.split()[0] for part in schema.split(", ")]
         columns = list(zip(*rows, strict=True))
         for at in range(0, len(rows), 20_000):

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import os
+import struct
+import zlib
 
 import pytest
 
@@ -54,6 +56,33 @@ def test_png_round_trip(data):
     assert len(payload) % 64 == 0 and payload and media.decode_png(media.encode_png(payload, len(data))) == (payload, len(data))
 
 
+def payload_of(text):
+    data = (text or "").encode()
+    return data + bytes(64 * max(1, -(-len(data) // 64)) - len(data))
+
+
+def brute_media(doc_id, text):
+    """What a row must hold, by an image made with zlib and struct alone."""
+    n, payload = len((text or "").encode()), payload_of(text)
+    rows = b"".join(b"\0" + payload[at : at + 64] for at in range(0, len(payload), 64))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, len(payload) // 64, 8, 0, 0, 0, 0)) + chunk(b"laNg", struct.pack(">Q", n)) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
+    return {
+        "doc_id": doc_id, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
+        "media_bytes": len(png), "media_sha256": hashlib.sha256(png).hexdigest(),
+    }
+
+
+def brute_feature(payload):
+    mean = sum(payload) / len(payload)
+    dev = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+    bits = 0
+    for k in range(64):
+        part = payload[k * len(payload) // 64 : (k + 1) * len(payload) // 64]
+        bits = bits << 1 | (sum(part) * len(payload) > sum(payload) * len(part))
+    return f"{mean:.4f}:{dev:.4f}:{bits:016x}"
+
+
 def test_media_rows(spark, odd, none):
     rows = media.media_columns(odd).collect()
     assert len(rows) == 10
@@ -62,6 +91,10 @@ def test_media_rows(spark, odd, none):
             assert r["n_bytes"] == 0 and r["payload_sha256"] == hashlib.sha256(bytes(64)).hexdigest()
     fives = [r.asDict() for r in rows if r["doc_id"] == 5]
     assert fives[0] == fives[1]
+    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
+    for r in rows:
+        assert {k: r[k] for k in r.asDict() if k != "feature"} == brute_media(r["doc_id"], texts[r["doc_id"]])
+        assert r["feature"] == brute_feature(payload_of(texts[r["doc_id"]]))
     assert media.media_columns(none).collect() == []
 
 

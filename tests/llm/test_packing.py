@@ -42,6 +42,25 @@ def test_words_give_the_ids_of_texts(texts):
     assert WordTokenizer.of(JSON)(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_pieces_of_many_windows_and_partitions(docs_of):
+    """Every document's ids are covered once and in order, sequences are gapless from 0, and are full or of a power of two, over windows that flush and tasks."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 900, rng.integers(0, 1500 if i % 40 == 0 else 120))), "s", "en") for i in range(400)]
+    out = pack_documents(docs_of(rows).repartition(3), JSON, window_docs=50, with_ids=True).toPandas()
+    tokenizer = Tokenizer.from_str(JSON)
+    for i, text, *_ in rows:
+        own = out[out.doc_id == i].sort_values("start")
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert [x for piece in own.ids for x in piece] == ids and own.start.tolist() == [0, *own.length.cumsum()[:-1]] and set(own.doc_tokens) == {len(ids)}
+        assert [zlib.crc32(np.array(p, "<u4").tobytes()) for p in own.ids] == own.ids_crc32.tolist()
+    assert out.sequence_id.nunique() > 100 and (out.sequence_id.to_numpy() >> 40).max() >= 1
+    for _, own in out.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        total = own.length.sum()
+        assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]] and set(own.sequence_length) == {total} and total & (total - 1) == 0 and total <= 2048
+        assert own.tier.nunique() == 1 and own.tier.iloc[0] in (256, 512, 1024, 2048) and own.tier.iloc[0] >= total
+
+
 def test_odd_rows(odd):
     rows = pack_documents(odd, JSON, with_ids=True).collect()
     tokenizer = Tokenizer.from_str(JSON)
