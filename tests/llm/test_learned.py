@@ -69,7 +69,9 @@ def test_licences(docs_of, text, want):
         ("Released under CC BY 4.0.", "CC-BY-4.0"), ("Available under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Distributed under the CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("This dataset is CC0.", "CC0-1.0"),
         ("It is dedicated to the public\ndomain.", "CC0-1.0"), ("Available under Creative\nCommons Attribution 4.0.", "CC-BY-4.0"), ("# SPDX-License-Identifier: MIT\nimport os", "MIT"),
         ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0+.", "MIT+Apache-2.0+GPL-2.0-or-later"), ("spdx-license-identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0"),
-        ("SPDX-License-Identifier: (BSD-3-Clause AND (LGPL-2.1 OR MPL-2.0))", "BSD-3-Clause+LGPL+MPL-2.0"), ("// SPDX-License-Identifier: CC0-1.0\n// SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0+CC0-1.0"),
+        ("SPDX-License-Identifier: (BSD-3-Clause AND (LGPL-2.1 OR MPL-2.0))", "BSD-3-Clause+LGPL-2.1+MPL-2.0"),
+        ("Code is under the MIT license.", "MIT-ref"), ("Licensed under GPL v3.", "GPL-3.0"), ("Under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"), ("See the GPLv2 or later.", "GPL-2.0-or-later"), ("Es ist mit Sorgfalt gemacht.", "NONE"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software. A warranty of our own. The above copyright notice and this permission notice shall be included in all copies.", "MIT"), ("SPDX-License-Identifier: ISC", "ISC"), ("// SPDX-License-Identifier: CC0-1.0\n// SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0+CC0-1.0"),
         ("SPDX-License-Identifier: Nobody-1.0", "UNKNOWN"), ("Copyright 2020 X\nSPDX-License-Identifier: Apache-2.0\nThe mit is no licence here", "Apache-2.0"),
     ],
 )
@@ -78,16 +80,100 @@ def test_licences_by_every_cue(docs_of, text, want):
 
 
 WORDINGS = {
-    "cc_by_nc_4": "Available under CC BY-NC 4.0", "cc_by_sa_4": "Released under the CC-BY-SA 4.0", "cc_by_4": "Distributed under CC BY 4.0", "cc_0": "Under CC0", "apache_2_ref": "Released under the Apache License, Version 2.0",
+    "cc_by_nc_sa_4": "Under CC BY-NC-SA 4.0", "cc_by_nc_nd_4": "CC BY-NC-ND 4.0", "cc_by_nc_4": "Available under CC BY-NC 4.0", "cc_by_sa_4": "Released under the CC-BY-SA 4.0", "cc_by_nd_4": "CC BY-ND 4.0", "cc_by_4": "Distributed under CC BY 4.0",
+    "cc_by_sa_3": "CC BY-SA 3.0", "cc_by_3": "Creative Commons Attribution 3.0", "unlicense": "This is free and unencumbered software released into the public domain", "cc_0": "Under CC0",
     "apache_2_comply": "You may not use this file except in compliance with the License", "apache_2_copy": "You may obtain a copy of the License at",
-    "apache_2_warranty": "Software distributed under the License is distributed on an AS IS basis", "agpl_3": "GNU Affero General Public License", "lgpl_ref": "GNU Lesser General Public License",
-    "gpl_3_plus": "GNU General Public License, either version 3 or any later version", "gpl_2_plus": "GNU General Public License, version 2 or any later version", "gpl_3_ref": "GNU General Public License v3",
-    "gpl_2_ref": "GNU General Public License v2", "gpl_ref": "GNU General Public License", "mit_ref": "Released under the MIT License", "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "mit_notice": "The above copyright notice and this permission notice shall be included in all copies", "mit_warranty": "The software is provided as is, without warranty of any kind",
+    "apache_2_warranty": "Software distributed under the License is distributed on an AS IS basis", "apache_2_ref": "Released under the Apache License, Version 2.0", "agpl_3": "GNU Affero General Public License",
+    "lgpl_3": "GNU Lesser General Public License v3", "lgpl_2_1": "LGPL 2.1", "lgpl_2": "GNU Library General Public License version 2", "lgpl_ref": "GNU Lesser General Public License",
+    "gpl_3_plus": "GNU General Public License, either version 3 or any later version", "gpl_2_plus": "GPL v2 or later", "gpl_3_ref": "Under GPLv3", "gpl_2_ref": "GNU General Public License v2", "gpl_ref": "GNU General Public License",
+    "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit_notice": "The above copyright notice and this permission notice shall be included in all copies",
+    "mit_warranty": "The software is provided as is, without warranty of any kind", "mit_ref": "Released under the MIT", "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc_ref": "The ISC License",
+    "zlib_warranty": "This software is provided as is, without any express or implied warranty", "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications", "zlib_ref": "zlib license",
     "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd_source": "Redistributions of source code must retain the above copyright notice",
-    "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice", "bsd_endorse": "Neither the name of X may be used to endorse or promote products", "mpl_2": "Mozilla Public License v2.0",
+    "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice", "bsd_endorse": "Neither the name of X may be used to endorse or promote products", "bsd_3_ref": "BSD 3-Clause", "bsd_2_ref": "Simplified BSD License", "bsd_ref": "A BSD-style license",
+    "mpl_2": "Mozilla Public License v2.0", "epl_2": "EPL-2.0", "epl_1": "Eclipse Public License v1.0", "boost_1": "Boost Software License", "artistic_2": "Artistic License 2.0", "ofl_1_1": "SIL Open Font License", "psf_2": "Python Software Foundation License",
     "spdx_tag": "SPDX License Identifier", "all_rights": "All rights reserved", "copyright": "Copyright X", "unknown": "Free software",
 }
+# What each of those sentences means by itself, for the brute force below; a licence's own text needs its sentences in order.
+ALONE = {
+    "cc_by_nc_sa_4": "CC-BY-NC-SA-4.0", "cc_by_nc_nd_4": "CC-BY-NC-ND-4.0", "cc_by_nc_4": "CC-BY-NC-4.0", "cc_by_sa_4": "CC-BY-SA-4.0", "cc_by_nd_4": "CC-BY-ND-4.0", "cc_by_4": "CC-BY-4.0", "cc_by_sa_3": "CC-BY-SA-3.0", "cc_by_3": "CC-BY-3.0",
+    "unlicense": "Unlicense", "cc_0": "CC0-1.0", "apache_2_ref": "Apache-2.0", "agpl_3": "AGPL-3.0", "lgpl_3": "LGPL-3.0", "lgpl_2_1": "LGPL-2.1", "lgpl_2": "LGPL-2.0", "lgpl_ref": "LGPL", "gpl_3_plus": "GPL-3.0-or-later", "gpl_2_plus": "GPL-2.0-or-later",
+    "gpl_3_ref": "GPL-3.0", "gpl_2_ref": "GPL-2.0", "gpl_ref": "GPL", "mit_ref": "MIT-ref", "isc_grant": "ISC", "isc_ref": "ISC-ref", "zlib_ref": "Zlib-ref", "bsd_3_ref": "BSD-3-Clause-ref", "bsd_2_ref": "BSD-2-Clause-ref", "bsd_ref": "BSD-ref",
+    "mpl_2": "MPL-2.0", "epl_2": "EPL-2.0", "epl_1": "EPL-1.0", "boost_1": "BSL-1.0", "artistic_2": "Artistic-2.0", "ofl_1_1": "OFL-1.1", "psf_2": "PSF-2.0", "all_rights": "Proprietary",
+}
+WHOLE = (
+    ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]), ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]), ("MIT", ["mit_grant", "mit_notice"]), ("Zlib", ["zlib_warranty", "zlib_grant"]),
+)
+# What comes before or behind a whole text belongs to it.
+BEFORE, BEHIND = {"MIT": "mit_ref", "Zlib": "zlib_ref", "ISC": "isc_ref"}, {"MIT": ["mit_warranty"], "Apache-2.0": ["apache_2_comply", "apache_2_copy", "apache_2_warranty"]}
+
+
+def brute_licences(ids):
+    """Set of licences by walking lists: longest texts first, each takes its sentences, with up to three unknown ones between."""
+    rest, found = [x for x in ids if x != "copyright"], set()
+
+    def step(at, want):
+        """Place of `want` from `at` on behind at most three unknown sentences, or None."""
+        for k in range(at, min(at + 4, len(rest))):
+            if rest[k] == want:
+                return k
+            if rest[k] != "unknown":
+                return None
+
+    def take(name, items, allowed=None):
+        at = 0
+        while at < len(rest):
+            where, ends = at, []
+            for want in items:
+                where = step(where, want) if ends else (at if rest[at] == want else None)
+                if where is None:
+                    break
+                ends.append(where)
+                where += 1
+            if where is None:
+                at += 1
+                continue
+            first, last = ends[0], ends[-1]
+            before = BEFORE.get(name)
+            if before:
+                k = first - 1
+                while k >= 0 and rest[k] == "unknown" and first - k <= 3:
+                    k -= 1
+                if k >= 0 and rest[k] == before:
+                    first = k
+            for want in BEHIND.get(name, ()):
+                k = step(last + 1, want)
+                last = last if k is None else k
+            rest[first : last + 1] = ["#"]
+            found.add(name)
+            at = first + 1
+
+    for name, items in WHOLE[:3]:
+        take(name, items)
+    take("Apache-2.0", ["apache_2_ref"])
+    take("Zlib", WHOLE[3][1])
+    take("ISC", ["isc_grant"])
+    return found | {ALONE[x] for x in rest if x in ALONE}
+
+
+def test_licences_against_brute_force(docs_of):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(400):
+        if rng.random() < 0.6:  # a whole text with something between, before or behind
+            name, items = rng.choice([*WHOLE, ("Apache-2.0", ["apache_2_ref", "apache_2_comply", "apache_2_copy", "apache_2_warranty"])])
+            ids = [x for item in items for x in (item, *["unknown"] * rng.choice([0, 0, 1, 3, 4]), *["copyright"] * rng.choice([0, 0, 1]))]
+            ids = [rng.choice(list(ALONE)), *ids] if rng.random() < 0.5 else ids
+        else:
+            ids = [rng.choice(list(WORDINGS)) for _ in range(rng.randrange(1, 6))]
+        ids = [x for x in ids if x != "spdx_tag"]
+        said = [y for x in ids for y in (WORDINGS[x], *["Nothing of note here"] * rng.choice([0, 1]))]
+        rows.append((i, ". ".join(said) + ".", "s", "en"))
+        want[i] = (ids, brute_licences(ids))
+    for r in licenses.scan_licenses(docs_of(rows)).collect():
+        ids, names = want[r["doc_id"]]
+        assert r["sentence_ids"] == ",".join(ids) and r["n_unknown"] == ids.count("unknown")
+        assert r["licenses"] == ("+".join(n for n, _ in licenses.RULES if n in names) or ("UNKNOWN" if ids else "NONE")), (ids, names)
 
 
 @pytest.mark.parametrize("between", [" ", "\n", " \t* "])
