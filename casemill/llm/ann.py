@@ -23,7 +23,10 @@ from casemill.llm.shared import groups, hash_sample, mapped, written
 
 SAMPLE = 16_384
 CENTROIDS = 16
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 512
+#: Vectors of a block, and queries that meet it in one task: each vector travels once for so many queries.
+INDEX_BLOCK, QUERY_BLOCK = 16_384, 4096
+#: Queries of a task, at least, where there are few blocks for many tasks.
+LEAST_QUERIES = 512
 RERANK = 200
 #: Inner products above this share of the norm are the ones to keep right; gives the weight of parallel residuals.
 THRESHOLD = 0.2
@@ -154,16 +157,16 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dims: int | None =
 
 def nearest(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, sample: int = SAMPLE, rerank: int = RERANK,
-    index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK,
+    index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK, dims: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates for each id divisible by `every`, among all rows but its own.
 
     score is the inner product of the original vectors in double precision; ties go to the smaller vec_id.  Rows that cannot take
     part (usable()) are left out; an empty table gives no rows; other columns are ignored.  Of equal vectors the k + 1 least ids
     are indexed, as no other can be among a query's k best.  sample bounds the rows that the codebook is fitted on; it and rerank, the
-    candidates a query and block that set its floor, change the work but not the result.
+    candidates a query and block that set its floor (k + 1 at least), change the work but not the result.  dims: see usable().
     """
-    rows = usable(vectors, id_col, vector_col)
+    rows = usable(vectors, id_col, vector_col, dims)
     twins = Window.partitionBy("v").orderBy("id")
     index = written(rows.withColumn("r", F.row_number().over(twins)).filter(F.col("r") <= k + 1).drop("r"), "index")
     queries = rows.filter(F.col("id") % every == 0)
@@ -171,8 +174,10 @@ def nearest(
     if not len(some):
         return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     book, eta = fit(np.stack(some.to_list()).astype(float))
-    blocks = -(-index.count() // index_block)
-    chunks = -(-max(1, queries.count()) // query_block)
+    rerank = max(rerank, k + 1)
+    blocks, asked = -(-index.count() // index_block), max(1, queries.count())
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(-(-asked // query_block), min(-(-asked // min(query_block, LEAST_QUERIES)), -(-tasks // blocks)))
 
     def code(batches):
         import pyarrow as pa

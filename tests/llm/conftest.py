@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, size int, key string, score double, node long, comp long, part int, html string, rank int"
+SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, size int, key string, score double, node long, comp long, part int, html string, rank int, id long, toxic int, share double"
 
 
 @pytest.fixture(scope="session")
@@ -8,7 +8,7 @@ def docs_of(spark):
     """A frame of documents from (doc_id, text, source, lang) rows, with columns whose names the operators use themselves."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, s, g, len(t or ""), 7, "k", 0.5, 1, 2, 3, "<p>", 4) for i, t, s, g in rows], SCHEMA)
+        return spark.createDataFrame([(i, t, s, g, len(t or ""), 7, "k", 0.5, 1, 2, 3, "<p>", 4, 5, 1, 0.5) for i, t, s, g in rows], SCHEMA)
 
     return make
 

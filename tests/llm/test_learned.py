@@ -43,6 +43,32 @@ def test_neighbours_in_a_crowd(spark):
         assert g.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(len(x)), -s))[:20].tolist()
 
 
+def test_more_neighbours_than_are_reranked_first(spark):
+    x = np.random.default_rng(5).normal(size=(600, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.nearest(frame, k=300).toPandas()
+    for q, g in out.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert g.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(600), -s))[:300].tolist()
+    assert len(out) == 30 * 300
+
+
+def test_the_quantised_scan_finds_neighbours_by_itself():
+    """In a full block the best 200 of the scan, an eightieth, hold the true neighbours; a random code would find one in eighty."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(ann.INDEX_BLOCK, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    book, eta = ann.fit(x[:8000])
+    code = ann.encode(x, book, eta)
+    rough = ann.scan(ann.tables(x[:100], book), ann.pack(code))
+    exact = x[:100] @ x.T
+    found = sum(len(set(np.argsort(-rough[i])[:200]) & set(np.argsort(-exact[i])[:20])) for i in range(100))
+    assert eta > 1 and found >= 0.9 * 2000
+    slack = ann.residual(x, code, book)
+    assert (np.abs(rough - exact) <= slack[None, :] + 1e-5).all()
+
+
 def test_few_neighbours(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [-1.0, 0.5])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in ann.nearest(frame).orderBy("rank").collect()] == [(1, 5.0), (2, 0.0)]
@@ -257,6 +283,67 @@ def test_language(docs_of, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.learn(none)).collect()} == {"und"}
 
 
+def test_language_by_brute_force_cosine(docs_of):
+    """Vectors made with dictionaries, idf from learnable rows alone; the nearest of the model's centroids by plain cosine."""
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice(p) for _ in range(3)) for _ in range(12)), "s", g) for i in range(150) for g, p in [rng.choice([("aa", ["tion", "ing", "é"]), ("bb", ["eau", "que", "ing"])])]]
+    rows += [(200, None, "s", "aa"), (201, "12 34", "s", "bb"), (202, "tion", "s", None)]
+    model = langid.learn(docs_of(rows))
+
+    def trigrams(text):
+        letters = re.sub(r"[^a-z\x80-\xff]+", " ", f" {(text or '').lower()} ".encode().decode("latin-1"))
+        data = letters.encode("latin-1")
+        code = lambda a, b, c: ((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF) >> 20
+        return Counter(code(*data[k : k + 3]) for k in range(len(data) - 2))
+
+    known = [t for i, t, _, g in rows if g and zlib.crc32(str(i).encode()) % 3 != 1]
+    df = Counter(d for t in known for d in trigrams(t))
+    assert np.allclose(model["idf"], [math.log((1 + len(known)) / (1 + df[d])) + 0.1 for d in range(langid.DIMS)], atol=1e-5)
+    for r in langid.predict(docs_of(rows), model).collect():
+        text = next(t for i, t, *_ in rows if i == r["doc_id"])
+        if text is None or not re.search(r"[^\W\d_]", text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        v = {d: math.sqrt(n) * float(model["idf"][d]) for d, n in trigrams(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[d]) for d, x in v.items()) / norm for c in model["centroids"]]
+        assert abs(r["score"] - max(cos)) < 1e-4 and cos[model["langs"].index(r["lang_pred"])] > max(cos) - 1e-4 or r["lang_pred"] == model["langs"][int(np.argmax(cos))]
+
+
+def test_held_out_rows_do_not_change_the_language_model(docs_of):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice(["tion", "eau", "sch"]) for _ in range(3)) for _ in range(9))
+    rows = [(i, text(), "s", "aa" if i % 2 else "bb") for i in range(90)]
+    more = [(i, text(), "s", "cc") for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 3 == 1] + [(300, text(), "s", None), (None, text(), "s", "dd")]
+    a, b = langid.learn(docs_of(rows)), langid.learn(docs_of(rows + more))
+    assert a["langs"] == b["langs"] and (a["idf"] == b["idf"]).all() and np.allclose(a["centroids"], b["centroids"], atol=1e-6)
+
+
+def test_evidence_by_brute_force():
+    """The least chance over r, computed anew from the segments' expectations, every segment counted."""
+    import math
+
+    model = toxicity.Model({"bad": 4.0, "vile": 3.0}, 0.001, -0.3)
+    rng = random.Random(10)
+    for n in (0, 1, 5, 40, 6000):
+        text = " ".join(rng.choice(["bad", "vile", *["fine"] * 60]) for _ in range(n))
+        scores = [{"bad": 4.0, "vile": 3.0}.get(w, -0.3) for w in text.split()]
+        excess = sorted((model.scale * s - math.log(model.k * len(scores)) for *_, s in toxicity.segments(scores)), reverse=True)
+        best, total = 0.0, 0.0
+        for r, x in enumerate(excess, 1):
+            total += x
+            if total <= 0:
+                break
+            tail = -math.log(-math.expm1(-math.exp(-total))) if r == 1 and total < 30 else total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r)
+            best = max(best, tail)
+        assert math.isclose(model.evidence(text), best, rel_tol=1e-9, abs_tol=1e-9) and (len(excess) > 64) == (n == 6000)
+        assert math.isclose(model.score(text), 1 / (1 + math.exp(-min(60, model.at_none + model.slope * best))))
+
+
 def test_a_text_counts_alike_in_any_place():
     texts = ["the  cat", "é", "", " a", None, "the cat", "b" * 200, "a"] * 40
     alone = np.concatenate([langid.counts([t]) for t in texts])
