@@ -5,7 +5,8 @@ same one.  Only places where that can be so come to the suffix order:
 
 1. Each text is cut into runs of neighbouring windows of `width` bytes that share their least `gram`-byte hash.  A window's run is
    a function of its content, so equal windows lie in runs of one key, wherever they are.
-2. Runs of equal content are settled at once: all but the first are repeats.  Blocks of a task settle their own first, so a
+2. Runs of equal content (two independent 64-bit hashes, of the gram and of the whole run) are settled at once: all but the first are
+   repeats.  Blocks of a task settle their own first, so a
    passage that a third of all documents share reaches the shuffle once a block, not once a document.
 3. What is left of a key with several different contents (the ends of copies, where texts part) goes to one block.  Each is cut to
    what it can share with another, equal ones are settled, and of the rest the
@@ -115,13 +116,11 @@ def _text_runs(texts: list[bytes], width: int, gram: int):
 
 
 def _settle(doc: np.ndarray, start: np.ndarray, key: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """Which rows repeat one of the same content that comes earlier."""
-    o = np.lexsort((start, doc))
-    both = mix(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ content.view(np.uint64))[o]
-    o2 = np.argsort(both, kind="stable")
-    both, o = both[o2], o[o2]
-    lead = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
-    first = o[np.repeat(lead, np.diff(np.append(lead, len(both))))]
+    """Which rows repeat one of the same content that comes earlier; contents are equal if both 64-bit hashes are."""
+    o = np.lexsort((start, doc, content, key))
+    k, c = key[o], content[o]
+    lead = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))) if len(o) else np.zeros(0, np.int64)
+    first = o[np.repeat(lead, np.diff(np.append(lead, len(o))))]
     late = np.zeros(len(doc), bool)
     late[o] = (doc[o] > doc[first]) | (start[o] > start[first])
     return late
@@ -316,7 +315,7 @@ def _trim(key: np.ndarray, anchor: np.ndarray, strings: list[bytes], width: int)
 
 
 def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFrame:
-    """at, start, n: repeats among strings of one key, by blocks of whole keys.
+    """at, start, n, how: repeats among strings of one key, by blocks of whole keys; how is 0 for equal strings, 1 for what the order finds.
 
     Strings are cut to what can be shared, equal ones are settled, and the keys that still have several go to the suffix order.
     """
@@ -329,12 +328,14 @@ def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFra
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
 
+        names = ["at", "start", "n", "how"]
+
         def marks(at, where):
             o = np.lexsort((where, at))
             where, at = where[o], at[o]
             new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (where[1:] > where[:-1] + 1))))
             last = np.append(new[1:], len(o)) - 1
-            return pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(where[new]), pa.array(where[last] - where[new] + 1)], ["at", "start", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(where[new]), pa.array(where[last] - where[new] + 1), pa.array(np.ones(len(new), np.int32))], names)
 
         held: list = []
         symbols = 0
@@ -365,7 +366,7 @@ def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFra
                     late.append((at[i], where[1], len(data)))
             if late:
                 a, s, n = map(np.array, zip(*late, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(n - width + 1)], ["at", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(n - width + 1), pa.array(np.zeros(len(a), np.int32))], names)
             for group in first.values():
                 if len(group) > 1:
                     for lead in group.values():
@@ -377,7 +378,7 @@ def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFra
         if held:
             yield from order()
 
-    return mapped(strings.repartition(tasks, "key").sortWithinPartitions("key"), run, "at long, start long, n long")
+    return mapped(strings.repartition(tasks, "key").sortWithinPartitions("key"), run, "at long, start long, n long, how int")
 
 
 def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot: int = HOT_CONTENTS, with_text: bool = False) -> DataFrame:
@@ -399,7 +400,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     every = spark.range(0).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("at"), F.col("id").alias("start"), F.col("id").alias("n"))
     if parts:
         every = spark.createDataFrame([(p,) for p in parts], "part long").select("part", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n"))
-    marks = found.filter("kind = 0").select("at", "start", "n").union(late).select(F.shiftright("at", 32).alias("part"), "at", "start", "n").union(every)
+    marks = found.filter("kind = 0").select("at", "start", "n").union(late.drop("how")).select(F.shiftright("at", 32).alias("part"), "at", "start", "n").union(every)
     marks = marks.repartition(min(max(1, len(parts)), 20_000), "part").sortWithinPartitions("part", "at", "start")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
 

@@ -1,5 +1,6 @@
 """Near-duplicates and repeated strings against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -104,6 +105,32 @@ def test_repeats(docs_of):
         assert got == brute_repeats(rows, 20)
 
 
+def test_repeats_at_production_width(docs_of):
+    """Windows of 100 bytes and grams of 20, over several scan tasks: every column against brute force, the kept bytes too."""
+    rng = random.Random(11)
+    shared = [" ".join(words(rng, 40)) for _ in range(4)]
+    rows = []
+    for i in range(90):
+        parts = [" ".join(words(rng, rng.randrange(3, 30))) for _ in range(3)]
+        if i % 3:
+            whole = shared[i % 4]
+            a = rng.randrange(0, 80)
+            parts.insert(1, whole[a : a + rng.randrange(90, 200)])
+        rows.append((i, " ".join(parts) + "é" * (i % 5)))
+    rows += [(100 + k, rows[7][1]) for k in range(12)] + [(200, rows[3][1][:150] + "!" + rows[3][1][150:]), (201, "q" * 350), (202, None)]
+    out = {r["doc_id"]: r for r in repeats.remove_repeats(docs_of([(i, t, "s", "en") for i, t in rows]).repartition(4)).collect()}
+    want, seen = brute_repeats(rows, 100), set()
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"]) for i, r in out.items()} == want and sum(n > 0 for _, n, _ in want.values()) > 40
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        data = (t or "").encode()
+        covered = bytearray(len(data))
+        for p in range(len(data) - 99):
+            if data[p : p + 100] in seen:
+                covered[p : p + 100] = b"\1" * 100
+            seen.add(data[p : p + 100])
+        assert out[i]["kept_sha256"] == hashlib.sha256(bytes(b for b, c in zip(data, covered) if not c)).hexdigest()
+
+
 def test_repeats_odd_rows(odd, none):
     rows = repeats.remove_repeats(odd, with_text=True).collect()
     assert len(rows) == 10
