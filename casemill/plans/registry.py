@@ -419,9 +419,16 @@ QUERIES: dict[str, tuple] = {
 }
 
 
+def every() -> dict[str, tuple]:
+    """All queries with their SQL, those of the services too."""
+    from casemill.plans import services
+
+    return QUERIES | services.QUERIES
+
+
 def queries() -> dict:
-    return {name: build for name, (build, _) in QUERIES.items()}
+    return {name: build for name, (build, _) in every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in every().items() if sql}
