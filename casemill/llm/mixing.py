@@ -24,32 +24,39 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def running(frame: DataFrame, order: list, **sums: Column) -> DataFrame:
+    """frame with the sums of all rows before each in a total order: range-sorted, summed within a range, and over the ranges' totals.
+
+    The ranges are a written table, so that the sums are over the same ones whatever runs again; no task holds more than a range.
+    """
+    ranges = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(frame.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("_range").agg(*[F.sum(v).alias(f"_{k}") for k, v in sums.items()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = totals.select("_range", *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.join(starts, "_range")
+    return rows.select(*frame.columns, *[(F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_{k}")).alias(k) for k, v in sums.items()])
+
+
 def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = 1.0, most_epochs: int = 3) -> DataFrame:
     """(source, docs, source_size, place, target) from (source, docs, source_size).
 
     Targets share the total by weight; a source stops at most_epochs times its size and the excess is reshared by weight among
     the others until none is above.  Solved in closed form: with sources in order of how many epochs a unit of weight costs,
-    the capped ones are a prefix, the longest whose members would exceed their caps.  The frame has a row per source.
+    the capped ones are a prefix, the longest whose members would exceed their caps.  The frame has a row per source; both orders
+    are prefix sums over ranges, as sources may be as many as there are domains.
     """
-    everything = Window.orderBy(F.col("source").asc_nulls_last())
     names = F.array(*[F.lit(float(w)) for w in weights])
-    placed = sizes.withColumn("place", F.row_number().over(everything) - 1).withColumn(
-        "weight", F.element_at(names, (F.col("place") % len(weights) + 1).cast("int"))
-    )
-    placed = placed.withColumn("cap", F.lit(float(most_epochs)) * F.col("source_size"))
-    by_need = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before = by_need.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        placed.withColumn("total", F.lit(float(share)) * F.sum("source_size").over(whole))
-        .withColumn("capped_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("capped_before")) / F.col("weight_left"))
-        .withColumn("capped", F.col("level") * F.col("weight") > F.col("cap"))
-        .withColumn("free_level", F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), "place", "level"))).over(whole)["level"])
-        .withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("free_level") * F.col("weight")))
-        .select("source", "docs", "source_size", "place", "target")
-    )
+    placed = running(sizes, [F.col("source").asc_nulls_last()], place=F.lit(1))
+    placed = placed.withColumn("weight", F.element_at(names, (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", F.lit(float(most_epochs)) * F.col("source_size"))
+    placed = running(placed.withColumn("need", F.col("cap") / F.col("weight")), [F.col("need"), F.col("place")], capped_before=F.col("cap"), weight_before=F.col("weight"))
+    whole = placed.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weight")).first()
+    total, weight = F.lit(float(share) * float(whole["total"] or 0)), F.lit(float(whole["weight"] or 0))
+    placed = placed.withColumn("level", (total - F.col("capped_before")) / (weight - F.col("weight_before"))).withColumn("capped", F.col("level") * F.col("weight") > F.col("cap"))
+    free = placed.filter(~F.col("capped")).agg(F.min(F.struct("need", "place", "level"))["level"].alias("level")).first()["level"]
+    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.lit(free).cast("double") * F.col("weight"))
+    return placed.select("source", "docs", "source_size", "place", target.alias("target"))
 
 
 def mix_sources(
