@@ -9,10 +9,10 @@ same one.  Only places where that can be so come to the suffix order:
    repeats.  Blocks of a task settle their own first, so a
    passage that a third of all documents share reaches the shuffle once a block, not once a document.
 3. What is left of a key with several different contents (the ends of copies, where texts part) goes to one block.  Each is cut to
-   what it can share with another, equal ones are settled, and of the rest the
-   Burrows-Wheeler transform and the common prefixes of these short strings are built column by column, and wherever `width`
-   bytes are shared all but the first window are repeats.  A key with very many contents is split by window instead; equal windows
-   still meet.
+   what it can share with another, the Burrows-Wheeler transform and the common prefixes of these short strings are built column
+   by column, and wherever `width` bytes are shared all but the first window are repeats.  Of equal strings the first and the second
+   are ordered; the others, compared byte by byte, fare as the second.  A key with very many contents is split by window before
+   that; equal windows still meet.
 
 Texts are not shuffled.  Each scan task leaves its rows as a file in the shared folder, later tasks open that file, and an
 address is the file's number and the row.  A task that runs again writes the same file again, as a scan gives it the same rows;
@@ -314,11 +314,24 @@ def _trim(key: np.ndarray, anchor: np.ndarray, strings: list[bytes], width: int)
     return anchor - left, anchor + right
 
 
-def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFrame:
-    """at, start, n, how: repeats among strings of one key, by blocks of whole keys; how is 0 for equal strings, 1 for what the order finds.
+def _classes(rows: list[tuple]) -> list[tuple]:
+    """(doc, start, at, string, followers) to order of one key's (string, doc, start, at): of equal strings the first (all that begin at
+    its place) and the second, which the others follow as (at, start)."""
+    equal: dict[bytes, list] = {}
+    for data, *where in rows:
+        equal.setdefault(data, []).append(tuple(where))
+    out = []
+    for data, members in equal.items():
+        members.sort()
+        lead = sum(m[:2] == members[0][:2] for m in members)
+        out.extend((*m, data, ()) for m in members[:lead])
+        if lead < len(members):
+            out.append((*members[lead], data, tuple((at, start) for _, start, at in members[lead + 1 :])))
+    return out if len(out) > 1 else []
 
-    Strings are cut to what can be shared, equal ones are settled, and the keys that still have several go to the suffix order.
-    """
+
+def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFrame:
+    """at, start, n: repeats among strings of one key, by blocks of whole keys that are cut to what can be shared and put in suffix order."""
 
     def run(batches):
         import uuid
@@ -327,58 +340,43 @@ def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFra
 
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-
-        names = ["at", "start", "n", "how"]
-
-        def marks(at, where):
-            o = np.lexsort((where, at))
-            where, at = where[o], at[o]
-            new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (where[1:] > where[:-1] + 1))))
-            last = np.append(new[1:], len(o)) - 1
-            return pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(where[new]), pa.array(where[last] - where[new] + 1), pa.array(np.ones(len(new), np.int32))], names)
-
         held: list = []
         symbols = 0
 
         def order():
-            doc, start, at = (np.array([r[k] for r in held]) for k in (0, 1, 2))
+            doc, start = (np.array([r[k] for r in held]) for k in (0, 1))
             s, offset = bcr.repeated([r[3] for r in held], doc, start, width, bcr.Files(fs, f"{root}/{uuid.uuid4().hex}"))
-            if len(s):
-                yield marks(at[s], start[s] + offset)
+            if not len(s):
+                return
+            o = np.lexsort((offset, s))
+            s, offset = s[o], offset[o]
+            new = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (offset[1:] > offset[:-1] + 1))))
+            last = np.append(new[1:], len(s)) - 1
+            out = []
+            for k, a, n in zip(s[new].tolist(), offset[new].tolist(), (offset[last] - offset[new] + 1).tolist(), strict=True):
+                _, begin, at, _, followers = held[k]
+                out.append((at, begin + a, n))
+                out.extend((at, begin + a, n) for at, begin in followers)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["at", "start", "n"])
 
         for t in blocks(batches, 4 * ORDER_SYMBOLS):
             key, doc, start, anchor, at = (t.column(k).to_numpy() for k in range(5))
             texts = t.column(5).to_pylist()
             begin, end = _trim(key, anchor, texts, width)
-            first: dict = {}
-            late = []
+            keys: dict[int, list] = {}
             for i in np.flatnonzero(end - begin >= width).tolist():
-                where = (doc[i], start[i] + begin[i])
-                data = texts[i][begin[i] : end[i]]
-                group = first.setdefault(key[i], {})
-                lead = group.setdefault(data, [])
-                if not lead or where == (lead[0][0], lead[0][1]):
-                    lead.append((*where, at[i], data))
-                elif where < (lead[0][0], lead[0][1]):
-                    late.extend((a, s, len(data)) for _, s, a, _ in lead)
-                    group[data] = [(*where, at[i], data)]
-                else:
-                    late.append((at[i], where[1], len(data)))
-            if late:
-                a, s, n = map(np.array, zip(*late, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(n - width + 1), pa.array(np.zeros(len(a), np.int32))], names)
-            for group in first.values():
-                if len(group) > 1:
-                    for lead in group.values():
-                        held.extend(lead)
-                        symbols += sum(len(r[3]) for r in lead)
+                keys.setdefault(int(key[i]), []).append((texts[i][begin[i] : end[i]], int(doc[i]), int(start[i] + begin[i]), int(at[i])))
+            for rows in keys.values():
+                found = _classes(rows)
+                held += found
+                symbols += sum(len(r[3]) for r in found)
                 if symbols >= ORDER_SYMBOLS:
                     yield from order()
                     held, symbols = [], 0
         if held:
             yield from order()
 
-    return mapped(strings.repartition(tasks, "key").sortWithinPartitions("key"), run, "at long, start long, n long, how int")
+    return mapped(strings.repartition(tasks, "key").sortWithinPartitions("key"), run, "at long, start long, n long")
 
 
 def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot: int = HOT_CONTENTS, with_text: bool = False) -> DataFrame:
@@ -400,7 +398,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     every = spark.range(0).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("at"), F.col("id").alias("start"), F.col("id").alias("n"))
     if parts:
         every = spark.createDataFrame([(p,) for p in parts], "part long").select("part", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n"))
-    marks = found.filter("kind = 0").select("at", "start", "n").union(late.drop("how")).select(F.shiftright("at", 32).alias("part"), "at", "start", "n").union(every)
+    marks = found.filter("kind = 0").select("at", "start", "n").union(late).select(F.shiftright("at", 32).alias("part"), "at", "start", "n").union(every)
     marks = marks.repartition(min(max(1, len(parts)), 20_000), "part").sortWithinPartitions("part", "at", "start")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
 

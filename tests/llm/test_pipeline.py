@@ -102,3 +102,18 @@ def test_stages_against_brute_force(spark, docs_of, tmp_path):
     for p in run[run.start == 0].itertuples():
         lengths[p.doc_id] += 1
     assert lengths == Counter(i for (i, _), n in expected.items() for _ in range(n))
+
+
+def test_every_stage_takes_odd_rows_and_none(spark, docs_of, odd, none, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, further columns that clash; and an empty table."""
+    labels = spark.createDataFrame([(None, 1), (1, None), (3, 0)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        for frame, rows in ((odd, 10), (none, 0)):
+            out = stage(spark, frame, str(tmp_path))
+            if name != "packing":
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+            n = out.count()
+            assert n == 0 if not rows else n > 0, name
+            if name in ("toxicity", "repeats"):
+                assert n == rows
