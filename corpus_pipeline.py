@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and ids, and an empty table, which gives no rows;
+of its input it reads the columns of documents alone, so others do not clash.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +28,11 @@ def _numbered(docs: DataFrame, keep) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject."""
+    """Documents that the toxicity operator does not reject.
+
+    A text that is null, empty or without a toxic token stays; repeated rows fare alike; a null doc_id has no label and is scored as
+    the others are.  Where nothing can be learned (no labels, or one kind of them) nothing is rejected.
+    """
     with cleared():
         model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _documents(toxicity.score_documents(docs, model, keep=list(COLUMNS)).filter("predicted = 0"))
@@ -51,7 +59,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row for each whole repeat of a document, and one with the first words of a part that is taken."""
+    """What the mix takes: a row for each whole repeat of a document, and one with the first words of a part that is taken.
+
+    A document without words, null or empty, takes no part in the mix, as it has no words to take; a null source is a source of its
+    own; rows that repeat an id each count; which of two rows with one id and size is cut does not follow from their texts.
+    """
     rows = mixing.mix_sources(docs, keep=("text", "lang", "n_chars"))
     part = (F.col("taken") - F.col("epochs") * F.col("size")).cast("int")
     word = r"[^\x20\x09-\x0D]+"
@@ -64,7 +76,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences: a null or empty text is the end id alone, rows that repeat an id are packed one by one, a null id stays null."""
     return packing.pack_documents(docs, queries._tokenizer(), end_id=1)
 
 
