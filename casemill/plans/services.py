@@ -239,7 +239,6 @@ def engine_stats(spark, d):
 _PARAGRAPHS = R.STRIP_SQL(R.PII_SQL(R._ws(R._replaced(R.ENC_SQL, [(p, " ") for p in T.NOISE if p != r"\n{3,}"], True))))
 _CLEANED = f"SELECT doc_id AS id, {_PARAGRAPHS} AS whole FROM documents"
 _CHUNKED = R.chunks_sql(_CLEANED, 500, 50)
-_MINE = "SELECT doc_id, lang FROM documents"
 
 QUERIES: dict[str, tuple] = {
     "index_entries": (list_pages, LIST_SQL),
