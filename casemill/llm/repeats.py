@@ -314,9 +314,9 @@ def _trim(key: np.ndarray, anchor: np.ndarray, strings: list[bytes], width: int)
     return anchor - left, anchor + right
 
 
-def _classes(rows: list[tuple]) -> list[tuple]:
-    """(doc, start, at, string, followers) to order of one key's (string, doc, start, at): of equal strings the first (all that begin at
-    its place) and the second, which the others follow as (at, start)."""
+def _classes(rows: list[tuple]) -> tuple[list[tuple], bool]:
+    """(doc, start, at, string, followers) to order of one key's (string, doc, start, at), and whether they differ: of equal strings the
+    first (all that begin at its place) and the second, which the others follow as (at, start)."""
     equal: dict[bytes, list] = {}
     for data, *where in rows:
         equal.setdefault(data, []).append(tuple(where))
@@ -327,7 +327,7 @@ def _classes(rows: list[tuple]) -> list[tuple]:
         out.extend((*m, data, ()) for m in members[:lead])
         if lead < len(members):
             out.append((*members[lead], data, tuple((at, start) for _, start, at in members[lead + 1 :])))
-    return out if len(out) > 1 else []
+    return out, len(equal) > 1
 
 
 def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFrame:
@@ -343,6 +343,9 @@ def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFra
         held: list = []
         symbols = 0
 
+        def table(rows: list[tuple]):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["at", "start", "n"])
+
         def order():
             doc, start = (np.array([r[k] for r in held]) for k in (0, 1))
             s, offset = bcr.repeated([r[3] for r in held], doc, start, width, bcr.Files(fs, f"{root}/{uuid.uuid4().hex}"))
@@ -357,7 +360,7 @@ def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFra
                 _, begin, at, _, followers = held[k]
                 out.append((at, begin + a, n))
                 out.extend((at, begin + a, n) for at, begin in followers)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["at", "start", "n"])
+            yield table(out)
 
         for t in blocks(batches, 4 * ORDER_SYMBOLS):
             key, doc, start, anchor, at = (t.column(k).to_numpy() for k in range(5))
@@ -366,13 +369,21 @@ def _ordered(strings: DataFrame, folder: str, tasks: int, width: int) -> DataFra
             keys: dict[int, list] = {}
             for i in np.flatnonzero(end - begin >= width).tolist():
                 keys.setdefault(int(key[i]), []).append((texts[i][begin[i] : end[i]], int(doc[i]), int(start[i] + begin[i]), int(at[i])))
+            alike = []
             for rows in keys.values():
-                found = _classes(rows)
+                found, differ = _classes(rows)
+                if not differ:
+                    for r in found:
+                        if r[:2] > found[0][:2]:
+                            alike.extend((a, b, len(r[3]) - width + 1) for a, b in ((r[2], r[1]), *r[4]))
+                    continue
                 held += found
                 symbols += sum(len(r[3]) for r in found)
                 if symbols >= ORDER_SYMBOLS:
                     yield from order()
                     held, symbols = [], 0
+            if alike:
+                yield table(alike)
         if held:
             yield from order()
 
