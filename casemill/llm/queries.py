@@ -109,13 +109,34 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, learn(docs))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casemill.llm.lexical import rank_documents
+
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casemill.llm.codes import compress
+
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casemill.llm.quality import learn, score_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    found = [op1_packing, op2_warc, op3_minhash, op4_mixing, op5_media, op6_repeats, op7_nearest, op8_licenses, op9_toxicity, op10_langid]
+    found = [op1_packing, op2_warc, op3_minhash, op4_mixing, op5_media, op6_repeats, op7_nearest, op8_licenses, op9_toxicity, op10_langid, op11_lexical, op12_codes, op13_quality]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    from casemill.llm.codes import compress_sql
+    from casemill.llm.lexical import RANK_SQL
     from casemill.llm.licenses import license_sql
     from casemill.llm.mixing import MIX_SQL
 
-    return {"op2_warc": WARC_SQL, "op3_minhash": NEAR_SQL, "op4_mixing": MIX_SQL, "op8_licenses": license_sql()}
+    return {"op2_warc": WARC_SQL, "op3_minhash": NEAR_SQL, "op4_mixing": MIX_SQL, "op8_licenses": license_sql(), "op11_lexical": RANK_SQL, "op12_codes": compress_sql()}
