@@ -143,40 +143,47 @@ def best_of_block(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray
         yield ids[mine[order]], exact[order]
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, dims: int | None = None) -> DataFrame:
-    """(id, v) of the vectors that take part: not null or zero, all components finite, of `dims` components (None: as many as most have)."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v) of the vectors that take part: not null or zero, and all components finite."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = written(rows.filter(finite), "vectors")
-    if dims is None:
-        most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-        dims = most["d"] if most else 0
-    return rows.filter(F.size("v") == dims)
+    return written(rows.filter(finite), "vectors")
 
 
 def nearest(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, sample: int = SAMPLE, rerank: int = RERANK,
-    index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK, dims: int | None = None,
+    index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates for each id divisible by `every`, among all rows but its own.
 
     score is the inner product of the original vectors in double precision; ties go to the smaller vec_id.  Rows that cannot take
     part (usable()) are left out; an empty table gives no rows; other columns are ignored.  Of equal vectors the k + 1 least ids
     are indexed, as no other can be among a query's k best.  sample bounds the rows that the codebook is fitted on; it and rerank, the
-    candidates a query and block that set its floor (k + 1 at least), change the work but not the result.  dims: see usable().
+    candidates a query and block that set its floor (k + 1 at least), change the work but not the result.  Vectors of several lengths
+    have no inner product with each other: each length is searched by itself, one after the other.
     """
-    rows = usable(vectors, id_col, vector_col, dims)
+    rows = usable(vectors, id_col, vector_col)
+    lengths = [r["d"] for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    if not lengths:
+        return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    found = [_nearest(rows if len(lengths) == 1 else rows.filter(F.size("v") == d), k, every, sample, rerank, index_block, query_block) for d in lengths]
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def _nearest(rows: DataFrame, k: int, every: int, sample: int, rerank: int, index_block: int, query_block: int) -> DataFrame:
+    """nearest() among usable vectors of one length, of which there are some."""
     twins = Window.partitionBy("v").orderBy("id")
     index = written(rows.withColumn("r", F.row_number().over(twins)).filter(F.col("r") <= k + 1).drop("r"), "index")
     queries = rows.filter(F.col("id") % every == 0)
     some = hash_sample(index, "id", sample).select("v").toPandas()["v"]
-    if not len(some):
-        return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     book, eta = fit(np.stack(some.to_list()).astype(float))
     rerank = max(rerank, k + 1)
     blocks, asked = -(-index.count() // index_block), max(1, queries.count())
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(-(-asked // query_block), min(-(-asked // min(query_block, LEAST_QUERIES)), -(-tasks // blocks)))
 
     def code(batches):

@@ -75,6 +75,27 @@ def test_few_neighbours(spark):
     assert ann.nearest(frame.limit(0)).collect() == []
 
 
+def test_neighbours_of_several_lengths(spark):
+    """No vector is dropped for its length: each length is searched by itself."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8 if i % 3 else 16).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest(frame, k=3).toPandas()
+    assert sorted(out.query_id.unique()) == list(range(0, 300, 20))
+    for q, g in out.groupby("query_id"):
+        own = [(i, np.dot(v, rows[q][1])) for i, v in rows if len(v) == len(rows[q][1]) and i != q]
+        assert g.sort_values("rank").vec_id.tolist() == [i for i, _ in sorted(own, key=lambda x: (-x[1], x[0]))[:3]]
+
+
+def test_texts_that_share_a_passage_each_count(spark):
+    """Only near copies share the weight of one text; two thirds of a text in common make no near copy."""
+    opening = " ".join(f"w{i}" for i in range(60))
+    texts = [opening + " " + " ".join(f"o{i}x{j}" for j in range(30)) for i in range(40)] + [opening + " same end"] * 5 + ["", None]
+    frame = spark.createDataFrame([(i, t, int(i == 44)) for i, t in enumerate(texts)], "row long, text string, toxic int")
+    share = {r["row"]: r["share"] for r in toxicity._shares(frame).collect()}
+    assert [share[i] for i in range(40)] == [1.0] * 40 and [share[i] for i in range(40, 47)] == [0.25] * 4 + [1.0] * 3
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
