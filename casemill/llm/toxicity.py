@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segment search over token log-odds.
 
-Learning counts, over families of near copies, the texts of either label that hold a token: a word, or the first letters of a
+Learning counts the texts of either label that hold a token, near copies together as one text: a word, or the first letters of a
 longer one.  Log-odds get a Dirichlet prior; a token scores by them if its share of toxic texts could not be chance (of all
 tokens seen so often, at most one is expected to pass) and they are large; all other tokens share one small negative score.
 A text is scanned once, left to right, for all its maximal scoring segments (no prefix or suffix of one can be cut with gain,
@@ -17,6 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.llm.minhash import near_duplicates
 from casemill.llm.shared import hash_sample, mapped, slices, written
 
 #: Labelled rows that are learned from, at most; those of least hash.
@@ -144,26 +145,29 @@ class Model:
         self.at_none, self.slope = float(w[0]), max(1e-3, float(w[1]))
 
 
-def _token_sets(docs: DataFrame) -> DataFrame:
-    """toxic, family (a hash that near copies share) and the distinct tokens of each text."""
+def _token_sets(texts: DataFrame) -> DataFrame:
+    """row, toxic and the distinct tokens of each text."""
 
     def run(batches):
         import pyarrow as pa
 
-        from casemill.llm.shingles import shingle_sets
-
         for batch in batches:
             for some in slices(batch, 0, rows=256, size=SLICE_BYTES):
-                texts = some.column(0).to_pylist()
-                sets = shingle_sets([(t or "").encode() for t in texts])
-                family = [int(s[0]) - (1 << 63) if len(s) else 0 for s in sets]
                 tokens = []
-                for t in texts:
+                for t in some.column(0).to_pylist():
                     found = set(words(t))
                     tokens.append(list(found | {f"{w[:n]}*" for w in found for n in PREFIXES if len(w) > n}))
-                yield pa.RecordBatch.from_arrays([some.column(1), pa.array(family, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], ["toxic", "family", "tokens"])
+                yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(tokens, pa.list_(pa.string()))], ["row", "toxic", "tokens"])
+
+    return mapped(texts.select("text", "row", "toxic"), run, "row long, toxic int, tokens array<string>")
+
 
-    return mapped(docs.select("text", "toxic"), run, "toxic int, family long, tokens array<string>")
+def _shares(texts: DataFrame) -> DataFrame:
+    """(row, share): what each text counts, one by the number of near copies of its label, itself included; texts of no words have none."""
+    near = near_duplicates(texts.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("family"))
+    near = written(texts.select("row", "toxic").join(near, "row"), "families")
+    many = near.groupBy("family", "toxic").agg(F.count("*").alias("many"))
+    return near.join(many, ["family", "toxic"]).select("row", (1 / F.col("many")).alias("share"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: float = LEAST_LOG_ODDS, prior: float = PRIOR) -> Model:
@@ -176,26 +180,30 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: fl
         return Model({}, 0.0, -0.1)
     few = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = written(rows.join(F.broadcast(few), "id").select("text", "toxic"), "labelled")  # few: bounded by `sample`
-    sets = written(_token_sets(texts), "tokens")
-    # one text of a family and label counts: near copies are no evidence of their own
-    one = written(sets.groupBy("family", "toxic").agg(F.min("tokens").alias("tokens")), "families")
-    size = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts = rows.join(F.broadcast(few), "id").select("text", "toxic")  # few: bounded by `sample`
+    texts = written(texts.withColumn("row", F.monotonically_increasing_id()), "labelled")
+    if texts.count() > sample:  # an id may stand for many rows: the bound holds for rows
+        texts = written(hash_sample(texts, "row", sample), "labelled")
+    # near copies share the weight of one text of their label: they are no evidence of their own
+    one = written(_token_sets(texts).join(_shares(texts), "row"), "tokens")
+    size = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.sum("share").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return Model({}, 0.0, -0.1)
-    counts = one.select("toxic", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter("n >= 2")
+    exploded = one.select("toxic", "share", F.explode("tokens").alias("token"))
+    counts = exploded.groupBy("token").agg(F.sum(F.col("toxic") * F.col("share")).alias("t"), F.sum("share").alias("n")).filter("n > 1.99")
     counts = written(counts, "counts")
     share = bad / (bad + good)
-    p = F.col("t") / F.col("n")
-    unlikely = F.col("n") * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
-    odds = F.log((F.col("t") + prior) / (bad + prior)) - F.log((F.col("n") - F.col("t") + prior) / (good + prior))
+    # sums of shares may differ from whole numbers in the last digits
+    p = F.least(F.lit(1.0), F.round(F.col("t") / F.col("n"), 12))
+    unlikely = F.col("n") * (F.when(p > 0, p * F.log(p / share)).otherwise(0.0) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
+    odds = F.log((F.col("t") + prior) / (bad + prior)) - F.log((F.greatest(F.col("n") - F.col("t"), F.lit(0.0)) + prior) / (good + prior))
     tested = max(1, counts.count())
-    kept = counts.filter((p > share) & (unlikely >= math.log(tested)) & (odds >= least)).select("token", odds.alias("odds"), (F.col("n") - F.col("t")).alias("clean"), "t").collect()
-    log_odds = {r["token"]: r["odds"] for r in kept}
-    clean = sum(r["clean"] for r in kept if not r["token"].endswith("*"))
+    kept = counts.filter((p > share) & (unlikely >= math.log(tested)) & (odds >= least)).select("token", odds.alias("odds"), (F.col("n") - F.col("t")).alias("clean"), "t").orderBy("token").collect()
+    log_odds = {r["token"]: round(r["odds"], 9) for r in kept}
+    clean = max(0.0, sum(r["clean"] for r in kept if not r["token"].endswith("*")))
     toxic = sum(r["t"] for r in kept if not r["token"].endswith("*"))
-    total = one.groupBy("toxic").agg(F.sum(F.size("tokens")).alias("n")).collect()
+    total = one.groupBy("toxic").agg(F.sum(F.size("tokens") * F.col("share")).alias("n")).collect()
     n = {r["toxic"]: max(1, r["n"] or 1) for r in total}
     rate = (clean + prior) / n[0]
     model = Model(log_odds, rate, min(-1e-3, math.log1p(-min(0.5, (toxic + prior) / n[1])) - math.log1p(-rate)))
@@ -206,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: fl
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["evidence", "toxic"])
 
-    found = mapped(texts, weigh, "evidence double, toxic int").toArrow()  # bounded by `sample`
+    found = mapped(texts.select("text", "toxic"), weigh, "evidence double, toxic int").toArrow()  # bounded by `sample`
     model.calibrate(found.column(0).to_pylist(), found.column(1).to_pylist())
     return model
 
