@@ -12,13 +12,15 @@ from casemill.functions import text as T
 from casemill.operators import chunking, embed, retrieval, stats, store
 from casemill.operators.index import KeywordIndex
 from casemill.sources.scratch import stored
+from casemill.sources.snapshots import Change, Tables
 
 CHUNK = "chunk_id string, case_reference string, chunk_index int, section string, text string, token_count int, year int, region string, case_type string"
+VECTOR = "id string, embedding array<double>, case_reference string, region string, case_type string, section string, year int"
 FETCH, FUSED, FINAL = 2, 20, 10
 
 
 class Engine:
-    """Chunks, vectors and a keyword index in one folder that the cluster shares.
+    """Chunks, vectors and a keyword index in one folder that the cluster shares, changed together.
 
     `where` filters reach the semantic branch alone, as in the reference, unless scope="both".
     """
@@ -29,48 +31,84 @@ class Engine:
     ):
         self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder or embed.HashedWords(64)
         self.chunk_tokens, self.overlap, self.issues, self.evidence, self.as_of_year = chunk_tokens, overlap, dict(issues), dict(evidence), as_of_year
-        self.index = KeywordIndex(spark, f"{self.folder}/keywords", lite=lite, id_type="string")
-
-    def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        self.tables = Tables(spark, self.folder)
+        self.index = KeywordIndex(spark, self.folder, lite=lite, id_type="string", tables=self.tables)
 
     def chunks(self) -> DataFrame:
         """All stored chunks; none before the first ingest."""
-        return self.spark.read.schema(CHUNK).parquet(f"{self.folder}/chunks") if self._exists("chunks") else self.spark.createDataFrame([], CHUNK)
+        return self.tables.read("chunks", CHUNK)
 
     def vectors(self) -> DataFrame:
         """(id, embedding, and the metadata that filters name) of all stored chunks."""
-        schema = "id string, embedding array<double>, case_reference string, region string, case_type string, section string, year int"
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/vectors") if self._exists("vectors") else self.spark.createDataFrame([], schema)
+        return self.tables.read("vectors", VECTOR)
 
-    def ingest(self, docs: DataFrame, *, skip_existing: bool = True, pii: bool = True) -> DataFrame:
+    def ingest(self, docs: DataFrame, *, skip_existing: bool = True, pii: bool = True, batch: tuple[str, int] | None = None) -> DataFrame:
         """Cleans, chunks, embeds and indexes docs (case_reference, text, year, region, case_type); returns the counters as one row.
 
-        A document whose cleaned text is blank is skipped; one that has an error column which is not null has failed.  Chunks whose
-        id is stored already are left out, unless skip_existing is false.  An empty frame adds nothing.
+        A document whose cleaned text is blank is skipped; one that has an error column which is not null has failed.  Of rows that
+        repeat a reference the greatest by year, region, case type and text is taken.  Chunks whose id is stored already are left out,
+        or with skip_existing=False replaced, in all tables alike.  An empty frame adds nothing.
+
+        Chunks, vectors, postings and the batch's number become visible together: a call that fails anywhere leaves the engine as it
+        was, and may be repeated.  batch (a source and its number) that is not greater than the source's last one changes nothing.
         """
+        change = self.tables.begin()
+        done = change.state["notes"].get("batches", {})
+        if batch and done.get(batch[0], -1) >= batch[1]:
+            docs = docs.limit(0)
         bad = F.col("error").isNotNull() if "error" in docs.columns else F.lit(False)
         rows = docs.select("case_reference", "year", "region", "case_type", F.when(~bad, T.clean(F.col("text"), pii=pii, preserve_paragraphs=True)).alias("text"), bad.alias("failed"))
         rows = stored(rows.withColumn("status", F.when(F.col("failed"), "failed").when(F.length(F.trim("text")) > 0, "processed").otherwise("skipped")), "ingest")
-        good = rows.filter("status = 'processed'")
+        meta = F.struct(F.col("year").cast("int").alias("year"), "region", "case_type", "text")
+        good = rows.filter("status = 'processed'").groupBy("case_reference").agg(F.max(meta).alias("d")).select("case_reference", "d.*")
         made = chunking.chunks(good, self.chunk_tokens, self.overlap, "case_reference").withColumnRenamed("id", "case_reference")
-        made = made.join(good.select("case_reference", F.col("year").cast("int"), "region", "case_type").dropDuplicates(["case_reference"]), "case_reference")
+        made = made.join(good.select("case_reference", "year", "region", "case_type"), "case_reference")
         if skip_existing:
-            made = store.unseen(made, self.chunks(), "chunk_id")
+            made = store.unseen(made, change.read("chunks", CHUNK), "chunk_id")
         made = stored(made.select(*[c.split()[0] for c in CHUNK.split(", ")]), "chunks")
         counts = rows.select("status", F.lit(0).cast("long").alias("chunks")).unionByName(made.agg(F.count("*").alias("chunks")).select(F.lit("chunks").alias("status"), "chunks"))
         counts = stats.ingestion(counts).withColumn("total", F.col("total") - 1)
+        if batch and done.get(batch[0], -1) < batch[1]:
+            change.note("batches", {**done, batch[0]: batch[1]})
+        elif made.isEmpty():
+            return counts
         if not made.isEmpty():
-            made.write.mode("append").parquet(f"{self.folder}/chunks")
+            if not skip_existing:
+                self._forget(change, good.select("case_reference"))
             vectors = embed.embed(made, self.embedder, "chunk_id", "text")
-            meta = made.select(F.col("chunk_id").alias("id"), "case_reference", "region", "case_type", "section", "year")
-            embed.append_vectors(vectors, meta, f"{self.folder}/vectors")
-            self.index.build(made, id_col="chunk_id", ref_col="case_reference", mode="append")
+            about = made.select(F.col("chunk_id").alias("id"), "case_reference", "region", "case_type", "section", "year")
+            change.append("chunks", made, key="case_reference")
+            change.append("vectors", embed.with_vectors(vectors, about).select(*[c.split()[0] for c in VECTOR.split(", ")]), key="case_reference")
+            self.index.add(change, made, id_col="chunk_id", ref_col="case_reference")
+        change.commit()
         return counts
 
+    def _forget(self, change: Change, cases: DataFrame) -> None:
+        """Takes the cases (case_reference) out of all tables, as part of a change."""
+        cases = stored(cases.select("case_reference").distinct(), "forgotten")
+        gone = change.read("chunks", CHUNK).join(cases, "case_reference", "left_semi").select(F.col("chunk_id").alias("id"))
+        if gone.isEmpty():
+            return
+        self.index.remove(change, gone)
+        for name in ("chunks", "vectors"):
+            change.delete(name, cases, "case_reference")
+
+    def delete(self, cases: DataFrame) -> None:
+        """Takes the cases (case_reference) out of chunks, vectors and index at once; those that are not there are no error."""
+        change = self.tables.begin()
+        self._forget(change, cases)
+        change.commit()
+
+    def ingest_stream(self, docs: DataFrame, checkpoint: str, source: str, **options):
+        """Starts a query that ingests each micro-batch of a stream once: a batch that is replayed after a failure is known by its number."""
+
+        def once(rows: DataFrame, number: int) -> None:
+            self.ingest(rows, batch=(source, number), **options)
+
+        return docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(once)
+
     def ingest_one(self, case_reference: str, text: str, *, year: int, region: str = "", case_type: str = "") -> DataFrame:
-        """One document, with no check for what is stored; the keyword statistics are those of old and new chunks."""
+        """One document, in place of what is stored of its case; it costs work by its own terms, and statistics are those of old and new chunks."""
         row = self.spark.createDataFrame([(case_reference, text, year, region, case_type)], "case_reference string, text string, year int, region string, case_type string")
         return self.ingest(row, skip_existing=False)
 
@@ -98,5 +136,4 @@ class Engine:
 
     def clear_index(self) -> None:
         """Removes everything in the folder; that there is nothing is no error."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables.clear()

@@ -64,8 +64,12 @@ def model_cost(tokens: Column, model: Column) -> Column:
     return F.round(tokens / 1e6 * F.coalesce(F.try_element_at(table, model), F.lit(0.02)), 8)
 
 
-def append_vectors(vectors: DataFrame, chunks: DataFrame, path: str, by: str = "year") -> None:
-    """Appends chunks with their vectors to a table partitioned by year; a chunk without a vector is an error, not a silent gap."""
+def with_vectors(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunks with their vectors; a chunk without one is an error, not a silent gap."""
     both = chunks.join(vectors, "id", "left")
-    checked = both.filter(F.when(F.col("embedding").isNotNull(), True).otherwise(F.raise_error(F.lit("a chunk has no vector")).cast("boolean")))
-    checked.write.mode("append").partitionBy(by).parquet(path)
+    return both.filter(F.when(F.col("embedding").isNotNull(), True).otherwise(F.raise_error(F.lit("a chunk has no vector")).cast("boolean")))
+
+
+def append_vectors(vectors: DataFrame, chunks: DataFrame, path: str, by: str = "year") -> None:
+    """Appends chunks with their vectors to a table partitioned by year."""
+    with_vectors(vectors, chunks).write.mode("append").partitionBy(by).parquet(path)

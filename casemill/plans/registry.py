@@ -15,6 +15,7 @@ from casemill.operators import chunking, embed, graph, intake, predict, retrieva
 from casemill.operators.index import KeywordIndex
 from casemill.session import dealt, table
 from casemill.sources.scratch import folder
+from casemill.sources.snapshots import Tables
 from casemill.streaming import windows
 
 ASKED = ((1, "the of tion", "LON"), (2, "la de le que", "CHI"), (3, "und der die", "MAN"))
@@ -95,9 +96,13 @@ POSTS_SQL = f"""t AS MATERIALIZED (SELECT doc_id AS id, {TOKENS_SQL} AS w FROM d
 posts AS MATERIALIZED (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM x GROUP BY id, term),
 st AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM posts GROUP BY term),
-raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs CROSS JOIN st),
+raw AS MATERIALIZED (SELECT term, df, ln((SELECT n FROM st) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs),
 low AS MATERIALIZED (SELECT 0.25 * avg(raw) AS low FROM raw),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN low ELSE raw END AS idf FROM raw CROSS JOIN low)"""
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT low FROM low) ELSE raw END AS idf FROM raw)"""
+#: The same by document: a term's documents are those whose list of distinct words has it.
+IDF_SQL = f"""WITH t AS MATERIALIZED (SELECT list_distinct({TOKENS_SQL}) AS w FROM documents), x AS (SELECT unnest(w) AS term FROM t), dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM x GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM t) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs)
+SELECT term, df, round(CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw"""
 BM25_SQL = f"""{ASKED_SQL}, {POSTS_SQL}, qt AS MATERIALIZED (SELECT query_id, unnest({TOKENS_SQL.replace('lower(text)', 'lower(query)')}) AS term FROM asked),
 hit AS MATERIALIZED (SELECT query_id, id, idf, tf, len FROM qt JOIN posts USING (term) JOIN idf USING (term)),
 sc AS (SELECT query_id, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM hit CROSS JOIN st GROUP BY query_id, id),
@@ -128,7 +133,17 @@ h AS (SELECT *, round(0.4 * issue + 0.2 * temporal + 0.1 * region_match + 0.2 *
     CASE WHEN semantic_score >= 0.7 THEN 'Strong semantic similarity' WHEN semantic_score >= 0.5 THEN 'Good semantic match' END, CASE WHEN bm25_score > 0 AND bm25_rank <= 5 THEN 'Strong keyword match' END) AS said FROM fa),
 rr AS (SELECT *, CASE WHEN said = '' THEN 'General relevance' ELSE said END AS explanation, (row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank, id))::INTEGER AS rerank_rank FROM h QUALIFY rerank_rank <= 10)"""
 
-_indexes: dict[tuple[str, str], KeywordIndex] = {}
+_indexes: dict[tuple, KeywordIndex] = {}
+
+
+def state_of(spark: SparkSession, d: str, name: str) -> tuple:
+    """The session, and the files of a table with their sizes and times: what is made of a table is made again once it changes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    each, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while each.hasNext():
+        f = each.next()
+        found.append((str(f.getPath().toString()), f.getLen(), f.getModificationTime()))
+    return (spark.sparkContext.applicationId, *sorted(found))
 
 
 def built(spark: SparkSession, d: str) -> KeywordIndex:
@@ -138,12 +153,39 @@ def built(spark: SparkSession, d: str) -> KeywordIndex:
 
 def index_of(spark: SparkSession, d: str) -> KeywordIndex:
     """The keyword index of a folder's documents, built by the first query of a session that needs it."""
-    key = (spark.sparkContext.applicationId, d)
+    key = state_of(spark, d, "documents")
     if key not in _indexes:
         _indexes[key] = built(spark, d)
     return _indexes[key]
 
 
+def bm25_pruned(spark, d):
+    """The search with early termination, however few postings there are."""
+    return index_of(spark, d).search(asked(spark), 40, direct=0)
+
+
+def stored_merge(spark, d):
+    """A stored table of orders in versions: urgent orders get a new status, the last of each order's lines a new price, finished ones go."""
+    tables = Tables(spark, folder(spark, "merged"))
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    change = tables.begin()
+    change.append("orders", orders, key="o_orderkey")
+    change.commit()
+    change = tables.begin()
+    change.merge("orders", table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit("U").alias("status"), F.col("o_totalprice").alias("price")), "o_orderkey")
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.struct("l_linenumber", "l_extendedprice")).getField("l_extendedprice").alias("last"))
+    change.merge("orders", lines.filter("last > 50000").select("o_orderkey", F.lit(None).cast("string").alias("status"), F.col("last").alias("price")), "o_orderkey", lambda old, new: store.update(old, new, "o_orderkey"))
+    change.delete("orders", orders.filter("status = 'F'").select("o_orderkey"), "o_orderkey")
+    change.commit()
+    before = tables.read("orders", version=1).select("o_orderkey", F.col("status").alias("was"))
+    return tables.read("orders").join(before, "o_orderkey")
+
+
+MERGE_SQL = """WITH l AS (SELECT l_orderkey, max({'n': l_linenumber, 'p': l_extendedprice}).p AS last FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'U' ELSE o_orderstatus END AS status, CASE WHEN last > 50000 THEN last ELSE o_totalprice END AS price, o_orderstatus AS was
+FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F'"""
+
+
 def _bm25(spark, d):
     return index_of(spark, d).search(asked(spark), 40)
 
@@ -320,7 +362,9 @@ QUERIES: dict[str, tuple] = {
         f"WITH {POSTS_SQL} SELECT n AS n_docs, (SELECT count(DISTINCT source) FROM documents) AS unique_refs, (SELECT sum(tf)::BIGINT FROM posts) AS total_tokens, round(avgdl, 4) AS avg_tokens, (SELECT count(*) FROM dfs) AS vocabulary, round(low, 6) AS low FROM st CROSS JOIN low"),
     "bm25_lite": (lambda s, d: KeywordIndex(s, folder(s, "lite"), lite=True, buckets=4, slices=3).build(dealt(table(s, d, "documents"))).search(asked(s), 40), f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM kw"),
     "bm25_get": (lambda s, d: index_of(s, d).get(table(s, d, "labels").select(F.col("doc_id").alias("id"))).select("id", "ref", F.md5("text").alias("m")), "SELECT doc_id AS id, source AS ref, md5(coalesce(text, '')) AS m FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"),
-    "bm25_idf": (lambda s, d: index_of(s, d).idf().select("term", "df", F.round("idf", 6).alias("idf")), f"WITH {POSTS_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf"),
+    "bm25_idf": (lambda s, d: index_of(s, d).idf().select("term", "df", F.round("idf", 6).alias("idf")), IDF_SQL),
+    "bm25_pruned": (bm25_pruned, f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM kw"),
+    "stored_merge": (stored_merge, MERGE_SQL),
     "bm25_index_stats": (_plain("documents", lambda t: retrieval.index_stats(t).withColumn("avg_tokens", F.round("avg_tokens", 4))), f"WITH {POSTS_SQL} SELECT n AS n_docs, round(avgdl, 4) AS avg_tokens, (SELECT sum(len(w))::BIGINT FROM t) AS total_tokens FROM st"),
     "bm25_topk": (_bm25, f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM kw"),
     "cosine_topk": (_semantic, f"WITH {COS_SQL.format(where='true')} SELECT query_id, id, score, rank FROM sem"),

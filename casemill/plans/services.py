@@ -206,7 +206,7 @@ SELECT page_id, substring(sha256(path), 1, 8) AS evidence_id, kind AS evidence_t
 def sql_functions(spark, d):
     functions.register(spark)
     docs = dealt(table(spark, d, "documents"))
-    return spark.sql("SELECT doc_id, md5(clean_text(text)) AS cleaned, md5(array_join(bm25_tokens(text), ' ')) AS tokens, round(jaccard(array(lang), array('en', 'fr')), 6) AS jac, redact_pii(substring(text, 1, 300)) AS redacted FROM {docs}", docs=docs)
+    return spark.sql("SELECT doc_id, md5(clean_text(text)) AS cleaned, md5(array_join(bm25_tokens(text), ' ')) AS tokens, round(jaccard(array(lang), array('en', 'fr')), 6) AS jac, md5(redact_pii(text)) AS redacted FROM {docs}", docs=docs)
 
 
 def sql_cosine(spark, d):
@@ -214,26 +214,32 @@ def sql_cosine(spark, d):
     return spark.sql("SELECT vec_id, round(cosine_sim(cast(embedding AS array<double>), transform(cast(embedding AS array<double>), (x, i) -> x + i)), 6) AS c FROM {v}", v=table(spark, d, "embeddings"))
 
 
-_engines: dict[tuple[str, str], tuple[Engine, DataFrame]] = {}
+_engines: dict[tuple, Engine] = {}
 
 
-def engine_of(spark: SparkSession, d: str) -> tuple[Engine, DataFrame]:
-    """The engine over a folder's documents and the counters of its ingest, made by the first query of a session that needs it."""
-    key = (spark.sparkContext.applicationId, d)
+def engine_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """A new engine over a folder's documents; gives the counters of its ingest."""
+    engine = Engine(spark, folder(spark, "engine"), issues=R.SYLLABLES, evidence=R.PROOF, as_of_year=R.YEAR)
+    docs = R.corpus(spark, d).select(F.col("doc_id").cast("string").alias("case_reference"), "text", "year", "region", F.col("source").alias("case_type"))
+    counts = engine.ingest(docs)
+    _engines[R.state_of(spark, d, "documents")] = engine
+    return counts
+
+
+def engine_of(spark: SparkSession, d: str) -> Engine:
+    """The engine over a folder's documents, made by the first query of a session that needs it."""
+    key = R.state_of(spark, d, "documents")
     if key not in _engines:
-        engine = Engine(spark, folder(spark, "engine"), issues=R.SYLLABLES, evidence=R.PROOF, as_of_year=R.YEAR)
-        docs = R.corpus(spark, d).select(F.col("doc_id").cast("string").alias("case_reference"), "text", "year", "region", F.col("source").alias("case_type"))
-        _engines[key] = engine, engine.ingest(docs)
+        engine_ingest(spark, d)
     return _engines[key]
 
 
 def engine_retrieve(spark, d):
-    engine, _ = engine_of(spark, d)
-    return engine.retrieve(R.asked(spark)).select("query_id", "id", "rerank_rank", "rerank_score", "explanation")
+    return engine_of(spark, d).retrieve(R.asked(spark)).select("query_id", "id", "rerank_rank", "rerank_score", "explanation")
 
 
 def engine_stats(spark, d):
-    return engine_of(spark, d)[0].get_stats().withColumns({"years": F.array_join("years", ","), "regions": F.array_join("regions", ","), "top_types": F.array_join("top_types", ",")}).drop("total_tokens", "avg_tokens")
+    return engine_of(spark, d).get_stats().withColumns({"years": F.array_join("years", ","), "regions": F.array_join("regions", ","), "top_types": F.array_join("top_types", ",")}).drop("total_tokens", "avg_tokens")
 
 
 _PARAGRAPHS = R.STRIP_SQL(R.PII_SQL(R._ws(R._replaced(R.ENC_SQL, [(p, " ") for p in T.NOISE if p != r"\n{3,}"], True))))
@@ -284,9 +290,9 @@ QUERIES: dict[str, tuple] = {
     "answer_steps": (answer_steps, "SELECT event_id, unnest([1, 9]) AS step, 'analysis' AS category, unnest(['a', '']) AS content, unnest([0.7, 0.2])::DOUBLE AS confidence, unnest(['', 'c' || event_id || ':2022']) AS cited FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 1, 'analysis', 'no JSON ' || event_id, 0.3, '' FROM events WHERE event_id % 2 = 1"),
     "stored_chunks": (stored_chunks, "SELECT vec_id::VARCHAR AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN 'R' ELSE '' END AS case_reference, '' AS text, 'unknown' AS section_type, 0 AS chunk_index, CASE WHEN vec_id % 3 = 0 THEN 2019 ELSE 2020 END AS year, CASE WHEN vec_id % 2 = 1 THEN 'LON' END AS region, NULL::VARCHAR AS case_type, 0 AS token_count FROM embeddings"),
     "uploads": (uploads, UPLOADS_SQL),
-    "sql_functions": (sql_functions, f"SELECT doc_id, md5({R.CLEAN_SQL}) AS cleaned, md5(array_to_string({R.TOKENS_SQL}, ' ')) AS tokens, CASE WHEN lang IN ('en', 'fr') THEN 0.5 ELSE 0 END::DOUBLE AS jac, {R.PII_SQL('substring(text, 1, 300)')} AS redacted FROM documents"),
+    "sql_functions": (sql_functions, f"SELECT doc_id, md5({R.CLEAN_SQL}) AS cleaned, md5(array_to_string({R.TOKENS_SQL}, ' ')) AS tokens, CASE WHEN lang IN ('en', 'fr') THEN 0.5 ELSE 0 END::DOUBLE AS jac, md5({R.PII_SQL('text')}) AS redacted FROM documents"),
     "sql_cosine": (sql_cosine, "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x, i: x + i - 1)), 6) AS c FROM embeddings"),
-    "engine_ingest": (lambda s, d: engine_of(s, d)[1], f"WITH n AS (SELECT count(*) AS chunks FROM ({_CHUNKED})) SELECT count(*) AS total, count(*) FILTER (whole <> '') AS processed, count(*) FILTER (whole = '') AS skipped, 0::BIGINT AS failed, any_value(chunks) AS chunks FROM ({_CLEANED}), n"),
+    "engine_ingest": (engine_ingest, f"WITH n AS (SELECT count(*) AS chunks FROM ({_CHUNKED})) SELECT count(*) AS total, count(*) FILTER (whole <> '') AS processed, count(*) FILTER (whole = '') AS skipped, 0::BIGINT AS failed, any_value(chunks) AS chunks FROM ({_CLEANED}), n"),
     "engine_stats": (engine_stats, f"""WITH k AS MATERIALIZED (SELECT ch.id, source, 2005 + id % 20 AS year, ['LON','CHI','MAN','BIR','CAM'][id % 5 + 1] AS region FROM ({_CHUNKED}) ch JOIN documents ON doc_id = ch.id), t AS (SELECT source, count(*) AS n FROM k WHERE source <> '' GROUP BY source ORDER BY n DESC, source LIMIT 10)
   SELECT count(*) AS chunks, count(DISTINCT id) AS cases, array_to_string(list_sort(list(DISTINCT year)), ',') AS years, array_to_string(list_sort(list(DISTINCT region)), ',') AS regions, (SELECT array_to_string(list(source ORDER BY n DESC, source), ',') FROM t) AS top_types, round(count(*)::DOUBLE / count(DISTINCT id), 2) AS avg_chunks FROM k"""),
     "engine_retrieve": (engine_retrieve, None),

@@ -37,6 +37,62 @@ def test_index_in_two_batches_equals_one(spark, tmp_path):
     two.clear()
 
 
+def words_of(n, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    common, rare = [f"c{i:02d}" for i in range(12)], [f"r{i:03d}" for i in range(300)]
+    return [(i, " ".join(rng.choices(common, k=rng.randint(3, 40)) + rng.choices(rare, k=rng.randint(0, 3))), f"f{i % 5}") for i in range(n)]
+
+
+def test_search_with_early_termination_equals_a_full_one(spark, tmp_path):
+    docs = spark.createDataFrame(words_of(1500), "doc_id int, text string, ref string")
+    index = KeywordIndex(spark, str(tmp_path / "i"), id_type="int", block=16, slices=2).build(docs.filter("doc_id < 900")).build(docs.filter("doc_id >= 900"), mode="append")
+    queries = asked(spark, "r001 c01 c02 c03", "c01 c02", "r005 r006 r007 c09 c10 c11 c09", "r299", "none")
+    rows = lambda f: sorted(map(tuple, f.select("query_id", "rank", "id", "score").collect()))
+    full = rows(index.search(queries, 7))
+    assert rows(index.search(queries, 7, direct=0)) == full and len(full) > 25
+    one = KeywordIndex(spark, str(tmp_path / "o"), id_type="int").build(docs)
+    assert rows(one.search(queries, 7)) == full
+    before = one.stats().first(), sorted(map(tuple, one.idf().collect()))
+    index.compact()
+    assert (index.stats().first(), sorted(map(tuple, index.idf().collect()))) == before and rows(index.search(queries, 7, direct=0)) == full
+    assert {f["of"] for f in index.tables.files("postings")} == {8}
+
+
+def test_blocks_below_the_floor_are_skipped(spark, tmp_path):
+    """Common terms do not lead: of their blocks only those around the documents of rare terms are opened."""
+    rows = [(i, f"c01 c01 u{i} " + ("r001 r001" if i % 500 == 7 else "filler words"), "") for i in range(4000)]
+    index = KeywordIndex(spark, str(tmp_path / "i"), id_type="int", block=16).build(spark.createDataFrame(rows, "doc_id int, text string, ref string"))
+    opened = []
+    kept = index._parts
+
+    def parts(met, avg):
+        opened.append(met.count())
+        return kept(met, avg)
+
+    index._parts = parts
+    found = index.search(asked(spark, "r001 c01"), 5, direct=0).collect()
+    assert [r["id"] for r in sorted(found, key=lambda r: r["rank"])] == [7, 507, 1007, 1507, 2007]
+    # 250 blocks of c01, of which eight hold a document with r001
+    assert sum(opened) <= 1 + 1 + 8 and index.tables.read("postings").filter("term = 'c01'").count() == 250
+
+
+def test_a_search_reads_only_the_files_of_its_terms(spark, tmp_path):
+    docs = spark.createDataFrame(words_of(600), "doc_id int, text string, ref string")
+    index = KeywordIndex(spark, str(tmp_path / "i"), id_type="int", buckets=16).build(docs)
+    files = index.tables.files("postings")
+    some = index._of_terms(files, ["r001", "r002"])
+    assert len(files) == 16 and 1 <= len(some) <= 2
+    opened = index.tables.read("postings", files=some).filter(F.col("term").isin("r001", "r002"))
+    assert "PushedFilters: [In(term, [r001,r002])]" in opened._jdf.queryExecution().toString()
+    assert opened.count() == index.tables.read("postings").filter("term in ('r001', 'r002')").count() >= 2
+    # one more document touches the buckets of its own terms, and no file is written anew
+    index.build(spark.createDataFrame([(9000, "r001 brandnew", "z")], "doc_id int, text string, ref string"), ref_col="ref", mode="append")
+    later = index.tables.files("postings")
+    assert later[:16] == files and len(later) <= 18 and index.search(asked(spark, "brandnew"), 3).first()["id"] == 9000
+
+
 def test_many_queries_are_cut_into_blocks(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "vec_id int, embedding array<double>")
     queries = spark.createDataFrame([(i, [1.0, float(i), 2.0]) for i in range(20)], "query_id int, q array<double>")
