@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from casemill.functions import lexicons, records
 from casemill.functions import text as T
 from casemill.operators import chunking, embed, graph, intake, predict, retrieval, stats, store
+from casemill.operators.cells import VectorCells
 from casemill.operators.index import KeywordIndex
 from casemill.session import dealt, table
 from casemill.sources.scratch import folder
@@ -164,6 +165,16 @@ def bm25_pruned(spark, d):
     return index_of(spark, d).search(asked(spark), 40, direct=0)
 
 
+_cells: dict[tuple, VectorCells] = {}
+
+
+def cells_of(spark: SparkSession, d: str) -> VectorCells:
+    key = state_of(spark, d, "embeddings")
+    if key not in _cells:
+        _cells[key] = VectorCells(spark, folder(spark, "cells")).build(dealt(table(spark, d, "embeddings")))
+    return _cells[key]
+
+
 def stored_merge(spark, d):
     """A stored table of orders in versions: urgent orders get a new status, the last of each order's lines a new price, finished ones go."""
     tables = Tables(spark, folder(spark, "merged"))
@@ -364,6 +375,8 @@ QUERIES: dict[str, tuple] = {
     "bm25_get": (lambda s, d: index_of(s, d).get(table(s, d, "labels").select(F.col("doc_id").alias("id"))).select("id", "ref", F.md5("text").alias("m")), "SELECT doc_id AS id, source AS ref, md5(coalesce(text, '')) AS m FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"),
     "bm25_idf": (lambda s, d: index_of(s, d).idf().select("term", "df", F.round("idf", 6).alias("idf")), IDF_SQL),
     "bm25_pruned": (bm25_pruned, f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM kw"),
+    "cosine_cells": (lambda s, d: cells_of(s, d).search(query_vectors(s, d), 40), f"WITH {COS_SQL.format(where='true')} SELECT query_id, id, score, rank FROM sem"),
+    "cosine_cells_filtered": (lambda s, d: cells_of(s, d).search(query_vectors(s, d), 40, filters={"label": {"$lte": 4}}), f"WITH {COS_SQL.format(where='label <= 4')} SELECT query_id, id, score, rank FROM sem"),
     "stored_merge": (stored_merge, MERGE_SQL),
     "bm25_index_stats": (_plain("documents", lambda t: retrieval.index_stats(t).withColumn("avg_tokens", F.round("avg_tokens", 4))), f"WITH {POSTS_SQL} SELECT n AS n_docs, round(avgdl, 4) AS avg_tokens, (SELECT sum(len(w))::BIGINT FROM t) AS total_tokens FROM st"),
     "bm25_topk": (_bm25, f"WITH {BM25_SQL} SELECT query_id, id, score, rank FROM kw"),
