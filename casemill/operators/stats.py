@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.sources.scratch import stored
+
 
 def share(rows: DataFrame, key: str, bar: float = 3.0) -> DataFrame:
     """(key, n, pct, bar): counts, their percentage and a bar of one block for each `bar` percent; the counts are summed first."""
@@ -42,15 +44,24 @@ def collection(chunks: DataFrame, ref: str = "case_reference", case_type: str =
     return rows.withColumn("avg_chunks", F.round(F.coalesce(F.try_divide(F.col("chunks").cast("double"), F.col("cases")), F.lit(0.0)), 2))
 
 
-def running_mean(log: DataFrame, value: str, order: str) -> DataFrame:
-    """The log of queries with the mean of a value up to each; a log is read by one task only after the sums of its days."""
-    days = log.groupBy(F.to_date(order).alias("_day")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("_day", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
-    inside = Window.partitionBy("_day").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("_day", F.to_date(order)).join(days, "_day")
-    mean = (F.col("_s0") + F.sum(value).over(inside)) / (F.col("_n0") + F.count(value).over(inside))
-    return rows.withColumn("running_mean", mean).drop("_day", "_s0", "_n0")
+def running_mean(log: DataFrame, value: str, order: str, *, tie: str | None = None, parts: int | None = None) -> DataFrame:
+    """The log of queries with the mean of a value up to each; nulls of the value do not count.
+
+    Rows of equal order go by the column tie, or by all columns where none is named.  The log is dealt by ranges of that order, so one
+    day, or one moment, still spreads over tasks: a range is summed by itself, and only the ranges' totals are summed over.
+    parts: the number of ranges; None: by size.
+    """
+    rows = log.withColumn("_tie", F.col(tie) if tie else F.xxhash64(*log.columns))
+    by = [F.col(order), F.col("_tie")]
+    rows = (rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)).withColumn("_part", F.spark_partition_id())
+    rows = stored(rows, "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))  # a row a range
+    totals = totals.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    inside = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.col("_n0") + F.count(value).over(inside)
+    mean = (F.col("_s0") + F.coalesce(F.sum(value).over(inside), F.lit(0.0))) / F.when(n > 0, n)
+    return rows.join(totals, "_part").withColumn("running_mean", mean).drop("_part", "_tie", "_s0", "_n0")
 
 
 def usage(log: DataFrame, *metrics: str, key: str = "component") -> DataFrame:

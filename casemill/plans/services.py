@@ -267,7 +267,7 @@ QUERIES: dict[str, tuple] = {
     "cascading_delete": (lambda s, d: store.delete_cascading(table(s, d, "labels"), "doc_id", docs=table(s, d, "documents").select("doc_id"), labels=table(s, d, "labels"))["docs"], "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "collection_row": (lambda s, d: stats.collection(R.corpus(s, d), "source", "lang").withColumns({"years": F.array_join("years", ","), "regions": F.array_join("regions", ","), "top_types": F.array_join("top_types", ",")}),
         "WITH t AS (SELECT lang, count(*) AS n FROM documents WHERE lang <> '' GROUP BY lang ORDER BY n DESC, lang LIMIT 10) SELECT count(*) AS chunks, count(DISTINCT source) AS cases, array_to_string(list_sort(list(DISTINCT 2005 + doc_id % 20)), ',') AS years, array_to_string(list_sort(list(DISTINCT ['LON','CHI','MAN','BIR','CAM'][doc_id % 5 + 1])), ',') AS regions, (SELECT array_to_string(list(lang ORDER BY n DESC, lang), ',') FROM t) AS top_types, round(count(*)::DOUBLE / count(DISTINCT source), 2) AS avg_chunks FROM documents"),
-    "running_means": (lambda s, d: stats.running_mean(query_log(s, d), "hits", "ts").select("event_id", F.round("running_mean", 6).alias("running_mean")), "SELECT event_id, round(avg((props->>'$.k')::DOUBLE) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM events"),
+    "running_means": (lambda s, d: stats.running_mean(query_log(s, d), "hits", "ts", tie="event_id").select("event_id", F.round("running_mean", 6).alias("running_mean")), "SELECT event_id, round(avg((props->>'$.k')::DOUBLE) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM events"),
     "component_usage": (lambda s, d: stats.usage(query_log(s, d), "hits"), "SELECT event_type AS component, count(*) AS calls, count(*) FILTER (event_id % 10 = 0) AS failed, sum((props->>'$.k')::DOUBLE) AS hits FROM events GROUP BY event_type"),
     "mean_confidence": (lambda s, d: table(s, d, "events").select("event_id", F.round(stats.mean_confidence(F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("a"), F.lit(0.5), F.lit("b"), (F.col("event_id") % 10) / 10.0))), 6).alias("c")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round((0.5 + (event_id % 10) / 10.0) / 2, 6) ELSE 0 END::DOUBLE AS c FROM events"),
     "kpis": (lambda s, d: listings.kpis(disputes(s, d), R.dispute_rows(s, d)[1]), f"WITH {DISPUTES_SQL} SELECT count(*) AS total_disputes, count(*) FILTER (k % 3 <> 0 AND k % 5 <> 0) AS both_joined, count(*) FILTER (k % 3 = 0 OR k % 5 = 0) AS waiting, count(*) FILTER (k % 7 = 0) AS ready, 2 * count(*) AS total_sessions, count(*) FILTER (k % 2 = 0) + count(*) FILTER (k % 4 < 3) AS complete_sessions FROM dp"),

@@ -131,3 +131,21 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"k": 1}')
     (tmp_path / "b.json").write_text("{broken")
     assert [r["k"] for r in files.json_folder(spark, str(tmp_path / "*.json"), "k int").collect()] == [1]
+
+
+def test_a_running_mean_of_one_day_runs_in_many_tasks(spark):
+    from casemill.operators import stats
+
+    rows = [(i, "2024-01-01 10:00:00" if 50 < i < 250 else f"2024-01-01 {11 if i > 99 else 9}:00:{i % 60:02d}", None if i % 9 == 0 else float(i % 7)) for i in range(300)]
+    log = spark.createDataFrame(rows, "id int, at string, hits double")
+    out = stats.running_mean(log, "hits", "at", tie="id", parts=6)
+    got = {r["id"]: r["running_mean"] for r in out.collect()}
+    total, n = 0.0, 0
+    for i, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        total, n = total + (v or 0.0), n + (v is not None)
+        assert got[i] == (pytest.approx(total / n) if n else None)
+    ranges = out._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert len(got) == 300 and ranges.size() == 2
+    assert stats.running_mean(log.limit(0), "hits", "at").collect() == []
+    twice = stats.running_mean(log.unionAll(log), "hits", "at", parts=4)
+    assert twice.count() == 600
