@@ -14,16 +14,19 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.minhash import near_duplicates
 from casemill.llm.shared import hash_sample, mapped, slices, written
+from casemill.llm.shingles import _PLACE, mix, shingle_sets
 
 #: Labelled rows that are learned from, at most; those of least hash.
 SAMPLE = 30_000
 #: Letters of the prefixes that are tokens beside whole words; a word goes by its longest listed form.
 PREFIXES = (6, 5, 4)
+#: Bands of hash ranges of which near copies share one with a chance of 0.99 at a similarity of 0.9.
+BANDS, BAND = 8, 8
 PRIOR = 0.5
 LEAST_LOG_ODDS = 2.0
 TOXIC_AT = 0.7
@@ -126,8 +129,6 @@ class Model:
 
         A step is halved until the loss, which is convex, falls; so the fit neither overshoots nor diverges at any number of rows.
         """
-        import numpy as np
-
         x = np.stack([np.ones(len(evidence)), np.minimum(evidence, 20.0)], 1)
         y, pull = np.array(toxic, float), np.array([self.at_none, self.slope])
         loss = lambda w: float((np.logaddexp(0, x @ w) - y * (x @ w)).sum() + ((w - pull) ** 2).sum() / 2)
@@ -145,29 +146,45 @@ class Model:
         self.at_none, self.slope = float(w[0]), max(1e-3, float(w[1]))
 
 
+def _family_keys(shingles: np.ndarray) -> list[int]:
+    """Keys that near copies are likely to share: the whole set's, and one for each BAND of the least shingles of equal hash ranges.
+
+    Texts that only share a passage would have to agree in all ranges of a band.  A band of a short text that lacks shingles has no key.
+    """
+    if not len(shingles):
+        return []
+    at = np.searchsorted(shingles, np.arange(BANDS * BAND, dtype=np.uint64) << np.uint64(64 - int(math.log2(BANDS * BAND))))
+    full = at < np.append(at[1:], len(shingles))
+    least = np.where(full, shingles[np.minimum(at, len(shingles) - 1)], np.uint64(0)).reshape(BANDS, BAND)
+    keys = mix((least * _PLACE[:BAND]).sum(1) + np.arange(1, BANDS + 1, dtype=np.uint64))[full.reshape(BANDS, BAND).sum(1) >= BAND - 2]
+    whole = mix(shingles.sum(keepdims=True) ^ np.uint64(len(shingles)))
+    return np.concatenate((whole, keys)).astype(np.int64).tolist()
+
+
 def _token_sets(texts: DataFrame) -> DataFrame:
-    """row, toxic and the distinct tokens of each text."""
+    """row, toxic, the distinct tokens and the family keys of each text."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for some in slices(batch, 0, rows=256, size=SLICE_BYTES):
+                said = some.column(0).to_pylist()
+                keys = [_family_keys(s) for s in shingle_sets([(t or "").encode() for t in said])]
                 tokens = []
-                for t in some.column(0).to_pylist():
+                for t in said:
                     found = set(words(t))
                     tokens.append(list(found | {f"{w[:n]}*" for w in found for n in PREFIXES if len(w) > n}))
-                yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(tokens, pa.list_(pa.string()))], ["row", "toxic", "tokens"])
+                yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(tokens, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))], ["row", "toxic", "tokens", "keys"])
 
-    return mapped(texts.select("text", "row", "toxic"), run, "row long, toxic int, tokens array<string>")
+    return mapped(texts.select("text", "row", "toxic"), run, "row long, toxic int, tokens array<string>, keys array<bigint>")
 
 
-def _shares(texts: DataFrame) -> DataFrame:
-    """(row, share): what each text counts, one by the number of near copies of its label, itself included; texts of no words have none."""
-    near = near_duplicates(texts.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("family"))
-    near = written(texts.select("row", "toxic").join(near, "row"), "families")
-    many = near.groupBy("family", "toxic").agg(F.count("*").alias("many"))
-    return near.join(many, ["family", "toxic"]).select("row", (1 / F.col("many")).alias("share"))
+def _shares(sets: DataFrame) -> DataFrame:
+    """(row, share): what each text counts, one by the most texts of its label that share a key with it; texts of no words have none."""
+    keys = sets.select("row", "toxic", F.explode("keys").alias("key"))
+    many = keys.groupBy("key", "toxic").agg(F.count("*").alias("many"))
+    return keys.join(many, ["key", "toxic"]).groupBy("row").agg((1 / F.max("many")).alias("share"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: float = LEAST_LOG_ODDS, prior: float = PRIOR) -> Model:
@@ -185,7 +202,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: fl
     if texts.count() > sample:  # an id may stand for many rows: the bound holds for rows
         texts = written(hash_sample(texts, "row", sample), "labelled")
     # near copies share the weight of one text of their label: they are no evidence of their own
-    one = written(_token_sets(texts).join(_shares(texts), "row"), "tokens")
+    sets = written(_token_sets(texts), "tokens")
+    one = written(sets.join(_shares(sets), "row", "left").select("toxic", "tokens", F.coalesce("share", F.lit(1.0)).alias("share")), "shares")
     size = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.sum("share").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
