@@ -20,6 +20,10 @@ CUE = (
 )
 _GIVEN = r"(licensed|released|available|distributed|provided|published|covered) under (the )?"
 SENTENCES = (
+    ("denied", r"\b(not|never|no longer|neither) (being |be )?(licensed|released|available|distributed|provided|published|covered) under\b"),
+    ("version_3_plus", r"^(either )?version 3 of the (gnu )?(lesser |affero )?(general public )?licen[cs]e or (at your option )?any later version"),
+    ("version_2_1_plus", r"^(either )?version 2 1 of the (gnu )?(lesser )?(general public )?licen[cs]e or (at your option )?any later version"),
+    ("version_2_plus", r"^(either )?version 2 of the (gnu )?(general public )?licen[cs]e or (at your option )?any later version"),
     ("cc_by_nc_sa_4", r"\bcc by nc sa 4 0|creative commons attribution non ?commercial share ?alike 4 0"),
     ("cc_by_nc_nd_4", r"\bcc by nc nd 4 0|creative commons attribution non ?commercial no ?deriv\w* 4 0"),
     ("cc_by_nc_4", r"\bcc by nc 4 0|creative commons attribution non ?commercial 4 0"),
@@ -80,7 +84,12 @@ RULES = (
     ("Apache-2.0", ("apache_2_ref", "apache_2_comply?", "apache_2_copy?", "apache_2_warranty?")),
     ("Zlib", ("zlib_ref?", "zlib_warranty", "zlib_grant")),
     ("ISC", ("isc_ref?", "isc_grant")),
-    ("AGPL-3.0", ("agpl_3",)),
+    ("AGPL-3.0", ("agpl_3", "version_3_plus?")),
+    ("LGPL-3.0", ("lgpl_ref", "version_3_plus")),
+    ("LGPL-2.1", ("lgpl_ref", "version_2_1_plus")),
+    ("LGPL-2.0", ("lgpl_ref", "version_2_plus")),
+    ("GPL-3.0-or-later", ("gpl_ref", "version_3_plus")),
+    ("GPL-2.0-or-later", ("gpl_ref", "version_2_plus")),
     ("LGPL-3.0", ("lgpl_3",)),
     ("LGPL-2.1", ("lgpl_2_1",)),
     ("LGPL-2.0", ("lgpl_2",)),
@@ -115,6 +124,10 @@ RULES = (
     ("CC0-1.0", ("cc_0",)),
     ("Proprietary", ("all_rights",)),
 )
+# Where a sentence goes on with another licence by name, that part is a sentence of its own.
+NAMED = "mit|apache|gnu|[al]?gpl|mozilla|mpl|eclipse|epl|bsd|isc|zlib|cc0|cc[ -]by|creative commons"
+NEXT = rf"(?i)[\s,]+(?:and/or|or|and)\s+((?:under\s+)?(?:the\s+)?(?:{NAMED})\b)"
+PROPRIETARY = "Proprietary"
 #: Sentences of no known meaning that may stand between two of a licence.
 GAP = 3
 # What an SPDX tag's expression may name: the identifier, the licence among the rules, the names in lower case.
@@ -202,15 +215,18 @@ def sentence_ids(sentence: Column) -> Column:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (in order, by commas), n_sentences (recognised; of SPDX tags, each licence they name), n_unknown, licenses (in the rules' order, by +, or NONE).
 
-    A text without licence wording, empty or null has no identifiers and licence NONE; one whose wording no rule matches has
-    UNKNOWN.  Repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
+    A text without licence wording, empty or null has no identifiers and licence NONE, and so has one that only denies a licence;
+    one whose wording no rule matches has UNKNOWN.  Proprietary stands only where no other licence does.  A very long text is one row.  Repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
     """
     text = F.col("text").cast("string")
     cued = F.filter(F.split(F.regexp_replace(text, r"([.!?;])\s+|\n\s*\n", "$1\u0001"), "\u0001"), lambda s: s.rlike(CUE))
+    # an SPDX expression joins names in its own way
+    parts = F.transform(cued, lambda s: F.when(s.rlike("(?i)spdx"), F.array(s)).otherwise(F.split(F.regexp_replace(s, NEXT, "\u0001$1"), "\u0001")))
+    cued = F.flatten(parts)
     ids = F.when(text.rlike(CUE), F.flatten(F.transform(cued, sentence_ids))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ids.alias("ids"))
     rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"))
-    names = F.array(*[F.lit(name) for name, _ in RULES])
+    names = F.array(*[F.lit(name) for name in dict.fromkeys(name for name, _ in RULES)])
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rule_pattern(parts)).alias("pattern")) for name, parts in RULES])
     of_tag = F.create_map(*[F.lit(x) for ident, name, _ in SPDX for x in (ident, name)])
     # copyright lines may stand between the sentences of one licence
@@ -225,23 +241,29 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     start = F.struct(left.alias("rest"), F.array().cast("array<string>").alias("found"))
     tagged = F.transform(F.split("sentence_ids", ","), lambda x: F.try_element_at(of_tag, x))
     hit = F.concat(F.aggregate(rules, start, apply)["found"], F.array_compact(tagged))
-    known = F.array_join(F.get(F.transform(F.array(hit), lambda h: F.filter(names, lambda n: F.array_contains(h, n))), 0), "+")
+    # all rights are reserved beside many a licence; that is one only where there is no other
+    listed = F.get(F.transform(F.array(hit), lambda h: F.filter(names, lambda n: F.array_contains(h, n) & ((n != PROPRIETARY) | F.forall(h, lambda x: x == PROPRIETARY)))), 0)
+    known = F.array_join(listed, "+")
     n_unknown = F.size(F.filter(F.split("sentence_ids", ","), lambda x: x == "unknown")).cast("long")
-    licenses = F.when(F.col("n_sentences") == 0, "NONE").otherwise(F.coalesce(F.nullif(known, F.lit("")), F.lit("UNKNOWN")))
+    denied = F.forall(F.split("sentence_ids", ","), lambda x: x == "denied")
+    licenses = F.when((F.col("n_sentences") == 0) | denied, "NONE").otherwise(F.coalesce(F.nullif(known, F.lit("")), F.lit("UNKNOWN")))
     return rows.select("doc_id", "sentence_ids", "n_sentences", n_unknown.alias("n_unknown"), licenses.alias("licenses"))
 
 
 def license_sql() -> str:
     """The same in DuckDB SQL, from the same sentences and rules, but without the licences of SPDX tags."""
     case = " ".join(f"WHEN regexp_matches(norm, '{p}') THEN '{n}'" for n, p in SENTENCES)
-    steps, names = ["l0 AS (SELECT *, ',' || array_to_string(list_filter(ids, lambda x: x <> 'copyright'), ',,') || ',' AS rest0 FROM i)"], []
+    steps, names = ["l0 AS (SELECT *, ',' || array_to_string(list_filter(ids, lambda x: x <> 'copyright'), ',,') || ',' AS rest0 FROM i)"], {}
     for k, (name, parts) in enumerate(RULES):
         pattern = rule_pattern(parts)
         steps.append(f"l{k + 1} AS (SELECT *, CASE WHEN regexp_matches(rest{k}, '{pattern}') THEN '{name}' END AS f{k}, regexp_replace(rest{k}, '{pattern}', ',#,', 'g') AS rest{k + 1} FROM l{k})")
-        names.append(f"f{k}")
+        names.setdefault(name, []).append(f"f{k}")
+    reserved = names.pop(PROPRIETARY)[0]
+    found = ", ".join(f"coalesce({', '.join(f)}, NULL)" for f in names.values())
     return f"""
 WITH s AS (
-  SELECT doc_id, row_number() OVER () AS r, string_split(regexp_replace(coalesce(text, ''), '([.!?;])\\s+|\\n\\s*\\n', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents
+  SELECT doc_id, row_number() OVER () AS r, flatten(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?;])\\s+|\\n\\s*\\n', '\\1' || chr(1), 'g'), chr(1)),
+    lambda p: CASE WHEN regexp_matches(p, '(?i)spdx') THEN [p] ELSE string_split(regexp_replace(p, '{NEXT}', chr(1) || '\\1', 'g'), chr(1)) END)) AS parts FROM documents
 ), u AS (SELECT r, generate_subscripts(parts, 1) AS pos, unnest(parts) AS sentence FROM s),
 n AS (SELECT r, pos, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS norm FROM u WHERE regexp_matches(sentence, '{CUE}')),
 c AS (SELECT r, pos, CASE {case} END AS id FROM n),
@@ -249,6 +271,6 @@ g AS (SELECT r, list(id ORDER BY pos) AS ids FROM c WHERE id IS NOT NULL GROUP B
 i AS (SELECT s.doc_id, coalesce(g.ids, []) AS ids FROM s LEFT JOIN g USING (r)),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, len(ids)::BIGINT AS n_sentences, len(list_filter(ids, lambda x: x = 'unknown'))::BIGINT AS n_unknown,
-  CASE WHEN coalesce({", ".join(names)}) IS NOT NULL THEN concat_ws('+', {", ".join(names)}) WHEN len(ids) > 0 THEN 'UNKNOWN' ELSE 'NONE' END AS licenses
+  CASE WHEN coalesce({found}) IS NOT NULL THEN concat_ws('+', {found}) WHEN {reserved} IS NOT NULL THEN {reserved} WHEN len(list_filter(ids, lambda x: x <> 'denied')) > 0 THEN 'UNKNOWN' ELSE 'NONE' END AS licenses
 FROM l{len(RULES)}
 """
