@@ -5,14 +5,16 @@ same one.  Only places where that can be so come to the suffix order:
 
 1. Each text is cut into runs of neighbouring windows of `width` bytes that share their least `gram`-byte hash.  A window's run is
    a function of its content, so equal windows lie in runs of one key, wherever they are.
-2. Runs of equal content (two independent 64-bit hashes, of the gram and of the whole run) are settled at once: all but the first are
-   repeats.  Blocks of a task settle their own first, so a
+2. Runs of equal content (a polynomial hash of the gram and BLAKE2b of the whole run, 64 bits each) are settled at once: all but
+   the first are repeats.  Blocks of a task settle their own first, so a
    passage that a third of all documents share reaches the shuffle once a block, not once a document.
 3. What is left of a key with several different contents (the ends of copies, where texts part) goes to one block.  Each is cut to
    what it can share with another, the Burrows-Wheeler transform and the common prefixes of these short strings are built column
    by column, and wherever `width` bytes are shared all but the first window are repeats.  Of equal strings the first and the second
-   are ordered; the others, compared byte by byte, fare as the second.  A key with very many contents is split by window before
-   that; equal windows still meet.
+   are ordered; the others, compared byte by byte, fare as the second.
+4. A key with very many contents (a line that very many documents have in surroundings of their own) is split into its windows.  They are
+   settled by 128 bits of BLAKE2b: each block of a task keeps the first of its equal windows, the least of these is a combined minimum, and
+   what is joined with it is one row a window and block.
 
 Texts are not shuffled.  Each scan task leaves its rows as a file in the shared folder, later tasks open that file, and an
 address is the file's number and the row.  A task that runs again writes the same file again, as a scan gives it the same rows;
@@ -22,6 +24,7 @@ docs should therefore be a scan or a written table.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,8 +41,8 @@ SPAN = 1 << 20
 BLOCK_BYTES = 24 << 20
 #: Symbols of one suffix-order block.
 ORDER_SYMBOLS = 1 << 20
-#: Different contents of one key beyond which the key is split by window.
-HOT_CONTENTS = 2048
+#: Different contents of one key beyond which the key is split by window, and windows whose equal ones are settled within a task.
+HOT_CONTENTS, WINDOWS = 2048, 1 << 19
 LAST = np.int64((1 << 63) - 1)
 COUNT = 0xFFFF
 _BITS = 21
@@ -58,6 +61,10 @@ def _powers() -> list[np.ndarray]:
     return _bases
 
 
+def _digest(data, size: int) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
+
+
 def runs(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(text, start, windows, key, content) of all runs of texts of at most 2 * SPAN bytes in all; texts of under width bytes have none.
 
@@ -90,9 +97,10 @@ def runs(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.n
     head = np.flatnonzero(new)
     start = inside[head]
     count = np.diff(np.append(head, len(inside)))
-    content = mix(((total[start + count + width - 1] - total[start]) * inverse[start]) ^ count.astype(np.uint64))
+    whole = memoryview(data)
+    content = np.frombuffer(b"".join(_digest(whole[a:b], 8) for a, b in zip(start.tolist(), (start + count + width - 1).tolist(), strict=True)), np.int64)
     of = text[start]
-    return of, start - (ends - sizes)[of], count | (least[start] - start) << 16, hashes[least[start]].view(np.int64), content.view(np.int64)
+    return of, start - (ends - sizes)[of], count | (least[start] - start) << 16, hashes[least[start]].view(np.int64), content
 
 
 def _text_runs(texts: list[bytes], width: int, gram: int):
@@ -245,40 +253,93 @@ def _read_part(fs, root: str, part: int):
             row += batch.num_rows
 
 
-def _with_strings(found: DataFrame, folder: str, tasks: int, width: int, hot: int) -> DataFrame:
-    """key, doc, start, anchor (where the key is in the bytes), at, bytes of the runs that are left; hot keys come window by window, under the window's own hash."""
-    left = found.filter("kind = 1").drop("kind")
-    busy = left.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("hot")).repartition("hot", "key")
-    left = left.join(busy, "key", "left").select(F.shiftright("at", 32).alias("part"), "at", "start", "key", "doc", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
-    left = left.repartition(tasks, "part").sortWithinPartitions("part", "at", "start")
+def _left(found: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(part, at, start, key, doc, n) of the runs that are left: of keys with at most hot contents, and of the others."""
+    left = found.filter("kind = 1").select(F.shiftright("at", 32).alias("part"), "at", "start", "key", "doc", "n")
+    # the exchange between the counts and the joins lets Spark split the rows of a hot key
+    busy = left.groupBy("key").count().filter(F.col("count") > hot).repartition("count", "key").select("key")
+    return left.join(busy, "key", "left_anti"), left.join(busy, "key", "left_semi")
+
+
+def _pieces(left: DataFrame, folder: str, tasks: int, width: int, made, schema: str) -> DataFrame:
+    """made(pieces) over the scan tasks of left; a piece is (key, doc, start, n, at, bytes) of a run, and made yields record batches."""
+    left = left.select("part", "at", "start", "key", "doc", "n").repartition(tasks, "part").sortWithinPartitions("part", "at", "start")
+
+    def pieces(fs, root: str, t):
+        at, start, key, doc, n = (t.column(k).to_numpy() for k in range(1, 6))
+        row = at & 0xFFFFFFFF
+        for first, _, texts in _read_part(fs, root, t.column(0)[0].as_py()):
+            a, b = np.searchsorted(row, [first, first + len(texts)])
+            text, was, out = b"", -1, []
+            for i in range(a, b):
+                if row[i] != was:
+                    was = row[i]
+                    text = (texts[int(was - first)].as_py() or "").encode()
+                s, count = int(start[i]), int(n[i]) & COUNT
+                out.append((key[i], doc[i], s, int(n[i]), at[i], text[s : s + count + width - 1]))
+            if out:
+                yield out
 
     def run(batches):
-        import pyarrow as pa
-
         fs, root = filesystem(folder)
-        names = ["key", "doc", "start", "anchor", "at", "bytes"]
         for t in groups(batches, 1):
-            at, start, key, doc, n, is_hot = (t.column(k).to_numpy() for k in range(1, 7))
-            row = at & 0xFFFFFFFF
-            for first, _, texts in _read_part(fs, root, t.column(0)[0].as_py()):
-                a, b = np.searchsorted(row, [first, first + len(texts)])
-                out = []
-                text, was = b"", -1
-                for i in range(a, b):
-                    if row[i] != was:
-                        was = row[i]
-                        text = (texts[int(was - first)].as_py() or "").encode()
-                    s, count = int(start[i]), int(n[i]) & COUNT
-                    if not is_hot[i]:
-                        out.append((key[i], doc[i], s, n[i] >> 16, at[i], text[s : s + count + width - 1]))
-                    else:
-                        for w in range(s, s + count):
-                            data = text[w : w + width]
-                            out.append((int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True), doc[i], w, 0, at[i], data))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names)
-
-    return mapped(left, run, "key long, doc long, start long, anchor long, at long, bytes binary")
+            yield from made(pieces(fs, root, t))
+
+    return mapped(left, run, schema)
+
+
+def _with_strings(left: DataFrame, folder: str, tasks: int, width: int) -> DataFrame:
+    """key, doc, start, anchor (where the key is in the bytes), at, bytes of the runs of left."""
+
+    def made(pieces):
+        import pyarrow as pa
+
+        for some in pieces:
+            key, doc, start, n, at, data = zip(*some, strict=True)
+            columns = [*(pa.array(c, pa.int64()) for c in (key, doc, start, [x >> 16 for x in n], at)), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "start", "anchor", "at", "bytes"])
+
+    return _pieces(left, folder, tasks, width, made, "key long, doc long, start long, anchor long, at long, bytes binary")
+
+
+def hot_windows(left: DataFrame, folder: str, tasks: int, width: int) -> DataFrame:
+    """kind, high, low (the window's hash), doc, start, at of the windows of left: repeats of an earlier one of the block (kind 0), and the others (kind 1)."""
+    names = ["kind", "high", "low", "doc", "start", "at"]
+
+    def settled(digests: bytearray, *places: array):
+        import pyarrow as pa
+
+        half = np.frombuffer(digests, np.int64).reshape(-1, 2)
+        doc, start, at = (np.frombuffer(c, np.int64) for c in places)
+        late = _settle(doc, start, half[:, 0], half[:, 1])
+        made = [pa.array((~late).astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in (half[:, 0], half[:, 1], doc, start, at))]
+        batch = pa.RecordBatch.from_arrays(made, names)
+        yield from (batch.slice(k, 100_000) for k in range(0, len(late), 100_000))
+
+    def made(pieces):
+        held = bytearray(), array("q"), array("q"), array("q")
+        for some in pieces:
+            for _, doc, start, n, at, data in some:
+                count = n & COUNT
+                held[0].extend(b"".join(_digest(data[w : w + width], 16) for w in range(count)))
+                held[1].extend([doc] * count)
+                held[2].extend(range(start, start + count))
+                held[3].extend([at] * count)
+                if len(held[1]) >= WINDOWS:
+                    yield from settled(*held)
+                    held = bytearray(), array("q"), array("q"), array("q")
+        if held[1]:
+            yield from settled(*held)
+
+    return _pieces(left, folder, tasks, width, made, "kind int, high long, low long, doc long, start long, at long")
+
+
+def _hot_repeats(windows: DataFrame) -> DataFrame:
+    """at, start, n of the windows (see hot_windows) of which an equal one comes earlier."""
+    fronts, one = windows.filter("kind = 1"), F.lit(1).cast("long").alias("n")
+    first = fronts.groupBy("high", "low").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("rows")).filter("rows > 1").repartition("rows", "high", "low")
+    late = fronts.join(first, ["high", "low"]).filter(F.struct("doc", "start") > F.col("first"))
+    return windows.filter("kind = 0").select("at", "start", one).union(late.select("at", "start", one))
 
 
 def _shared(key: np.ndarray, context: list[bytes]) -> np.ndarray:
@@ -404,7 +465,8 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs_ = scan_runs(docs, texts, width, gram).repartition("key").sortWithinPartitions("key", "content", "doc", "start")
     found = written(mapped(runs_, _match, "kind int, key long, doc long, start long, n long, at long"), "matches")
-    late = _ordered(_with_strings(found, texts, tasks, width, hot), orders, tasks, width)
+    left, busy = _left(found, hot)
+    late = _ordered(_with_strings(left, texts, tasks, width), orders, tasks, width).union(_hot_repeats(written(hot_windows(busy, texts, tasks, width), "windows")))
     parts = _parts(texts)
     every = spark.range(0).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("at"), F.col("id").alias("start"), F.col("id").alias("n"))
     if parts:

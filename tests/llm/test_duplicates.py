@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyarrow import fs
 
-from casemill.llm import bcr, minhash, repeats
+from casemill.llm import bcr, minhash, repeats, shared
 from casemill.llm.shingles import shingle_sets
 
 
@@ -131,6 +131,33 @@ def test_repeats_at_production_width(docs_of):
         assert out[i]["kept_sha256"] == hashlib.sha256(bytes(b for b, c in zip(data, covered) if not c)).hexdigest()
 
 
+def test_repeats_of_one_line_in_many_texts(docs_of, tmp_path):
+    """10,000 texts round one line: every text but the first loses just the line, and its windows meet once a block of a task, not once a text."""
+    rng = random.Random(13)
+    line = "x" + " ".join(words(rng, 30))[:108] + "x"
+    rows = [(i, f"{rng.getrandbits(480):0120x}{line}{rng.getrandbits(480):0120x}", "s", "en") for i in range(10_000)]
+    docs = docs_of(rows).repartition(4)
+    out = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(docs, hot=64).collect()}
+    before, after, want = set(), set(), {}
+    for i, text, *_ in rows:
+        left, right = text[119::-1], text[120 + len(line) :]
+        ends = [max(k for k in range(120) if not k or ends[:k] in seen) for ends, seen in ((left, before), (right, after))]
+        want[i] = (len(line) + sum(ends), 1) if i else (0, 0)
+        before |= {left[:k] for k in range(1, 20)}
+        after |= {right[:k] for k in range(1, 20)}
+    assert out == want
+
+    folder = f"file://{tmp_path}/texts"
+    found = shared.written(repeats.scan_runs(docs, folder, 100, 20).repartition(1).sortWithinPartitions("key", "content", "doc", "start"), "runs")
+    found = shared.written(shared.mapped(found, repeats._match, "kind int, key long, doc long, start long, n long, at long"), "matches")
+    cold, busy = repeats._left(found, 64)
+    windows = repeats.hot_windows(busy, folder, 4, 100)
+    assert cold.groupBy("key").count().agg({"count": "max"}).first()[0] <= 64
+    assert busy.groupBy("key").count().agg({"count": "max"}).first()[0] > 5_000
+    assert windows.filter("kind = 1").groupBy("high", "low").count().agg({"count": "max"}).first()[0] <= 8
+    assert windows.filter("kind = 0").count() > 5_000
+
+
 def test_repeats_odd_rows(odd, none):
     rows = repeats.remove_repeats(odd, with_text=True).collect()
     assert len(rows) == 10
