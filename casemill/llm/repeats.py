@@ -253,93 +253,80 @@ def _read_part(fs, root: str, part: int):
             row += batch.num_rows
 
 
-def _left(found: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(part, at, start, key, doc, n) of the runs that are left: of keys with at most hot contents, and of the others."""
+def _left(found: DataFrame, hot: int) -> DataFrame:
+    """part, at, start, key, doc, n, hot of the runs that are left; those of keys with more than hot contents are hot."""
     left = found.filter("kind = 1").select(F.shiftright("at", 32).alias("part"), "at", "start", "key", "doc", "n")
-    # the exchange between the counts and the joins lets Spark split the rows of a hot key
-    busy = left.groupBy("key").count().filter(F.col("count") > hot).repartition("count", "key").select("key")
-    return left.join(busy, "key", "left_anti"), left.join(busy, "key", "left_semi")
-
-
-def _pieces(left: DataFrame, folder: str, tasks: int, width: int, made, schema: str) -> DataFrame:
-    """made(pieces) over the scan tasks of left; a piece is (key, doc, start, n, at, bytes) of a run, and made yields record batches."""
-    left = left.select("part", "at", "start", "key", "doc", "n").repartition(tasks, "part").sortWithinPartitions("part", "at", "start")
-
-    def pieces(fs, root: str, t):
-        at, start, key, doc, n = (t.column(k).to_numpy() for k in range(1, 6))
-        row = at & 0xFFFFFFFF
-        for first, _, texts in _read_part(fs, root, t.column(0)[0].as_py()):
-            a, b = np.searchsorted(row, [first, first + len(texts)])
-            text, was, out = b"", -1, []
-            for i in range(a, b):
-                if row[i] != was:
-                    was = row[i]
-                    text = (texts[int(was - first)].as_py() or "").encode()
-                s, count = int(start[i]), int(n[i]) & COUNT
-                out.append((key[i], doc[i], s, int(n[i]), at[i], text[s : s + count + width - 1]))
-            if out:
-                yield out
+    # the exchange between the counts and the join lets Spark split the rows of a hot key
+    busy = left.groupBy("key").count().filter(F.col("count") > hot).repartition("count", "key").select("key", F.lit(True).alias("hot"))
+    return left.join(busy, "key", "left").select("part", "at", "start", "key", "doc", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
 
-    def run(batches):
-        fs, root = filesystem(folder)
-        for t in groups(batches, 1):
-            yield from made(pieces(fs, root, t))
-
-    return mapped(left, run, schema)
 
+def strings_and_windows(left: DataFrame, folder: str, tasks: int, width: int) -> DataFrame:
+    """kind, high, low, doc, start, n, at, bytes, in one pass over the texts: of hot runs the windows under their hash (high, low), stretches
+    that repeat earlier windows of the block (kind 0) and windows that do not (kind 1); the bytes of the other runs (kind 2) under
+    their key (high) with the place of the key in the bytes (low)."""
+    names = ["kind", "high", "low", "doc", "start", "n", "at", "bytes"]
+    left = left.repartition(tasks, "part").sortWithinPartitions("part", "at", "start")
 
-def _with_strings(left: DataFrame, folder: str, tasks: int, width: int) -> DataFrame:
-    """key, doc, start, anchor (where the key is in the bytes), at, bytes of the runs of left."""
-
-    def made(pieces):
+    def table(kind: int, *columns, data=None):
         import pyarrow as pa
 
-        for some in pieces:
-            key, doc, start, n, at, data = zip(*some, strict=True)
-            columns = [*(pa.array(c, pa.int64()) for c in (key, doc, start, [x >> 16 for x in n], at)), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "start", "anchor", "at", "bytes"])
-
-    return _pieces(left, folder, tasks, width, made, "key long, doc long, start long, anchor long, at long, bytes binary")
-
-
-def hot_windows(left: DataFrame, folder: str, tasks: int, width: int) -> DataFrame:
-    """kind, high, low (the window's hash), doc, start, at of the windows of left: repeats of an earlier one of the block (kind 0), and the others (kind 1)."""
-    names = ["kind", "high", "low", "doc", "start", "at"]
+        n = len(columns[0])
+        made = [pa.array(np.full(n, kind, np.int32)), *(pa.array(np.ascontiguousarray(c, np.int64)) for c in columns)]
+        return pa.RecordBatch.from_arrays([*made, pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary())], names)
 
     def settled(digests: bytearray, *places: array):
-        import pyarrow as pa
-
         half = np.frombuffer(digests, np.int64).reshape(-1, 2)
         doc, start, at = (np.frombuffer(c, np.int64) for c in places)
         late = _settle(doc, start, half[:, 0], half[:, 1])
-        made = [pa.array((~late).astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in (half[:, 0], half[:, 1], doc, start, at))]
-        batch = pa.RecordBatch.from_arrays(made, names)
-        yield from (batch.slice(k, 100_000) for k in range(0, len(late), 100_000))
-
-    def made(pieces):
-        held = bytearray(), array("q"), array("q"), array("q")
-        for some in pieces:
-            for _, doc, start, n, at, data in some:
-                count = n & COUNT
-                held[0].extend(b"".join(_digest(data[w : w + width], 16) for w in range(count)))
-                held[1].extend([doc] * count)
-                held[2].extend(range(start, start + count))
-                held[3].extend([at] * count)
-                if len(held[1]) >= WINDOWS:
-                    yield from settled(*held)
-                    held = bytearray(), array("q"), array("q"), array("q")
-        if held[1]:
-            yield from settled(*held)
-
-    return _pieces(left, folder, tasks, width, made, "kind int, high long, low long, doc long, start long, at long")
+        k = np.flatnonzero(late)
+        if len(k):
+            lead = np.flatnonzero(np.concatenate(([True], (at[k][1:] != at[k][:-1]) | (start[k][1:] != start[k][:-1] + 1))))
+            first = k[lead]
+            yield table(0, *half[first].T, doc[first], start[first], np.diff(np.append(lead, len(k))), at[first])
+        front = np.flatnonzero(~late)
+        for some in np.split(front, range(100_000, len(front), 100_000)):
+            yield table(1, *half[some].T, doc[some], start[some], np.ones(len(some)), at[some])
+
+    def run(batches):
+        fs, root = filesystem(folder)
+        empty = lambda: (bytearray(), array("q"), array("q"), array("q"))
+        for t in groups(batches, 1):
+            at, start, key, doc, n, busy = (t.column(k).to_numpy() for k in range(1, 7))
+            row, held = at & 0xFFFFFFFF, empty()
+            for first, _, texts in _read_part(fs, root, t.column(0)[0].as_py()):
+                a, b = np.searchsorted(row, [first, first + len(texts)])
+                text, was, cold, strings = b"", -1, [], []
+                for i in range(a, b):
+                    if row[i] != was:
+                        was = row[i]
+                        text = (texts[int(was - first)].as_py() or "").encode()
+                    s, count = int(start[i]), int(n[i]) & COUNT
+                    if not busy[i]:
+                        cold.append(i)
+                        strings.append(text[s : s + count + width - 1])
+                        continue
+                    held[0].extend(b"".join(_digest(text[w : w + width], 16) for w in range(s, s + count)))
+                    held[1].extend([int(doc[i])] * count)
+                    held[2].extend(range(s, s + count))
+                    held[3].extend([int(at[i])] * count)
+                    if len(held[1]) >= WINDOWS:
+                        yield from settled(*held)
+                        held = empty()
+                if cold:
+                    yield table(2, key[cold], n[cold] >> 16, doc[cold], start[cold], np.zeros(len(cold)), at[cold], data=strings)
+            if held[1]:
+                yield from settled(*held)
+
+    return mapped(left, run, "kind int, high long, low long, doc long, start long, n long, at long, bytes binary")
 
 
 def _hot_repeats(windows: DataFrame) -> DataFrame:
-    """at, start, n of the windows (see hot_windows) of which an equal one comes earlier."""
-    fronts, one = windows.filter("kind = 1"), F.lit(1).cast("long").alias("n")
+    """at, start, n of the windows (see strings_and_windows) of which an equal one comes earlier."""
+    fronts = windows.filter("kind = 1")
     first = fronts.groupBy("high", "low").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("rows")).filter("rows > 1").repartition("rows", "high", "low")
     late = fronts.join(first, ["high", "low"]).filter(F.struct("doc", "start") > F.col("first"))
-    return windows.filter("kind = 0").select("at", "start", one).union(late.select("at", "start", one))
+    return windows.filter("kind = 0").select("at", "start", "n").union(late.select("at", "start", "n"))
 
 
 def _shared(key: np.ndarray, context: list[bytes]) -> np.ndarray:
@@ -465,8 +452,9 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs_ = scan_runs(docs, texts, width, gram).repartition("key").sortWithinPartitions("key", "content", "doc", "start")
     found = written(mapped(runs_, _match, "kind int, key long, doc long, start long, n long, at long"), "matches")
-    left, busy = _left(found, hot)
-    late = _ordered(_with_strings(left, texts, tasks, width), orders, tasks, width).union(_hot_repeats(written(hot_windows(busy, texts, tasks, width), "windows")))
+    pieces = written(strings_and_windows(_left(found, hot), texts, tasks, width), "pieces")
+    strings = pieces.filter("kind = 2").select(F.col("high").alias("key"), "doc", "start", F.col("low").alias("anchor"), "at", "bytes")
+    late = _ordered(strings, orders, tasks, width).union(_hot_repeats(pieces))
     parts = _parts(texts)
     every = spark.range(0).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("at"), F.col("id").alias("start"), F.col("id").alias("n"))
     if parts:

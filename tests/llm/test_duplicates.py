@@ -150,12 +150,11 @@ def test_repeats_of_one_line_in_many_texts(docs_of, tmp_path):
     folder = f"file://{tmp_path}/texts"
     found = shared.written(repeats.scan_runs(docs, folder, 100, 20).repartition(1).sortWithinPartitions("key", "content", "doc", "start"), "runs")
     found = shared.written(shared.mapped(found, repeats._match, "kind int, key long, doc long, start long, n long, at long"), "matches")
-    cold, busy = repeats._left(found, 64)
-    windows = repeats.hot_windows(busy, folder, 4, 100)
-    assert cold.groupBy("key").count().agg({"count": "max"}).first()[0] <= 64
-    assert busy.groupBy("key").count().agg({"count": "max"}).first()[0] > 5_000
-    assert windows.filter("kind = 1").groupBy("high", "low").count().agg({"count": "max"}).first()[0] <= 8
-    assert windows.filter("kind = 0").count() > 5_000
+    left = repeats._left(found, 64)
+    pieces = shared.written(repeats.strings_and_windows(left, folder, 4, 100), "pieces")
+    most = lambda rows, *by: rows.groupBy(*by).count().agg({"count": "max"}).first()[0]
+    assert most(left.filter("not hot"), "key") <= 64 and most(left.filter("hot"), "key") > 5_000
+    assert most(pieces.filter("kind = 1"), "high", "low") <= 8 and pieces.filter("kind = 0").agg({"n": "sum"}).first()[0] > 5_000
 
 
 def test_repeats_odd_rows(odd, none):
