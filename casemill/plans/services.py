@@ -9,7 +9,7 @@ from casemill.engine import Engine
 from casemill.functions import lexicons, records
 from casemill.functions import sql as functions
 from casemill.functions import text as T
-from casemill.operators import intake, ledger, listings, predict, stats, store
+from casemill.operators import calls, intake, ledger, listings, predict, stats, store
 from casemill.plans import registry as R
 from casemill.session import dealt, table
 from casemill.sources import files
@@ -174,6 +174,19 @@ def graded(spark, d):
     return good.select("event_id", "name", "score", F.lit(None).cast("string").alias("problem")).unionByName(bad.select("event_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("score"), "problem"))
 
 
+def answered_once(spark, d):
+    """The whole texts as prompts of a provider that answers from last to first; the English ones are asked before, and not again."""
+
+    def backwards(texts):
+        import hashlib
+
+        return [(i, hashlib.md5(t.encode()).hexdigest().upper()) for i, t in enumerate(texts)][::-1]
+
+    rows, place = table(spark, d, "documents").select("doc_id", "lang", "text"), folder(spark, "answers")
+    calls.answered(rows.filter("lang = 'en'"), backwards, place, column="text", batch=200)
+    return calls.answered(rows, backwards, place, column="text", batch=200).select("doc_id", "answer")
+
+
 def answer_steps(spark, d):
     k = F.col("event_id")
     text = F.when(k % 2 == 0, F.concat(F.lit('{"reasoning_trace": [{"content": "a"}, {"step_number": 9, "confidence": 0.2, "citations": [{"case_reference": "c'), k.cast("string"), F.lit('"}]}]}'))).otherwise(F.concat(F.lit("no JSON "), k.cast("string")))
@@ -287,6 +300,7 @@ QUERIES: dict[str, tuple] = {
     "response_context": (told, TOLD_SQL),
     "predict_cases": (predicted, "SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'uncertain' ELSE 'split' END AS outcome, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 0.0 ELSE 0.6 END::DOUBLE AS confidence, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 0 ELSE 3 END AS n_citations, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'abstain_cases' END AS reason FROM orders"),
     "structured_answers": (graded, "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'n' || event_id END AS name, CASE WHEN event_id % 3 = 0 THEN 1 END AS score, CASE event_id % 3 WHEN 1 THEN 'missing: name' WHEN 2 THEN 'not JSON' END AS problem FROM events"),
+    "answered_once": (answered_once, "SELECT doc_id, upper(md5(text)) AS answer FROM documents"),
     "answer_steps": (answer_steps, "SELECT event_id, unnest([1, 9]) AS step, 'analysis' AS category, unnest(['a', '']) AS content, unnest([0.7, 0.2])::DOUBLE AS confidence, unnest(['', 'c' || event_id || ':2022']) AS cited FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 1, 'analysis', 'no JSON ' || event_id, 0.3, '' FROM events WHERE event_id % 2 = 1"),
     "stored_chunks": (stored_chunks, "SELECT vec_id::VARCHAR AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN 'R' ELSE '' END AS case_reference, '' AS text, 'unknown' AS section_type, 0 AS chunk_index, CASE WHEN vec_id % 3 = 0 THEN 2019 ELSE 2020 END AS year, CASE WHEN vec_id % 2 = 1 THEN 'LON' END AS region, NULL::VARCHAR AS case_type, 0 AS token_count FROM embeddings"),
     "uploads": (uploads, UPLOADS_SQL),
