@@ -12,6 +12,7 @@ from casemill.functions import text as T
 from casemill.operators import calls, intake, ledger, listings, predict, stats, store
 from casemill.plans import registry as R
 from casemill.session import dealt, table
+from casemill.sources import case_folders as folders
 from casemill.sources import files
 from casemill.sources.scratch import folder
 
@@ -187,6 +188,20 @@ def answered_once(spark, d):
     return calls.answered(rows, backwards, place, column="text", batch=200).select("doc_id", "answer")
 
 
+def case_folders(spark, d):
+    """The pages as cases in folders, read back: every third has a PDF too, its URL's bytes."""
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("deposit", "adjacent", "odd")]), (k % 3 + 1).cast("int"))
+    rows = dealt(table(spark, d, "pages")).select(F.concat(F.lit("LON/"), n).alias("case_reference"), (k % 20 + 2000).cast("int").alias("year"), kind.alias("category"), "url", "html", F.when(k % 3 == 0, F.encode("url", "utf-8")).alias("pdf"))
+    place = folder(spark, "cases")
+    folders.write_cases(rows, place)
+    return folders.read_cases(spark, place, "case_reference string, year int, category string, url string").select("folder", "case_reference", "year", "category", "url", F.md5("html").alias("html_md5"), F.md5("pdf").alias("pdf_md5"))
+
+
+CASE_FOLDERS_SQL = """SELECT ['deposit', 'adjacent', 'other'][page_id % 3 + 1] || '-cases/' || (page_id % 20 + 2000) || '/LON%2F' || page_id AS folder, 'LON/' || page_id AS case_reference, (page_id % 20 + 2000)::INTEGER AS year,
+  ['deposit', 'adjacent', 'odd'][page_id % 3 + 1] AS category, url, md5(nullif(html, '')) AS html_md5, CASE WHEN page_id % 3 = 0 THEN md5(nullif(url, '')) END AS pdf_md5 FROM pages WHERE html <> '' OR (page_id % 3 = 0 AND url <> '')"""
+
+
 def answer_steps(spark, d):
     k = F.col("event_id")
     text = F.when(k % 2 == 0, F.concat(F.lit('{"reasoning_trace": [{"content": "a"}, {"step_number": 9, "confidence": 0.2, "citations": [{"case_reference": "c'), k.cast("string"), F.lit('"}]}]}'))).otherwise(F.concat(F.lit("no JSON "), k.cast("string")))
@@ -300,6 +315,7 @@ QUERIES: dict[str, tuple] = {
     "response_context": (told, TOLD_SQL),
     "predict_cases": (predicted, "SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'uncertain' ELSE 'split' END AS outcome, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 0.0 ELSE 0.6 END::DOUBLE AS confidence, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 0 ELSE 3 END AS n_citations, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'abstain_cases' END AS reason FROM orders"),
     "structured_answers": (graded, "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'n' || event_id END AS name, CASE WHEN event_id % 3 = 0 THEN 1 END AS score, CASE event_id % 3 WHEN 1 THEN 'missing: name' WHEN 2 THEN 'not JSON' END AS problem FROM events"),
+    "case_folders": (case_folders, CASE_FOLDERS_SQL),
     "answered_once": (answered_once, "SELECT doc_id, upper(md5(text)) AS answer FROM documents"),
     "answer_steps": (answer_steps, "SELECT event_id, unnest([1, 9]) AS step, 'analysis' AS category, unnest(['a', '']) AS content, unnest([0.7, 0.2])::DOUBLE AS confidence, unnest(['', 'c' || event_id || ':2022']) AS cited FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 1, 'analysis', 'no JSON ' || event_id, 0.3, '' FROM events WHERE event_id % 2 = 1"),
     "stored_chunks": (stored_chunks, "SELECT vec_id::VARCHAR AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN 'R' ELSE '' END AS case_reference, '' AS text, 'unknown' AS section_type, 0 AS chunk_index, CASE WHEN vec_id % 3 = 0 THEN 2019 ELSE 2020 END AS year, CASE WHEN vec_id % 2 = 1 THEN 'LON' END AS region, NULL::VARCHAR AS case_type, 0 AS token_count FROM embeddings"),
