@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import lexicons
 from casemill.functions import text as T
+from casemill.functions.encoding import BytePairs
 from casemill.operators import chunking, embed, retrieval, stats, store
 from casemill.operators.index import KeywordIndex
 from casemill.sources.scratch import stored
@@ -22,15 +23,18 @@ FETCH, FUSED, FINAL = 2, 20, 10
 class Engine:
     """Chunks, vectors and a keyword index in one folder that the cluster shares, changed together.
 
-    `where` filters reach the semantic branch alone, as in the reference, unless scope="both".
+    `where` filters reach the semantic branch alone, as in the reference, unless scope="both".  An encoder counts chunks' tokens by its
+    vocabulary.  A ledger, the URI of a shared folder for this embedder alone, keeps each text's vector: a repeated ingest pays for none twice.
     """
 
     def __init__(
         self, spark: SparkSession, folder: str, embedder: embed.Embedder | None = None, *, chunk_tokens: int = chunking.CHUNK_TOKENS, overlap: int = chunking.OVERLAP_TOKENS,
         issues: Mapping = lexicons.ISSUES, evidence: Mapping = lexicons.EVIDENCE, as_of_year: int = 2024, lite: bool = False,
+        encoder: BytePairs | None = None, ledger: str | None = None,
     ):
         self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder or embed.HashedWords(64)
         self.chunk_tokens, self.overlap, self.issues, self.evidence, self.as_of_year = chunk_tokens, overlap, dict(issues), dict(evidence), as_of_year
+        self.encoder, self.ledger = encoder, ledger
         self.tables = Tables(spark, self.folder)
         self.index = KeywordIndex(spark, self.folder, lite=lite, id_type="string", tables=self.tables)
 
@@ -61,7 +65,7 @@ class Engine:
         rows = stored(rows.withColumn("status", F.when(F.col("failed"), "failed").when(F.length(F.trim("text")) > 0, "processed").otherwise("skipped")), "ingest")
         meta = F.struct(F.col("year").cast("int").alias("year"), "region", "case_type", "text")
         good = rows.filter("status = 'processed'").groupBy("case_reference").agg(F.max(meta).alias("d")).select("case_reference", "d.*")
-        made = chunking.chunks(good, self.chunk_tokens, self.overlap, "case_reference").withColumnRenamed("id", "case_reference")
+        made = chunking.chunks(good, self.chunk_tokens, self.overlap, "case_reference", encoder=self.encoder).withColumnRenamed("id", "case_reference")
         made = made.join(good.select("case_reference", "year", "region", "case_type"), "case_reference")
         if skip_existing:
             made = store.unseen(made, change.read("chunks", CHUNK), "chunk_id")
@@ -75,7 +79,7 @@ class Engine:
         if not made.isEmpty():
             if not skip_existing:
                 self._forget(change, good.select("case_reference"))
-            vectors = embed.embed(made, self.embedder, "chunk_id", "text")
+            vectors = embed.embed(made, self.embedder, "chunk_id", "text", ledger=self.ledger)
             about = made.select(F.col("chunk_id").alias("id"), "case_reference", "region", "case_type", "section", "year")
             change.append("chunks", made, key="case_reference")
             change.append("vectors", embed.with_vectors(vectors, about).select(*[c.split()[0] for c in VECTOR.split(", ")]), key="case_reference")

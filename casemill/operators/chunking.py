@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import text as T
+from casemill.functions.encoding import BytePairs
 
 # The four sections in output order and their headings, alone or behind a number.
 HEADINGS = {
@@ -99,14 +100,16 @@ def pack_sentences(counts: list[int], size: int, overlap: int) -> list[list[int]
     return out
 
 
-def chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text", encoder: BytePairs | None = None) -> DataFrame:
     """(chunk_id, id, chunk_index, section, text, token_count): sections in order, sentences packed by tokens, ids numbered over the document.
 
     A document is one row, so nothing is shuffled: sentences and their tokens are counted in the row, and one Arrow pass packs them.
+    Tokens are words and marks, or with an encoder those of its vocabulary: a sentence over size is then cut between its tokens, and a
+    chunk's count is that of its joined text.
     """
     parted = docs.select(F.col(id_col).alias("id"), section_list(F.col(text_col)).alias("parts"))
     parted = parted.select("id", "parts.section", F.transform("parts.body", T.sentences).alias("sents"))
-    parted = parted.select("id", "section", F.transform("sents", lambda s: F.array_join(s, "\u0001")).alias("sents"), F.transform("sents", lambda s: F.transform(s, T.token_count)).alias("counts"))
+    parted = parted.select("id", "section", F.transform("sents", lambda s: F.array_join(s, "\u0001")).alias("sents"), (F.lit(None).cast("array<array<int>>") if encoder else F.transform("sents", lambda s: F.transform(s, T.token_count))).alias("counts"))
 
     def fold(batches):
         import pyarrow as pa
@@ -115,10 +118,20 @@ def chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOK
             out = []
             for doc, names, bodies, counted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 index = 0
-                for name, body, counts in zip(names, bodies, counted, strict=True):
+                for name, body, counts in zip(names, bodies, counted or [None] * len(names), strict=True):
                     sents = body.split("\x01")
+                    if encoder:
+                        counts = [len(encoder.ids(s)) for s in sents]
                     for part in pack_sentences(counts, size, overlap):
-                        if len(part) == 1 and counts[part[0]] > size:
+                        long = len(part) == 1 and counts[part[0]] > size
+                        if encoder and long:
+                            ids = encoder.ids(sents[part[0]])
+                            cut = [ids[a : a + size] for a in range(0, len(ids), size - overlap)]
+                            made = [(encoder.text(c), len(c)) for c in cut]
+                        elif encoder:
+                            joined = " ".join(sents[k] for k in part)
+                            made = [(joined, len(encoder.ids(joined)))]
+                        elif long:
                             words = sents[part[0]].split()
                             made = [(" ".join(words[a : a + size]), None) for a in range(0, len(words), size - overlap)]
                         else:

@@ -7,6 +7,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.operators import calls
+
 # Dimensions and prices per million tokens by model; an unknown model costs as the small one.
 DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}
 PRICES = {"text-embedding-3-small": 0.02, "text-embedding-3-large": 0.13, "text-embedding-ada-002": 0.10}
@@ -37,11 +39,17 @@ class HashedWords:
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
 
-def embed(rows: DataFrame, provider: Embedder, id_col: str, text_col: str, batch: int = 50) -> DataFrame:
-    """(id, embedding): texts in batches of the provider's size, in their order; Spark retries a failed task.
+def embed(rows: DataFrame, provider: Embedder, id_col: str, text_col: str, batch: int = 50, *, ledger: str | None = None, back_off: calls.BackOff | None = None) -> DataFrame:
+    """(id, embedding): texts in batches of the provider's size, in their order; refused calls are repeated after growing pauses.
 
-    A provider that gives another number of vectors than it got texts is an error.
+    A provider that gives another number of vectors than it got texts is an error.  With a ledger (a folder of calls.answered) equal texts
+    are asked once and known ones not at all; a null text has then no vector and is not asked.
     """
+    if ledger:
+        asked = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        told = calls.answered(asked, calls.indexed(provider.embed), ledger, column="text", kind="array<double>", batch=batch, back_off=back_off)
+        return told.select("id", F.col("answer").alias("embedding"))
+    back_off = back_off or calls.BackOff()
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -50,9 +58,7 @@ def embed(rows: DataFrame, provider: Embedder, id_col: str, text_col: str, batch
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 some = b.slice(at, batch)
-                vectors = provider.embed(some.column(1).to_pylist())
-                if len(vectors) != some.num_rows:
-                    raise ValueError(f"{some.num_rows} texts gave {len(vectors)} vectors")
+                vectors = back_off(calls.indexed(provider.embed), some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(vectors, pa.list_(pa.float64()))], ["id", "embedding"])
 
     return rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, embedding array<double>")

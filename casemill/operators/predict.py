@@ -38,8 +38,16 @@ class Canned:
         return [self.answer] * len(prompts)
 
 
-def generate(rows: DataFrame, provider: Provider, prompt: str = "prompt") -> DataFrame:
-    """rows with the column answer, in Arrow batches."""
+def generate(rows: DataFrame, provider: Provider, prompt: str = "prompt", *, ledger: str | None = None, batch: int = 50) -> DataFrame:
+    """rows with the column answer, in batches; refused calls are repeated after growing pauses.
+
+    With a ledger (a folder of calls.answered) equal prompts are asked once and known ones not at all; a null prompt has then a null answer.
+    """
+    from casemill.operators import calls  # which needs RateLimited
+
+    if ledger:
+        return calls.answered(rows, calls.indexed(provider.complete), ledger, column=prompt, batch=batch)
+    back_off, call = calls.BackOff(), calls.indexed(provider.complete)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", answer string"
     at = rows.columns.index(prompt)
 
@@ -47,7 +55,9 @@ def generate(rows: DataFrame, provider: Provider, prompt: str = "prompt") -> Dat
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(provider.complete(b.column(at).to_pylist()), pa.string())], [*b.schema.names, "answer"])
+            prompts = b.column(at).to_pylist()
+            answers = [a for k in range(0, len(prompts), batch) for a in back_off(call, prompts[k : k + batch])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string())], [*b.schema.names, "answer"])
 
     return rows.mapInArrow(run, schema)
 

@@ -9,7 +9,8 @@ from casemill.engine import Engine
 from casemill.functions import lexicons, records
 from casemill.functions import sql as functions
 from casemill.functions import text as T
-from casemill.operators import calls, intake, ledger, listings, predict, stats, store
+from casemill.functions.encoding import BytePairs
+from casemill.operators import calls, chunking, intake, ledger, listings, predict, stats, store
 from casemill.plans import registry as R
 from casemill.session import dealt, table
 from casemill.sources import case_folders as folders
@@ -202,6 +203,21 @@ CASE_FOLDERS_SQL = """SELECT ['deposit', 'adjacent', 'other'][page_id % 3 + 1] |
   ['deposit', 'adjacent', 'odd'][page_id % 3 + 1] AS category, url, md5(nullif(html, '')) AS html_md5, CASE WHEN page_id % 3 = 0 THEN md5(nullif(url, '')) END AS pdf_md5 FROM pages WHERE html <> '' OR (page_id % 3 = 0 AND url <> '')"""
 
 
+def byte_pairs() -> BytePairs:
+    import public_tokenizers as P
+
+    return BytePairs.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+def byte_pair_counts(spark, d):
+    return dealt(table(spark, d, "documents")).select("doc_id", byte_pairs().count(F.col("text")).alias("tokens"))
+
+
+def chunk_byte_pairs(spark, d):
+    made = chunking.chunks(dealt(table(spark, d, "documents")), encoder=byte_pairs())
+    return made.select("chunk_id", "id", "chunk_index", "section", "token_count", F.md5("text").alias("m"))
+
+
 def answer_steps(spark, d):
     k = F.col("event_id")
     text = F.when(k % 2 == 0, F.concat(F.lit('{"reasoning_trace": [{"content": "a"}, {"step_number": 9, "confidence": 0.2, "citations": [{"case_reference": "c'), k.cast("string"), F.lit('"}]}]}'))).otherwise(F.concat(F.lit("no JSON "), k.cast("string")))
@@ -315,6 +331,8 @@ QUERIES: dict[str, tuple] = {
     "response_context": (told, TOLD_SQL),
     "predict_cases": (predicted, "SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'uncertain' ELSE 'split' END AS outcome, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 0.0 ELSE 0.6 END::DOUBLE AS confidence, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 0 ELSE 3 END AS n_citations, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'abstain_cases' END AS reason FROM orders"),
     "structured_answers": (graded, "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'n' || event_id END AS name, CASE WHEN event_id % 3 = 0 THEN 1 END AS score, CASE event_id % 3 WHEN 1 THEN 'missing: name' WHEN 2 THEN 'not JSON' END AS problem FROM events"),
+    "byte_pair_counts": (byte_pair_counts, None),
+    "chunk_byte_pairs": (chunk_byte_pairs, None),
     "case_folders": (case_folders, CASE_FOLDERS_SQL),
     "answered_once": (answered_once, "SELECT doc_id, upper(md5(text)) AS answer FROM documents"),
     "answer_steps": (answer_steps, "SELECT event_id, unnest([1, 9]) AS step, 'analysis' AS category, unnest(['a', '']) AS content, unnest([0.7, 0.2])::DOUBLE AS confidence, unnest(['', 'c' || event_id || ':2022']) AS cited FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 1, 'analysis', 'no JSON ' || event_id, 0.3, '' FROM events WHERE event_id % 2 = 1"),
