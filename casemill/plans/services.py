@@ -193,7 +193,7 @@ def case_folders(spark, d):
     """The pages as cases in folders, read back: every third has a PDF too, its URL's bytes."""
     k, n = F.col("page_id"), F.col("page_id").cast("string")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("deposit", "adjacent", "odd")]), (k % 3 + 1).cast("int"))
-    rows = dealt(table(spark, d, "pages")).select(F.concat(F.lit("LON/"), n).alias("case_reference"), (k % 20 + 2000).cast("int").alias("year"), kind.alias("category"), "url", "html", F.when(k % 3 == 0, F.encode("url", "utf-8")).alias("pdf"))
+    rows = table(spark, d, "pages").select(F.concat(F.lit("LON/"), n).alias("case_reference"), (k % 20 + 2000).cast("int").alias("year"), kind.alias("category"), "url", "html", F.when(k % 3 == 0, F.encode("url", "utf-8")).alias("pdf"))
     place = folder(spark, "cases")
     folders.write_cases(rows, place)
     return folders.read_cases(spark, place, "case_reference string, year int, category string, url string").select("folder", "case_reference", "year", "category", "url", F.md5("html").alias("html_md5"), F.md5("pdf").alias("pdf_md5"))

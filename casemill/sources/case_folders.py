@@ -27,6 +27,8 @@ from casemill.operators.ledger import output_folder
 PAGE, PDF, METADATA = "decision.html", "decision.pdf", "metadata.json"
 #: Of a name longer than LONG, so much stays, and the rest is told by a hash; a file system takes 255 bytes.
 LONG, KEPT = 200, 150
+#: Cases of a batch that is read.
+FILES = 32
 
 
 def safe_name(reference: Column) -> Column:
@@ -60,13 +62,35 @@ def write_cases(cases: DataFrame, root: str) -> None:
 
 
 def read_cases(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """folder (below root), the fields of schema from metadata.json, html and pdf of every case below root, from one listing."""
-    base = F.length(F.regexp_extract(F.col("path"), rf"^(.*)/[a-z]+-cases/[^/]*/[^/]*/[^/]*$", 1)) + 2
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{PAGE},{PDF},{METADATA}}}").load(root)
-    rows = rows.select(F.regexp_replace(F.substring(F.col("path"), base, F.length("path")), "/[^/]*$", "").alias("folder"), F.substring_index("path", "/", -1).alias("name"), "content")
-    file = lambda name: F.first(F.when(F.col("name") == name, F.col("content")), ignorenulls=True)
-    cases = rows.groupBy("folder").agg(file(METADATA).cast("string").alias("m"), file(PAGE).cast("string").alias("html"), file(PDF).alias("pdf"))
-    return cases.select("folder", F.from_json("m", schema).alias("m"), "html", "pdf").select("folder", "m.*", "html", "pdf")
+    """folder (below root), the fields of schema from metadata.json, html and pdf of every case below root.
+
+    Only the metadata files are listed; a task opens the page and the PDF beside each, so nothing is shuffled.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", METADATA).load(root)
+    folder = F.regexp_extract("path", r"([a-z]+-cases/[^/]*/[^/]*)/[^/]*$", 1)
+
+    def opened(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(root)
+
+        def content(at: str, name: str) -> bytes | None:
+            try:
+                with system.open_input_stream(f"{place.rstrip('/')}/{at}/{name}") as f:
+                    return f.read()
+            except FileNotFoundError:
+                return None
+
+        for b in batches:
+            for k in range(0, b.num_rows, FILES):
+                some = b.slice(k, FILES)
+                names = some.column(0).to_pylist()
+                files = [pa.array([content(n, file) for n in names], pa.binary()) for file in (PAGE, PDF)]
+                yield pa.RecordBatch.from_arrays([*some.columns, *files], ["folder", "m", "html", "pdf"])
+
+    cases = rows.select(folder.alias("folder"), F.col("content").cast("string").alias("m")).mapInArrow(opened, "folder string, m string, html binary, pdf binary")
+    return cases.select("folder", F.from_json("m", schema).alias("m"), F.col("html").cast("string").alias("html"), "pdf").select("folder", "m.*", "html", "pdf")
 
 
 @dataclass
