@@ -12,21 +12,39 @@ longest document).  A task that runs again rewrites all of its own sequences, so
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.shared import mapped, slices
+from casemill.llm.spans import within
 
 TIERS = (256, 512, 1024, 2048)
 #: Words whose ids a task remembers, some 170 bytes each; beyond that it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Bytes of text that are lists of words at a time.
 SLICE_BYTES = 1 << 20
+#: Words of letters below U+0250, but for the one whose lower case is longer; marks that may stand behind them.
+LATIN = "^[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+$"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What the usual tokenizer does before its merges.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Words whose ids are put one after the other at a time.
+GATHERED = 1 << 18
 WINDOW_TOKENS = 1 << 22
 WINDOW_DOCS = 8192
 GROUP_SEQUENCES = 32
@@ -93,19 +111,32 @@ def balance(sequences: list[list[Piece]], size: int = GROUP_SEQUENCES) -> list[i
     return out
 
 
+def _strings(column) -> list[str]:
+    """The values of an Arrow column of strings without nulls; to_pylist takes ten times as long."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordTokenizer:
     """Ids of texts as little-endian 32-bit bytes, remembered by word.
 
     Only for tokenizers whose pre-tokenizer never crosses a space or a line feed and drops them; then a text's ids are those of
     its pieces between them, one after the other.  Word ends must be marked by "</w>"; where they are not, words are encoded one by one.
+    A task has one core, so the tokenizer's own threads are left off: they cost CPU time and memory and gain nothing.
     """
 
     _made: dict[str, "WordTokenizer"] = {}
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(text)
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = self.letters = Tokenizer.from_str(text)
+        spec = json.loads(text)
+        if (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER):
+            # lower-cased Latin letters stay as they are and each word is one pre-token, so neither need be looked for; the model is shared
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -117,52 +148,57 @@ class WordTokenizer:
             cls._made[text] = cls(text)
         return cls._made[text]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(list(set().union(*split).difference(self.ids)))
+    def __call__(self, texts) -> list[bytes]:
+        """The ids of each text of a list or an Arrow column (null: none).
+
+        Nearly all words are Latin letters with marks behind.  Such letters are one pre-token whatever stands around them, so they
+        are remembered lower-cased, and the marks by themselves.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        core = pc.utf8_rtrim(coded.dictionary, characters=MARKS)
+        latin = pc.match_substring_regex(core, LATIN)
+        words, keys = _strings(coded.dictionary), _strings(pc.if_else(latin, pc.utf8_lower(core), coded.dictionary))
+        tails = [word[len(key) :] for word, key in zip(words, keys, strict=True)]
+        new = set(keys).difference(self.ids)
+        plain = new.intersection(_strings(pc.utf8_lower(core.filter(latin))))
+        self._learn(list(plain), (new - plain).union(set(tails).difference(self.ids)))
         get = self.ids.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+        known = list(map(bytes.__add__, map(get, keys), map(get, tails)))
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
+        code, out = coded.indices.to_numpy(), []
+        for at in range(0, len(code), GATHERED):
+            some = code[at : at + GATHERED]
+            out.append(flat[within(start[some], size[some])].tobytes())
+        data, ends = b"".join(out), 4 * np.concatenate(([0], np.cumsum(size[code])))[split.offsets.to_numpy()]
         if len(self.ids) > CACHE_WORDS:
             self.forget()
-        return out
+        return [data[a:b] for a, b in pairwise(ends.tolist())]
 
     def forget(self) -> None:
         self.ids = {"": b""}
 
-    def _learn(self, words: list[str]) -> None:
-        """Adds the ids of new words.
-
-        Nearly all are Latin letters with full stops or commas behind.  Such letters are one pre-token whatever stands around
-        them, so they are encoded lower-cased, many in one call, and told apart by the tokens that end a word.
-        """
-        plain, lows, tails, alone = [], [], [], set()  # plain lists of strings: the cyclic collector has nothing to walk
-        for word in words:
-            core = word.rstrip(".,")
-            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
-                low = core.lower()
-                if len(low) == len(core):
-                    plain.append(word)
-                    lows.append(low)
-                    tails.append(word[len(core) :])
-                    continue
-            alone.add(word)
-        cores, alone = list(set(lows).difference(self.ids)), alone.union(tails).difference(self.ids)
-        for at in range(0, len(cores), 1024):
-            some = cores[at : at + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn(self, plain: list[str], alone: set[str]) -> None:
+        """Adds the ids of new words: plain ones many in one call, told apart by the tokens that end a word, the others each by itself."""
+        for at in range(0, len(plain), 256):
+            some = plain[at : at + 256]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(some):
                 alone.update(some)
                 continue
             data = ids.tobytes()
             self.ids.update(zip(some, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
-        alone = list(alone)
-        for at in range(0, len(alone), 4096):
-            some = alone[at : at + 4096]
+        rest = list(alone)
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
-        get = self.ids.__getitem__
-        self.ids.update(zip(plain, map(bytes.__add__, map(get, lows), map(get, tails)), strict=True))
 
 
 def pack_documents(
@@ -216,8 +252,7 @@ def pack_documents(
         done, group, window, tokens = 0, 0, [], 0
         for batch in batches:
             for some in slices(batch, rows=128, size=SLICE_BYTES):
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc_id, ids in zip(some.column(0).to_pylist(), tokenize(texts), strict=True):
+                for doc_id, ids in zip(some.column(0).to_pylist(), tokenize(some.column(1)), strict=True):
                     window.append((doc_id, ids + end))
                     tokens += len(ids) // 4 + 1
                 if tokens >= window_tokens or len(window) >= window_docs:

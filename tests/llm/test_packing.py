@@ -1,10 +1,12 @@
 """Packing against the tokenizer itself."""
 
+import os
 import zlib
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,6 +44,22 @@ def test_words_give_the_ids_of_texts(texts):
     assert WordTokenizer.of(JSON)(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aÀÅɏİß́ \n.!\"#$%&()*+-/:;<=>?@[\\]^_`{|}~'s7"), max_size=30)), max_size=5))
+def test_marks_behind_words_give_the_ids_of_texts(texts):
+    tokenizer = Tokenizer.from_str(JSON)
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert WordTokenizer.of(JSON)(pa.array(texts, pa.string())) == want
+
+
+def test_letters_are_remembered_once():
+    """Not with each mark behind them and each case; what a task holds and encodes follows from that."""
+    tokenizer = WordTokenizer(JSON)
+    tokenizer(["Word word, WORD... word!? 7 word,"])
+    assert set(tokenizer.ids) == {"", "word", ",", "...", "!?", "7"}
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_pieces_of_many_windows_and_partitions(docs_of):
     """Every document's ids are covered once and in order, sequences are gapless from 0, and are full or of a power of two, over windows that flush and tasks."""
     rng = np.random.default_rng(5)
