@@ -1,7 +1,7 @@
 """Ranked lexical search with block-max pruning over document ranges.
 
-One pass over the texts counts the asked terms of every document; a second cuts the documents, in the order of the scan, into
-ranges of BLOCK and stores for each range the forward index (what each asked term adds to each document's score) and the greatest
+One pass over the texts counts the asked terms of every document and stores the counts; the tasks that search cut the documents, in
+the order of the scan, into ranges of BLOCK and make for each the forward index (what each asked term adds to a document's score) and the greatest
 such gain of each term.  What a term adds does not depend on the query, so a range's greatest score for a query is at most the sum
 of its maxima over the query's terms.  A task sorts its ranges by that bound, scores the documents of the best ones from the
 forward index, and stops where the bound falls below the k-th score so far.  A first pass scores only each task's best ranges and
@@ -103,36 +103,40 @@ def weights(counted: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
     return np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * d + 1))) for d in df.tolist()], np.int64), n, length
 
 
-def build(counted: DataFrame, weight: np.ndarray, n_docs: int, length: int, block: int) -> DataFrame:
-    """The index: for each range its terms with their greatest gains, and its documents with the gain of each of their terms."""
+def ranges_of(weight: np.ndarray, n_docs: int, length: int, block: int):
+    """A function of a batch of counts: its ranges, each with its terms and their greatest gains, and its documents with the gain of each of their terms."""
 
-    def run(batches):
+    def made(batch):
         import pyarrow as pa
 
-        for batch in batches:
-            terms_, tfs = batch.column(2), batch.column(3)
-            term, tf = terms_.flatten().to_numpy(), tfs.flatten().to_numpy()
-            own = np.diff(terms_.offsets.to_numpy()).astype(np.int64)
-            m = 50 + 50 * batch.column(1).to_numpy() * n_docs // length
-            gain = weight[term] * (1_000_000_000 * tf // (1000 * tf + 20 * np.repeat(m, own)))
-            of = np.repeat(np.arange(len(own)) // block, own)
-            order = np.lexsort((-gain, term, of))
-            first = np.ones(len(order), bool)
-            first[1:] = (term[order][1:] != term[order][:-1]) | (of[order][1:] != of[order][:-1])
-            top = order[first]
-            n = -(-len(own) // block)
-            ends = np.minimum(np.arange(n + 1) * block, len(own))
-            posts = np.concatenate(([0], np.cumsum(own)))
-            listed = lambda at, x: pa.ListArray.from_arrays(pa.array(np.asarray(at, np.int32)), x)
-            heads = np.concatenate(([0], np.cumsum(np.bincount(of[top], minlength=n))))
-            columns = [
-                listed(heads, pa.array(term[top])), listed(heads, pa.array(gain[top])), listed(ends, batch.column(0)), listed(ends, pa.array(own.astype(np.int32))),
-                listed(posts[ends], pa.array(term)), listed(posts[ends], pa.array(gain)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["terms", "maxima", "docs", "lengths", "doc_terms", "gains"])
+        terms_, tfs = batch.column(2), batch.column(3)
+        term, tf = terms_.flatten().to_numpy(), tfs.flatten().to_numpy()
+        own = np.diff(terms_.offsets.to_numpy()).astype(np.int64)
+        m = 50 + 50 * batch.column(1).to_numpy() * n_docs // length
+        gain = weight[term] * (1_000_000_000 * tf // (1000 * tf + 20 * np.repeat(m, own)))
+        of = np.repeat(np.arange(len(own)) // block, own)
+        order = np.lexsort((-gain, term, of))
+        first = np.ones(len(order), bool)
+        first[1:] = (term[order][1:] != term[order][:-1]) | (of[order][1:] != of[order][:-1])
+        top = order[first]
+        n = -(-len(own) // block)
+        ends = np.minimum(np.arange(n + 1) * block, len(own))
+        posts = np.concatenate(([0], np.cumsum(own)))
+        listed = lambda at, x: pa.ListArray.from_arrays(pa.array(np.asarray(at, np.int32)), x)
+        heads = np.concatenate(([0], np.cumsum(np.bincount(of[top], minlength=n))))
+        columns = [
+            listed(heads, pa.array(term[top])), listed(heads, pa.array(gain[top])), listed(ends, batch.column(0)), listed(ends, pa.array(own.astype(np.int32))),
+            listed(posts[ends], pa.array(term)), listed(posts[ends], pa.array(gain)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["terms", "maxima", "docs", "lengths", "doc_terms", "gains"])
+
+    return made
+
 
+def build(counted: DataFrame, weight: np.ndarray, n_docs: int, length: int, block: int) -> DataFrame:
+    """The index as a table of ranges; rank_documents makes them in the tasks that search, and stores none."""
     kind = "terms array<int>, maxima array<long>, docs array<long>, lengths array<int>, doc_terms array<int>, gains array<long>"
-    return written(mapped(counted.filter(F.size("terms") > 0), run, kind), "ranges")
+    return written(mapped(counted.filter(F.size("terms") > 0), lambda batches: map(ranges_of(weight, n_docs, length, block), batches), kind), "ranges")
 
 
 @dataclass
@@ -205,8 +209,11 @@ class Best:
             self.floor = max(self.floor, int(self.score[-1]))
 
 
-def search(index: DataFrame, asked: Asked, size: int, k: int, floors: list[int] | None) -> DataFrame:
-    """(query, item_id, doc_id, score): the k best of each task, or without floors the best of each task's best ranges."""
+def search(index: DataFrame, asked: Asked, size: int, k: int, floors: list[int] | None, made=None) -> DataFrame:
+    """(query, item_id, doc_id, score): the k best of each task, or without floors the best of each task's best ranges.
+
+    made makes ranges of each batch of the frame; without it they are ranges already.
+    """
 
     def look(ranges: Ranges, best: list[Best], places: np.ndarray, items: np.ndarray) -> None:
         bound = ranges.bounds(places, items, len(asked.ids))
@@ -233,7 +240,7 @@ def search(index: DataFrame, asked: Asked, size: int, k: int, floors: list[int]
         best = [Best(k, f) for f in floors or [1] * len(asked.ids)]
         places, items = asked.by_term(size)
         held, held_bytes = [], 0
-        for batch in batches:
+        for batch in batches if made is None else map(made, batches):
             held.append(batch)
             held_bytes += batch.nbytes
             if held_bytes >= SPAN:
@@ -283,12 +290,13 @@ def rank_documents(
         weight, n_docs, length = weights(counted, len(vocabulary))
         if not n_docs:
             break
-        index = build(counted, weight, n_docs, length, block)
+        # made anew in each of the two searches, so that no task writes them
+        counted, made = counted.filter(F.size("terms") > 0), ranges_of(weight, n_docs, length, block)
         floors = [1] * len(rows)
-        seeds = ranked(search(index, asked, len(vocabulary), k, None), k)
+        seeds = ranked(search(counted, asked, len(vocabulary), k, None, made), k)
         for r in seeds.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k).collect():  # a row an item at most
             floors[r["query"]] = r["floor"]
-        hits = ranked(search(index, asked, len(vocabulary), k, floors), k).select("item_id", "rank", "doc_id", "score")
+        hits = ranked(search(counted, asked, len(vocabulary), k, floors, made), k).select("item_id", "rank", "doc_id", "score")
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
 

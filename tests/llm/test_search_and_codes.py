@@ -94,6 +94,16 @@ def test_ranges_below_the_threshold_are_not_scored(spark, monkeypatch):
     assert sum(seen) <= lexical.FIRST
 
 
+def test_ranking_stores_the_counts_alone(spark, monkeypatch):
+    """Every stored table is files of each task; the ranges are made where they are searched."""
+    names, kept = [], lexical.written
+    monkeypatch.setattr(lexical, "written", lambda df, name: names.append(name) or kept(df, name))
+    d = spark.createDataFrame(some_docs(100), "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    out = lexical.rank_documents(d, b, k=7, block=4).collect()
+    assert names == ["counts"] and sorted(map(tuple, out), key=str) == ranked_by_hand(some_docs(100), ITEMS, 7)
+
+
 def test_words_in_pieces():
     texts = [None, "", "ab  cd", "efgh", "i" * 5000 + " j", "kl", "x y " * 3000]
     data, places = spans.buffers(pa.array(texts))
