@@ -25,18 +25,19 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm import bcr
-from casemill.llm.shared import blocks, filesystem, groups, mapped, put_whole, scratch, written
+from casemill.llm.shared import blocks, filesystem, groups, mapped, put_whole, scratch, whole, written
 from casemill.llm.shingles import mix
 
 WIDTH, GRAM = 100, 20
-#: Bytes hashed at a time; a longer text is cut, with an overlap.
-SPAN = 1 << 20
+#: Bytes hashed at a time, which take some hundred times as much; a longer text is cut, with an overlap.
+SPAN = 1 << 18
 #: Bytes of text whose equal runs are settled within a task.
 BLOCK_BYTES = 24 << 20
 #: Symbols of one suffix-order block.
@@ -145,48 +146,46 @@ def scan_runs(docs: DataFrame, folder: str, width: int, gram: int) -> DataFrame:
         fs, root = filesystem(folder)
         part = TaskContext.get().partitionId()
         settled: list[np.ndarray] = []
-        out: list[pa.RecordBatch] = []
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
         def flush(ids: list, texts: list[bytes], base: int):
+            """The block's runs that none of it settles; texts are dropped once they are hashed."""
             found = []
             for first, shift, (of, start, n, key, content) in _text_runs(texts, width, gram):
                 found.append((of + first, start + shift, n, key, content))
+            texts.clear()
             if not found:
                 return
-            of, start, n, key, content = map(np.concatenate, zip(*found, strict=True))
+            parts = list(zip(*found, strict=True))
+            del found
+            of, start, n, key, content = (np.concatenate(parts.pop(0)) for _ in range(5))
             doc = np.array([LAST if i is None else i for i in ids], np.int64)[of]
             late = _settle(doc, start, key, content)
             settled.append(np.stack([of[late] + base, start[late], n[late] & COUNT], 1))
-            keep = ~late
-            at = (of + base)[keep] | (part << 32)
-            made = [key[keep], content[keep], doc[keep], start[keep], n[keep], at]
-            out.extend(pa.RecordBatch.from_arrays([pa.array(c) for c in made], columns).slice(k, 100_000) for k in range(0, int(keep.sum()), 100_000))
-
-        def scan(stream):
-            row, ids, texts, size = 0, [], [], 0
-            with pa.ipc.new_file(stream, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
-                for batch in batches:
-                    for b in range(0, batch.num_rows, 512):
-                        some = batch.slice(b, 512)
-                        file.write_batch(pa.RecordBatch.from_arrays(some.columns, schema=schema))
-                        ids += some.column(0).to_pylist()
-                        new = [(t or "").encode() for t in some.column(1).to_pylist()]
-                        texts += new
-                        size += sum(map(len, new))
-                        if size >= BLOCK_BYTES:
-                            flush(ids, texts, row)
-                            row, ids, texts, size = row + len(ids), [], [], 0
-                flush(ids, texts, row)
+            keep = np.flatnonzero(~late)
+            for k in (keep[i : i + 100_000] for i in range(0, len(keep), 100_000)):
+                made = [key[k], content[k], doc[k], start[k], n[k], (of[k] + base) | (part << 32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], columns)
 
+        row, ids, texts, size = 0, [], [], 0
         peek = next((b for b in batches if b.num_rows), None)
         if peek is None:
             return
-        rest = batches
-        batches = (b for part_ in ([peek], rest) for b in part_)
-        put_whole(fs, f"{root}/part-{part:08d}.arrow", scan)
+        with whole(fs, f"{root}/part-{part:08d}.arrow") as stream, pa.ipc.new_file(stream, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+            for batch in chain([peek], batches):
+                for b in range(0, batch.num_rows, 512):
+                    some = batch.slice(b, 512)
+                    file.write_batch(pa.RecordBatch.from_arrays(some.columns, schema=schema))
+                    ids += some.column(0).to_pylist()
+                    new = [(t or "").encode() for t in some.column(1).to_pylist()]
+                    texts += new
+                    size += sum(map(len, new))
+                    del new
+                    if size >= BLOCK_BYTES:
+                        yield from flush(ids, texts, row)
+                        row, ids, texts, size = row + len(ids), [], [], 0
+            yield from flush(ids, texts, row)
         put_whole(fs, f"{root}/part-{part:08d}.npy", lambda s: np.save(s, np.concatenate([*settled, np.zeros((0, 3), np.int64)])))
-        yield from out
 
     return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, ", ".join(f"{c} long" for c in columns))
 

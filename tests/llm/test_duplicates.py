@@ -2,9 +2,13 @@
 
 import hashlib
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 
 from casemill.llm import bcr, minhash, repeats, shared
 from casemill.llm.shingles import shingle_sets
@@ -157,6 +161,35 @@ def test_repeats_of_one_line_in_many_texts(docs_of, tmp_path):
     assert most(pieces.filter("kind = 1"), "high", "low") <= 8 and pieces.filter("kind = 0").agg({"n": "sum"}).first()[0] > 5_000
 
 
+def test_a_scan_task_holds_one_block(docs_of, tmp_path, monkeypatch):
+    """Its runs leave as each block is done, and hashing takes a small part of the memory that a block's worth at a time would take."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh ", k=50_000)) for _ in range(80)]
+    read = []
+
+    def batches():
+        for i in range(0, len(texts), 8):
+            read.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(range(i, i + 8), pa.int64()), pa.array(texts[i : i + 8])], ["doc_id", "text"])
+
+    monkeypatch.setattr(repeats, "mapped", lambda df, run, schema: run)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1 << 20)
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    rows = repeats.scan_runs(docs_of([]), f"file://{tmp_path}", 100, 20)(batches())
+    tracemalloc.start()
+    try:
+        rows_out = next(rows).num_rows
+        seen = len(read)
+        rows_out += sum(b.num_rows for b in rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert seen <= 3 and rows_out > 80_000 and peak < 60 << 20, (seen, rows_out, peak >> 20)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["part-00000003.arrow", "part-00000003.npy"]
+    with pa.ipc.open_file(str(tmp_path / "part-00000003.arrow")) as file:
+        assert file.read_all().column(1).to_pylist() == texts
+
+
 def test_repeats_odd_rows(odd, none):
     rows = repeats.remove_repeats(odd, with_text=True).collect()
     assert len(rows) == 10
