@@ -137,7 +137,9 @@ def components(edges: DataFrame) -> DataFrame:
     Every node takes the least label around it, then the label of its label, until nothing changes; each step is a table in the
     shared folder.  All joins are between scans, so that Spark can split the partitions of hubs.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    # a union of both directions would work out the edges twice
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("edge")).select("edge.*")
+    both = written(both.distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))

@@ -161,6 +161,19 @@ def test_repeats_of_one_line_in_many_texts(docs_of, tmp_path):
     assert most(pieces.filter("kind = 1"), "high", "low") <= 8 and pieces.filter("kind = 0").agg({"n": "sum"}).first()[0] > 5_000
 
 
+def test_components_work_out_their_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20) if i != 9], "a long, b long").mapInArrow(run, "a long, b long")
+    assert {r["node"]: r["comp"] for r in minhash.components(edges).collect()} == {i: 0 if i < 10 else 10 for i in range(21)}
+    assert seen.value == 19
+
+
 def test_a_scan_task_holds_one_block(docs_of, tmp_path, monkeypatch):
     """Its runs leave as each block is done, and hashing takes a small part of the memory that a block's worth at a time would take."""
     rng = random.Random(5)
