@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions.lexicons import EVIDENCE_WORDS, ISSUE_WORDS, first_match
 from casemill.functions.records import fenced_json, unwrap, unwrap_confidence
+from casemill.sources.scratch import stored
 
 # Stages in order, what each needs, tries before it is left anyway, and words that confirm.
 STAGES = ("greeting", "role_identification", "basic_details", "tenancy_details", "deposit_details", "issue_identification", "evidence_collection", "claim_amounts", "narrative", "confirmation", "complete")
@@ -125,13 +126,19 @@ def create_disputes(requests: DataFrame, taken: DataFrame, *, rounds: int = 8) -
     """(dispute_id, code, tenant_session_id, landlord_session_id, status) of requests (dispute_id, session_id, role; ids are unique).
 
     A request whose code is in use (taken: code), or wanted by a smaller id, gets the code of its next round; of eight hexadecimal
-    places a code is free with near certainty in the first.  A request that finds none in all rounds is an error, not a lost row.
+    places a code is free with near certainty in the first.  Only requests that have no code yet ask in a round, and the rounds end once
+    all have one.  A request that finds none in all rounds is an error, not a lost row.
     """
-    options = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda k: F.when(k == 0, invite_code(F.col("dispute_id"))).otherwise(invite_code(F.concat_ws("#", F.col("dispute_id").cast("string"), k.cast("string")))))
-    offers = requests.select("dispute_id", F.posexplode(options).alias("round", "code")).join(taken.select("code").distinct(), "code", "left_anti")
-    # a code goes to the earliest round that asks for it, then to the least id; a request takes the first of its rounds that it got
-    won = offers.groupBy("code").agg(F.min(F.struct("round", "dispute_id")).alias("w")).select("code", "w.round", "w.dispute_id")
-    codes = won.groupBy("dispute_id").agg(F.min_by("code", "round").alias("code"))
+    left, used, codes = requests.select("dispute_id"), taken.select("code"), None
+    for k in range(rounds):
+        offer = invite_code(F.col("dispute_id") if k == 0 else F.concat_ws("#", F.col("dispute_id").cast("string"), F.lit(str(k))))
+        free = left.select("dispute_id", offer.alias("code")).join(used, "code", "left_anti")
+        won = stored(free.groupBy("code").agg(F.min("dispute_id").alias("dispute_id")).select("dispute_id", "code"), "codes")
+        codes = won if codes is None else codes.unionByName(won)
+        left = stored(left.join(won, "dispute_id", "left_anti"), "codeless")
+        if left.isEmpty():
+            break
+        used = used.unionByName(won.select("code"))
     rows = requests.join(codes, "dispute_id", "left").withColumn("code", F.coalesce("code", F.raise_error(F.lit("no free invite code")).cast("string")))
     slot = lambda role: F.when(F.col("role") == role, F.col("session_id"))
     status = F.when(F.col("role") == "tenant", "waiting_for_landlord").otherwise("waiting_for_tenant")

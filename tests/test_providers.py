@@ -37,6 +37,23 @@ def test_disputes(spark):
     assert status == {1: "waiting_for_landlord", 2: "both_complete"}
 
 
+def test_a_code_that_no_request_needs_is_free(spark):
+    """sha256("72404#1") and sha256("151020#1") begin alike, but 72404 has the code of its first round and asks for no other."""
+    asked = spark.createDataFrame([(72404, 1, "tenant"), (151020, 2, "tenant")], "dispute_id int, session_id int, role string")
+    made = intake.create_disputes(asked, spark.createDataFrame([("117A9EC0",)], "code string"))
+    assert {r["dispute_id"]: r["code"] for r in made.collect()} == {72404: "E5FF9D69", 151020: "11DB26E6"}
+    # a code that two want goes to the smaller id, so no two disputes share one
+    asked = spark.createDataFrame([(135277, 1, "tenant"), (3897, 2, "tenant")], "dispute_id int, session_id int, role string")
+    codes = {r["dispute_id"]: r["code"] for r in intake.create_disputes(asked, spark.createDataFrame([], "code string")).collect()}
+    assert codes[3897] == "75D93DBE" != codes[135277] and len(codes[135277]) == 8
+
+
+def test_no_free_code_is_an_error(spark):
+    asked = spark.createDataFrame([(151020, 2, "tenant")], "dispute_id int, session_id int, role string")
+    with pytest.raises(Exception, match="no free invite code"):
+        intake.create_disputes(asked, spark.createDataFrame([("117A9EC0",), ("11DB26E6",)], "code string"), rounds=2).collect()
+
+
 def test_json_by_key(spark, tmp_path):
     path = str(tmp_path / "j")
     store.save_json(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), path, "k")
