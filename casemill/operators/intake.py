@@ -149,6 +149,15 @@ def _code(column: str) -> Column:
     return F.upper(F.trim(F.col(column)))
 
 
+def _addressed(disputes: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests as (code, dispute_id, session_id, role): the dispute that a request names, else the one of the least id that has its code."""
+    named = F.col("dispute_id") if "dispute_id" in requests.columns else F.lit(None)
+    kind = disputes.schema["dispute_id"].dataType
+    asked = requests.select(_code("code").alias("code"), named.cast(kind).alias("_named"), "session_id", "role")
+    owners = disputes.groupBy("code").agg(F.min("dispute_id").alias("_owner"))
+    return asked.join(owners, "code", "left").select("code", F.coalesce("_named", "_owner").alias("dispute_id"), "session_id", "role")
+
+
 def join_outcomes(disputes: DataFrame, requests: DataFrame) -> DataFrame:
     """(code, session_id, role, outcome) of requests: joined, taken (the slot was filled, or an earlier request fills it) or unknown (no such code).
 
@@ -165,11 +174,11 @@ def join_outcomes(disputes: DataFrame, requests: DataFrame) -> DataFrame:
 def join_disputes(disputes: DataFrame, requests: DataFrame) -> DataFrame:
     """disputes after requests (code, session_id, role): a free slot is filled, a taken one is left; codes are compared upper-case and trimmed.
 
-    A row a dispute, however many ask for it; join_outcomes() tells what became of each request.
+    A row a dispute, however many ask for it; join_outcomes() tells what became of each request, and which dispute one is for.
     """
-    asked = requests.select(_code("code").alias("c"), "session_id", "role")
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("session_id"))).alias(f"_{role}")
-    rows = disputes.join(asked.groupBy("c").agg(first("tenant"), first("landlord")), F.col("code") == F.col("c"), "left")
+    asked = _addressed(disputes, requests).groupBy(F.col("code").alias("_c"), F.col("dispute_id").alias("_d")).agg(first("tenant"), first("landlord"))
+    rows = disputes.join(asked, (F.col("code") == F.col("_c")) & (F.col("dispute_id") == F.col("_d")), "left")
     fill = lambda role: F.coalesce(F.col(f"{role}_session_id"), F.col(f"_{role}")).alias(f"{role}_session_id")
     return rows.select("dispute_id", "code", fill("tenant"), fill("landlord"))
 

@@ -54,6 +54,31 @@ def test_no_free_code_is_an_error(spark):
         intake.create_disputes(asked, spark.createDataFrame([("117A9EC0",), ("11DB26E6",)], "code string"), rounds=2).collect()
 
 
+@pytest.mark.parametrize("name", ["join_disputes"])
+def test_disputes_of_one_code_are_told_apart(spark, tmp_path, name):
+    """Each pair of keys has one code of eight places; of it both, or one of another slot, or neither asks."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    pairs = [(857916, 162268), (788644, 265722), (183012, 888193), (64707, 477814), (873975, 155286), (3897, 135277)]
+    keys = [*range(20), *[k for pair in pairs for k in pair]]
+    spark.createDataFrame([(k, "O") for k in keys], "o_orderkey long, o_orderstatus string").withColumn("o_orderdate", F.lit("1995-01-01").cast("date")).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = sorted(map(repr, map(tuple, entry.queries()[name](spark, str(tmp_path)).collect())))
+    assert got == sorted(map(repr, con.execute(entry.oracle_sql()[name]).fetchall()))
+
+
+def test_a_request_that_names_no_dispute_is_for_one(spark):
+    disputes = spark.createDataFrame([(5, "AB", None, 9), (3, "AB", None, 8), (4, "CD", 7, None)], "dispute_id int, code string, tenant_session_id int, landlord_session_id int")
+    asked = spark.createDataFrame([(" ab", 1, "tenant"), ("AB", 2, "tenant"), ("cd", 1, "tenant"), ("zz", 1, "tenant")], "code string, session_id int, role string")
+    assert {r["dispute_id"]: r["tenant_session_id"] for r in intake.join_disputes(disputes, asked).collect()} == {3: 1, 4: 7, 5: None}
+    # a dispute that has another code, or is not there, is not found by its name
+    named = spark.createDataFrame([("AB", 5, 1, "tenant"), ("AB", 4, 2, "tenant"), ("AB", 6, 3, "tenant")], "code string, dispute_id int, session_id int, role string")
+    assert {r["dispute_id"]: r["tenant_session_id"] for r in intake.join_disputes(disputes, named).collect()} == {3: None, 4: 7, 5: 1}
+
+
 def test_json_by_key(spark, tmp_path):
     path = str(tmp_path / "j")
     store.save_json(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), path, "k")
