@@ -161,12 +161,13 @@ def _addressed(disputes: DataFrame, requests: DataFrame) -> DataFrame:
 def join_outcomes(disputes: DataFrame, requests: DataFrame) -> DataFrame:
     """(code, session_id, role, outcome) of requests: joined, taken (the slot was filled, or an earlier request fills it) or unknown (no such code).
 
-    Of several requests for one slot the one of the least session_id is first.
+    Of several requests for one slot the one of the least session_id is first.  A row a request: it is for one dispute, which it may name
+    by dispute_id beside the code, where a code is not of one dispute alone; without, that of the least id that has the code is meant.
     """
-    asked = requests.select(_code("code").alias("code"), "session_id", "role")
-    rows = asked.join(disputes.select("code", "tenant_session_id", "landlord_session_id", F.lit(True).alias("_known")), "code", "left")
+    known = disputes.select("code", "dispute_id", "tenant_session_id", "landlord_session_id", F.lit(True).alias("_known"))
+    rows = _addressed(disputes, requests).join(known, ["code", "dispute_id"], "left")
     filled = F.when(F.col("role") == "tenant", F.col("tenant_session_id")).otherwise(F.col("landlord_session_id")).isNotNull()
-    first = F.row_number().over(Window.partitionBy("code", "role").orderBy("session_id")) == 1
+    first = F.row_number().over(Window.partitionBy("code", "dispute_id", "role").orderBy("session_id")) == 1
     outcome = F.when(F.col("_known").isNull(), "unknown").when(filled | ~first, "taken").otherwise("joined")
     return rows.select("code", "session_id", "role", outcome.alias("outcome"))
 

@@ -110,10 +110,10 @@ def sync(spark, d):
 
 
 def joins(spark, d):
-    """Requests for tenants' slots: two for every second dispute, and one for a code that nobody has."""
+    """Requests for tenants' slots: two for every second dispute, which they name, as codes of so many ids repeat, and one for a code that nobody has."""
     k = F.col("o_orderkey")
-    asked = table(spark, d, "orders").filter(k % 2 == 0).select(F.lower(intake.invite_code(k)).alias("code"), F.explode(F.array(k + 7, k + 8)).alias("session_id"), F.lit("tenant").alias("role"))
-    nobody = spark.createDataFrame([("zz", 1, "tenant")], "code string, session_id long, role string")
+    asked = table(spark, d, "orders").filter(k % 2 == 0).select(F.lower(intake.invite_code(k)).alias("code"), k.alias("dispute_id"), F.explode(F.array(k + 7, k + 8)).alias("session_id"), F.lit("tenant").alias("role"))
+    nobody = spark.createDataFrame([("zz", None, 1, "tenant")], "code string, dispute_id long, session_id long, role string")
     return intake.join_outcomes(disputes(spark, d), asked.unionByName(nobody))
 
 

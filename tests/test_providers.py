@@ -54,7 +54,7 @@ def test_no_free_code_is_an_error(spark):
         intake.create_disputes(asked, spark.createDataFrame([("117A9EC0",), ("11DB26E6",)], "code string"), rounds=2).collect()
 
 
-@pytest.mark.parametrize("name", ["join_disputes"])
+@pytest.mark.parametrize("name", ["join_disputes", "join_outcomes"])
 def test_disputes_of_one_code_are_told_apart(spark, tmp_path, name):
     """Each pair of keys has one code of eight places; of it both, or one of another slot, or neither asks."""
     import duckdb
@@ -73,9 +73,11 @@ def test_disputes_of_one_code_are_told_apart(spark, tmp_path, name):
 def test_a_request_that_names_no_dispute_is_for_one(spark):
     disputes = spark.createDataFrame([(5, "AB", None, 9), (3, "AB", None, 8), (4, "CD", 7, None)], "dispute_id int, code string, tenant_session_id int, landlord_session_id int")
     asked = spark.createDataFrame([(" ab", 1, "tenant"), ("AB", 2, "tenant"), ("cd", 1, "tenant"), ("zz", 1, "tenant")], "code string, session_id int, role string")
+    assert sorted(map(tuple, intake.join_outcomes(disputes, asked).collect())) == [("AB", 1, "tenant", "joined"), ("AB", 2, "tenant", "taken"), ("CD", 1, "tenant", "taken"), ("ZZ", 1, "tenant", "unknown")]
     assert {r["dispute_id"]: r["tenant_session_id"] for r in intake.join_disputes(disputes, asked).collect()} == {3: 1, 4: 7, 5: None}
     # a dispute that has another code, or is not there, is not found by its name
     named = spark.createDataFrame([("AB", 5, 1, "tenant"), ("AB", 4, 2, "tenant"), ("AB", 6, 3, "tenant")], "code string, dispute_id int, session_id int, role string")
+    assert sorted(map(tuple, intake.join_outcomes(disputes, named).collect())) == [("AB", 1, "tenant", "joined"), ("AB", 2, "tenant", "unknown"), ("AB", 3, "tenant", "unknown")]
     assert {r["dispute_id"]: r["tenant_session_id"] for r in intake.join_disputes(disputes, named).collect()} == {3: None, 4: 7, 5: 1}
 
 
