@@ -11,6 +11,7 @@ again ends with the same files.  The driver hears two numbers a task and removes
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
@@ -27,8 +28,8 @@ from casemill.operators.ledger import output_folder
 PAGE, PDF, METADATA = "decision.html", "decision.pdf", "metadata.json"
 #: Of a name longer than LONG, so much stays, and the rest is told by a hash; a file system takes 255 bytes.
 LONG, KEPT = 200, 150
-#: Cases of a batch that is read.
-FILES = 32
+#: Cases of a batch that is read, names of one that is listed, and tasks a core that open them.
+FILES, NAMES, TASKS = 32, 10_000, 4
 
 
 def safe_name(reference: Column) -> Column:
@@ -64,14 +65,30 @@ def write_cases(cases: DataFrame, root: str) -> None:
 def read_cases(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """folder (below root), the fields of schema from metadata.json, html and pdf of every case below root.
 
-    Only the metadata files are listed; a task opens the page and the PDF beside each, so nothing is shuffled.
+    The driver lists the folders of years alone.  A task lists the cases of a year, which a file system gives at once, so the names of one
+    year's folder must fit a task; the names are dealt, and a task opens the files of its cases beside each other.  A folder without
+    metadata, or with none in it, is no case.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", METADATA).load(root)
-    folder = F.regexp_extract("path", r"([a-z]+-cases/[^/]*/[^/]*)/[^/]*$", 1)
+    from pyarrow import fs
+
+    def inside(system, at: str) -> list:
+        return [i for i in system.get_file_info(fs.FileSelector(at)) if i.type == fs.FileType.Directory and not i.base_name.startswith((".", "_"))]
+
+    system, place = fs.FileSystem.from_uri(root)
+    kinds = [i.base_name for i in inside(system, place) if re.fullmatch("[a-z]+-cases", i.base_name)]
+    years = sorted(f"{kind}/{i.base_name}" for kind in kinds for i in inside(system, f"{place.rstrip('/')}/{kind}"))
+
+    def listed(batches):
+        import pyarrow as pa
+
+        system, place = fs.FileSystem.from_uri(root)
+        for year in (y for b in batches for y in b.column(0).to_pylist()):
+            names = [f"{year}/{i.base_name}" for i in inside(system, f"{place.rstrip('/')}/{year}")]
+            for k in range(0, len(names), NAMES):
+                yield pa.RecordBatch.from_arrays([pa.array(names[k : k + NAMES], pa.string())], ["folder"])
 
     def opened(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
         system, place = fs.FileSystem.from_uri(root)
 
@@ -84,13 +101,14 @@ def read_cases(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
         for b in batches:
             for k in range(0, b.num_rows, FILES):
-                some = b.slice(k, FILES)
-                names = some.column(0).to_pylist()
-                files = [pa.array([content(n, file) for n in names], pa.binary()) for file in (PAGE, PDF)]
-                yield pa.RecordBatch.from_arrays([*some.columns, *files], ["folder", "m", "html", "pdf"])
-
-    cases = rows.select(folder.alias("folder"), F.col("content").cast("string").alias("m")).mapInArrow(opened, "folder string, m string, html binary, pdf binary")
-    return cases.select("folder", F.from_json("m", schema).alias("m"), F.col("html").cast("string").alias("html"), "pdf").select("folder", "m.*", "html", "pdf")
+                found = [(n, about, content(n, PAGE), content(n, PDF)) for n in b.column(0).slice(k, FILES).to_pylist() if (about := content(n, METADATA))]
+                kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)], ["folder", "m", "html", "pdf"])
+
+    tasks = spark.sparkContext.defaultParallelism * TASKS
+    names = spark.createDataFrame([(y,) for y in years], "year string").mapInArrow(listed, "folder string").repartition(tasks, "folder")
+    cases = names.mapInArrow(opened, "folder string, m binary, html binary, pdf binary")
+    return cases.select("folder", F.from_json(F.col("m").cast("string"), schema).alias("m"), F.col("html").cast("string").alias("html"), "pdf").select("folder", "m.*", "html", "pdf")
 
 
 @dataclass

@@ -60,6 +60,25 @@ def test_a_failed_task_leaves_whole_cases_only(spark, tmp_path):
     assert {n for n in os.listdir(tmp_path / "cases") if not n.startswith("_staging-")} == {"deposit-cases"}
 
 
+def test_a_read_lists_years_and_not_cases_one_by_one(spark, tmp_path):
+    """Of 120 cases in four years the plan knows four folders; a listing of files by Spark would have run a job for each that has many."""
+    root = f"file://{tmp_path}/cases"
+    cases = spark.range(120).select(F.concat(F.lit("R"), "id").alias("case_reference"), (F.col("id") % 4 + 2020).cast("int").alias("year"), F.lit("deposit").alias("category"), F.concat(F.lit("p"), "id").alias("html"), F.lit(None).cast("binary").alias("pdf"))
+    case_folders.write_cases(cases, root)
+    (tmp_path / "cases/deposit-cases/2020/no-metadata").mkdir()
+    (tmp_path / "cases/deposit-cases/2020/no-metadata/decision.html").write_text("x")
+    (tmp_path / "cases/deposit-cases/2021/R1/metadata.json").write_text("")  # nothing in it
+    (tmp_path / "cases/_staging-x/deposit-cases/2020/R500").mkdir(parents=True)
+    (tmp_path / "cases/_staging-x/deposit-cases/2020/R500/metadata.json").write_text("{}")
+    spark.sparkContext.setJobGroup("listing", "")
+    rows = case_folders.read_cases(spark, root, "case_reference string")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("listing")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "binaryFile" not in rows._jdf.queryExecution().toString()
+    assert {(r["case_reference"], r["html"], r["pdf"]) for r in rows.collect()} == {(f"R{k}", f"p{k}", None) for k in range(120) if k != 1}
+    assert rows.count() == 119
+
+
 def test_an_attempt_that_comes_between(tmp_path):
     """Another attempt's folder appears just before the rename: its files are replaced."""
     from pyarrow import fs
