@@ -12,12 +12,14 @@ from casemill.functions import text as T
 from casemill.functions.encoding import BytePairs
 from casemill.operators import chunking, embed, retrieval, stats, store
 from casemill.operators.index import KeywordIndex
-from casemill.sources.scratch import stored
+from casemill.sources.scratch import Passing, stored
 from casemill.sources.snapshots import Change, Tables
 
 CHUNK = "chunk_id string, case_reference string, chunk_index int, section string, text string, token_count int, year int, region string, case_type string"
 VECTOR = "id string, embedding array<double>, case_reference string, region string, case_type string, section string, year int"
 FETCH, FUSED, FINAL = 2, 20, 10
+#: References that repeat within one ingest up to which they are broadcast, and only their rows are shuffled.
+REPEATED = 10_000
 
 
 class Engine:
@@ -36,7 +38,7 @@ class Engine:
         self.chunk_tokens, self.overlap, self.issues, self.evidence, self.as_of_year = chunk_tokens, overlap, dict(issues), dict(evidence), as_of_year
         self.encoder, self.ledger = encoder, ledger
         self.tables = Tables(spark, self.folder)
-        self.index = KeywordIndex(spark, self.folder, lite=lite, id_type="string", tables=self.tables)
+        self.index = KeywordIndex(spark, self.folder, lite=lite, id_type="string", tables=self.tables, texts=("chunks", "chunk_id", "text"))
 
     def chunks(self) -> DataFrame:
         """All stored chunks; none before the first ingest."""
@@ -62,31 +64,49 @@ class Engine:
             docs = docs.limit(0)
         bad = F.col("error").isNotNull() if "error" in docs.columns else F.lit(False)
         rows = docs.select("case_reference", "year", "region", "case_type", F.when(~bad, T.clean(F.col("text"), pii=pii, preserve_paragraphs=True)).alias("text"), bad.alias("failed"))
-        rows = stored(rows.withColumn("status", F.when(F.col("failed"), "failed").when(F.length(F.trim("text")) > 0, "processed").otherwise("skipped")), "ingest")
-        meta = F.struct(F.col("year").cast("int").alias("year"), "region", "case_type", "text")
-        good = rows.filter("status = 'processed'").groupBy("case_reference").agg(F.max(meta).alias("d")).select("case_reference", "d.*")
-        made = chunking.chunks(good, self.chunk_tokens, self.overlap, "case_reference", encoder=self.encoder).withColumnRenamed("id", "case_reference")
-        made = made.join(good.select("case_reference", "year", "region", "case_type"), "case_reference")
-        if skip_existing:
-            made = store.unseen(made, change.read("chunks", CHUNK), "chunk_id")
-        made = stored(made.select(*[c.split()[0] for c in CHUNK.split(", ")]), "chunks")
-        counts = rows.select("status", F.lit(0).cast("long").alias("chunks")).unionByName(made.agg(F.count("*").alias("chunks")).select(F.lit("chunks").alias("status"), "chunks"))
-        counts = stats.ingestion(counts).withColumn("total", F.col("total") - 1)
-        if batch and done.get(batch[0], -1) < batch[1]:
-            change.note("batches", {**done, batch[0]: batch[1]})
-        elif made.isEmpty():
-            return counts
-        if not made.isEmpty():
-            if not skip_existing:
-                self._forget(change, good.select("case_reference"))
-            vectors = embed.embed(made, self.embedder, "chunk_id", "text", ledger=self.ledger)
-            about = made.select(F.col("chunk_id").alias("id"), "case_reference", "region", "case_type", "section", "year")
-            change.append("chunks", made, key="case_reference")
-            change.append("vectors", embed.with_vectors(vectors, about).select(*[c.split()[0] for c in VECTOR.split(", ")]), key="case_reference")
-            self.index.add(change, made, id_col="chunk_id", ref_col="case_reference")
-        change.commit()
+        with Passing(self.spark) as passing:
+            rows = passing.stored(rows.withColumn("status", F.when(F.col("failed"), "failed").when(F.length(F.trim("text")) > 0, "processed").otherwise("skipped")), "ingest")
+            good = self._taken(rows.filter("status = 'processed' and case_reference is not null"))
+            made = chunking.chunks(good, self.chunk_tokens, self.overlap, "case_reference", encoder=self.encoder, keep=("year", "region", "case_type")).withColumnRenamed("id", "case_reference")
+            if skip_existing and self.tables.files("chunks", state=change.state):
+                made = store.unseen(made, change.read("chunks", CHUNK), "chunk_id")
+            made = passing.stored(made.select(*[c.split()[0] for c in CHUNK.split(", ")]), "chunks")
+            counts = rows.select("status", F.lit(0).cast("long").alias("chunks")).unionByName(made.agg(F.count("*").alias("chunks")).select(F.lit("chunks").alias("status"), "chunks"))
+            counts = stats.ingestion(counts).withColumn("total", F.col("total") - 1)
+            counts = self.spark.createDataFrame(counts.collect(), counts.schema)  # one row
+            if batch and done.get(batch[0], -1) < batch[1]:
+                change.note("batches", {**done, batch[0]: batch[1]})
+            elif made.isEmpty():
+                return counts
+            if not made.isEmpty():
+                if not skip_existing:
+                    self._forget(change, good.select("case_reference"))
+                passing.drop("ingest")
+                before = len(self.tables.files("chunks", state=change.state))
+                change.append("chunks", made, key="case_reference")
+                made = change.read_files("chunks", change.state["tables"]["chunks"]["files"][before:])
+                passing.drop("chunks")
+                vectors = embed.embed(made, self.embedder, "chunk_id", "text", ledger=self.ledger)
+                about = made.select(F.col("chunk_id").alias("id"), "case_reference", "region", "case_type", "section", "year")
+                change.append("vectors", embed.with_vectors(vectors, about).select(*[c.split()[0] for c in VECTOR.split(", ")]), key="case_reference")
+                self.index.add(change, made, id_col="chunk_id", ref_col="case_reference")
+            change.commit()
         return counts
 
+    def _taken(self, rows: DataFrame) -> DataFrame:
+        """Of rows that repeat a reference the greatest; the texts of the others are not shuffled unless very many repeat."""
+        meta = F.struct(F.col("year").cast("int").alias("year"), "region", "case_type", "text")
+        one = lambda some: some.groupBy("case_reference").agg(F.max(meta).alias("d")).select("case_reference", "d.*")
+        rows = rows.select("case_reference", "year", "region", "case_type", "text")
+        twice = stored(rows.groupBy("case_reference").count().filter("count > 1").select("case_reference"), "twice")
+        if (n := twice.count()) > REPEATED:
+            return one(rows)
+        alone = rows.select("case_reference", meta.alias("d")).select("case_reference", "d.*")
+        if not n:
+            return alone
+        twice = F.broadcast(twice)  # at most REPEATED references
+        return alone.join(twice, "case_reference", "left_anti").unionByName(one(rows.join(twice, "case_reference", "left_semi")))
+
     def _forget(self, change: Change, cases: DataFrame) -> None:
         """Takes the cases (case_reference) out of all tables, as part of a change."""
         cases = stored(cases.select("case_reference").distinct(), "forgotten")

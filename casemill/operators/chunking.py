@@ -100,14 +100,15 @@ def pack_sentences(counts: list[int], size: int, overlap: int) -> list[list[int]
     return out
 
 
-def chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text", encoder: BytePairs | None = None) -> DataFrame:
-    """(chunk_id, id, chunk_index, section, text, token_count): sections in order, sentences packed by tokens, ids numbered over the document.
+def chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text", encoder: BytePairs | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, id, chunk_index, section, text, token_count, and the document's columns to keep): sections in order, sentences packed by tokens, ids numbered over the document.
 
     A document is one row, so nothing is shuffled: sentences and their tokens are counted in the row, and one Arrow pass packs them.
     Tokens are words and marks, or with an encoder those of its vocabulary: a sentence over size is then cut between its tokens, and a
     chunk's count is that of its joined text.
     """
-    parted = docs.select(F.col(id_col).alias("id"), section_list(F.col(text_col)).alias("parts"))
+    own = F.struct(F.col(id_col).alias("id"), *keep)  # what a document's chunks share passes as it is
+    parted = docs.select(own.alias("id"), section_list(F.col(text_col)).alias("parts"))
     parted = parted.select("id", "parts.section", F.transform("parts.body", T.sentences).alias("sents"))
     parted = parted.select("id", "section", F.transform("sents", lambda s: F.array_join(s, "\u0001")).alias("sents"), (F.lit(None).cast("array<array<int>>") if encoder else F.transform("sents", lambda s: F.transform(s, T.token_count))).alias("counts"))
 
@@ -145,4 +146,4 @@ def chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOK
     kind = parted.schema["id"].dataType.simpleString()
     packed = parted.select("id", "section", "sents", "counts").mapInArrow(fold, f"id {kind}, chunk_index int, section string, text string, n int")
     count = F.coalesce("n", T.token_count(F.col("text")))  # tokens never span the space between sentences; windows of words are counted anew
-    return packed.select(F.concat_ws("_", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "id", "chunk_index", "section", "text", count.alias("token_count"))
+    return packed.select(F.concat_ws("_", F.col("id.id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "id.id", "chunk_index", "section", "text", count.alias("token_count"), *[f"id.{c}" for c in keep])

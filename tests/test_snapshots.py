@@ -1,5 +1,7 @@
 """Tables that change together: versions, merges, conflicts, crashes, and the engine on top of them."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,27 @@ def test_a_case_is_replaced_in_all_tables(spark, tmp_path):
     assert rows(engine.chunks().select("chunk_id")) == [("B_0",)] and engine.index.stats().first()["n_docs"] == 1
 
 
+def test_an_ingest_leaves_texts_in_one_table_alone(spark, tmp_path, monkeypatch):
+    from casemill import engine as module
+    from casemill.sources import scratch
+
+    place = scratch.folder(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    held = lambda: {n for n in os.listdir(place) if n.startswith(("ingest-", "chunks-"))} if os.path.isdir(place) else set()
+    stood = held()
+    docs = spark.createDataFrame([("A", "A deposit was paid late.", 2020, "LON", ""), ("A", "Rent was owed.", 2021, "LON", ""), ("B", "Cleaning charges.", 2021, "MAN", ""), (None, "Lost.", 2021, "MAN", ""), ("C", " ", 2021, "MAN", "")], DOC)
+    engine = Engine(spark, str(tmp_path / "e"))
+    assert engine.ingest(docs).first().asDict() == {"total": 5, "processed": 4, "skipped": 1, "failed": 0, "chunks": 2}
+    assert held() == stood
+    assert [n for n, t in engine.tables.state()["tables"].items() if "text" in [f["name"] for f in t["schema"]["fields"]]] == ["chunks"]
+    # the index still gives the texts, and finds the terms of what it takes out
+    want = [("A_0", "A", "Rent was owed."), ("B_0", "B", "Cleaning charges.")]
+    assert rows(engine.index.get(spark.createDataFrame([("A_0",), ("B_0",), ("Z",)], "id string")).select("id", "ref", "text")) == want
+    monkeypatch.setattr(module, "REPEATED", 0)  # all rows are grouped then
+    again = Engine(spark, str(tmp_path / "g"))
+    again.ingest(docs)
+    assert rows(again.chunks()) == rows(engine.chunks()) and rows(again.index.postings()) == rows(engine.index.postings())
+
+
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "e"))
     docs = spark.createDataFrame([("A", "A deposit was paid.", 2020, "LON", ""), ("B", "Rent was owed.", 2021, "MAN", "")], DOC)
