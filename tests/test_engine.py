@@ -167,3 +167,32 @@ def test_sql_functions_equal_the_columns(spark):
     one = lambda e: spark.range(1).select(F.expr(e)).first()[0]
     assert one("cosine_sim(array(1D, 0D), array(1D, 1D))") == pytest.approx(0.5**0.5) and one("cosine_sim(array(0D), array(1D))") == 0
     assert (one("jaccard(array('a','b'), array('b'))"), one("jaccard(array(), array('b'))"), one("jaccard(cast(array() as array<string>), cast(array() as array<string>))")) == (0.5, 0.3, 0.5)
+
+
+def test_few_buckets_leave_no_large_task(spark, tmp_path, monkeypatch):
+    """With two buckets and one slice a build had two tasks with rows, whatever its size; they are parted now, and nothing that is found changes."""
+    from casemill.operators import index as module
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.concat(F.lit("w"), ((F.col("id") * 7 + i * i) % 300).cast("string"))), " ").alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    asked = spark.createDataFrame([(1, "w1 w50 w299"), (2, "w7"), (3, "nothing")], "query_id int, query string")
+    whole = KeywordIndex(spark, str(tmp_path / "whole"), buckets=2, slices=1, block=16).build(docs)
+    found = sorted(map(tuple, whole.search(asked, 9).collect()))
+    monkeypatch.setattr(module, "BUCKET_BYTES", 1024)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        parted = KeywordIndex(spark, str(tmp_path / "parted"), buckets=2, slices=1, block=16).build(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = parted.tables.files("postings")
+    assert len(whole.tables.files("postings")) == 2 < 4 <= len(files) and {f["of"] for f in files} == {2} and len({f["parts"] for f in files}) == 1
+    counts = [spark.read.parquet(f"{tmp_path}/parted/{f['path']}").count() for f in files]
+    assert sum(counts) == whole.tables.read("postings").count() and max(counts) < sum(counts) / 2
+    assert sorted(map(tuple, parted.search(asked, 9).collect())) == found and sorted(map(tuple, parted.postings().collect())) == sorted(map(tuple, whole.postings().collect()))
+    for i in (whole, parted):
+        change = i.tables.begin()
+        i.remove(change, docs.filter("doc_id < 50").select(F.col("doc_id").alias("id")))
+        change.commit()
+    assert sorted(map(tuple, parted.postings().collect())) == sorted(map(tuple, whole.postings().collect())) and parted.stats().first() == whole.stats().first()
+    assert sorted(map(tuple, parted.search(asked, 9).collect())) == sorted(map(tuple, whole.search(asked, 9).collect()))
