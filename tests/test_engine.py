@@ -179,7 +179,7 @@ def test_few_buckets_leave_no_large_task(spark, tmp_path, monkeypatch):
     asked = spark.createDataFrame([(1, "w1 w50 w299"), (2, "w7"), (3, "nothing")], "query_id int, query string")
     whole = KeywordIndex(spark, str(tmp_path / "whole"), buckets=2, slices=1, block=16).build(docs)
     found = sorted(map(tuple, whole.search(asked, 9).collect()))
-    monkeypatch.setattr(module, "BUCKET_BYTES", 1024)
+    monkeypatch.setattr(module, "TASK_BYTES", 1024)
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
         parted = KeywordIndex(spark, str(tmp_path / "parted"), buckets=2, slices=1, block=16).build(docs)
